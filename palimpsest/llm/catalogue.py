@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import substring_dedup
+from palimpsest.llm import minhash_dedup, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op5_substring_dedup": substring_dedup.op5_substring_dedup}
+    return {
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, where SQL can express the query."""
-    return {"op5_substring_dedup": substring_dedup.OP5_SQL}
+    return {
+        "op5_substring_dedup": substring_dedup.OP5_SQL,
+        "op6_minhash_dedup": minhash_dedup.OP6_SQL,
+    }

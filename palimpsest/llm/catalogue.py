@@ -6,20 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import minhash_dedup, substring_dedup
+from palimpsest.llm import (
+    language_id,
+    minhash_dedup,
+    quality_classifier,
+    quality_rules,
+    substring_dedup,
+    toxicity,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
     return {
+        "op1_quality_classifier": quality_classifier.op1_quality_classifier,
+        "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
+        "op8_language_id": language_id.op8_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, where SQL can express the query."""
     return {
+        "op2_quality_rules": quality_rules.OP2_SQL,
         "op5_substring_dedup": substring_dedup.OP5_SQL,
         "op6_minhash_dedup": minhash_dedup.OP6_SQL,
     }

@@ -8,9 +8,11 @@ The steps run on all shingles of a batch of documents at once.
 Candidates. Documents with equal shingle sets are one class from the start. A class has `bands` bucket
 keys of `rows` slots each. In a bucket every class is paired with the bucket's first and last class
 only, never with all others. Verified pairs are grouped. Then the buckets that still hold several
-groups are compared in full, in square blocks of classes, but only across groups; what the signatures
-leave possible is verified on the full shingle sets and grouped again. So no pair that shares a bucket
-is left undecided, and no bucket is capped.
+groups are compared in full, in square blocks of classes, but only across groups. Pairs are not listed:
+a block names the pairs of tiles (parts of bounded size of what shares buckets) in which signatures
+leave a link possible; each pair of tiles is then settled at once on the full shingle sets, and gives a
+forest of its links. So no pair that shares a bucket is left undecided, and
+no bucket is capped.
 
 With 32 bands of 5 slots two sets of similarity 0.8 share no bucket with probability 3e-6 (0.85: 7e-9).
 """
@@ -31,7 +33,8 @@ BANDS, ROWS = 32, 5
 SHINGLE_WORDS, PERCENT = 5, 80
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 BATCH_SHINGLES = 120_000
-SALT_SHINGLES = 500_000
+SALT_SHINGLES = 100_000
+TILE_SHINGLES = 250_000
 BLOCK_CLASSES = 256
 SIGN_SCHEMA = "doc_id long, n_shingles long, set_key binary, band_keys array<long>, signature binary"
 
@@ -225,23 +228,66 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def _compare_blocks(percent: int, slots: int):
+def _possible_squares(percent: int, slots: int):
+    """One square block of a bucket -> the tile pairs where signatures leave a link across groups possible."""
     least = int(slots * (percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / slots) ** 0.5))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
-        rep, n, comp, side = (t.column(c).to_numpy() for c in ("rep", "n", "comp", "side"))
+        rep, n, comp, side, home, tile = (t.column(c).to_numpy() for c in ("rep", "n", "comp", "side", "home", "tile"))
         sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(len(rep), slots)
         xs, ys = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        a, b = [], []
+        found = set()
         for x in xs:
             other = ys[ys > x] if i == j else ys
             fit = (comp[other] != comp[x]) & (100 * np.minimum(n[other], n[x]) >= percent * np.maximum(n[other], n[x]))
             other = other[fit]
-            if len(other):
-                other = other[(sig[other] == sig[x]).sum(axis=1) >= least]
-                a += np.minimum(rep[other], rep[x]).tolist()
-                b += np.maximum(rep[other], rep[x]).tolist()
+            other = other[(sig[other] == sig[x]).sum(axis=1) >= least]
+            mine = (int(home[x]), int(tile[x]))
+            found.update(tuple(sorted((mine, theirs))) for theirs in set(zip(home[other].tolist(), tile[other].tolist(), strict=True)))
+        found = list(found)
+        columns = {"home_i": [f[0][0] for f in found], "tile_i": [f[0][1] for f in found], "home_j": [f[1][0] for f in found], "tile_j": [f[1][1] for f in found]}
+        return pa.table({k: pa.array(v, pa.int32() if k.startswith("tile") else pa.int64()) for k, v in columns.items()})
+
+    return run
+
+
+def _settle_square(width: int, percent: int):
+    """All classes of a tile pair with their texts -> a forest of the exact links across groups."""
+
+    def run(t: pa.Table) -> pa.Table:
+        hasher = WordHasher()
+        rep, comp = t.column("rep").to_numpy(), t.column("comp").to_numpy()
+        sets = [shingle_set(text, width, hasher) for text in text_bytes(t.column("text"))]
+        size = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count > 1  # only shingles of two sets or more can add to an intersection
+        column, owner = (np.cumsum(shared) - 1)[column[shared[column]]], owner[shared[column]]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for c in range(0, int(shared.sum()), 4096):
+            lo, hi = np.searchsorted(column, (c, c + 4096))
+            dense = np.zeros((len(sets), 4096), np.float32)
+            dense[owner[lo:hi], column[lo:hi] - c] = 1
+            both += dense @ dense.T
+        both = both.astype(np.int64)
+        link = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (comp[:, None] != comp[None, :]) & (both > 0)
+        parent = list(range(len(sets)))
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        a, b = [], []
+        for x, y in zip(*(v.tolist() for v in np.nonzero(np.triu(link))), strict=True):
+            rx, ry = find(x), find(y)
+            if rx != ry:
+                parent[rx] = ry
+                a.append(min(rep[x], rep[y]))
+                b.append(max(rep[x], rep[y]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -289,20 +335,31 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
         "labelled",
     )
     unsettled = materialize(
-        labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 < c1").select("bucket", F.expr(f"int((size - 1) div {BLOCK_CLASSES}) + 1").alias("sides")),
+        labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"), F.min("rep").alias("least")).where("c0 < c1").select("bucket", "least", F.expr(f"int((size - 1) div {BLOCK_CLASSES}) + 1").alias("sides")),
         "unsettled-buckets",
     )
-    side = F.pmod(F.xxhash64("rep"), "sides").cast("int")
+    in_question = materialize(labelled.join(unsettled, "bucket"), "in-question")
+    # classes that share buckets get the same home, in most cases; a home is cut into tiles of bounded size
+    homes = materialize(in_question.groupBy("rep").agg(F.min("least").alias("home"), F.any_value("n").alias("n")), "homes")
+    tiles = F.greatest(F.expr(f"int((count(*) - 1) div {BLOCK_CLASSES}) + 1"), F.expr(f"int(sum(n) div {TILE_SHINGLES}) + 1"))
+    cut = materialize(homes.groupBy("home").agg(tiles.alias("tiles")), "tiles")
+    homes = homes.join(cut, "home").select("rep", "home", F.pmod(F.xxhash64("rep"), "tiles").cast("int").alias("tile"))
+    open_classes = materialize(homes.join(classes.select("rep", "signature"), "rep"), "open-classes")
     squares = (
-        labelled.join(unsettled, "bucket")
-        .withColumn("side", side)
-        .join(classes.select("rep", "signature"), "rep")
+        in_question.join(open_classes, "rep")
+        .withColumn("side", F.pmod(F.xxhash64("home", "tile"), "sides").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-        .select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "n", "comp", "signature")
+        .select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "n", "comp", "home", "tile", "signature")
     )
-    across = squares.groupBy("bucket", "i", "j").applyInArrow(_compare_blocks(percent, slots), "a long, b long").distinct()
-    across = materialize(across.join(classes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", "nb"), "across-pairs")
-    more = verified(across, texts, width, percent)
+    square = ["home_i", "tile_i", "home_j", "tile_j"]
+    possible = squares.groupBy("bucket", "i", "j").applyInArrow(_possible_squares(percent, slots), "home_i long, tile_i int, home_j long, tile_j int").distinct()
+    possible = materialize(possible, "possible-squares")
+    both_tiles = F.array_distinct(F.array(F.struct(F.col("home_i").alias("home"), F.col("tile_i").alias("tile")), F.struct(F.col("home_j").alias("home"), F.col("tile_j").alias("tile"))))
+    comps = in_question.groupBy("rep").agg(F.min("comp").alias("comp"))
+    placed = open_classes.select("rep", "home", "tile").join(comps, "rep")
+    placed = placed.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("home", "tile", "rep", "comp", "text")
+    told = possible.select(*square, F.explode(both_tiles).alias("t")).select(*square, "t.home", "t.tile").join(placed, ["home", "tile"]).select(*square, "rep", "comp", "text")
+    more = told.groupBy(*square).applyInArrow(_settle_square(width, percent), "a long, b long")
     groups = materialize(components(materialize(links.unionByName(more), "all-links")), "groups")
 
     known = classes.select("set_key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import (
+    decontamination,
     language_id,
     minhash_dedup,
+    mixing,
     quality_classifier,
     quality_rules,
+    secret_scan,
     substring_dedup,
     toxicity,
+    url_filter,
 )
 
 
@@ -22,9 +26,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
+        "op7_source_mixing": mixing.op7_source_mixing,
         "op8_language_id": language_id.op8_language_id,
+        "op9_url_filter": url_filter.op9_url_filter,
+        "op10_decontamination": decontamination.op10_decontamination,
     }
 
 
@@ -34,4 +42,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": quality_rules.OP2_SQL,
         "op5_substring_dedup": substring_dedup.OP5_SQL,
         "op6_minhash_dedup": minhash_dedup.OP6_SQL,
+        "op7_source_mixing": mixing.OP7_SQL,
+        "op9_url_filter": url_filter.OP9_SQL,
     }

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.plans import profile_queries, text_queries, tile_queries  # noqa: F401  they register themselves
+
 FLAGSHIP = "eval_grouping_sets"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {}
+    return dict(tile_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {}
+    return dict(tile_queries.SQL)

@@ -1,0 +1,47 @@
+"""Reading rendered lines back: glyph alphabets, the decoder, and the choice of alphabet."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window, functions as F
+
+from palimpsest.functions import text as T
+from palimpsest.operators.alphabet import glyphs
+from palimpsest.operators.decode import read_texts
+from palimpsest.plans.tile_queries import query
+from palimpsest.tables import table
+
+
+def _names(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.translit_spaced(F.col("p_name")).alias("text"))
+
+
+@query()
+def page_decode(spark, d):
+    """Every part name drawn in an alphabet with twins L/V, read back, and rated on canonical letters."""
+    names = _names(spark, d)
+    got = read_texts(names, glyphs(1, twins=("LV",)))
+    rated = got.withColumn("cer", T.cer(T.canonical(F.col("text"), "V", "L"), T.canonical(F.col("got"), "V", "L")))
+    return names.join(rated, "text").select("p_partkey", "text", "got", F.round("score", 4).alias("score"), F.round("cer", 4).alias("cer"))
+
+
+@query()
+def page_decode_auto(spark, d):
+    """Per part name drawn in alphabet 2, the alphabet of three that reads it with the best score."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from palimpsest.operators.alphabet import EM
+    from palimpsest.operators.decode import read_line, render_line
+
+    alphabets = {n: glyphs(n) for n in (1, 2, 3)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = [(t, n, *read_line(render_line(t, alphabets[2]), alphabets[n], 6 + EM)) for t in part["text"] for n in alphabets]
+            yield pd.DataFrame(rows, columns=["text", "alphabet", "got", "score"])
+
+    names = _names(spark, d)
+    read = names.select("text").distinct().mapInPandas(run, "text string, alphabet int, got string, score double")
+    best = read.withColumn("r", F.row_number().over(Window.partitionBy("text").orderBy(F.desc(F.round("score", 9)), "alphabet"))).where("r = 1")
+    return names.join(best, "text").select("p_partkey", "text", "alphabet", "got", F.round("score", 4).alias("score"))

@@ -44,7 +44,7 @@ def stream_counts(messages: DataFrame, delay: str = "10 minutes", every: str = "
 
 def read_arriving(spark, folder: str, glob: str = "*"):
     """Streaming source of image files as they arrive."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).load(folder)
 
 
 def for_each_batch(stream: DataFrame, read: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):

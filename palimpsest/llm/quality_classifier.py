@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.textkernel import WordHasher, covered, utf8, window_hashes
+from palimpsest.llm.textkernel import WordHasher, repeated_words, utf8
 from palimpsest.llm.wordscores import WordScores, mean_features, word_scorer
 from palimpsest.tables import table
 
@@ -40,17 +40,8 @@ class FlaggedHasher(WordHasher):
         return value
 
 
-def _repeated(hashes: np.ndarray, width: int) -> float:
-    """Share of words in windows of width words found twice or more."""
-    windows = window_hashes(hashes, width)
-    if not len(windows):
-        return 0.0
-    _, inverse, count = np.unique(windows, return_inverse=True, return_counts=True)
-    return covered(np.flatnonzero(count[inverse] > 1), width, len(hashes)).sum() / len(hashes)
-
-
-def measures(text: bytes, hasher: FlaggedHasher) -> tuple[np.ndarray, list[bytes]] | None:
-    """The nine measures that the labellers look at, and the words; None without words."""
+def measures(text: bytes, hasher: FlaggedHasher) -> tuple[np.ndarray, bytes] | None:
+    """The nine measures that the labellers look at, and the text; None without words."""
     words = text.split()
     n = len(words)
     if not n:
@@ -58,10 +49,12 @@ def measures(text: bytes, hasher: FlaggedHasher) -> tuple[np.ndarray, list[bytes
     h = hasher.hashes(words)
     flags = h & np.uint64(15)
     capitals, bare, phrase, short = (np.count_nonzero(flags & np.uint64(1 << b)) / n for b in range(4))
-    repeats, long_repeats = (_repeated(h, width) for width in (5, 10))
-    top = np.unique(h, return_counts=True)[1].max() / n if n >= 20 else 0.0
+    repeats, long_repeats = (repeated_words(h, width) / n for width in (5, 10))
+    ordered = np.sort(h)
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
+    top = np.diff(starts).max() / n if n >= 20 else 0.0
     symbols = (len(text) - len(text.translate(None, SYMBOLS))) / n
-    return np.array([symbols, capitals, repeats, bare, text.count(b"!") / n, top, phrase, short if n >= 20 else 0.12, long_repeats]), words
+    return np.array([symbols, capitals, repeats, bare, text.count(b"!") / n, top, phrase, short if n >= 20 else 0.12, long_repeats]), text
 
 
 #: Per labeller: bad at or above, good at or below; too few short words are bad as well.
@@ -105,8 +98,9 @@ def _bins(m: np.ndarray) -> np.ndarray:
     return np.arange(len(m)) * STAT_BINS + np.minimum((np.sqrt(np.minimum(m, 1.0)) * STAT_BINS).astype(int), STAT_BINS - 1)
 
 
-def _shapes(words: list[bytes]) -> list[bytes]:
-    return [w.translate(SHAPE) for w in words]
+def _shapes(text: bytes) -> list[bytes]:
+    """The words with letters as A or a and digits as 0."""
+    return text.translate(SHAPE).split()
 
 
 class Scorer:
@@ -147,7 +141,7 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> tuple[Scorer, dict]:
             out = []
             for t in part:
                 f = measures(utf8(t), hasher)
-                out.append((None, None, None) if f is None else ("".join(map(str, votes(f[0]))), f[0].tolist(), b" ".join(_shapes(f[1][:MAX_WORDS]))))
+                out.append((None, None, None) if f is None else ("".join(map(str, votes(f[0]))), f[0].tolist(), b" ".join(_shapes(f[1])[:MAX_WORDS])))
             yield pd.DataFrame(out, columns=["v", "m", "shapes"])
 
     sample = texts.where(draw < rate).select(F.pandas_udf("v string, m array<double>, shapes binary")(cut)("text").alias("s")).where("s.v is not null").limit(2 * max_train).collect()

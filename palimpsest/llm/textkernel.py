@@ -7,6 +7,7 @@ exactly what bytes.split() yields, so a text is encoded once and split in C.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=64)
 def odd_constants(n: int, salt: int = 0) -> np.ndarray:
     """n fixed odd 64-bit multipliers."""
     steps = np.arange(1 + 1000 * salt, n + 1 + 1000 * salt, dtype=np.uint64)
@@ -87,6 +89,14 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
+def repeated_words(hashes: np.ndarray, width: int) -> int:
+    """Words in windows of width words that are found twice or more."""
+    windows = window_hashes(hashes, width)
+    ordered = np.sort(windows)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    return int(covered(np.flatnonzero(in_sorted(twice, windows)), width, len(hashes)).sum()) if len(twice) else 0
+
+
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     """Half-open (start, end) of the maximal runs of True."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))

@@ -121,11 +121,11 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> tuple[Scorer, dict]:
     Returns the scorer and a report: share of good, accuracy of each labeller where it votes.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.select(_votes_udf()("text").alias("v")).where("v is not null").groupBy("v").count().collect()
+    rows = texts.select(_votes_udf()("text").alias("v")).groupBy("v").count().collect()
     k = len(LABELLERS)
+    rows = sorted((r.v, r["count"]) for r in rows if r.v is not None)  # not filtered in Spark: that would vote twice
     if not rows:
         return Scorer(np.zeros((BUCKETS, 1)), np.zeros(k * STAT_BINS), 0.0), {"good": None, "accuracy": {}}
-    rows = sorted((r.v, r["count"]) for r in rows)
     patterns, counts = np.array([[int(c) for c in v] for v, _ in rows]), np.array([n for _, n in rows], float)
     share, tab, post = expectation_maximisation(patterns, counts)
     right = share * tab[1, :, 1] + (1 - share) * tab[0, :, 0]

@@ -13,6 +13,7 @@ from palimpsest.functions import text as T
 #: Caps and gates of the lexicon and of corrections.
 CAP, RARE_RANK, UNKNOWN_RANK = 12000, 8000, 99999
 SWAP_RANK, SWAP_RATIO = 100, 20
+SPLIT_FROM, SPLIT_TO, LEAST_PART, SPLIT_DISTANCE = 6, 14, 3, 1
 
 
 def corpus_words(docs: DataFrame) -> DataFrame:
@@ -75,6 +76,8 @@ def best_words(tokens: DataFrame, lexicon: DataFrame, weighted: bool = True, lim
     near = candidates(tokens, lexicon)
     far = F.abs(F.length("token") - F.length("cand"))
     near = near.withColumn("most", T.distance_limit(F.length("token")) if limit is None else F.lit(limit)).where(far <= F.col("most"))
+    if weighted:  # no edit is cheaper than a confusion, so the plain distance bounds the weighted one
+        near = near.where(F.levenshtein("token", "cand") * T.CONFUSABLE_COST <= F.col("most"))
     near = near.withColumn("dist", T.weighted_distance("token", "cand") if weighted else F.levenshtein("token", "cand").cast("double"))
     near = near.where("dist <= most").where(~((F.col("dist") >= 2) & (F.col("rnk") > RARE_RANK) & ~F.col("is_custom")))
     near = near.withColumn("same", F.length("token") == F.length("cand")).withColumn("pos", T.position_matches(F.col("token"), F.col("cand")))
@@ -86,3 +89,35 @@ def best_words(tokens: DataFrame, lexicon: DataFrame, weighted: bool = True, lim
     short = (F.length("token") > 2) | (F.col("dist") < 0.99) | F.col("swap") | F.col("is_custom")
     settled = F.col("own_rnk").isNull() | F.col("is_custom") | (F.col("same") & (F.col("dist") <= 0.5) & F.col("swap") & (F.col("rnk") <= SWAP_RANK) & (F.col("rnk") <= F.col("own_rnk") / SWAP_RATIO))
     return won.where(enough & short & settled).select("token", "cand", "dist")
+
+
+def split_words(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The best cut of each unknown token into two words, if one passes: (token, cand, dist).
+
+    Each half is a word or the best correction of one; both are frequent or custom, and their distances add
+    up to SPLIT_DISTANCE at most. The least distance wins, then the first cut.
+    """
+    unknown = mark_known(tokens.select("token").distinct(), lexicon).where(~F.col("known") & F.length("token").between(SPLIT_FROM, SPLIT_TO))
+    cuts = unknown.select("token", F.explode(F.sequence(F.lit(LEAST_PART), F.length("token") - LEAST_PART)).alias("at"))
+    cuts = cuts.select("token", "at", F.expr("left(token, at)").alias("a"), F.expr("substring(token, at + 1)").alias("b"))
+    halves = mark_known(cuts.select(F.explode(F.array("a", "b")).alias("token")).distinct(), lexicon)
+    mended = best_words(halves.where("not known"), lexicon, limit=SPLIT_DISTANCE)
+    told = halves.where("known").select("token", F.col("token").alias("cand"), F.lit(0.0).alias("dist")).unionByName(mended)
+    usual = lexicon.where((F.col("rnk") <= RARE_RANK) | F.col("is_custom")).select(F.col("word").alias("cand"))
+    told = told.join(usual, "cand").select(F.col("token").alias("half"), F.col("cand").alias("word"), "dist")
+    sides = [told.select(F.col("half").alias(s), F.col("word").alias(f"word_{s}"), F.col("dist").alias(f"dist_{s}")) for s in "ab"]
+    both = cuts.join(sides[0], "a").join(sides[1], "b").withColumn("dist", F.col("dist_a") + F.col("dist_b")).where(F.col("dist") <= SPLIT_DISTANCE)
+    best = both.groupBy("token").agg(F.min(F.struct(F.round("dist", 6).alias("dist"), "at", F.concat_ws(" ", "word_a", "word_b").alias("cand"))).alias("m"))
+    return best.select("token", "m.cand", "m.dist")
+
+
+def correct_words(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(token, cand, dist): one word's correction, or two words where those are strictly closer.
+
+    Custom words and tokens of one letter are left alone; a token without a correction has no row.
+    """
+    own = lexicon.where("is_custom").select(F.col("word").alias("token"))
+    asked = tokens.select("token").distinct().where(F.length("token") >= 2).join(own, "token", "left_anti")
+    ways = best_words(asked, lexicon).withColumn("way", F.lit(0)).unionByName(split_words(asked, lexicon).withColumn("way", F.lit(1)))
+    best = ways.groupBy("token").agg(F.min(F.struct(F.round("dist", 6).alias("dist"), "way", "cand")).alias("m"))
+    return best.select("token", "m.cand", "m.dist")

@@ -9,6 +9,7 @@ GAP_MERGE, MERGED_HEIGHT = 3, 1.65
 TALL, SPLIT_SLACK = 1.55, 0.15
 VALLEY_RATIO, VALLEY_PEAK, NEIGHBOUR_PEAK = 0.8, 0.55, 0.18
 STRONG_LAG = 0.5
+TOO_TALL, TOO_LOW, LEAST_BANDS = 2.4, 0.45, 3
 
 
 def bands_above(profile: DataFrame, threshold: float, least_height: int) -> DataFrame:
@@ -84,3 +85,19 @@ def split_tall(bands: DataFrame) -> DataFrame:
     cut = bands.withColumn("parts", parts).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     step = height / F.col("parts")
     return cut.select("key", F.floor(F.col("y0") + F.col("i") * step).alias("y0"), F.ceil(F.col("y0") + (F.col("i") + 1) * step).alias("y1"))
+
+
+def drop_tall(bands: DataFrame) -> DataFrame:
+    """Drop bands (key, y0, y1) far above the upper median height of their key, from three bands on."""
+    heights = F.array_sort(F.collect_list(F.col("y1") - F.col("y0")).over(Window.partitionBy("key")))
+    ranked = bands.withColumn("_hs", heights)
+    upper = F.element_at("_hs", (F.floor(F.size("_hs") / 2) + 1).cast("int"))
+    return ranked.where((F.size("_hs") < LEAST_BANDS) | (F.col("y1") - F.col("y0") <= upper * TOO_TALL)).drop("_hs")
+
+
+def drop_low(bands: DataFrame) -> DataFrame:
+    """Drop bands (key, y0, y1) far below the median height of their key, from three bands on."""
+    w = Window.partitionBy("key")
+    height = F.col("y1") - F.col("y0")
+    ranked = bands.withColumn("_n", F.count("*").over(w)).withColumn("_mid", F.median(height).over(w))
+    return ranked.where((F.col("_n") < LEAST_BANDS) | (height >= F.col("_mid") * TOO_LOW)).drop("_n", "_mid")

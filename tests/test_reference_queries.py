@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from palimpsest.operators import decode, profiles
+from palimpsest.operators import decode, lexicon, profiles
 from palimpsest.operators.alphabet import EM, glyphs
 from palimpsest.sources import readers
 from tests.conftest import SF_SMALL
@@ -57,6 +57,16 @@ def test_folds_on_bands(spark):
     assert sorted(map(tuple, profiles.merge_thin(bands).collect())) == [("a", 0, 14), ("a", 40, 52)]
 
 
+def test_split_words(spark):
+    words = [("HAUS", 0, False), ("BAUM", 1, False), ("GARTEN", 2, False), ("RUNE", 99999, True), ("SELTEN", 9000, False)]
+    lex = spark.createDataFrame([(w, r, len(w), c, False) for w, r, c in words], "word string, rnk int, len int, is_custom boolean, is_noun boolean")
+    tokens = spark.createDataFrame([(t,) for t in ("HAUSBAUM", "HAUSRUNE", "HAUSSELTEN", "HAUSBAVM", "GARTEM", "GARTEN", "RUNE", "X", "QQQQQQQQ", "HBUSBHUM")], "token string")
+    got = {r.token: (r.cand, r.dist) for r in lexicon.split_words(tokens, lex).collect()}
+    assert got == {"HAUSBAUM": ("HAUS BAUM", 0.0), "HAUSRUNE": ("HAUS RUNE", 0.0), "HAUSBAVM": ("HAUS BAUM", 1.0)}
+    both = {r.token: r.cand for r in lexicon.correct_words(tokens, lex).collect()}
+    assert both == {"HAUSBAUM": "HAUS BAUM", "HAUSRUNE": "HAUS RUNE", "HAUSBAVM": "HAUS BAUM", "GARTEM": "GARTEN"}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "0.raw").write_bytes(bytes(range(6)))
     page = {"file": "0.raw", "w": 3, "h": 2, "font": "x", "level": "clean", "size": 1, "text": "A"}

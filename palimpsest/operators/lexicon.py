@@ -67,13 +67,30 @@ def candidates(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     return spans.join(words, "len").where("cand <> token")
 
 
+def close_candidates(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """As candidates, for distances of 1 at most, by an equality join.
+
+    Within one edit two words share a form with one letter left out at most; beyond it only confusions can
+    add up to 1 or less, and those leave a word the same once confusable letters are folded into one.
+    """
+
+    def forms(word: str):
+        less = F.expr(f"transform(sequence(1, length({word})), i -> concat(left({word}, i - 1), substring({word}, i + 1)))")
+        folded = F.concat(F.lit("~"), F.translate(F.col(word), "UQHLVW", "ETBBBB"))
+        return F.explode(F.array_distinct(F.concat(F.array(F.col(word), folded), less)))
+
+    asked = tokens.select("token").distinct().where(F.length("token") >= 2).select("token", forms("token").alias("form"))
+    words = lexicon.select(F.col("word").alias("cand"), "rnk", "is_custom", forms("word").alias("form"))
+    return asked.join(words, "form").where("cand <> token").select("token", "cand", "rnk", "is_custom").distinct()
+
+
 def best_words(tokens: DataFrame, lexicon: DataFrame, weighted: bool = True, limit: int | None = None) -> DataFrame:
     """The best correction of each token, if one passes: (token, cand, dist).
 
     Candidates within the distance limit are ranked by distance, same length, equal positions, custom, rank;
     the gates then test the winner only, so a failing winner means no correction.
     """
-    near = candidates(tokens, lexicon)
+    near = close_candidates(tokens, lexicon) if limit == 1 else candidates(tokens, lexicon)
     far = F.abs(F.length("token") - F.length("cand"))
     near = near.withColumn("most", T.distance_limit(F.length("token")) if limit is None else F.lit(limit)).where(far <= F.col("most"))
     if weighted:  # no edit is cheaper than a confusion, so the plain distance bounds the weighted one

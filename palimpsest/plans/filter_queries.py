@@ -120,9 +120,3 @@ def _glued(spark, d):
 def split_guess(spark, d):
     """Words that are two words without a space, with the best place to cut."""
     return X.split_words(_glued(spark, d), _small_lexicon(spark, d)).select("token", "cand", F.round("dist", 6).alias("dist"))
-
-
-@query()
-def correct_words(spark, d):
-    """Each word's correction: one word, or two where that is strictly closer."""
-    return X.correct_words(_glued(spark, d), _small_lexicon(spark, d)).select("token", "cand", F.round("dist", 6).alias("dist"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from palimpsest.functions import text as T
 from palimpsest.operators import decode, lexicon, profiles
 from palimpsest.operators.alphabet import EM, glyphs
 from palimpsest.sources import readers
@@ -67,6 +68,16 @@ def test_split_words(spark):
     assert both == {"HAUSBAUM": "HAUS BAUM", "HAUSRUNE": "HAUS RUNE", "HAUSBAVM": "HAUS BAUM", "GARTEM": "GARTEN"}
 
 
+def test_close_candidates_lose_none(spark):
+    r = np.random.default_rng(3)
+    words = sorted({"".join(r.choice(list("EUBHTQLVW"), r.integers(2, 6))) for _ in range(150)})
+    lex = spark.createDataFrame([(w, i, len(w), False, False) for i, w in enumerate(words)], "word string, rnk int, len int, is_custom boolean, is_noun boolean")
+    tokens = spark.createDataFrame([(w,) for w in words[::3]], "token string")
+    within = [df.withColumn("dist", T.weighted_distance("token", "cand")).where("dist <= 1").select("token", "cand") for df in (lexicon.candidates(tokens, lex), lexicon.close_candidates(tokens, lex))]
+    a, b = (sorted(map(tuple, df.collect())) for df in within)
+    assert a and a == b
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "0.raw").write_bytes(bytes(range(6)))
     page = {"file": "0.raw", "w": 3, "h": 2, "font": "x", "level": "clean", "size": 1, "text": "A"}

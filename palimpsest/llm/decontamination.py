@@ -2,15 +2,19 @@
 
 Tokens are words, lower-cased, without marks at their ends. A mask covers a span of tokens and ignores
 some of its positions; every position of every benchmark item and of every document is hashed under each
-mask. A fixed-size Bloom filter of the benchmark's hashes, the only thing that is broadcast, picks the
-document positions that are worth joining; of a run of neighbouring hits every eighth is kept, with the
-tokens around it. The hits are joined with the benchmark's hashes, and around each matching diagonal the
-longest overlap that tolerates substitutions is taken.
+mask. A Bloom filter of the benchmark's hashes, the only thing that is broadcast, picks the document
+positions that are worth joining, and all of them are joined with the benchmark's hashes. Each diagonal
+that matches is then compared in full, and every overlap that tolerates substitutions is taken.
+
+The masks lose no overlap: an overlap of 13 tokens or more with 80 % of them equal holds a stretch of 13, 15,
+20 or 25 tokens with 2, 3, 4 or 5 unequal ones at most (one of 26 or more has a half that is as good), and
+each way to place those leaves one of the masks whole. Items below 13 tokens have masks of their own length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +24,15 @@ from pyspark.sql import DataFrame, functions as F
 from palimpsest.llm.textkernel import mix, odd_constants, text_bytes
 from palimpsest.tables import materialize, table
 
-#: Fixed masks: 1 takes part, 0 is ignored.
-MASKS = ("111111", "1110110101", "11010011011", "10110101111")
+#: Fixed masks: 1 takes part, 0 is ignored. Together they lose no overlap of LEAST_WORDS and LEAST_PERCENT or more.
+MASKS = ("1111011", "110100010011", "110101011", "1110111")
 LEAST_WORDS, LEAST_PERCENT = 13, 80
-MISMATCH = 2
-CONTEXT = 96
-BLOOM_BITS, BLOOM_HASHES = 26, 3
+#: Bits of the Bloom filter as powers of two, and bits for each seed between them; a full filter only joins more.
+LEAST_BLOOM_BITS, MOST_BLOOM_BITS, BITS_PER_SEED, BLOOM_HASHES = 20, 28, 16, 3
 MARKS = b" !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-HITS = "doc_id long, text_key long, slice_start int, tokens array<long>, hit_hash array<long>, hit_at array<int>"
+ITEMS = "item_key long, item_tokens array<long>, seed_hash array<long>, seed_at array<int>"
+HITS = "doc_id long, text_key long, tokens array<long>, hit_hash array<long>, hit_at array<int>"
+OVERLAPS = "text_key long, item_key long, doc_start long, item_start long, n_tokens long, n_equal long"
 
 
 class TokenHasher(dict):
@@ -49,117 +54,150 @@ def tokens_of(text: bytes | None, hasher: TokenHasher) -> tuple[np.ndarray, np.n
     return h[at], at
 
 
-def seed_hashes(tokens: np.ndarray, mask: str, number: int) -> np.ndarray:
+def short_masks(n: int, least_percent: int) -> list[str]:
+    """Masks as long as a whole item of n tokens, one of which fits wherever least_percent percent are equal.
+
+    The item is cut into more parts than there may be unequal tokens; each choice of so many parts is ignored.
+    """
+    wrong = n - -(-n * least_percent // 100)
+    parts = min(n, wrong + 2) if n >= 8 else n
+    edges = [n * i // parts for i in range(parts + 1)]
+    return ["".join(("0" if i in gone else "1") * (edges[i + 1] - edges[i]) for i in range(parts)) for gone in combinations(range(parts), wrong)]
+
+
+def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     """Hash under a mask at every position where the mask fits."""
     n = len(tokens) - len(mask) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    total = np.full(n, number + 1, np.uint64)
-    for i, c in enumerate(odd_constants(len(mask), salt=5 + number)):
+    total = np.full(n, xxhash.xxh3_64_intdigest(mask), np.uint64)
+    for i, c in enumerate(odd_constants(len(mask), salt=5)):
         if mask[i] == "1":
             total += tokens[i : i + n] * c
     return mix(total)
 
 
-def _slots(h: np.ndarray, which: int) -> np.ndarray:
-    return (mix(h + np.uint64(0x1234567 * which + 1)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
+def _slots(h: np.ndarray, which: int, bloom_bits: int) -> np.ndarray:
+    return (mix(h + np.uint64(0x1234567 * which + 1)) >> np.uint64(64 - bloom_bits)).astype(np.int64)
+
 
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """A list column of arrays."""
+    ends = np.cumsum([0] + [len(x) for x in parts]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else [], kind))
+
+
+def _seeds_of(tokens: np.ndarray, masks) -> tuple[np.ndarray, np.ndarray]:
+    found = [seed_hashes(tokens, mask) for mask in masks]
+    at = [np.arange(len(h), dtype=np.int32) for h in found]
+    return np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64), np.concatenate(at or [np.empty(0, np.int32)])
+
+
+def _bench_items(least_words: int, least_percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = TokenHasher()
+        for batch in batches:
+            keys, out = [], []
+            for key, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+                tokens, _ = tokens_of(text, hasher)
+                if len(tokens):
+                    masks = MASKS if len(tokens) >= least_words else short_masks(len(tokens), least_percent)
+                    keys.append(key)
+                    out.append((tokens.view(np.int64), *_seeds_of(tokens, masks)))
+            lists = [_lists([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *lists], names=["item_key", "item_tokens", "seed_hash", "seed_at"])
 
-def _bench_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = TokenHasher()
-    for batch in batches:
-        out = []
-        for item, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-            tokens, _ = tokens_of(text, hasher)
-            listed = tokens.view(np.int64).tolist()
-            for number, mask in enumerate(MASKS):
-                for at, h in enumerate(seed_hashes(tokens, mask, number).view(np.int64).tolist()):
-                    out.append((h, item, at, listed))
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["hash", "item_id", "item_at", "item_tokens"])
+    return run
 
 
-def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _filter_words(bloom_bits: int):
     """Seed hashes -> the Bloom filter's 64-bit words and the bits to set in them."""
-    for batch in batches:
-        h = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
-        slot = np.unique(np.concatenate([_slots(h, k) for k in range(BLOOM_HASHES)])) if len(h) else np.empty(0, np.int64)
-        bits = (np.uint64(1) << (slot & 63).astype(np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(slot >> 6, pa.int64()), pa.array(bits, pa.int64())], names=["word", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
+            slot = np.unique(np.concatenate([_slots(h, k, bloom_bits) for k in range(BLOOM_HASHES)])) if len(h) else np.empty(0, np.int64)
+            bits = (np.uint64(1) << (slot & 63).astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slot >> 6, pa.int64()), pa.array(bits, pa.int64())], names=["word", "bits"])
+
+    return run
 
 
 def bloom_filter(seeds: DataFrame) -> np.ndarray:
-    """The filter as 2^BLOOM_BITS bits, whatever the size of the benchmark; its words are put together in Spark."""
-    words = seeds.select("hash").mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    bits = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    """The filter as a power of two of bits that fits the number of seeds; its words are put together in Spark."""
+    bloom_bits = min(MOST_BLOOM_BITS, max(LEAST_BLOOM_BITS, (BITS_PER_SEED * seeds.count()).bit_length()))
+    words = seeds.select("hash").mapInArrow(_filter_words(bloom_bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bits = np.zeros(1 << (bloom_bits - 6), np.int64)
     bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return bits.view(np.uint64)
 
 
-def _find_hits(shared):
+def _find_hits(shared, masks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint64)
+        bloom_bits = (64 * len(bits)).bit_length() - 1
         hasher = TokenHasher()
-        for batch in batches:
-            out = []
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, len(b), 1024)):
+            ids, keys, out = [], [], []
             for doc_id, text, key in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 tokens, _ = tokens_of(text, hasher)
-                found = []
-                for number, mask in enumerate(MASKS):
-                    h = seed_hashes(tokens, mask, number)
-                    at = np.arange(len(h))
+                hashes, places = [], []
+                for mask in masks:
+                    h = seed_hashes(tokens, mask)
+                    at = np.arange(len(h), dtype=np.int32)
                     for k in range(BLOOM_HASHES):
-                        slot = _slots(h[at], k)
+                        slot = _slots(h[at], k, bloom_bits)
                         at = at[(bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1]
-                    if len(at):
-                        run_start = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, at, 0))
-                        kept = at[(at - run_start) % 8 == 0]
-                        found += list(zip(kept.tolist(), h[kept].view(np.int64).tolist(), strict=True))
-                found.sort()
-                i = 0
-                while i < len(found):  # hits whose contexts touch share a slice of tokens
-                    j = i + 1
-                    while j < len(found) and found[j][0] - found[j - 1][0] <= CONTEXT and found[j][0] - found[i][0] <= 16 * CONTEXT:
-                        j += 1
-                    start = max(0, found[i][0] - CONTEXT)
-                    piece = tokens[start : found[j - 1][0] + CONTEXT].view(np.int64).tolist()
-                    out.append((doc_id, key, start, piece, [x[1] for x in found[i:j]], [x[0] - start for x in found[i:j]]))
-                    i = j
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            names = ["doc_id", "text_key", "slice_start", "tokens", "hit_hash", "hit_at"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+                        if not len(at):
+                            break
+                    else:
+                        hashes.append(h[at].view(np.int64))
+                        places.append(at)
+                if hashes:
+                    ids.append(doc_id)
+                    keys.append(key)
+                    out.append((tokens.view(np.int64), np.concatenate(hashes), np.concatenate(places)))
+            lists = [_lists([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), *lists], names=["doc_id", "text_key", "tokens", "hit_hash", "hit_at"])
 
     return run
 
 
-def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """(start in doc, length, equal tokens) of the best-scoring stretch on the diagonal doc[i] ~ item[i - shift].
+def overlaps_on(same: np.ndarray, least_words: int, least_percent: int) -> list[tuple[int, int, int]]:
+    """(start, length, equal tokens) of every overlap on a diagonal, given which of its tokens are equal.
 
-    An equal pair scores 1, another -MISMATCH; the first best stretch wins.
+    An overlap begins and ends with an equal token, has least_words tokens or more with least_percent percent
+    equal, and is part of no other.
     """
-    lo, hi = max(0, shift), min(len(doc), shift + len(item))
-    if hi <= lo:
-        return lo, 0, 0
-    same = doc[lo:hi] == item[lo - shift : hi - shift]
-    total = np.concatenate(([0], np.cumsum(np.where(same, 1, -MISMATCH))))
-    least = np.minimum.accumulate(total)
-    end = int(np.argmax(total - least))
-    start = int(np.argmin(total[: end + 1]))
-    return lo + start, end - start, int(same[start:end].sum())
+    total = np.concatenate(([0], np.cumsum(np.where(same, 100, 0) - least_percent)))
+    ends = np.flatnonzero(same) + 1
+    starts = ends - 1
+    if not len(ends):
+        return []
+    best = np.maximum.accumulate(total[ends][::-1])[::-1]  # falls, so the last end that still reaches a start's total is found by bisection
+    last = ends[np.maximum(len(ends) - 1 - np.searchsorted(best[::-1], total[starts]), 0)]
+    before = np.concatenate(([0], np.maximum.accumulate(last)[:-1]))
+    told = (last - starts >= least_words) & (last > before)
+    n_equal = np.concatenate(([0], np.cumsum(same)))
+    return [(s, e - s, int(n_equal[e] - n_equal[s])) for s, e in zip(starts[told].tolist(), last[told].tolist(), strict=True)]
 
 
 def _verify(least_words: int, least_percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, key, slice_start, tokens, item_id, item_tokens, shift in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                item = np.array(item_tokens, np.int64)
-                start, length, same = best_overlap(np.array(tokens, np.int64), item, shift)
-                if length and length >= min(least_words, len(item)) and 100 * same >= least_percent * length:
-                    out.append((doc_id, key, item_id, slice_start + start, start - shift, length, same))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            names = ["doc_id", "text_key", "item_id", "doc_start", "item_start", "n_tokens", "n_equal"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+            for text_key, item_key, item_tokens, shift, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                lo = max(0, shift)
+                n = len(item_tokens)
+                same = np.array(tokens, np.int64) == np.array(item_tokens[lo - shift : lo - shift + len(tokens)], np.int64)
+                if n < least_words:  # a short item is compared as a whole
+                    whole = len(same) == n and 100 * int(same.sum()) >= least_percent * n
+                    found = [(0, n, int(same.sum()))] if whole else []
+                else:
+                    found = overlaps_on(same, least_words, least_percent)
+                out += [(text_key, item_key, lo + start, lo + start - shift, length, equal) for start, length, equal in found]
+            names = ["text_key", "item_key", "doc_start", "item_start", "n_tokens", "n_equal"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(6)], names=names)
 
     return run
 
@@ -169,24 +207,32 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAS
     which least_percent percent are equal in place.
 
     Returns doc_id, text_key (a hash of the text), item_id, doc_start, item_start, n_tokens, n_equal; one row
-    per document row, item and place, and only for overlaps. Items of fewer than six tokens have no seed and
-    are not searched.
+    per document row, item and place, and only for overlaps. A place is an overlap that begins and ends with an
+    equal token and is part of no other on its diagonal; places may share tokens. The seeds lose nothing for
+    least_words and least_percent of the default values or above.
 
     Defined cases: null and empty texts on either side have no overlap; a null doc_id or item_id is kept as
     it is; repeated rows are reported once; empty tables give an empty result. Only doc_id, text and item_id
     are read.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    seeds = materialize(items.mapInArrow(_bench_seeds, "hash long, item_id long, item_at int, item_tokens array<long>"), "benchmark-seeds")
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("item_key", F.xxhash64("text"))
+    items = materialize(named.select("item_key", "text").dropDuplicates(["item_key"]).mapInArrow(_bench_items(least_words, least_percent), ITEMS), "benchmark-items")
+    seeds = items.select("item_key", F.explode(F.arrays_zip("seed_hash", "seed_at")).alias("s")).select("item_key", F.col("s.seed_hash").alias("hash"), F.col("s.seed_at").alias("item_at"))
     shared = spark.sparkContext.broadcast(bloom_filter(seeds).tobytes())
+    lengths = [r.n for r in items.select(F.least(F.size("item_tokens"), F.lit(least_words)).alias("n")).distinct().collect()]
+    masks = [m for n in sorted(lengths) for m in (MASKS if n >= least_words else short_masks(n, least_percent))]
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    hits = materialize(slim.withColumn("text_key", F.xxhash64("text")).mapInArrow(_find_hits(shared), HITS), "seed-hits").distinct()
-    spots = hits.select("doc_id", "text_key", "slice_start", "tokens", F.explode(F.arrays_zip("hit_hash", "hit_at")).alias("h"))
-    spots = spots.select("doc_id", "text_key", "slice_start", "tokens", F.col("h.hit_hash").alias("hash"), F.col("h.hit_at").alias("at"))
-    met = spots.join(seeds, "hash").select("doc_id", "text_key", "slice_start", "tokens", "item_id", "item_tokens", (F.col("at") - F.col("item_at")).alias("shift"))
-    met = met.dropDuplicates(["doc_id", "text_key", "slice_start", "item_id", "shift"])
-    return met.mapInArrow(_verify(least_words, least_percent), "doc_id long, text_key long, item_id long, doc_start long, item_start long, n_tokens long, n_equal long").distinct()
+    hits = materialize(slim.withColumn("text_key", F.xxhash64("text")).mapInArrow(_find_hits(shared, masks), HITS), "seed-hits")
+    spots = hits.select("text_key", "hit_hash", "hit_at").dropDuplicates(["text_key"]).select("text_key", F.explode(F.arrays_zip("hit_hash", "hit_at")).alias("h"))
+    spots = spots.select("text_key", F.col("h.hit_hash").alias("hash"), F.col("h.hit_at").alias("at"))
+    met = spots.join(seeds, "hash").select("text_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    sides = met.join(items.select("item_key", "item_tokens"), "item_key").join(hits.select("text_key", "tokens").dropDuplicates(["text_key"]), "text_key")
+    length = F.least(F.size("tokens"), F.col("shift") + F.size("item_tokens")) - F.greatest(F.lit(0), "shift")
+    sides = sides.select("text_key", "item_key", "item_tokens", "shift", F.slice("tokens", F.greatest(F.lit(0), "shift") + 1, length).alias("tokens"))
+    found = sides.mapInArrow(_verify(least_words, least_percent), OVERLAPS)
+    told = found.join(named.select("item_id", "item_key").distinct(), "item_key").join(hits.select("doc_id", "text_key").distinct(), "text_key")
+    return told.select("doc_id", "text_key", "item_id", "doc_start", "item_start", "n_tokens", "n_equal")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -110,6 +110,46 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.find_overlaps(docs, bench.limit(0)).count() == 0
 
 
+def _overlaps_by_brute_force(doc, item, least_words=13, least_percent=80):
+    """(doc_start, item_start, n_tokens, n_equal) of every overlap, window by window."""
+    out = set()
+    for shift in range(1 - len(item), len(doc)):
+        lo, hi = max(0, shift), min(len(doc), shift + len(item))
+        same = [doc[i] == item[i - shift] for i in range(lo, hi)]
+        if len(item) < least_words:
+            good = [(0, len(item))] if len(same) == len(item) and 100 * sum(same) >= least_percent * len(item) else []
+        else:
+            at = [i for i, x in enumerate(same) if x]
+            good = [(s, e + 1) for s in at for e in at if e + 1 - s >= least_words and 100 * sum(same[s : e + 1]) >= least_percent * (e + 1 - s)]
+        for s, e in good:
+            if not any((a, b) != (s, e) and a <= s and e <= b for a, b in good):
+                out.add((lo + s, lo + s - shift, e - s, sum(same[s:e])))
+    return out
+
+
+def test_decontamination_loses_no_overlap(spark):
+    r = random.Random(8)
+    items = [prose(60, 700 + i).split() for i in range(4)] + [prose(n, 720 + n).split() for n in (3, 4, 5, 6, 8, 9, 10, 12, 13)]
+    items.append(items[0][:25] + prose(25, 790).split())  # shares a template with the first
+    texts = []
+    for same, other in ((13, 5), (14, 6), (15, 7), (20, 9)):  # runs that are overlaps, parted so that the whole stretch is not
+        long = prose(3 * same + 2 * other, 900 + same).split()
+        items.append(long)
+        texts.append(prose(20, same).split() + [w if i % (same + other) < same else "changed" for i, w in enumerate(long)] + prose(9, other).split())
+    for item in items[:14]:
+        for rate in (0.0, 0.1, 0.2):
+            texts.append(prose(r.randint(0, 30), r.random()).split() + [w if r.random() >= rate else "other" for w in item] + prose(r.randint(0, 30), r.random()).split())
+    for wrong in ((4, 9), (3, 7, 11), (3, 8, 13, 18)):  # the widest spread over 13, 15 and 20 tokens
+        n = {2: 13, 3: 15, 4: 20}[len(wrong)]
+        texts.append(["before"] + [w if i not in wrong else "other" for i, w in enumerate(items[1][:n])] + ["after"])
+    texts.append(items[2][:15] + prose(5, 991).split() + items[2][20:40] + prose(300, 992).split() + items[2])
+    want = {(d, i, *x) for d, doc in enumerate(texts) for i, item in enumerate(items) for x in _overlaps_by_brute_force(doc, item)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = decontamination.find_overlaps(docs, bench).drop("text_key").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and len(want) > 50
+
+
 def test_secrets(docs, empty):
     got = [r for r in secret_scan.find_secrets(docs).collect() if r.doc_id == 18]
     assert [(s.kind, s.start, s.end) for s in got[0].spans if s.kind != "format"] == [("assign", 2, 51), ("hex", 11, 51)]

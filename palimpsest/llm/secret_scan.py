@@ -1,11 +1,11 @@
 """Secret scans by grammar inference.
 
-Three fixed patterns give the base spans. Their values, from a bounded sample of documents, are the
+Three fixed patterns give the base spans. Of their values in all documents a bounded sample makes the
 labelled credentials: as strings over character classes they build a prefix tree with counts, whose
 states are merged (ALERGIA: Hoeffding-compatible outgoing frequencies, recursively) into a probabilistic
 automaton. A second automaton is inferred from ordinary long tokens. Every long token of every text is
-then scored by the difference of its log likelihoods per character, and tokens that read like a
-credential add spans of kind `format`.
+then scored in full by the difference of its log likelihoods per character, and so are the long pieces
+between its separators; those that read like a credential add spans of kind `format`.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, Window, functions as F
 
 from palimpsest.tables import table
 
@@ -26,8 +27,10 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "format")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
-#: The bounded training sample: documents that are scanned for it, strings of each automaton, length of a string.
-SAMPLE_DOCS, MAX_STRINGS, MAX_LENGTH = 20_000, 400, 48
+#: Shortest candidate, and the pieces of one that are scored when the whole is not a credential, coarse ones first.
+LEAST_LENGTH, PIECES = 16, (re.compile(r"[^.=]+"), re.compile(r"[^/.=_+-]+"))
+#: The bounded training sample: strings of each automaton, and the length to which a training string is read.
+MAX_STRINGS, MAX_LENGTH = 400, 48
 ALPHA = 0.05
 #: Log likelihood per character by which a token must be likelier as a credential.
 LEAST_MARGIN = 0.4
@@ -50,7 +53,7 @@ def symbols(token: str) -> str:
     """A token over character classes: d digit, h a-f, l other lower, H A-F, U other upper, marks as they are."""
     return "".join(
         "d" if c.isdigit() else ("h" if c in "abcdef" else "l") if c.islower() else ("H" if c in "ABCDEF" else "U") if c.isupper() else c
-        for c in token[:MAX_LENGTH]
+        for c in token
     )
 
 
@@ -145,14 +148,28 @@ class Scanner:
         s = symbols(token)
         return self.secret.log_likelihood(s) - self.plain.log_likelihood(s)
 
+    def reads_like_secret(self, token: str) -> bool:
+        return any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and self.margin(token) > LEAST_MARGIN
+
+    def secret_parts(self, token: str) -> list[tuple[int, int]]:
+        """(start, end) within a candidate that read like a credential: the whole, or else pieces of it."""
+        if self.reads_like_secret(token):
+            return [(0, len(token))]
+        found = []
+        for pieces in PIECES:
+            for m in pieces.finditer(token):
+                apart = all(e <= m.start() or m.end() <= s for s, e in found)
+                if LEAST_LENGTH <= m.end() - m.start() < len(token) and apart and self.reads_like_secret(m.group()):
+                    found.append(m.span())
+        return sorted(found)
+
     def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """Base spans and `format` spans (tokens with a letter and a digit that no base span touches), sorted."""
+        """Base spans and `format` spans (tokens or pieces with a letter and a digit, no base span touching the token), sorted."""
         base = base_spans(text)
         more = []
         for m in CANDIDATE.finditer(text) if self.learned else ():
-            token = m.group()
-            if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and not any(s < m.end() and m.start() < e for s, _, e in base) and self.margin(token) > LEAST_MARGIN:
-                more.append((m.start(), 3, m.end()))
+            if not any(s < m.end() and m.start() < e for s, _, e in base):
+                more += [(m.start() + s, 3, m.start() + e) for s, e in self.secret_parts(m.group())]
         return sorted(base + more)
 
 
@@ -161,26 +178,43 @@ def _value(text: str, span: tuple[int, int, int]) -> str:
     return ASSIGN.match(text, start).group(2) if kind == 0 else text[start:end]
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_strings: int = MAX_STRINGS) -> Scanner:
-    """Infer the automata from about sample_docs documents, taken by a hash of doc_id and text, and at most
-    max_strings distinct strings each, taken by a hash."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    n = texts.count()
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+def _least_hashes(strings: set[tuple[int, str]], most: int) -> set[tuple[int, str]]:
+    return set(sorted(strings)[:most])
+
+
+def fit(docs: DataFrame, max_strings: int = MAX_STRINGS) -> Scanner:
+    """Infer the automata from at most max_strings distinct strings each, those of the least hashes in all documents.
+
+    A task keeps the least hashes of its own rows, so no more than max_strings of a kind leave it.
+    """
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = {"secret": set(), "plain": set()}
+
+        def add(kind: str, token: str) -> None:
+            string = symbols(token[:MAX_LENGTH])
+            kept[kind].add((xxhash.xxh3_64_intdigest(string.encode()) >> 1, string))
 
-    def gather(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in batches:
-            out = []
-            for text in part:
+            for text in part["text"]:
                 base = base_spans(text)
-                known = {("secret", symbols(_value(text, s))) for s in base}
-                plain = {("plain", symbols(m.group())) for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base)}
-                out.append([f"{a}/{b}" for a, b in sorted(known | plain)])
-            yield pd.Series(out, dtype=object)
-
-    found = texts.where(draw < min(1.0, sample_docs / max(n, 1))).select(F.explode(F.pandas_udf("array<string>")(gather)("text")).alias("s")).distinct()
-    picked = {kind: [r.s.split("/", 1)[1] for r in found.where(F.col("s").startswith(kind)).orderBy(F.xxhash64("s"), "s").limit(max_strings).collect()] for kind in ("secret", "plain")}
-    return Scanner(picked["secret"], picked["plain"])
+                for s in base:
+                    add("secret", _value(text, s))
+                for m in CANDIDATE.finditer(text):
+                    if not any(s < m.end() and m.start() < e for s, _, e in base):
+                        add("plain", m.group())
+                for kind, strings in kept.items():
+                    if len(strings) > 8 * max_strings:
+                        kept[kind] = _least_hashes(strings, max_strings)
+        rows = [(kind, h, s) for kind, strings in kept.items() for h, s in _least_hashes(strings, max_strings)]
+        yield pd.DataFrame(rows, columns=["kind", "hash", "string"])
+
+    found = texts.mapInPandas(gather, "kind string, hash long, string string").distinct()
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("hash", "string"))
+    picked = found.withColumn("place", place).where(F.col("place") <= max_strings).collect()
+    strings = {kind: [r.string for r in sorted(picked, key=lambda r: r.place) if r.kind == kind] for kind in ("secret", "plain")}
+    return Scanner(strings["secret"], strings["plain"])
 
 
 def spans_udf(scanner: Scanner):

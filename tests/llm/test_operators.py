@@ -159,6 +159,22 @@ def test_secrets(docs, empty):
     assert secret_scan.find_secrets(empty).count() == 0
 
 
+def test_secrets_behind_long_paths(spark):
+    r = random.Random(3)
+    key = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(81)]
+    path = [".".join(r.choice(VOCAB) for _ in range(12)) + ".v2" for _ in range(82)]
+    rows = [(i, f'x token = "{key[i]}" y {path[i]} z') for i in range(80)]
+    rows += [(90, f"{prose(10, 1)} {path[80]}.key={key[80]} {prose(10, 2)}"), (91, f"{prose(10, 3)} {path[81]} {prose(10, 4)}")]
+    clean = {r.doc_id: r.text for r in secret_scan.redact_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert key[80] not in clean[90] and prose(10, 2) in clean[90]
+    assert clean[91] == rows[81][1]
+
+
+def test_a_rare_credential_is_learned(spark):
+    docs = spark.range(80_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 777, f'x token = "{KEY}" y').otherwise("nothing here").alias("text"))
+    assert secret_scan.fit(docs).learned
+
+
 def test_line_frequency(spark, docs, empty):
     many = spark.createDataFrame([(i, f"All rights reserved 20{i % 90 + 10}\n" + prose(40, i), "a") for i in range(12)] + [(99, "All rights reserved 2024\nshort left here", "a"), (100, None, None)], "doc_id long, text string, source string")
     got = {r.doc_id: r for r in quality_rules.line_frequency(many).collect()}

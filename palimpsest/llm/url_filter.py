@@ -9,10 +9,13 @@ is blocked when distrust outweighs trust and is above a threshold.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.tables import materialize, table
 
+LOG = logging.getLogger(__name__)
 #: Action, host, path of each rule.
 RULES = (
     ("block", "com", "/en/"),
@@ -23,9 +26,13 @@ RULES = (
 )
 #: Words in a host name that make it a blocked seed.
 BLOCKED_WORDS = ("adult", "ads-", "bets", "casino", "pills", "spam")
-DAMPING, ROUNDS = 0.85, 8
+DAMPING = 0.85
+#: Rounds of OP9_SQL, which has no test of convergence.
+ROUNDS = 8
 #: A host's distrust counts from this share of a seed's starting mass.
 LEAST_SHARE = 0.05
+#: Ranks are settled when all that is still to come adds up to less than this share of the least distrust.
+TOLERANCE = 0.01
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,11 +76,13 @@ def blocked_host(host):
     return found
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, tolerance: float, damping: float = DAMPING) -> DataFrame:
     """Personalised PageRank of seeds (host, trust0, distrust0) over edges: (host, trust, distrust).
 
     Trust follows src to dst in proportion to weight over the weights out of src, distrust follows dst to
-    src over the weights into dst. Tables are cut in the shared folder each round.
+    src over the weights into dst. Tables are cut in the shared folder each round. A round takes damping of
+    the last one's change over all hosts at most, so what is still to come is bounded by the change; rounds
+    end when that bound is below tolerance.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("all_out"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("all_in"))
@@ -85,9 +94,14 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     moves = materialize(moves, "moves")
     ranks = seeds.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
     start = seeds.select("host", ((1 - damping) * F.col("trust0")).alias("trust"), ((1 - damping) * F.col("distrust0")).alias("distrust"))
-    for _ in range(rounds):
+    rounds, change = 0, None
+    while change is None or change * damping / (1 - damping) >= tolerance:
         sent = moves.join(ranks, "host").select(F.col("to").alias("host"), (damping * F.col("down") * F.col("trust")).alias("trust"), (damping * F.col("up") * F.col("distrust")).alias("distrust"))
-        ranks = materialize(sent.unionByName(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "ranks")
+        new = materialize(sent.unionByName(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "ranks")
+        both = new.unionByName(ranks.select("host", (-F.col("trust")).alias("trust"), (-F.col("distrust")).alias("distrust")))
+        moved = both.groupBy("host").agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).agg(F.sum(F.abs("t")).alias("t"), F.sum(F.abs("d")).alias("d")).first()
+        ranks, rounds, change = new, rounds + 1, max(moved.t or 0.0, moved.d or 0.0)
+    LOG.info("host ranks settled after %d rounds", rounds)
     return ranks
 
 
@@ -100,12 +114,15 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """
     urls = with_rules(split_urls(pages), rules)
     hosts = urls.where("host <> ''").groupBy("host").agg(F.sum((F.coalesce("rule_action", F.lit("")) == "allow").cast("long")).alias("allowed"))
+    edges = materialize(host_edges(urls), "host-edges")
+    linked = edges.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0).cast("long").alias("allowed"))
+    hosts = hosts.unionByName(linked).groupBy("host").agg(F.sum("allowed").alias("allowed"))  # hosts without a page can be seeds too
     hosts = hosts.withColumn("bad", blocked_host(F.col("host"))).withColumn("allowed", F.when(F.col("bad"), 0).otherwise(F.col("allowed")))
     hosts = materialize(hosts, "hosts")
     total = hosts.agg(F.sum("allowed").alias("allowed"), F.sum(F.col("bad").cast("long")).alias("bad")).first()
     seeds = hosts.select("host", (F.col("allowed") / float(total.allowed or 1)).alias("trust0"), (F.col("bad").cast("double") / float(total.bad or 1)).alias("distrust0"))
-    ranks = propagate(seeds, materialize(host_edges(urls), "host-edges"))
     least = LEAST_SHARE * (1 - DAMPING) / float(total.bad or 1)
+    ranks = propagate(seeds, edges, TOLERANCE * least)
     blocked = materialize(ranks.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") > least)).select("host", F.lit(True).alias("host_blocked")), "blocked-hosts")
     out = urls.drop("html").join(blocked, "host", "left")
     verdict = F.coalesce("rule_action", F.when(F.col("host_blocked"), "block").otherwise("allow"))

@@ -207,6 +207,12 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_distrust_of_hosts_without_a_page(spark):
+    rows = [(i, f"http://h{i}.org/", f'<a href="http://h{i + 1}.org/">') for i in range(12)] + [(12, "http://h12.org/", '<a href="http://casino.org/">'), (20, "http://other.org/", "")]
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "block" for i in range(13)} | {20: "allow"}  # 0.85^13 = 0.12 of a seed's share
+
+
 def test_toxicity_and_language(spark, docs, empty):
     rows, labels = [], []
     for i in range(400):

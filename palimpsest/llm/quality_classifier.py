@@ -3,7 +3,8 @@
 Overlapping heuristic labellers vote good, bad or abstain on every document. The counts of all vote
 patterns over the whole corpus (at most 3^labellers rows) go through expectation-maximisation, which
 estimates each labeller's accuracy and the share of good documents without any gold label. The
-posteriors then train a linear scorer on hashed features, and the scorer decides.
+posteriors then train a linear scorer on hashed features (n-grams of word shapes, and each measure's bin
+as a token of its own), and the scorer decides. Every text is read whole, in training as in scoring.
 """
 
 from __future__ import annotations
@@ -11,17 +12,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.textkernel import WordHasher, repeated_words, utf8
-from palimpsest.llm.wordscores import WordScores, mean_features, word_scorer
+from palimpsest.llm.textkernel import WordHasher, covered, repeated_windows, slices, text_bytes
+from palimpsest.llm.wordscores import WordScores, in_pieces, mean_gram_vector, word_scorer
 from palimpsest.tables import table
 
-#: The bounded training sample of the scorer: documents and words of a document.
-MAX_TRAIN, MAX_WORDS = 3000, 500
+#: The bounded training sample of the scorer: so many documents, those of the least hashes of id and text.
+MAX_TRAIN = 3000
 SIZES, BUCKETS = (1, 2, 3), 1 << 10
-STAT_BINS = 8
+#: Buckets of the measures' bins, hashed like all else, and bins of a measure.
+TAIL_BUCKETS, STAT_BINS = 1 << 9, 8
 SYMBOLS = b"#*$%&|<>"
 SHAPE = bytes(
     ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else c for c in range(256)
@@ -32,24 +35,24 @@ LABELLERS = ("symbols", "capitals", "repeats", "bare_marks", "exclamations", "to
 class FlaggedHasher(WordHasher):
     """word -> 64-bit hash whose low four bits say: capitals, without letter or digit, ends a phrase, short."""
 
-    def __missing__(self, word: bytes) -> int:
-        value = super().__missing__(word)
+    def value(self, word: bytes) -> int:
         bare = len(word) < 4 and not any(c >= 128 or chr(c).isalnum() for c in word)
         flags = (word.isupper() and len(word) > 1) | bare << 1 | (word[-1] in b".,;:?") << 2 | (len(word) <= 3) << 3
-        value = self[word] = value & ~15 | flags
-        return value
+        return super().value(word) & ~15 | flags
 
 
-def measures(text: bytes, hasher: FlaggedHasher) -> tuple[np.ndarray, bytes] | None:
+def measures(text: bytes | None, hasher: FlaggedHasher) -> tuple[np.ndarray, bytes] | None:
     """The nine measures that the labellers look at, and the text; None without words."""
-    words = text.split()
+    words = (text or b"").split()
     n = len(words)
     if not n:
         return None
     h = hasher.hashes(words)
     flags = h & np.uint64(15)
     capitals, bare, phrase, short = (np.count_nonzero(flags & np.uint64(1 << b)) / n for b in range(4))
-    repeats, long_repeats = (repeated_words(h, width) / n for width in (5, 10))
+    twice = repeated_windows(h, 5)
+    longer = repeated_windows(h, 10) if len(twice) else twice  # ten repeated words hold five
+    repeats, long_repeats = (covered(at, width, n).sum() / n if len(at) else 0.0 for at, width in ((twice, 5), (longer, 10)))
     ordered = np.sort(h)
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
     top = np.diff(starts).max() / n if n >= 20 else 0.0
@@ -84,37 +87,84 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: in
 
 
 def _votes_udf():
-    def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def vote(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = FlaggedHasher()
         for texts in batches:
-            found = (measures(utf8(t), hasher) for t in texts)
-            yield pd.Series([None if f is None else "".join(map(str, votes(f[0]))) for f in found], dtype=object)
+            found = (measures(t, hasher) for t in text_bytes(texts))
+            yield pa.array([None if f is None else "".join(map(str, votes(f[0]))) for f in found], pa.string())
 
-    return F.pandas_udf("string")(vote)
+    return F.arrow_udf("string")(vote)
 
 
 def _bins(m: np.ndarray) -> np.ndarray:
-    """Which of STAT_BINS bins each measure falls in, as positions in the scorer's tail."""
-    return np.arange(len(m)) * STAT_BINS + np.minimum((np.sqrt(np.minimum(m, 1.0)) * STAT_BINS).astype(int), STAT_BINS - 1)
+    """Which of STAT_BINS bins each measure falls in."""
+    return np.minimum((np.sqrt(np.minimum(m, 1.0)) * STAT_BINS).astype(int), STAT_BINS - 1)
+
+
+#: The bucket of each measure's bins.
+TAIL = np.array([[xxhash.xxh3_64_intdigest(f"{name}:{b}") % TAIL_BUCKETS for b in range(STAT_BINS)] for name in LABELLERS])
+
+
+def _tail(m: np.ndarray) -> np.ndarray:
+    return TAIL[np.arange(len(m)), _bins(m)]
 
 
 def _shapes(text: bytes) -> list[bytes]:
     """The words with letters as A or a and digits as 0."""
-    return text.translate(SHAPE).split()
+    return in_pieces(text.translate(SHAPE).split())
+
+
+def features(m: np.ndarray, text: bytes) -> np.ndarray:
+    """A text's hashed feature vector: the mean n-gram vector of its word shapes, then the bins of its measures."""
+    tail = np.bincount(_tail(m), minlength=TAIL_BUCKETS).astype(np.float32)
+    return np.concatenate((mean_gram_vector(_shapes(text), SIZES, BUCKETS), tail))
 
 
 class Scorer:
-    """A logistic scorer on hashed word-shape n-grams and binned measures."""
+    """A logistic scorer on hashed features."""
 
     def __init__(self, weights: np.ndarray, tail: np.ndarray, bias: float):
         self.weights, self.tail, self.bias = weights, tail, bias
 
     def score(self, found: list, known: WordScores) -> list[float]:
         bags = known.of([[] if f is None else _shapes(f[1]) for f in found])
-        z = [-30.0 if f is None else s[:, 0].mean() + self.tail[_bins(f[0])].sum() + self.bias for f, s in zip(found, bags, strict=True)]
+        z = [-30.0 if f is None else s[:, 0].mean() + self.tail[_tail(f[0])].sum() + self.bias for f, s in zip(found, bags, strict=True)]
         return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
 
+def train(x: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on soft labels y, both classes weighted alike, by Adam."""
+    weight = np.where(y > 0.5, 0.5 / max((y > 0.5).mean(), 0.02), 0.5 / max((y <= 0.5).mean(), 0.02))
+    w, b, mw, mb, v = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1] + 1)
+    for t in range(1, steps + 1):
+        g = weight * (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        gw, gb = x.T @ g + 1e-4 * w, g.sum()
+        mw, mb = 0.9 * mw + 0.1 * gw, 0.9 * mb + 0.1 * gb
+        v = 0.99 * v + 0.01 * np.append(gw, gb) ** 2
+        rate = 0.05 / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) / (1 - 0.9**t)
+        w, b = w - rate[:-1] * mw, b - rate[-1] * mb
+    return w, float(b)
+
+
+def _sample(texts: DataFrame, rate: float, max_train: int) -> tuple[list[str], np.ndarray]:
+    """Vote patterns and features of the max_train documents with the least hash; rate leaves a few more to choose from."""
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = FlaggedHasher()
+        for batch in batches:
+            for at, end in slices(batch.column(1)):
+                part = batch.slice(at, end - at)
+                found = [(d, measures(t, hasher)) for d, t in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), strict=True)]
+                rows = [(d, "".join(map(str, votes(f[0]))), features(*f).tobytes()) for d, f in found if f is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.binary()))], names=["draw", "v", "x"])
+
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    drawn = texts.where("text is not null").select(draw.alias("draw"), "text").where(F.col("draw") < int(rate * (1 << 40)))
+    rows = drawn.mapInArrow(picked, "draw long, v string, x binary").distinct().orderBy("draw", "v", "x").limit(max_train).collect()
+    x = np.array([np.frombuffer(r.x, np.float32) for r in rows]) if rows else np.zeros((0, BUCKETS + TAIL_BUCKETS), np.float32)
+    return [r.v for r in rows], x
+
+
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> tuple[Scorer, dict]:
     """Vote on all documents, run EM on all votes, train the scorer on a bounded sample with its posteriors.
 
@@ -122,69 +172,45 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> tuple[Scorer, dict]:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.select(_votes_udf()("text").alias("v")).groupBy("v").count().collect()
-    k = len(LABELLERS)
     rows = sorted((r.v, r["count"]) for r in rows if r.v is not None)  # not filtered in Spark: that would vote twice
     if not rows:
-        return Scorer(np.zeros((BUCKETS, 1)), np.zeros(k * STAT_BINS), 0.0), {"good": None, "accuracy": {}}
+        return Scorer(np.zeros((BUCKETS, 1)), np.zeros(TAIL_BUCKETS), 0.0), {"good": None, "accuracy": {}}
     patterns, counts = np.array([[int(c) for c in v] for v, _ in rows]), np.array([n for _, n in rows], float)
     share, tab, post = expectation_maximisation(patterns, counts)
     right = share * tab[1, :, 1] + (1 - share) * tab[0, :, 0]
     cast = right + share * tab[1, :, 0] + (1 - share) * tab[0, :, 1]
     posterior = dict(zip((v for v, _ in rows), post, strict=True))
-
-    rate = min(1.0, max_train / counts.sum())
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hasher = FlaggedHasher()
-        for part in batches:
-            out = []
-            for t in part:
-                f = measures(utf8(t), hasher)
-                out.append((None, None, None) if f is None else ("".join(map(str, votes(f[0]))), f[0].tolist(), b" ".join(_shapes(f[1])[:MAX_WORDS])))
-            yield pd.DataFrame(out, columns=["v", "m", "shapes"])
-
-    sample = texts.where(draw < rate).select(F.pandas_udf("v string, m array<double>, shapes binary")(cut)("text").alias("s")).where("s.v is not null").limit(2 * max_train).collect()
-    sample = sorted((bytes(r.s.shapes), r.s.v, r.s.m) for r in sample)
-    x = np.concatenate((mean_features([s[0].split() for s in sample], SIZES, BUCKETS), np.zeros((len(sample), k * STAT_BINS), np.float32)), axis=1)
-    for i, s in enumerate(sample):
-        x[i, BUCKETS + _bins(np.array(s[2]))] = 1
-    y = np.array([posterior.get(s[1], share) for s in sample])
-    scale = 1.0 / (x[:, :BUCKETS].std(axis=0) + 1e-2) / 32 if len(x) else np.ones(BUCKETS)
-    x[:, :BUCKETS] *= scale
-    weight = np.where(y > 0.5, 0.5 / max((y > 0.5).mean(), 0.02), 0.5 / max((y <= 0.5).mean(), 0.02)) if len(y) else y
-    w, b, mw, mb, v = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1] + 1)
-    for t in range(1, 301 if len(y) else 1):
-        g = weight * (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
-        gw, gb = x.T @ g + 1e-4 * w, g.sum()
-        mw, mb = 0.9 * mw + 0.1 * gw, 0.9 * mb + 0.1 * gb
-        v = 0.99 * v + 0.01 * np.append(gw, gb) ** 2
-        rate_t = 0.05 / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) / (1 - 0.9**t)
-        w, b = w - rate_t[:-1] * mw, b - rate_t[-1] * mb
-    scorer = Scorer((w[:BUCKETS] * scale)[:, None], w[BUCKETS:], float(b))
+    shown, x = _sample(texts, min(1.0, 1.2 * max_train / counts.sum()), max_train)
+    weights, bias = np.zeros(BUCKETS + TAIL_BUCKETS), 0.0
+    if shown:
+        scale = 1.0 / (x[:, :BUCKETS].std(axis=0) + 1e-2) / 32
+        x[:, :BUCKETS] *= scale
+        weights, bias = train(x, np.array([posterior.get(v, share) for v in shown]))
+        weights[:BUCKETS] *= scale
+    scorer = Scorer(weights[:BUCKETS, None], weights[BUCKETS:], bias)
     return scorer, {"good": share, "accuracy": dict(zip(LABELLERS, (right / cast).tolist(), strict=True))}
 
 
 def score_udf(scorer: Scorer):
     """Column function: text -> probability of a good document; 0 without words."""
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher, known = FlaggedHasher(), WordScores(word_scorer(scorer.weights, SIZES), 1)
         for texts in batches:
             out = []
-            for at in range(0, len(texts), 256):
-                out += scorer.score([measures(utf8(t), hasher) for t in texts.iloc[at : at + 256]], known)
-            yield pd.Series(out, dtype=float)
+            for at, end in slices(texts):
+                out += scorer.score([measures(t, hasher) for t in text_bytes(texts.slice(at, end - at))], known)
+            yield pa.array(out, pa.float64())
 
-    return F.pandas_udf("double")(score)
+    return F.arrow_udf("double")(score)
 
 
 def classify_quality(docs: DataFrame) -> DataFrame:
     """doc_id, quality (0 to 1), kept of every row of docs.
 
     Defined cases: null texts and texts without words score (almost) 0 and are rejected; no label, lang or
-    source is read; repeated rows score alike; null doc_ids are scored like others; an empty table, or one
-    without any words, gives the neutral scorer.
+    source is read; repeated rows and equal texts score alike; null doc_ids are scored like others; extra
+    columns of any name are not read; an empty table, or one without any words, gives the neutral scorer.
     """
     scorer, _ = fit(docs)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -192,7 +218,7 @@ def classify_quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that the classifier keeps."""
+    """The rows of docs, all columns, that the classifier keeps; cases as in classify_quality."""
     scorer, _ = fit(docs)
     return docs.where(score_udf(scorer)(F.col("text").cast("string")) >= 0.5)
 

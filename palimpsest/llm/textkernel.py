@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -32,30 +33,39 @@ def odd_constants(n: int, salt: int = 0) -> np.ndarray:
     return mix(steps * GOLDEN) | np.uint64(1)
 
 
+#: Bytes that a task's memory of words may take; a longer word is worked out anew each time.
+CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 16 << 20, 200, 256
+
+
 class WordHasher(dict):
-    """word -> 64-bit hash, remembered for words seen before; forgets all when it grows past limit."""
+    """word -> 64-bit hash, remembered for words seen before; forgets all when it takes more than about limit bytes."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = CACHE_BYTES):
         super().__init__()
-        self.limit = limit
+        self.most = limit // ENTRY_BYTES
+
+    def value(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = self.value(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
         return value
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(hashes: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     """Hash of every run of width consecutive words; empty when there are fewer words."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     total = np.zeros(n, np.uint64)
-    for i, c in enumerate(odd_constants(width)):
+    for i, c in enumerate(odd_constants(width, salt)):
         total += hashes[i : i + n] * c
     return mix(total)
 
@@ -72,6 +82,17 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes | None]:
             yield value.as_py()
 
 
+def slices(column: pa.Array, most_bytes: int = 4 << 20, most_rows: int = 1024) -> Iterator[tuple[int, int]]:
+    """(start, end) of consecutive pieces of a string column, of at most so many rows and, but for single long texts, bytes."""
+    size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
+    at = 0
+    while at < len(column):
+        end = min(at + most_rows, int(np.searchsorted(size, size[at] + most_bytes, side="right")) - 1, len(column))
+        end = max(end, at + 1)
+        yield at, end
+        at = end
+
+
 def in_sorted(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which values stand in a sorted table."""
     if not len(table):
@@ -89,12 +110,18 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def repeated_words(hashes: np.ndarray, width: int) -> int:
-    """Words in windows of width words that are found twice or more."""
+def repeated_windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Start positions of the windows of width words that are found twice or more."""
     windows = window_hashes(hashes, width)
     ordered = np.sort(windows)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
-    return int(covered(np.flatnonzero(in_sorted(twice, windows)), width, len(hashes)).sum()) if len(twice) else 0
+    return np.flatnonzero(in_sorted(twice, windows)) if len(twice) else np.empty(0, np.int64)
+
+
+def repeated_words(hashes: np.ndarray, width: int) -> int:
+    """Words in windows of width words that are found twice or more."""
+    starts = repeated_windows(hashes, width)
+    return int(covered(starts, width, len(hashes)).sum()) if len(starts) else 0
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:

@@ -7,19 +7,56 @@ once and adds up the rest.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-from palimpsest.llm.textkernel import mix, odd_constants
+from palimpsest.llm.textkernel import CACHE_BYTES, ENTRY_BYTES, mix, odd_constants
 
 #: Everything in ASCII but letters becomes a space; bytes of other letters stay.
 LETTERS_ONLY = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
-def letter_words(text: str) -> list[bytes]:
-    """Lower-cased words of letters."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(LETTERS_ONLY).split()
+#: A longer word counts as several of this length, so that one word's n-grams take bounded memory.
+MOST_BYTES = 1 << 14
+
+
+def in_pieces(words: list[bytes]) -> list[bytes]:
+    """The words, those of more than MOST_BYTES bytes cut into pieces; none is dropped."""
+    if max(map(len, words), default=0) <= MOST_BYTES:
+        return words
+    return [w[at : at + MOST_BYTES] for w in words for at in range(0, len(w), MOST_BYTES)]
+
+
+def letter_words(text: bytes) -> list[bytes]:
+    """Lower-cased words of letters of a UTF-8 text."""
+    low = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+    return in_pieces(low.translate(LETTERS_ONLY).split())
+
+
+def word_blocks(words: list[bytes], most: int = 50_000) -> Iterator[list[bytes]]:
+    """The words in blocks of bounded number and total length (but for a single long word)."""
+    block, size = [], 0
+    for word in words:
+        block.append(word)
+        size += len(word) + 2
+        if size > most:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def mean_gram_vector(words: list[bytes], sizes: tuple[int, ...], buckets: int) -> np.ndarray:
+    """The mean over a text's words of each word's mean n-gram vector, dense; whole texts of any length."""
+    out = np.zeros(buckets)
+    distinct = Counter(words)
+    for block in word_blocks(list(distinct)):
+        owner, bucket = ngrams(block, sizes, buckets)
+        times = np.array([distinct[w] for w in block], float)
+        out += np.bincount(bucket, (times / np.bincount(owner, minlength=len(block)))[owner], buckets)
+    return (out / max(len(words), 1)).astype(np.float32)
 
 
 def ngrams(words: list[bytes], sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,9 +83,9 @@ def ngrams(words: list[bytes], sizes: tuple[int, ...], buckets: int) -> tuple[np
 class WordScores(dict):
     """word -> row of a growing score table; new words are scored together when a batch is summed up."""
 
-    def __init__(self, score: Callable[[list[bytes]], np.ndarray], width: int, limit: int = 250_000):
+    def __init__(self, score: Callable[[list[bytes]], np.ndarray], width: int, limit: int = CACHE_BYTES):
         super().__init__()
-        self.score, self.width, self.limit = score, width, limit
+        self.score, self.width, self.limit = score, width, limit // (ENTRY_BYTES + 16 * width)
         self.new: list[bytes] = []
         self.rows = np.empty((0, width))
 
@@ -73,19 +110,11 @@ def word_scorer(weights: np.ndarray, sizes: tuple[int, ...]) -> Callable[[list[b
     """Scores (words x outputs): the mean over a word's n-grams of the rows of weights (buckets x outputs)."""
 
     def score(words: list[bytes]) -> np.ndarray:
-        owner, bucket = ngrams(words, sizes, len(weights))
-        count = np.bincount(owner, minlength=len(words))
-        return np.stack([np.bincount(owner, weights[bucket, k], len(words)) / count for k in range(weights.shape[1])], axis=1)
+        out = []
+        for block in word_blocks(words):
+            owner, bucket = ngrams(block, sizes, len(weights))
+            count = np.bincount(owner, minlength=len(block))
+            out.append(np.stack([np.bincount(owner, weights[bucket, k], len(block)) / count for k in range(weights.shape[1])], axis=1))
+        return np.concatenate(out)
 
     return score
-
-
-def mean_features(texts: list[list[bytes]], sizes: tuple[int, ...], buckets: int) -> np.ndarray:
-    """Dense (texts x buckets) mean n-gram vectors; for training samples."""
-    out = np.zeros((len(texts), buckets), np.float32)
-    for r, words in enumerate(texts):
-        if words:
-            owner, bucket = ngrams(words, sizes, buckets)
-            weight = 1.0 / np.bincount(owner, minlength=len(words))[owner] / len(words)
-            out[r] = np.bincount(bucket, weight, buckets)
-    return out

@@ -7,29 +7,36 @@ document's margins are sums of per-word margins.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
+from palimpsest.llm.textkernel import slices, text_bytes
 from palimpsest.llm.toxicity import held_out
-from palimpsest.llm.wordscores import WordScores, letter_words, mean_features, word_scorer
+from palimpsest.llm.wordscores import WordScores, letter_words, mean_gram_vector, word_scorer
 from palimpsest.tables import table
 
 SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 12
-#: The bounded training sample: documents in all, documents of a language, words of a document.
-MAX_DOCS, MAX_DOCS_PER_LANG, MAX_WORDS = 6000, 600, 400
+#: The bounded training sample: so many languages, those with the most documents, and documents in all and of each, read whole.
+MAX_LANGS, MAX_DOCS, MAX_DOCS_PER_LANG = 100, 6000, 600
 #: Families by language code; any other code is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af", "fy", "lb"),
     "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl", "oc"),
     "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "sl", "hr", "sr", "bg", "mk"),
 }
-LETTER = re.compile(r"[^\W\d_]")
+NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
+
+
+def has_letter(text: bytes | None) -> bool:
+    """Whether a UTF-8 text has a letter; signs like ½ or ² are none."""
+    if not text:
+        return False
+    return text.translate(None, NO_LETTERS) != b"" if text.isascii() else any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, steps: int = 200, c: float = 10.0) -> tuple[np.ndarray, float]:
@@ -93,52 +100,60 @@ class Model:
         return self.langs[best], float(sure)
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_per_lang: int = MAX_DOCS_PER_LANG, max_words: int = MAX_WORDS) -> Model:
-    """Fit on a bounded sample of the documents outside the held-out fold with a language.
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, lang, text) -> (doc_id, lang, x) with the mean n-gram vector of the whole text, for texts with a word."""
+    for batch in batches:
+        for at, end in slices(batch.column(2), most_rows=256):
+            part = batch.slice(at, end - at)
+            rows = []
+            for doc_id, lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), text_bytes(part.column(2)), strict=True):
+                words = letter_words(text)
+                if words:
+                    rows.append((doc_id, lang, mean_gram_vector(words, SIZES, BUCKETS).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.binary()))], names=["doc_id", "lang", "x"])
+
 
-    Each language gives about min(max_per_lang, max_docs / languages) documents, those with the least hash
-    of doc_id, and of each the first max_words words. Counts of languages are over all such documents.
+def fit(docs: DataFrame, max_langs: int = MAX_LANGS, max_docs: int = MAX_DOCS, max_per_lang: int = MAX_DOCS_PER_LANG) -> Model:
+    """Fit on a bounded sample of the documents outside the held-out fold with a language, each read whole.
+
+    The max_langs languages with the most such documents are learned, each from the documents with the least
+    hash of doc_id: max_per_lang of them, or an equal share of max_docs. Counts of languages are over all
+    such documents.
     """
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    langs = sorted(counts)
-    quota = max(2, min(max_per_lang, max_docs // max(1, len(langs))))
-    if not langs:
-        return Model([], np.empty((0, BUCKETS), np.float32), np.empty(0, int))
-    rate = F.lit(0.0)
-    for g in langs:
-        rate = F.when(F.col("lang") == g, F.lit(min(1.0, quota / counts[g]))).otherwise(rate)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([b" ".join(letter_words(t or "")[:max_words]).decode("utf-8", "replace") for t in texts])
-
-    rows = known.where(draw < rate).select("doc_id", "lang", F.pandas_udf("string")(cut)("text").alias("words")).limit(2 * max_docs + 1000).collect()
-    rows = sorted((r.doc_id, r.lang, r.words) for r in rows if r.words)
-    found = sorted({r[1] for r in rows})
-    x = mean_features([r[2].encode().split() for r in rows], SIZES, BUCKETS)
-    return Model(found, x, np.array([found.index(r[1]) for r in rows], int))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    langs = known.sparkSession.createDataFrame([(r.lang, r.n) for r in counts], "lang string, n long")
+    quota = max(2, min(max_per_lang, max_docs // max(1, len(counts))))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    # a threshold on the hash leaves a few more than quota of a language; the window then takes the first
+    share = F.least(F.lit(1.0), 1.5 * quota / F.col("n")) * float(1 << 40)
+    near = known.join(F.broadcast(langs), "lang").withColumn("draw", draw).where(F.col("draw") < share)  # max_langs rows
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))).where(F.col("place") <= quota)
+    rows = first.select("doc_id", "lang", "text").mapInArrow(_vectors, "doc_id long, lang string, x binary").collect()
+    rows.sort(key=lambda r: (r.lang, r.doc_id, r.x))
+    found = sorted({r.lang for r in rows})
+    x = np.array([np.frombuffer(r.x, np.float32) for r in rows]) if rows else np.empty((0, BUCKETS), np.float32)
+    return Model(found, x, np.array([found.index(r.lang) for r in rows], int))
 
 
 def predict_udf(model: Model):
     """Column function: text -> struct<lang_pred, score>."""
 
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = WordScores(word_scorer(model.weights, SIZES), len(model.biases))
         for texts in batches:
-            out = []
-            for at in range(0, len(texts), 256):
-                part = texts.iloc[at : at + 256].tolist()
-                for text, s in zip(part, known.of([letter_words(t or "") for t in part]), strict=True):
-                    if not text or not LETTER.search(text) or not model.langs:
-                        out.append(("und", 0.0))
-                    else:
-                        out.append(model.predict((s.mean(axis=0) if len(s) else 0.0) + model.biases))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+            names, scores = [], []
+            for at, end in slices(texts, most_rows=256):
+                part = list(text_bytes(texts.slice(at, end - at)))
+                for text, s in zip(part, known.of([letter_words(t or b"") for t in part]), strict=True):
+                    known_letters = bool(model.langs) and has_letter(text)
+                    name, score = model.predict((s.mean(axis=0) if len(s) else 0.0) + model.biases) if known_letters else ("und", 0.0)
+                    names.append(name)
+                    scores.append(score)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
-    return F.pandas_udf("lang_pred string, score double")(predict)
+    return F.arrow_udf("lang_pred string, score double")(predict)
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
@@ -146,7 +161,8 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
     Defined cases: null texts, texts without a letter, and any text when no language could be learned are
     `und` with score 0; a null lang is not learned from; a null doc_id counts as not held out and is not
-    learned from; repeated rows get the same answer; an empty table gives an empty result.
+    learned from; languages beyond the MAX_LANGS most frequent are not learned; ties between languages go to
+    the first by name; repeated rows get the same answer; an empty table gives an empty result.
     """
     model = fit(docs)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

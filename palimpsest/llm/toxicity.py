@@ -9,19 +9,21 @@ classes beyond chance, so that a few thousand labelled texts can't be learned by
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.wordscores import WordScores, letter_words, ngrams, word_scorer
+from palimpsest.llm.textkernel import slices, text_bytes
+from palimpsest.llm.wordscores import WordScores, letter_words, ngrams, word_blocks, word_scorer
 from palimpsest.tables import table
 
 SIZES = (3, 4, 5, 6)
 BUCKETS, DIM = 1 << 18, 8
-#: The bounded training sample: at most so many labelled documents of each class and words of each document.
-MAX_LABELLED, MAX_WORDS = 2000, 400
+#: The bounded training sample: at most so many labelled documents of each class, read whole.
+MAX_LABELLED = 2000
 #: Standard errors by which an n-gram's document shares must differ between the classes.
 LEAST_Z = 5.0
 FOLDS = 5
@@ -32,34 +34,26 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0
 
 
-def document_ngrams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, bucket, weight): the mean over a document's words of each word's mean n-gram vector, sparse."""
-    vocab: dict[bytes, int] = {}
-    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in x], np.int64) for x in texts]
-    if not vocab:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    owner, bucket = ngrams(list(vocab), SIZES, BUCKETS)
-    count = np.bincount(owner, minlength=len(vocab))
-    grams, start = bucket[np.argsort(owner, kind="stable")], np.cumsum(count) - count
-    docs, buckets, weights = [], [], []
-    for i, words in enumerate(ids):
-        distinct, times = np.unique(words, return_counts=True)
-        n = count[distinct]
-        at = np.repeat(start[distinct] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        found, inverse = np.unique(grams[at], return_inverse=True)
-        docs.append(np.full(len(found), i))
-        buckets.append(found)
-        weights.append(np.bincount(inverse, np.repeat(times / n / max(len(words), 1), n)))
-    return np.concatenate(docs), np.concatenate(buckets), np.concatenate(weights)
-
-
-def train(texts: list[list[bytes]], labels: np.ndarray, shares: np.ndarray, steps: int = 120, rate: float = 0.02, decay: float = 1e-2, seed: int = 0) -> tuple[np.ndarray, float]:
+def document_ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, weight), sparse: the mean over a document's words of each word's mean n-gram vector."""
+    total = np.zeros(BUCKETS)
+    times = Counter(words)
+    for block in word_blocks(list(times)):
+        owner, bucket = ngrams(block, SIZES, BUCKETS)
+        share = np.array([times[w] for w in block], float) / np.bincount(owner, minlength=len(block)) / len(words)
+        np.add.at(total, bucket, share[owner])
+    found = np.flatnonzero(total)
+    return found, total[found]
+
+
+def train(grams: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shares: np.ndarray, steps: int = 120, rate: float = 0.02, decay: float = 1e-2, seed: int = 0) -> tuple[np.ndarray, float]:
     """Train embeddings and softmax together with Adam on full batches -> (score of each bucket, bias).
 
-    shares: the classes' shares in the whole labelled table, to which the sample is weighted. The softmax
+    grams: (bucket, weight) of each document. shares: the classes' shares in the whole labelled table, to which the sample is weighted. The softmax
     of two classes needs the difference of its logits only, so the model folds into one weight per bucket.
     """
-    doc, bucket, weight = document_ngrams(texts)
+    doc = np.repeat(np.arange(len(grams)), [len(b) for b, _ in grams])
+    bucket, weight = np.concatenate([b for b, _ in grams]), np.concatenate([w for _, w in grams])
     n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
     has = np.stack([np.bincount(bucket, labels[doc] == c, BUCKETS) for c in (0, 1)])
     pooled = has.sum(axis=0) / n.sum()
@@ -68,7 +62,7 @@ def train(texts: list[list[bytes]], labels: np.ndarray, shares: np.ndarray, step
     place = np.full(BUCKETS, -1)
     place[keep] = np.arange(len(keep))
     used = place[bucket] >= 0
-    x = np.zeros((len(texts), len(keep)), np.float32)
+    x = np.zeros((len(grams), len(keep)), np.float32)
     x[doc[used], place[bucket[used]]] = weight[used]
     scale = 0.1 / (x.std(axis=0) + 1e-5)
     x *= scale
@@ -95,20 +89,27 @@ def train(texts: list[list[bytes]], labels: np.ndarray, shares: np.ndarray, step
     return weights, float(bias[1] - bias[0])
 
 
-def _spread(words: list[bytes], most: int, run: int = 20) -> list[bytes]:
-    """At most `most` of the words, as evenly spaced runs."""
-    if len(words) <= most:
-        return words
-    starts = np.linspace(0, len(words) - run, most // run).astype(int).tolist()
-    return [w for s in starts for w in words[s : s + run]]
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toxic, text) -> (doc_id, toxic, buckets, weights) of the whole text, for texts with a word."""
+    for batch in batches:
+        for at, end in slices(batch.column(2), most_rows=64):
+            part = batch.slice(at, end - at)
+            rows = []
+            for doc_id, toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), text_bytes(part.column(2)), strict=True):
+                words = letter_words(text or b"")
+                if words:
+                    bucket, weight = document_ngrams(words)
+                    rows.append((doc_id, toxic, bucket.astype(np.int32).tobytes(), weight.astype(np.float32).tobytes()))
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "toxic", "bucket", "weight"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS) -> tuple[np.ndarray, float]:
-    """Fit on a bounded sample of labelled documents outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, float]:
+    """Fit on a bounded sample of labelled documents outside the held-out fold, each read whole.
 
-    The sample is the first max_labelled documents of each class in the order of a hash of doc_id, and of
-    each at most max_words words in evenly spaced runs. Class shares are counted over all labels. Without
-    both classes every text scores near the label there is, or near 0.
+    The sample is the first max_labelled documents of each class in the order of a hash of doc_id. Class
+    shares are counted over all labels. Without both classes every text scores near the label there is, or
+    near 0.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     shares = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -116,33 +117,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
         return np.zeros(BUCKETS), 10.0 if 1 in shares else -10.0
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled) for y in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * max_labelled rows
-
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([b" ".join(_spread(letter_words(t or ""), max_words)).decode("utf-8", "replace") for t in texts], dtype=object)
-
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = slim.join(ids, "doc_id").select("doc_id", "toxic", F.pandas_udf("string")(cut)("text").alias("sample")).limit(4 * max_labelled).collect()
-    rows = sorted((r.doc_id, r.toxic, r.sample) for r in rows if r.sample)
-    y = np.array([r[1] for r in rows])
+    sampled = slim.join(ids, "doc_id").select("doc_id", "toxic", "text").mapInArrow(_grams, "doc_id long, toxic int, bucket binary, weight binary")
+    rows = sampled.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "bucket", "weight").limit(4 * max_labelled).collect()
+    y = np.array([r.toxic for r in rows])
     if not 0 < y.sum() < len(y):
         return np.zeros(BUCKETS), -10.0
     total = shares[0] + shares[1]
-    return train([r[2].encode().split() for r in rows], y, np.array([shares[0] / total, shares[1] / total]))
+    return train([(np.frombuffer(r.bucket, np.int32), np.frombuffer(r.weight, np.float32)) for r in rows], y, np.array([shares[0] / total, shares[1] / total]))
 
 
 def score_udf(weights: np.ndarray, bias: float):
     """Column function: text -> probability of label 1."""
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = WordScores(word_scorer(weights[:, None], SIZES), 1)
         for texts in batches:
             out = []
-            for at in range(0, len(texts), 256):
-                out += [s.mean() if len(s) else 0.0 for s in known.of([letter_words(t or "") for t in texts.iloc[at : at + 256]])]
-            yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(np.array(out, dtype=float) + bias, -30, 30))))
+            for at, end in slices(texts, most_rows=256):
+                out += [s.mean() if len(s) else 0.0 for s in known.of([letter_words(t or b"") for t in text_bytes(texts.slice(at, end - at))])]
+            yield pa.array(1.0 / (1.0 + np.exp(-np.clip(np.array(out, dtype=float) + bias, -30, 30))))
 
-    return F.pandas_udf("double")(score)
+    return F.arrow_udf("double")(score)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

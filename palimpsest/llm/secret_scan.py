@@ -1,11 +1,14 @@
 """Secret scans by grammar inference.
 
 Three fixed patterns give the base spans. Of their values in all documents a bounded sample makes the
-labelled credentials: as strings over character classes they build a prefix tree with counts, whose
-states are merged (ALERGIA: Hoeffding-compatible outgoing frequencies, recursively) into a probabilistic
-automaton. A second automaton is inferred from ordinary long tokens. Every long token of every text is
-then scored in full by the difference of its log likelihoods per character, and so are the long pieces
-between its separators; those that read like a credential add spans of kind `format`.
+labelled credentials. A string is read as symbols: each run of letters and digits by its character set (hex,
+lower case with digits, mixed case and so on), one symbol per character, marks as they are; so strings of one
+format share a path and its length. For each kind of base span the strings build a prefix tree with counts,
+whose states are merged (ALERGIA: Hoeffding-compatible outgoing and ending frequencies, recursively) into a
+probabilistic automaton; another automaton is inferred from ordinary long tokens. Every long token of every
+text is then scored in full, and so are the long pieces between its separators: one that a credential
+automaton finds about as likely, ending included, as the credentials it was inferred from, and likelier than
+the ordinary one does, adds a span of kind `format`.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -29,11 +32,13 @@ KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 #: Shortest candidate, and the pieces of one that are scored when the whole is not a credential, coarse ones first.
 LEAST_LENGTH, PIECES = 16, (re.compile(r"[^.=]+"), re.compile(r"[^/.=_+-]+"))
-#: The bounded training sample: strings of each automaton, and the length to which a training string is read.
-MAX_STRINGS, MAX_LENGTH = 400, 48
-ALPHA = 0.05
-#: Log likelihood per character by which a token must be likelier as a credential.
-LEAST_MARGIN = 0.4
+#: The bounded training sample: distinct strings of each automaton. Longer strings are no examples.
+MAX_STRINGS, MAX_LENGTH = 600, 512
+#: Log likelihood by which a string must be likelier as a credential than as an ordinary token. Unlabelled credentials
+#: are among the ordinary tokens too, so it is that of the whole string: how much more usual the format is with labels.
+LEAST_MARGIN = 1.0
+#: Log likelihood per character by which a string may be less likely than nearly all labelled credentials are.
+SLACK = 0.1
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -49,18 +54,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+RUN = re.compile(r"[A-Za-z0-9]+|.", re.DOTALL)
+#: Symbol of a run by its character set; the first that fits.
+SETS = tuple((symbol, re.compile(chars + "+")) for symbol, chars in (("d", "[0-9]"), ("l", "[a-z]"), ("u", "[A-Z]"), ("x", "[0-9a-f]"), ("X", "[0-9A-F]"), ("m", "[0-9a-z]"), ("M", "[0-9A-Z]"), ("w", "[A-Za-z]")))
+
+
 def symbols(token: str) -> str:
-    """A token over character classes: d digit, h a-f, l other lower, H A-F, U other upper, marks as they are."""
-    return "".join(
-        "d" if c.isdigit() else ("h" if c in "abcdef" else "l") if c.islower() else ("H" if c in "ABCDEF" else "U") if c.isupper() else c
-        for c in token
-    )
+    """A token with each run of letters and digits as its character set's symbol, once per character; marks stay."""
+    return "".join(next((k for k, chars in SETS if chars.fullmatch(r)), "b") * len(r) if r.isalnum() else r for r in RUN.findall(token))
+
+
+#: Symbols there are: those of runs, the marks a candidate may have, and the end.
+N_SYMBOLS = len(SETS) + 1 + len("+/_.=-") + 1
 
 
 class Automaton:
     """A probabilistic automaton inferred from strings by merging compatible states of their prefix tree."""
 
-    def __init__(self, strings: list[str], alpha: float = ALPHA):
+    def __init__(self, strings: list[str], alpha: float | None = None):
+        # the more strings, the fewer states may be merged by chance
+        alpha = min(0.5, 8 / max(len(strings), 1)) if alpha is None else alpha
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [{}]
         self.end = [0]
@@ -127,49 +140,58 @@ class Automaton:
                 red.append(q)
         self.states = len(red)
 
+    def _log(self, n: int, total: int) -> float:
+        """Smoothed log probability: over all symbols and the end it sums to one."""
+        return math.log((n + 0.1) / (total + 0.1 * N_SYMBOLS))
+
     def log_likelihood(self, string: str) -> float:
-        """Smoothed log likelihood per character; an unknown transition goes back to the start state."""
+        """Log likelihood per symbol, the end included; after an unknown transition all symbols are alike."""
         at, total = 0, 0.0
-        for c in string:
-            n = self._total(at)
-            total += math.log((self.count[at].get(c, 0) + 0.1) / (n + 2.0))
-            at = self.next[at].get(c, 0)
-        return total / max(len(string), 1)
+        for i, c in enumerate(string):
+            total += self._log(self.count[at].get(c, 0), self._total(at))
+            if c not in self.next[at]:
+                return (total - (len(string) - i) * math.log(N_SYMBOLS)) / (len(string) + 1)
+            at = self.next[at][c]
+        return (total + self._log(self.end[at], self._total(at))) / (len(string) + 1)
 
 
 class Scanner:
-    """The two automata, and the spans of a text."""
+    """An automaton for each kind of credential and one for ordinary tokens, and the spans of a text."""
 
-    def __init__(self, credentials: list[str], ordinary: list[str]):
-        self.secret, self.plain = Automaton(credentials), Automaton(ordinary)
-        self.learned = bool(credentials)
+    def __init__(self, credentials: dict[str, list[str]], ordinary: list[str]):
+        self.plain = Automaton(ordinary)
+        self.secret = {kind: Automaton(strings) for kind, strings in credentials.items() if strings}
+        fits = {kind: sorted(map(a.log_likelihood, credentials[kind])) for kind, a in self.secret.items()}
+        self.floor = {kind: f[len(f) // 20] - SLACK for kind, f in fits.items()}
 
-    def margin(self, token: str) -> float:
-        s = symbols(token)
-        return self.secret.log_likelihood(s) - self.plain.log_likelihood(s)
+    @property
+    def learned(self) -> bool:
+        return bool(self.secret)
 
     def reads_like_secret(self, token: str) -> bool:
-        return any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and self.margin(token) > LEAST_MARGIN
+        s = symbols(token)
+        fits = [fit for kind, a in self.secret.items() if (fit := a.log_likelihood(s)) >= self.floor[kind]]
+        return bool(fits) and (max(fits) - self.plain.log_likelihood(s)) * (len(s) + 1) > LEAST_MARGIN
 
-    def secret_parts(self, token: str) -> list[tuple[int, int]]:
-        """(start, end) within a candidate that read like a credential: the whole, or else pieces of it."""
-        if self.reads_like_secret(token):
+    def secret_parts(self, token: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """(start, end) within a candidate that read like a credential: the whole, or else pieces of it; none touches taken."""
+        if not taken and self.reads_like_secret(token):
             return [(0, len(token))]
         found = []
         for pieces in PIECES:
             for m in pieces.finditer(token):
-                apart = all(e <= m.start() or m.end() <= s for s, e in found)
+                apart = all(e <= m.start() or m.end() <= s for s, e in found + taken)
                 if LEAST_LENGTH <= m.end() - m.start() < len(token) and apart and self.reads_like_secret(m.group()):
                     found.append(m.span())
         return sorted(found)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """Base spans and `format` spans (tokens or pieces with a letter and a digit, no base span touching the token), sorted."""
+        """Base spans, and `format` spans (tokens or pieces that no base span touches), sorted."""
         base = base_spans(text)
         more = []
         for m in CANDIDATE.finditer(text) if self.learned else ():
-            if not any(s < m.end() and m.start() < e for s, _, e in base):
-                more += [(m.start() + s, 3, m.start() + e) for s, e in self.secret_parts(m.group())]
+            taken = [(s - m.start(), e - m.start()) for s, _, e in base if s < m.end() and m.start() < e]
+            more += [(m.start() + s, 3, m.start() + e) for s, e in self.secret_parts(m.group(), taken)]
         return sorted(base + more)
 
 
@@ -178,53 +200,52 @@ def _value(text: str, span: tuple[int, int, int]) -> str:
     return ASSIGN.match(text, start).group(2) if kind == 0 else text[start:end]
 
 
-def _least_hashes(strings: set[tuple[int, str]], most: int) -> set[tuple[int, str]]:
-    return set(sorted(strings)[:most])
-
-
 def fit(docs: DataFrame, max_strings: int = MAX_STRINGS) -> Scanner:
     """Infer the automata from at most max_strings distinct strings each, those of the least hashes in all documents.
 
-    A task keeps the least hashes of its own rows, so no more than max_strings of a kind leave it.
+    A task keeps the least hashes of its own rows, so no more than max_strings of a kind leave it. Only symbols
+    leave it, not the strings.
     """
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    kinds = (*KINDS[:3], "plain")
 
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = {"secret": set(), "plain": set()}
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, dict[int, str]] = {kind: {} for kind in kinds}
 
         def add(kind: str, token: str) -> None:
-            string = symbols(token[:MAX_LENGTH])
-            kept[kind].add((xxhash.xxh3_64_intdigest(string.encode()) >> 1, string))
-
-        for part in batches:
-            for text in part["text"]:
+            if len(token) <= MAX_LENGTH:
+                kept[kind][xxhash.xxh3_64_intdigest(token.encode()) >> 1] = token
+                if len(kept[kind]) > 8 * max_strings:
+                    kept[kind] = dict(sorted(kept[kind].items())[:max_strings])
+
+        for batch in batches:
+            for scalar in batch.column(0):
+                text = scalar.as_py()
                 base = base_spans(text)
                 for s in base:
-                    add("secret", _value(text, s))
+                    add(KINDS[s[1]], _value(text, s))
                 for m in CANDIDATE.finditer(text):
                     if not any(s < m.end() and m.start() < e for s, _, e in base):
                         add("plain", m.group())
-                for kind, strings in kept.items():
-                    if len(strings) > 8 * max_strings:
-                        kept[kind] = _least_hashes(strings, max_strings)
-        rows = [(kind, h, s) for kind, strings in kept.items() for h, s in _least_hashes(strings, max_strings)]
-        yield pd.DataFrame(rows, columns=["kind", "hash", "string"])
+        rows = [(kind, h, symbols(t)) for kind in kinds for h, t in sorted(kept[kind].items())[:max_strings]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["kind", "hash", "string"])
 
-    found = texts.mapInPandas(gather, "kind string, hash long, string string").distinct()
+    found = texts.mapInArrow(gather, "kind string, hash long, string string").distinct()
     place = F.row_number().over(Window.partitionBy("kind").orderBy("hash", "string"))
-    picked = found.withColumn("place", place).where(F.col("place") <= max_strings).collect()
-    strings = {kind: [r.string for r in sorted(picked, key=lambda r: r.place) if r.kind == kind] for kind in ("secret", "plain")}
-    return Scanner(strings["secret"], strings["plain"])
+    picked = sorted(found.withColumn("place", place).where(F.col("place") <= max_strings).collect(), key=lambda r: r.place)
+    strings = {kind: [r.string for r in picked if r.kind == kind] for kind in kinds}
+    return Scanner({kind: strings[kind] for kind in KINDS[:3]}, strings["plain"])
 
 
 def spans_udf(scanner: Scanner):
     """Column function: text -> array of (kind, start, end), code points, end exclusive, in order."""
 
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for texts in batches:
-            yield pd.Series([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scanner.spans(t or "")] for t in texts], dtype=object)
+            yield pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scanner.spans(t.as_py() or "")] for t in texts], span)
 
-    return F.pandas_udf(SPANS)(scan)
+    return F.arrow_udf(SPANS)(scan)
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -239,13 +260,16 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every span in text replaced by mark and n_chars recounted where text changed; same columns."""
+    """docs with every span in text replaced by mark, n_chars recounted where text is not null; same rows and columns.
+
+    Spans that overlap become one mark. Cases as in find_secrets; a null text stays null.
+    """
     scanner = fit(docs)
 
-    def redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def redact(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             out = []
-            for text in texts:
+            for text in (t.as_py() for t in texts):
                 spans = scanner.spans(text or "")
                 parts, at = [], 0
                 for start, _, end in spans:
@@ -253,9 +277,9 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                         parts += [text[at:start], mark]
                     at = max(at, end)
                 out.append("".join(parts) + text[at:] if spans else text)
-            yield pd.Series(out, dtype=object)
+            yield pa.array(out, pa.string())
 
-    clean = F.pandas_udf("string")(redact)(F.col("text").cast("string"))
+    clean = F.arrow_udf("string")(redact)(F.col("text").cast("string"))
     out = docs.withColumn("text", clean)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns) if "n_chars" in docs.columns else out
 

@@ -1,21 +1,19 @@
 """URL filters: fixed rules, then link-graph propagation, in DataFrame operations only.
 
-Edges run between hosts: hyperlinks of a page to another host, and both ways between a host and its
-parent below the registered domain (www.a.example.com and a.example.com). Trust starts from hosts with
-allow-ruled pages and follows the links; distrust starts from hosts whose name has a blocked word and
-follows the links backwards, to those who link there. Both are personalised PageRank; per host, the url
-is blocked when distrust outweighs trust and is above a threshold.
+Edges run between hosts: hyperlinks of a page to another host, resolved against the page's own url and
+weighted by their number, and both ways between a host and its parent below the registered domain
+(www.a.example.com and a.example.com). Trusted seeds are the hosts of allow-ruled pages, blocked seeds those of
+block-ruled pages, each in proportion to its ruled pages. Trust follows the links; distrust follows them
+backwards, to those who link to blocked seeds. Both are personalised PageRank; a host is blocked when its
+distrust outweighs its trust and is above a threshold.
 """
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.tables import materialize, table
 
-LOG = logging.getLogger(__name__)
 #: Action, host, path of each rule.
 RULES = (
     ("block", "com", "/en/"),
@@ -24,15 +22,14 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Words in a host name that make it a blocked seed.
-BLOCKED_WORDS = ("adult", "ads-", "bets", "casino", "pills", "spam")
 DAMPING = 0.85
-#: Rounds of OP9_SQL, which has no test of convergence.
-ROUNDS = 8
-#: A host's distrust counts from this share of a seed's starting mass.
+#: A host's distrust counts from this share of what an average blocked seed starts from.
 LEAST_SHARE = 0.05
-#: Ranks are settled when all that is still to come adds up to less than this share of the least distrust.
-TOLERANCE = 0.01
+#: Longest walks that count, in links. All longer ones together hold 0.85^25 = 1.7 % of the seeds' mass, and a
+#: chain of single links falls below LEAST_SHARE after 18.
+ROUNDS = 24
+#: Rounds whose joins make up one job; then the ranks are written to the shared folder.
+ROUNDS_A_JOB = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,73 +54,80 @@ def with_rules(urls: DataFrame, rules=RULES) -> DataFrame:
     return urls.withColumn("rule", rule).withColumn("rule_action", action)
 
 
-def host_edges(urls: DataFrame) -> DataFrame:
-    """(src, dst, weight): pages of src that link to dst, and parent links of weight 1."""
-    targets = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?i)href\s*=\s*[\"']?(?:https?:)?//([^/\"'?#\s>]+)"), 1)
-    links = urls.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.array_distinct(targets)).alias("dst"))
-    links = links.select("src", F.translate("dst", UPPER, LOWER).alias("dst"))
-    hosts = urls.where("host <> ''").select("host").distinct()
-    child = hosts.where(F.size(F.split("host", r"\.")) > 3).select(F.col("host").alias("src"), F.expr("substring(host, instr(host, '.') + 1)").alias("dst"))
-    both = child.unionByName(child.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return links.unionByName(both).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+HREF = r"(?i)href\s*=\s*[\"']?([^\"'\s>]+)"
+TARGET = r"(?i)^(?:https?:)?//([^/?#]+)"
 
 
-def blocked_host(host):
-    """Whether a host name has a blocked word."""
-    found = F.lit(False)
-    for word in BLOCKED_WORDS:
-        found = found | host.contains(word)
-    return found
+def host_edges(urls: DataFrame) -> DataFrame:
+    """(src, dst, weight): links of pages of src to dst, and parent links of weight 1.
+
+    A link without a host of its own is resolved against its page's url and so stays on its host.
+    """
+    paged = urls.where("host <> ''")
+    links = paged.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), 1)).alias("href"))
+    target = F.translate(F.regexp_extract("href", TARGET, 1), UPPER, LOWER)
+    links = links.select("src", F.when(target == "", F.col("src")).otherwise(target).alias("dst")).where("src <> dst")
+    links = links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    hosts = paged.select("host").unionByName(links.select(F.col("dst").alias("host"))).distinct()
+    child = hosts.where(F.size(F.split("host", r"\.")) > 3).select(F.col("host").alias("src"), F.expr("substring(host, instr(host, '.') + 1)").alias("dst"))
+    both = child.unionByName(child.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(1.0))
+    return links.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, tolerance: float, damping: float = DAMPING) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """Personalised PageRank of seeds (host, trust0, distrust0) over edges: (host, trust, distrust).
 
     Trust follows src to dst in proportion to weight over the weights out of src, distrust follows dst to
-    src over the weights into dst. Tables are cut in the shared folder each round. A round takes damping of
-    the last one's change over all hosts at most, so what is still to come is bounded by the change; rounds
-    end when that bound is below tolerance.
+    src over the weights into dst. What a round passes on is kept apart from what has arrived, so a round
+    touches only hosts that got something in the last one, and the work ends when nothing moves any more.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("all_out"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("all_in"))
-    shares = materialize(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("weight") / F.col("all_out")).alias("down"), (F.col("weight") / F.col("all_in")).alias("up")), "edge-shares")
-    if shares.isEmpty():
-        return seeds.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
+    shares = edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("weight") / F.col("all_out")).alias("down"), (F.col("weight") / F.col("all_in")).alias("up"))
     zero = F.lit(0.0)
     moves = shares.select(F.col("src").alias("host"), F.col("dst").alias("to"), "down", zero.alias("up")).unionByName(shares.select(F.col("dst").alias("host"), F.col("src").alias("to"), zero.alias("down"), "up"))
-    moves = materialize(moves, "moves")
-    ranks = seeds.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
-    start = seeds.select("host", ((1 - damping) * F.col("trust0")).alias("trust"), ((1 - damping) * F.col("distrust0")).alias("distrust"))
-    rounds, change = 0, None
-    while change is None or change * damping / (1 - damping) >= tolerance:
-        sent = moves.join(ranks, "host").select(F.col("to").alias("host"), (damping * F.col("down") * F.col("trust")).alias("trust"), (damping * F.col("up") * F.col("distrust")).alias("distrust"))
-        new = materialize(sent.unionByName(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "ranks")
-        both = new.unionByName(ranks.select("host", (-F.col("trust")).alias("trust"), (-F.col("distrust")).alias("distrust")))
-        moved = both.groupBy("host").agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).agg(F.sum(F.abs("t")).alias("t"), F.sum(F.abs("d")).alias("d")).first()
-        ranks, rounds, change = new, rounds + 1, max(moved.t or 0.0, moved.d or 0.0)
-    LOG.info("host ranks settled after %d rounds", rounds)
-    return ranks
+    moves = materialize(moves.groupBy("host", "to").agg(F.sum("down").alias("down"), F.sum("up").alias("up")), "moves")
+    rest = 1 - damping
+    start = seeds.select("host", (rest * F.col("trust0")).alias("trust"), (rest * F.col("distrust0")).alias("distrust"))
+    arrived, moving = [start], start.where("trust > 0 or distrust > 0")
+    for at in range(0, rounds, ROUNDS_A_JOB):
+        told = []
+        for step in range(at, min(at + ROUNDS_A_JOB, rounds)):
+            sent = moves.join(moving, "host").select(F.col("to").alias("host"), (damping * F.col("down") * F.col("trust")).alias("trust"), (damping * F.col("up") * F.col("distrust")).alias("distrust"))
+            moving = sent.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+            told.append(moving.withColumn("step", F.lit(step)))
+        job = told[0]
+        for more in told[1:]:
+            job = job.unionByName(more)
+        job = materialize(job, "ranks")
+        arrived.append(job.select("host", "trust", "distrust"))
+        moving = job.where(F.col("step") == min(at + ROUNDS_A_JOB, rounds) - 1).select("host", "trust", "distrust").where("trust > 0 or distrust > 0")
+        if moving.isEmpty():
+            break
+    total = arrived[0]
+    for more in arrived[1:]:
+        total = total.unionByName(more)
+    return total.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages.
 
     Defined cases: a null url or one without :// has empty host and path, no rule and the verdict allow; a
-    null html has no links; repeated rows count as further evidence; null page_ids are kept; an empty table
-    gives an empty result.
+    null html has no links; repeated rows count as further evidence; null page_ids are kept; equal trust and
+    distrust allow; without blocked seeds all is allowed; an empty table gives an empty result. Other columns
+    than page_id, url and html are not read.
     """
     urls = with_rules(split_urls(pages), rules)
-    hosts = urls.where("host <> ''").groupBy("host").agg(F.sum((F.coalesce("rule_action", F.lit("")) == "allow").cast("long")).alias("allowed"))
-    edges = materialize(host_edges(urls), "host-edges")
-    linked = edges.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0).cast("long").alias("allowed"))
-    hosts = hosts.unionByName(linked).groupBy("host").agg(F.sum("allowed").alias("allowed"))  # hosts without a page can be seeds too
-    hosts = hosts.withColumn("bad", blocked_host(F.col("host"))).withColumn("allowed", F.when(F.col("bad"), 0).otherwise(F.col("allowed")))
-    hosts = materialize(hosts, "hosts")
-    total = hosts.agg(F.sum("allowed").alias("allowed"), F.sum(F.col("bad").cast("long")).alias("bad")).first()
-    seeds = hosts.select("host", (F.col("allowed") / float(total.allowed or 1)).alias("trust0"), (F.col("bad").cast("double") / float(total.bad or 1)).alias("distrust0"))
-    least = LEAST_SHARE * (1 - DAMPING) / float(total.bad or 1)
-    ranks = propagate(seeds, edges, TOLERANCE * least)
-    blocked = materialize(ranks.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") > least)).select("host", F.lit(True).alias("host_blocked")), "blocked-hosts")
+    acted = [F.sum((F.coalesce("rule_action", F.lit("")) == act).cast("double")).alias(name) for act, name in (("allow", "allowed"), ("block", "blocked"))]
+    hosts = materialize(urls.where("host <> ''").groupBy("host").agg(*acted), "hosts")
+    total = hosts.agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"), F.sum((F.col("blocked") > 0).cast("long")).alias("n")).first()
+    seeds = hosts.select("host", (F.col("allowed") / (total.allowed or 1.0)).alias("trust0"), (F.col("blocked") / (total.blocked or 1.0)).alias("distrust0"))
+    ranks = propagate(seeds, materialize(host_edges(urls), "host-edges"))
+    least = LEAST_SHARE * (1 - DAMPING) / (total.n or 1)
+    # rounded, so that equal ranks are equal whatever the order of their sums
+    worse = (F.round(F.col("distrust") / least, 6) > F.round(F.col("trust") / least, 6)) & (F.round(F.col("distrust") / least, 6) > 1)
+    blocked = ranks.where(worse).select("host", F.lit(True).alias("host_blocked"))
     out = urls.drop("html").join(blocked, "host", "left")
     verdict = F.coalesce("rule_action", F.when(F.col("host_blocked"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
@@ -138,29 +142,32 @@ def _sql() -> str:
     fits = [(h + p, a, f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))") for a, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
     rule = "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for r, _, c in fits) + " END"
     action = "CASE " + " ".join(f"WHEN {c} THEN '{a}'" for _, a, c in fits) + " END"
-    bad = " OR ".join(f"contains(host, '{w}')" for w in BLOCKED_WORDS)
     rounds = "".join(
-        f""", r{i + 1} AS MATERIALIZED (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
-  SELECT m.dst AS host, {DAMPING} * m.down * r.trust AS trust, {DAMPING} * m.up * r.distrust AS distrust FROM moves m JOIN r{i} r ON r.host = m.src
-  UNION ALL SELECT host, (1 - {DAMPING}) * trust, (1 - {DAMPING}) * distrust FROM r0) GROUP BY host)"""
+        f""", r{i + 1} AS MATERIALIZED (SELECT m.dst AS host, sum({DAMPING} * m.down * r.trust) AS trust, sum({DAMPING} * m.up * r.distrust) AS distrust
+  FROM moves m JOIN r{i} r ON r.host = m.src GROUP BY m.dst)"""
         for i in range(ROUNDS)
     )
+    everything = " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(ROUNDS + 1))
+    least = LEAST_SHARE * (1 - DAMPING)
+    href = HREF.replace('\\"', '"').replace("'", "''")
     return rf"""
 WITH u AS (
   SELECT page_id, coalesce(html, '') AS html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages
 ), j AS (SELECT *, {rule} AS rule, {action} AS act FROM u),
-h AS (SELECT host, bool_or({bad}) AS bad, sum(CASE WHEN act = 'allow' AND NOT ({bad}) THEN 1 ELSE 0 END) AS allowed FROM j WHERE host <> '' GROUP BY host),
-tot AS (SELECT greatest(sum(allowed), 1) AS a, greatest(sum(CASE WHEN bad THEN 1 ELSE 0 END), 1) AS b FROM h),
-r0 AS (SELECT host, allowed / a AS trust, CASE WHEN bad THEN 1.0 ELSE 0.0 END / b AS distrust FROM h, tot),
-links AS (
-  SELECT host AS src, translate(dst, '{UPPER}', '{LOWER}') AS dst FROM (SELECT host, unnest(list_distinct(regexp_extract_all(html, '(?i)href\s*=\s*["'']?(?:https?:)?//([^/"''?#\s>]+)', 1))) AS dst FROM j WHERE host <> '')
-  UNION ALL SELECT host, regexp_replace(host, '^[^.]*\.', '') FROM h WHERE len(string_split(host, '.')) > 3
-  UNION ALL SELECT regexp_replace(host, '^[^.]*\.', ''), host FROM h WHERE len(string_split(host, '.')) > 3
-), e AS (SELECT src, dst, count(*) AS w FROM links WHERE src <> dst GROUP BY src, dst),
+h AS (SELECT host, sum(CASE WHEN act = 'block' THEN 1 ELSE 0 END) AS blocked, sum(CASE WHEN act = 'allow' THEN 1 ELSE 0 END) AS allowed FROM j WHERE host <> '' GROUP BY host),
+tot AS (SELECT greatest(sum(allowed), 1) AS a, greatest(sum(blocked), 1) AS b, greatest(sum(CASE WHEN blocked > 0 THEN 1 ELSE 0 END), 1) AS n FROM h),
+r0 AS (SELECT host, (1 - {DAMPING}) * allowed / a AS trust, (1 - {DAMPING}) * blocked / b AS distrust FROM h, tot),
+l0 AS (SELECT host AS src, translate(regexp_extract(href, '{TARGET}', 1), '{UPPER}', '{LOWER}') AS dst
+  FROM (SELECT host, unnest(regexp_extract_all(html, '{href}', 1)) AS href FROM j WHERE host <> '')),
+l1 AS (SELECT src, dst, count(*) AS w FROM l0 WHERE dst <> '' AND src <> dst GROUP BY src, dst),
+k AS (SELECT host FROM h UNION SELECT dst FROM l1),
+ch AS (SELECT host, regexp_replace(host, '^[^.]*\.', '') AS parent FROM k WHERE len(string_split(host, '.')) > 3),
+e AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM l1 UNION ALL SELECT host, parent, 1 FROM ch UNION ALL SELECT parent, host, 1 FROM ch) GROUP BY src, dst),
 s AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS down, w / sum(w) OVER (PARTITION BY dst) AS up FROM e),
-moves AS (SELECT src, dst, down, 0.0 AS up FROM s UNION ALL SELECT dst, src, 0.0, up FROM s){rounds},
-blocked AS (SELECT host FROM r{ROUNDS}, tot WHERE distrust > trust AND distrust > {LEAST_SHARE * (1 - DAMPING)} / b)
+moves AS (SELECT src, dst, sum(down) AS down, sum(up) AS up FROM (SELECT src, dst, down, 0.0 AS up FROM s UNION ALL SELECT dst, src, 0.0, up FROM s) GROUP BY src, dst){rounds},
+ranks AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM ({everything}) GROUP BY host),
+blocked AS (SELECT host FROM ranks, tot WHERE round(distrust / ({least} / n), 6) > round(trust / ({least} / n), 6) AND round(distrust / ({least} / n), 6) > 1)
 SELECT page_id, host, path, rule, coalesce(act, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM j
 """
 

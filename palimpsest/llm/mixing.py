@@ -5,7 +5,7 @@ release floor(k P / c_i) and deadline ceil((k + 1) P / c_i), and in every slot t
 earliest deadline runs. As the slots are used up exactly, every block lies in its window, so in every
 prefix of the schedule a source is less than one block away from its weight. The schedule depends on the
 weights alone and repeats every period, so one period is worked out (an aggregate over its slots, on one
-small row) and block b of source i goes to slot (b div c_i) P + slot_i(b mod c_i).
+row of all sources) and block b of source i goes to slot (b div c_i) P + slot_i(b mod c_i).
 
 Within its source a document's place is its rank by md5 of doc_id. The rank is found without sorting a
 source as one group: the md5 range is cut into pieces of about RANGE_DOCS documents, counted, and ranked
@@ -23,15 +23,19 @@ BLOCK_DOCS = 16
 RANGE_DOCS = 1000
 
 
+#: Helper columns are named with this prefix, which columns of docs may not have.
+OWN = "__mix_"
+
+
 def target_slots(sizes: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(mix_source, n_docs) -> (mix_source, n_docs, slots): slots of a period in proportion to the root of n_docs.
+    """(mix_source, n_docs, target) -> the same with period and slots: slots of a period in proportion to target.
 
     Largest remainders fill the period; every source gets one slot at least, a period of fewer than four
     slots per source is lengthened. The table has one row per source.
     """
     everything = Window.partitionBy(F.lit(1))
     spread = sizes.withColumn("period", F.greatest(F.lit(period), 4 * F.count("*").over(everything)))
-    spread = spread.withColumn("share", (F.col("period") - F.count("*").over(everything)) * F.sqrt("n_docs") / F.sum(F.sqrt("n_docs")).over(everything))
+    spread = spread.withColumn("share", (F.col("period") - F.count("*").over(everything)) * F.col("target") / F.sum("target").over(everything))
     spread = spread.withColumn("whole", F.floor("share"))
     spare = F.col("period") - F.count("*").over(everything) - F.sum("whole").over(everything)
     place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round(F.col("share") - F.col("whole"), 9)), "mix_source"))
@@ -39,7 +43,12 @@ def target_slots(sizes: DataFrame, period: int = PERIOD) -> DataFrame:
 
 
 def period_schedule(weights: DataFrame) -> DataFrame:
-    """Earliest deadline first over one period: (mix_source, nth, slot, slots, period), one row per slot."""
+    """Earliest deadline first over one period: (mix_source, nth, slot, slots, period), one row per slot.
+
+    The sources of one period are one row, and a slot looks at each of them: the time is that of the period
+    times the number of sources, so this is for up to a few thousand sources (1,000 take seconds). It does
+    not depend on the number of documents.
+    """
     one = weights.groupBy().agg(F.sort_array(F.collect_list(F.struct("mix_source", "slots"))).alias("s"), F.first("period").cast("long").alias("p")).where("p is not null")
     step = """
       aggregate(
@@ -57,46 +66,60 @@ def period_schedule(weights: DataFrame) -> DataFrame:
     return slots.withColumn("nth", nth.cast("long"))
 
 
-def mix(docs: DataFrame, source: str = "source", block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
-    """docs, all rows and columns, with mix_rank, mix_block, mix_slot, mix_release, mix_deadline.
+def _targets(sizes: DataFrame, weights: dict[str, float] | DataFrame | None) -> DataFrame:
+    """sizes with target: the given weight of each source, or the root of its size where no weights are given."""
+    if weights is None:
+        return sizes.withColumn("target", F.sqrt("n_docs"))
+    if isinstance(weights, dict):
+        weights = sizes.sparkSession.createDataFrame(list(weights.items()), "mix_source string, target double")
+    named = weights.select(F.coalesce(F.col(weights.columns[0]).cast("string"), F.lit("")).alias("mix_source"), F.col(weights.columns[1]).cast("double").alias("target"))
+    named = named.groupBy("mix_source").agg(F.max("target").alias("target"))
+    return sizes.join(named, "mix_source", "left").withColumn("target", F.greatest(F.coalesce("target", F.lit(0.0)), F.lit(1e-9)))
 
-    Reading by (mix_slot, mix_rank) gives the mixture. mix_rank counts a source's documents from 0,
-    mix_block is its block of block_docs documents. While every source lasts, the deviation bound holds;
-    afterwards the slots of exhausted sources stay empty and nothing is dropped or repeated.
 
-    Defined cases: a null source counts as the source ''; a null doc_id ranks by the md5 of '' ; equal
-    doc_ids rank next to each other in any order; an empty table gives an empty result; columns of docs
-    keep their values, those named mix_* are replaced.
+def mix(docs: DataFrame, source: str = "source", block_docs: int = BLOCK_DOCS, period: int = PERIOD, weights: dict[str, float] | DataFrame | None = None) -> DataFrame:
+    """docs, all rows and columns, with mix_rank, mix_block, mix_slot, mix_release, mix_deadline.
+
+    weights gives the target weight of each source, as a dictionary or as a table (source, weight) of one row
+    per source; without it, weights are the roots of the sources' sizes. A source without a weight, or with
+    none above 0, gets the least share there is, one slot of a period. Reading by (mix_slot, mix_rank) gives the
+    mixture. mix_rank counts a source's documents from 0, mix_block is its block of block_docs documents. While
+    every source lasts, the deviation bound holds; afterwards the slots of exhausted sources stay empty and
+    nothing is dropped or repeated.
+
+    Defined cases: a null source counts as the source ''; rows with a null doc_id rank by a hash of the whole
+    row and so are spread like others; equal doc_ids, and equal rows, rank next to each other in any order; an
+    empty table gives an empty result; columns of docs keep their values, those named mix_rank, mix_block,
+    mix_slot, mix_release and mix_deadline are replaced. Helper columns are named __mix_*, and docs may have no
+    columns of such names.
     """
-    spark = docs.sparkSession
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    keyed = docs.withColumn("mix_source", F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn("mix_key", key)
-    sizes = materialize(keyed.groupBy("mix_source").agg(F.count("*").alias("n_docs")), "source-sizes")
-    schedule = materialize(period_schedule(target_slots(sizes, period)), "period-schedule")
-    piece = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("double") / float(1 << 32) * F.ceil(F.col("n_docs") / RANGE_DOCS)).cast("long")
-    cut = keyed.join(sizes, "mix_source").withColumn("mix_piece", piece).drop("n_docs")
-    counts = materialize(cut.groupBy("mix_source", "mix_piece").agg(F.count("*").alias("n")), "piece-sizes")
-    before = F.sum("n").over(Window.partitionBy("mix_source").orderBy("mix_piece")) - F.col("n")
-    offsets = materialize(counts.select("mix_source", "mix_piece", before.alias("before")), "piece-offsets")
-    within = F.row_number().over(Window.partitionBy("mix_source", "mix_piece").orderBy("mix_key", "doc_id")) - 1
-    ranked = cut.withColumn("mix_within", within).join(offsets, ["mix_source", "mix_piece"])
-    ranked = ranked.withColumn("mix_rank", (F.col("before") + F.col("mix_within")).cast("long")).withColumn("mix_block", F.expr(f"mix_rank div {block_docs}"))
-    per_source = schedule.select("mix_source", "slots", "period").distinct()
-    ranked = ranked.join(per_source, "mix_source").withColumn("nth", F.col("mix_block") % F.col("slots"))
-    placed = ranked.join(schedule.select("mix_source", "nth", "slot"), ["mix_source", "nth"])
-    base = F.expr("mix_block div slots") * F.col("period")
-    placed = (
-        placed.withColumn("mix_slot", base + F.col("slot"))
-        .withColumn("mix_release", base + F.expr("(nth * period) div slots"))
-        .withColumn("mix_deadline", base + F.expr("((nth + 1) * period + slots - 1) div slots"))
-    )
     added = ["mix_rank", "mix_block", "mix_slot", "mix_release", "mix_deadline"]
-    return placed.select(*[c for c in docs.columns if c not in added], *added)
-
-
-def mixed_order(docs: DataFrame) -> DataFrame:
-    """docs with mix_slot, laid out in the order of the mixture."""
-    ordered = mix(docs).orderBy("mix_slot", "mix_rank")
+    src, key, n, piece, within, before, nth, slots, per, slot, rank, block = (OWN + x for x in ("source", "key", "n", "piece", "within", "before", "nth", "slots", "period", "slot", "rank", "block"))
+    plain = [F.col(c).cast("string") for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    whole_row = F.concat(F.lit("row "), F.xxhash64(*[F.coalesce(c, F.lit("")) for c in plain]).cast("string"))
+    md5 = F.md5(F.coalesce(F.col("doc_id").cast("string"), whole_row).cast("binary"))
+    keyed = docs.withColumn(src, F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn(key, md5)
+    sizes = materialize(keyed.groupBy(F.col(src).alias("mix_source")).agg(F.count("*").alias("n_docs")), "source-sizes")
+    schedule = materialize(period_schedule(target_slots(_targets(sizes, weights), period)), "period-schedule")
+    sized = sizes.select(F.col("mix_source").alias(src), F.col("n_docs").alias(n))
+    at = F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(1 << 32) * F.ceil(F.col(n) / RANGE_DOCS)).cast("long")
+    cut = keyed.join(sized, src).withColumn(piece, at).drop(n)
+    counts = materialize(cut.groupBy(src, piece).agg(F.count("*").alias(n)), "piece-sizes")
+    offsets = materialize(counts.select(src, piece, (F.sum(n).over(Window.partitionBy(src).orderBy(piece)) - F.col(n)).alias(before)), "piece-offsets")
+    number = F.row_number().over(Window.partitionBy(src, piece).orderBy(key, "doc_id")) - 1
+    ranked = cut.withColumn(within, number).join(offsets, [src, piece])
+    ranked = ranked.withColumn(rank, (F.col(before) + F.col(within)).cast("long")).withColumn(block, F.expr(f"{rank} div {block_docs}"))
+    planned = schedule.select(F.col("mix_source").alias(src), F.col("nth").alias(nth), F.col("slot").alias(slot), F.col("slots").alias(slots), F.col("period").alias(per))
+    ranked = ranked.join(planned.select(src, slots, per).distinct(), src).withColumn(nth, F.col(block) % F.col(slots))
+    placed = ranked.join(planned.select(src, nth, slot), [src, nth])
+    base = F.expr(f"{block} div {slots}") * F.col(per)
+    values = [F.col(rank), F.col(block), base + F.col(slot), base + F.expr(f"({nth} * {per}) div {slots}"), base + F.expr(f"(({nth} + 1) * {per} + {slots} - 1) div {slots}")]
+    return placed.select(*[c for c in docs.columns if c not in added], *[v.alias(c) for v, c in zip(values, added, strict=True)])
+
+
+def mixed_order(docs: DataFrame, weights: dict[str, float] | DataFrame | None = None) -> DataFrame:
+    """docs with mix_slot, laid out in the order of the mixture; cases as in mix."""
+    ordered = mix(docs, weights=weights).orderBy("mix_slot", "mix_rank")
     return ordered.drop("mix_rank", "mix_block", "mix_release", "mix_deadline")
 
 

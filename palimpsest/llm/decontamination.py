@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.textkernel import mix, odd_constants, text_bytes
+from palimpsest.llm.textkernel import WordHasher, mix, odd_constants, slices, text_bytes
 from palimpsest.tables import materialize, table
 
 #: Fixed masks: 1 takes part, 0 is ignored. Together they lose no overlap of LEAST_WORDS and LEAST_PERCENT or more.
@@ -35,15 +35,13 @@ HITS = "doc_id long, text_key long, tokens array<long>, hit_hash array<long>, hi
 OVERLAPS = "text_key long, item_key long, doc_start long, item_start long, n_tokens long, n_equal long"
 
 
-class TokenHasher(dict):
+class TokenHasher(WordHasher):
     """word -> hash of its normal form; 0 for a word of marks only."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        token = word.strip(MARKS).decode("utf-8", "replace").lower().encode()
-        value = self[word] = xxhash.xxh3_64_intdigest(token) | 1 if token else 0
-        return value
+    def value(self, word: bytes) -> int:
+        token = word.strip(MARKS)
+        token = token.lower() if token.isascii() else token.decode("utf-8", "replace").lower().encode()
+        return xxhash.xxh3_64_intdigest(token) | 1 if token else 0
 
 
 def tokens_of(text: bytes | None, hasher: TokenHasher) -> tuple[np.ndarray, np.ndarray]:
@@ -132,33 +130,46 @@ def bloom_filter(seeds: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
+def _maybe_seeds(tokens: np.ndarray, left: np.ndarray, mask: str, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes under a mask that the Bloom filter lets through; left: tokens from a position to its text's end."""
+    bloom_bits = (64 * len(bits)).bit_length() - 1
+    h = seed_hashes(tokens, mask)
+    at = np.flatnonzero(left[: len(h)] >= len(mask))
+    for k in range(BLOOM_HASHES):
+        slot = _slots(h[at], k, bloom_bits)
+        at = at[(bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1]
+    return at, h[at]
+
+
 def _find_hits(shared, masks):
+    """Texts with seeds that the filter lets through. The texts of a piece of a batch are hashed as one row of tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint64)
-        bloom_bits = (64 * len(bits)).bit_length() - 1
         hasher = TokenHasher()
-        for batch in (b.slice(at, 1024) for b in batches for at in range(0, len(b), 1024)):
-            ids, keys, out = [], [], []
-            for doc_id, text, key in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                tokens, _ = tokens_of(text, hasher)
-                hashes, places = [], []
-                for mask in masks:
-                    h = seed_hashes(tokens, mask)
-                    at = np.arange(len(h), dtype=np.int32)
-                    for k in range(BLOOM_HASHES):
-                        slot = _slots(h[at], k, bloom_bits)
-                        at = at[(bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1]
-                        if not len(at):
-                            break
-                    else:
-                        hashes.append(h[at].view(np.int64))
-                        places.append(at)
-                if hashes:
-                    ids.append(doc_id)
-                    keys.append(key)
-                    out.append((tokens.view(np.int64), np.concatenate(hashes), np.concatenate(places)))
-            lists = [_lists([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), *lists], names=["doc_id", "text_key", "tokens", "hit_hash", "hit_at"])
+        for batch in batches:
+            for at, end in slices(batch.column(1), 1 << 20, 512):
+                part = batch.slice(at, end - at)
+                texts = [tokens_of(text, hasher)[0] for text in text_bytes(part.column(1))]
+                size = np.array([len(t) for t in texts], np.int64)
+                first = np.cumsum(size) - size
+                tokens = np.concatenate(texts)
+                left = np.repeat(first + size, size) - np.arange(len(tokens))
+                found = [_maybe_seeds(tokens, left, mask, bits) for mask in masks]
+                spot, h = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(2))
+                text = np.searchsorted(first + size, spot, side="right")  # texts without tokens are skipped
+                order = np.argsort(text, kind="stable")
+                spot, h, text = spot[order], h[order].astype(np.uint64).view(np.int64), text[order]
+                hit, start = np.unique(text, return_index=True)
+                ends = np.append(start, len(text)).astype(np.int32)
+                columns = [
+                    part.column(0).take(pa.array(hit)),
+                    part.column(2).take(pa.array(hit)),
+                    _lists([texts[i].view(np.int64) for i in hit.tolist()], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(h)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array((spot - first[text]).astype(np.int32))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "tokens", "hit_hash", "hit_at"])
 
     return run
 
@@ -183,13 +194,16 @@ def overlaps_on(same: np.ndarray, least_words: int, least_percent: int) -> list[
 
 
 def _verify(least_words: int, least_percent: int):
+    """The aligned tokens of an item and a text on a diagonal -> their overlaps."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text_key, item_key, item_tokens, shift, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            keys = (batch.column(i).to_pylist() for i in range(4))
+            sides = (batch.column(i) for i in (4, 5))
+            for text_key, item_key, n, shift, ours, theirs in zip(*keys, *sides, strict=True):
                 lo = max(0, shift)
-                n = len(item_tokens)
-                same = np.array(tokens, np.int64) == np.array(item_tokens[lo - shift : lo - shift + len(tokens)], np.int64)
+                same = ours.values.to_numpy(zero_copy_only=False) == theirs.values.to_numpy(zero_copy_only=False)
                 if n < least_words:  # a short item is compared as a whole
                     whole = len(same) == n and 100 * int(same.sum()) >= least_percent * n
                     found = [(0, n, int(same.sum()))] if whole else []
@@ -229,7 +243,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAS
     met = spots.join(seeds, "hash").select("text_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     sides = met.join(items.select("item_key", "item_tokens"), "item_key").join(hits.select("text_key", "tokens").dropDuplicates(["text_key"]), "text_key")
     length = F.least(F.size("tokens"), F.col("shift") + F.size("item_tokens")) - F.greatest(F.lit(0), "shift")
-    sides = sides.select("text_key", "item_key", "item_tokens", "shift", F.slice("tokens", F.greatest(F.lit(0), "shift") + 1, length).alias("tokens"))
+    ours, theirs = F.slice("tokens", F.greatest(F.lit(0), "shift") + 1, length), F.slice("item_tokens", F.greatest(F.lit(0), -F.col("shift")) + 1, length)
+    sides = sides.select("text_key", "item_key", F.size("item_tokens").cast("long").alias("n"), F.col("shift").cast("long").alias("shift"), ours.alias("ours"), theirs.alias("theirs"))
     found = sides.mapInArrow(_verify(least_words, least_percent), OVERLAPS)
     told = found.join(named.select("item_id", "item_key").distinct(), "item_key").join(hits.select("doc_id", "text_key").distinct(), "text_key")
     return told.select("doc_id", "text_key", "item_id", "doc_start", "item_start", "n_tokens", "n_equal")

@@ -5,6 +5,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,9 +64,65 @@ def test_substring_dedup_against_brute_force(spark, docs, empty):
     got = [(r.doc_id, r.n_words, r.kept_text) for r in substring_dedup.dedup_substrings(docs).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert substring_dedup.dedup_substrings(empty).count() == 0
-    history = substring_dedup.compact_runs(substring_dedup.block_runs(docs, 4, 8), 8)
-    again = substring_dedup.dedup_substrings(docs.where("doc_id < 5"), history=history, buckets=8, doc_ids_per_block=4)
-    assert again.where("n_words >= 13 and kept_text <> ''").count() == 0
+    small = substring_dedup.plan_blocks(docs, block_bytes=2000, buckets=8)
+    assert small.n_blocks.sum() > 4
+    got = [(r.doc_id, r.n_words, r.kept_text) for r in substring_dedup.dedup_substrings(docs, plan=small).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    history = substring_dedup.compact_runs(substring_dedup.index_runs(docs, small), 8)
+    more = spark.createDataFrame([(70, prose(20, 77) + " " + table_rows()[9][1], None), (71, prose(30, 78), None)], "doc_id long, text string, fps string")
+    again = substring_dedup.dedup_substrings(docs.where("doc_id < 5").select("doc_id", "text").unionByName(more.select("doc_id", "text")), history=history, plan=substring_dedup.plan_blocks(docs, 2000, 8))
+    kept = {r.doc_id: r.kept_text for r in again.collect()}
+    assert kept[70] == prose(20, 77) and kept[71] == prose(30, 78) and not any(kept[i] for i in range(5))
+
+
+def test_blocks_of_sparse_and_repeated_ids(spark):
+    texts = [prose(60, 5000 + i % 40) for i in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10**15, texts[0])] + [(500, prose(60, 6000 + i)) for i in range(300)] + [(501, prose(60, 6000 + i)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plan = substring_dedup.plan_blocks(docs, block_bytes=4000, buckets=4)
+    sizes = substring_dedup._blocks(docs, plan).groupBy("block", "part").count().collect()
+    assert max(r["count"] for r in sizes) < 60 and len(sizes) > 40  # repeated ids are dealt to several parts
+    got = {(r.doc_id, r.kept_text) for r in substring_dedup.dedup_substrings(docs, plan=plan).collect()}
+    assert (10**15, "") in got and {t for d, t in got if d == 500} == {t for d, t in rows if d == 500} and {t for d, t in got if d == 501} == {""}
+
+
+def test_second_hashes_settle_equal_fingerprints(spark, docs, monkeypatch):
+    want = sorted((r.doc_id or -1, r.kept_text) for r in substring_dedup.dedup_substrings(docs).collect())
+    full = substring_dedup._Block.__init__
+
+    def coarse(self, docs, width, buckets):  # fingerprints of ten bits: nearly all windows collide
+        full(self, docs, width, buckets)
+        self.windows = self.windows & np.uint64(1023)
+        ordered = np.sort(self.windows)
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(ordered) else np.empty(0, bool)
+        self.fps, self.twice = ordered[new], np.diff(np.append(np.flatnonzero(new), len(ordered))) > 1
+        self.runs = self._by_bucket(self.bucket(self.fps))
+
+    rows = [r for r in table_rows() if r[0] is not None]
+    told = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    monkeypatch.setattr(substring_dedup._Block, "__init__", coarse)
+    parts = [told.filter(pa.compute.equal(pa.compute.bit_wise_and(told["doc_id"], 1), i)) for i in (0, 1)]
+    key = [(pa.scalar(i), pa.scalar(0)) for i in (0, 1)]
+    first = pa.concat_tables([substring_dedup._runs_of_block(13, 2, False)(k, t) for k, t in zip(key, parts, strict=True)]).sort_by([("bucket", "ascending"), ("block", "ascending")])
+    shared = pa.Table.from_batches(substring_dedup._find_shared(first.combine_chunks().to_batches()))
+    of = [shared.filter(pa.compute.equal(shared["block"], i)) for i in (0, 1)]
+    second = pa.concat_tables([substring_dedup._checks_of_block(13, 2)(*x) for x in zip(key, of, parts, strict=True)]).sort_by([("bucket", "ascending"), ("block", "ascending")])
+    seen = pa.Table.from_batches(substring_dedup._probe(second.combine_chunks().to_batches()))
+    out = substring_dedup._strip_block(13, 2)(key[0], pa.concat_tables([of[0], seen.filter(pa.compute.equal(seen["block"], 0))]), parts[0])
+    assert out.num_rows == parts[0].num_rows  # block 0 is all even ids, before any odd one
+    even = [r for r in rows if r[0] % 2 == 0]
+    first_at = {}
+    for d, t in sorted((r[0], r[1]) for r in even if r[1]):
+        w = t.split()
+        for i in range(len(w) - 12):
+            first_at.setdefault(tuple(w[i : i + 13]), d)
+    for d, text in zip(out["doc_id"].to_pylist(), out["kept_text"].to_pylist(), strict=True):
+        w, gone = words(next(r[1] for r in even if r[0] == d)), set()
+        for i in range(len(w) - 12):
+            if first_at[tuple(w[i : i + 13])] < d:
+                gone.update(range(i, i + 13))
+        assert text == " ".join(x for i, x in enumerate(w) if i not in gone)
+    assert want
 
 
 def test_minhash_against_brute_force(docs, empty):
@@ -159,9 +217,16 @@ def test_secrets(docs, empty):
     assert secret_scan.find_secrets(empty).count() == 0
 
 
+BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def random_key(r, n, chars=BASE62):
+    return "".join(r.choice(chars) for _ in range(n - 3)) + "".join(map(r.choice, (chars[:26], chars[26:52] or chars, chars[-10:])))
+
+
 def test_secrets_behind_long_paths(spark):
     r = random.Random(3)
-    key = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(81)]
+    key = [random_key(r, 40) for _ in range(81)]
     path = [".".join(r.choice(VOCAB) for _ in range(12)) + ".v2" for _ in range(82)]
     rows = [(i, f'x token = "{key[i]}" y {path[i]} z') for i in range(80)]
     rows += [(90, f"{prose(10, 1)} {path[80]}.key={key[80]} {prose(10, 2)}"), (91, f"{prose(10, 3)} {path[81]} {prose(10, 4)}")]
@@ -170,6 +235,30 @@ def test_secrets_behind_long_paths(spark):
     assert clean[91] == rows[81][1]
 
 
+def test_formats_are_inferred(spark):
+    """Bare keys of formats seen in labelled values are found, ordinary identifiers and other lengths are not."""
+    r = random.Random(4)
+    hexa = "0123456789abcdef"
+    formats = (lambda: "ghk_" + random_key(r, 36), lambda: f"sk-{random_key(r, 20)}-{random_key(r, 24)}", lambda: "".join(r.choice(hexa.upper()) for _ in range(31)) + "7")
+    rows = [(i, f'{prose(6, i)} api_key: "{formats[i % 3]()}" {prose(6, i + 1)}') for i in range(150)]
+    ordinary = (lambda: f"mail{r.randint(1, 9)}.example.com", lambda: str(r.randint(10**15, 10**16 - 1)), lambda: "".join(r.choice(VOCAB) for _ in range(5)), lambda: f"build-{r.randint(2000, 2030)}-{r.choice(VOCAB)}-final")
+    rows += [(200 + i, f"{prose(6, i)} {ordinary[i % 4]()} {prose(6, i + 1)}") for i in range(200)]
+    planted = {500 + i: formats[i % 3]() for i in range(60)}
+    rows += [(d, f"{prose(6, d)} {key} {prose(6, d + 1)}") for d, key in planted.items()]
+    others = {600 + i: t for i, t in enumerate([ordinary[i % 4]() for i in range(80)] + [random_key(r, 19)[:17] for _ in range(5)])}
+    rows += [(d, f"{prose(6, d)} {t} {prose(6, d + 1)}") for d, t in others.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scanner = secret_scan.fit(docs)
+    assert scanner.secret["assign"].states > 10  # lengths and places of marks are states
+    got = {r.doc_id: {(s.start, s.end) for s in r.spans if s.kind == "format"} for r in secret_scan.find_secrets(docs).collect()}
+    texts = dict(rows)
+    found = [d for d, key in planted.items() if (texts[d].index(key), texts[d].index(key) + len(key)) in got[d]]
+    wrong = [d for d in list(range(200, 400)) + list(others) if got[d]]
+    assert len(found) / len(planted) > 0.95 and not wrong
+    total = sum(np.exp((len(s) + 1) * scanner.secret["assign"].log_likelihood(s)) for s in {secret_scan.symbols(k) for k in planted.values()})
+    assert total < 1  # likelihoods of different strings add up to less than one
+
+
 def test_a_rare_credential_is_learned(spark):
     docs = spark.range(80_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 777, f'x token = "{KEY}" y').otherwise("nothing here").alias("text"))
     assert secret_scan.fit(docs).learned
@@ -184,6 +273,20 @@ def test_line_frequency(spark, docs, empty):
     assert quality_rules.line_frequency(empty).count() == 0
 
 
+def test_lines_are_removed(spark):
+    rows = [(i, f"All rights reserved 20{i % 90 + 10}\n" + prose(40, i), "a", 1) for i in range(12)] + [(99, "All rights reserved 2024\nshort left here", "a", 5), (100, None, None, None), (50, prose(30, 50) + "\n\n" + prose(30, 51), "b", 7)]
+    got = quality_rules.clean_lines(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")).collect()
+    texts = {r.doc_id: (r.text, r.n_chars) for r in got}
+    assert texts == {i: (prose(40, i), len(prose(40, i))) for i in range(12)} | {50: (rows[-1][1], 7)}
+
+
+def test_a_line_above_the_absolute_limit(spark):
+    rows = [(i, ("same line in each\n" if i < 30 else "") + prose(30, i), "a") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert quality_rules.line_frequency(docs).where("n_removed_words > 0").count() == 0
+    assert quality_rules.line_frequency(docs, most_docs=20).where("n_removed_words = 4").count() == 30
+
+
 def test_mixing_stays_within_a_block(spark, docs, empty):
     rows = spark.createDataFrame([(i, "ab"[i % 7 > 4], "x") for i in range(700)], "doc_id long, source string, mix_slot string")
     got = mixing.mix(rows, block_docs=5, period=100).select("source", "mix_slot", "mix_release", "mix_deadline", "mix_block").distinct().toPandas()
@@ -197,20 +300,72 @@ def test_mixing_stays_within_a_block(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_url_filter(spark):
-    rows = [(1, "http://good.site.org/x", '<a href="http://www.casino-a.com/y">'), (2, "https://WWW.Casino-A.com/fr/1", ""), (3, None, None), (4, "nothing", ""), (5, "http://a.example.com/en/7?q", "<a href='//good.site.org/'>"), (6, "http://b.net/de/1#x", None)]
+def test_mixing_weights_names_and_missing_ids(spark):
+    rows = [(i if i % 3 else None, "abc"[i % 3 if i < 900 else 0], i, i, i, i, i, i, f"t{i}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, slots long, slot long, period long, before long, n_docs long, nth long, text string")
+    got = mixing.mix(docs, block_docs=4, period=100, weights={"a": 1.0, "b": 3.0, "zzz": 5.0})
+    assert got.columns[:9] == docs.columns
+    assert {tuple(r)[:9] for r in got.collect()} == set(rows)  # helper names don't touch columns of the same names
+    first = got.where("mix_slot < 100").groupBy("source").agg(F.countDistinct("mix_slot").alias("n")).collect()
+    share = {r.source: r.n for r in first}
+    assert abs(share["b"] - 3 * share["a"]) <= 4 and share["c"] == 1  # c has no weight and gets the least
+    pieces = [r.n for r in got.where("doc_id is null").groupBy("mix_rank", "source").agg(F.count("*").alias("n")).collect()]
+    assert max(pieces) == 1
+    table_of_weights = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("b", 2.0), ("zzz", 5.0)], "name string, share double")
+    assert {tuple(r) for r in mixing.mix(docs, block_docs=4, period=100, weights=table_of_weights).collect()} == {tuple(r) for r in got.collect()}
+
+
+def _ranks_by_brute_force(edges, seed, forward, damping=0.85, rounds=24):
+    out = {h: (1 - damping) * v for h, v in seed.items()}
+    moving = dict(out)
+    total = {}
+    for (a, b), w in edges.items():
+        key = a if forward else b
+        total[key] = total.get(key, 0) + w
+    for _ in range(rounds):
+        new = {}
+        for (a, b), w in edges.items():
+            x, y = (a, b) if forward else (b, a)
+            if x in moving:
+                new[y] = new.get(y, 0) + damping * moving[x] * w / total[x]
+        for h, v in new.items():
+            out[h] = out.get(h, 0) + v
+        moving = new
+    return out
+
+
+def test_url_rules(spark):
+    rows = [(1, "http://www.a.com/en/1", ""), (2, "https://WWW.A.com/fr/1", ""), (3, None, None), (4, "nothing", ""), (5, "http://b.example.com/en/7?q", "<a href='/x'>"), (6, "http://b.net/de/1#x", None), (7, "http://x.example.net/de/81", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages).collect()}
-    assert got[2] == ("www.casino-a.com", "/fr/1", None, "block") and got[3] == got[4] == ("", "", None, "allow")
-    assert got[5] == ("a.example.com", "/en/7", "example.com/en/7", "allow") and got[6][2:] == ("net/de/", "allow")
-    assert got[1][3] == "block"  # distrust 0.85 * 0.15 for its link, trust 0.85 * 0.15 / 2 from one of two trusted hosts
+    assert got[1] == ("www.a.com", "/en/1", "com/en/", "block") and got[3] == got[4] == ("", "", None, "allow")
+    assert got[2] == ("www.a.com", "/fr/1", None, "block")  # its host is a blocked seed
+    assert got[5] == ("b.example.com", "/en/7", "example.com/en/7", "allow") and got[6][2:] == ("net/de/", "allow") and got[7][2:] == ("example.net/de/8", "block")
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
-def test_distrust_of_hosts_without_a_page(spark):
-    rows = [(i, f"http://h{i}.org/", f'<a href="http://h{i + 1}.org/">') for i in range(12)] + [(12, "http://h12.org/", '<a href="http://casino.org/">'), (20, "http://other.org/", "")]
+def test_distrust_and_trust_reach_other_hosts(spark):
+    """No host below is a seed but bad.com and good.net: verdicts of the rest come by links alone."""
+    chain = [(i, f"http://h{i}.gov/", f'<a href="http://h{i + 1}.gov/">') for i in range(12)] + [(12, "http://h12.gov/", '<a href="http://bad.com/">')]
+    rows = chain + [(20, "http://bad.com/en/1", ""), (21, "http://good.net/de/1", '<a href="http://saved.gov/"><a href="//saved.gov/2"><A HREF=http://m.gov/>'), (22, "http://saved.gov/x", '<a href="http://bad.com/">'), (23, "http://other.gov/", '<a href="/bad.com/">'), (24, "http://m.gov/1", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages).collect()}
+    assert got == {i: "block" for i in range(13)} | {20: "block", 21: "allow", 22: "allow", 23: "allow", 24: "allow"}
+    edges = {(r.src, r.dst): r.weight for r in url_filter.host_edges(url_filter.with_rules(url_filter.split_urls(pages))).collect()}
+    assert edges[("good.net", "saved.gov")] == 2 and ("other.gov", "other.gov") not in edges
+    seeds = spark.createDataFrame([("bad.com", 0.0, 1.0), ("good.net", 1.0, 0.0)], "host string, trust0 double, distrust0 double")
+    ranks = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(seeds, spark.createDataFrame([(*k, w) for k, w in edges.items()], "src string, dst string, weight double")).collect()}
+    trust, distrust = _ranks_by_brute_force(edges, {"good.net": 1.0}, True), _ranks_by_brute_force(edges, {"bad.com": 1.0}, False)
+    for host in trust.keys() | distrust.keys():
+        assert ranks[host] == pytest.approx((trust.get(host, 0), distrust.get(host, 0)))
+    without = pages.where("page_id <> 21")  # what saved saved.gov is the link from a trusted host
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(without).collect()}[22] == "block"
+
+
+def test_links_to_hosts_without_a_page(spark):
+    rows = [(1, "http://bad.com/en/1", ""), (2, "http://a.gov/", '<a href="http://x.y.bad.org/">'), (3, "http://b.gov/", '<a href="http://hub.gov/">'), (4, "http://y.bad.org/es/1", "")]
     got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {i: "block" for i in range(13)} | {20: "allow"}  # 0.85^13 = 0.12 of a seed's share
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block"}  # x.y.bad.org has no page but a blocked parent
 
 
 def test_toxicity_and_language(spark, docs, empty):
@@ -231,6 +386,76 @@ def test_toxicity_and_language(spark, docs, empty):
     assert language_id.identify_languages(empty).count() == 0
 
 
+def test_letters(spark):
+    rows = [(1, "½ ²"), (2, "³ 12 ."), (3, "é"), (4, "дом"), (5, "  \n"), (6, None), (7, "_ 7"), (8, "x")] + [(10 + i, prose(30, i)) for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "en" if i >= 10 else None, "x") for i, t in rows], "doc_id long, text string, lang string, lang_pred string")
+    pred = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify_languages(docs).collect()}
+    assert {i for i, (lang, _) in pred.items() if lang == "und"} == {i for i, t in rows if not any(c.isalpha() for c in t or "")}
+    assert pred[1] == ("und", 0.0)
+
+
+def test_many_dirty_languages(spark):
+    docs = spark.createDataFrame([(i, prose(30, i), f"x{i}" if i < 300 else "en") for i in range(600)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, max_langs=5, max_docs=50)
+    assert len(model.langs) <= 5 and "en" in model.langs
+
+
+def test_svm_against_plain_descent():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((60, 5))
+    y = np.where(x[:, 0] - 0.5 * x[:, 1] + 0.3 + 0.3 * rng.standard_normal(60) > 0, 1, -1)
+    share = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y < 0).mean()) / len(y)
+
+    def loss(w, b):
+        return 0.5 * w @ w + 10.0 * (share * np.maximum(0, 1 - y * (x @ w + b)) ** 2).sum()
+
+    w, b = np.zeros(5), 0.0
+    for _ in range(20000):
+        slack = np.maximum(0, 1 - y * (x @ w + b)) * share * y
+        w, b = w - 2e-3 * (w - 20 * (x.T @ slack)), b + 2e-3 * 20 * slack.sum()
+    assert loss(*language_id.linear_svm(x, y, steps=2000)) == pytest.approx(loss(w, b), rel=1e-3)
+
+
+def test_expectation_maximisation_finds_accuracies():
+    rng = np.random.default_rng(2)
+    good = rng.random(20000) < 0.7
+    right = (0.95, 0.9, 0.8, 0.7, 0.85)
+    v = np.array([np.where(rng.random(20000) < 0.3, 2, np.where(rng.random(20000) < p, good, ~good)) for p in right]).T
+    patterns, counts = np.unique(v, axis=0, return_counts=True)
+    share, tab, post = quality_classifier.expectation_maximisation(patterns, counts.astype(float), steps=300)
+    assert share == pytest.approx(0.7, abs=0.03)
+    for k, p in enumerate(right):
+        assert tab[1, k, 1] / (tab[1, k, 1] + tab[1, k, 0]) == pytest.approx(p, abs=0.04)
+    prior = np.log([1 - share, share])
+    for pattern, q in zip(patterns[:40].tolist(), post[:40], strict=True):  # the posterior, vote by vote
+        z = [prior[c] + sum(np.log(tab[c, k, vote]) for k, vote in enumerate(pattern)) for c in (0, 1)]
+        assert q == pytest.approx(np.exp(z[1]) / (np.exp(z[0]) + np.exp(z[1])), abs=1e-3)
+
+
+def test_measures_against_brute_force():
+    def repeated(w, n):
+        seen = {}
+        for i in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[i : i + n]), []).append(i)
+        return len({j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + n)})
+
+    hasher = quality_classifier.FlaggedHasher()
+    for text in (prose(50, 1), prose(20, 2) + " " + prose(20, 2), "a b c d e f a b c d e f x", "Ä!! OK (x) --- 12, " * 3, "x" * 100_000, prose(40_000, 3)):
+        m, _ = quality_classifier.measures(text.encode(), hasher)
+        w = text.split()
+        assert m[2] == pytest.approx(repeated(w, 5) / len(w)) and m[8] == pytest.approx(repeated(w, 10) / len(w))
+        assert m[4] == pytest.approx(text.count("!") / len(w)) and m[0] == pytest.approx(sum(c in "#*$%&|<>" for c in text) / len(w))
+    assert quality_classifier.measures(None, hasher) is None and quality_classifier.measures(b" \n", hasher) is None
+
+
+def test_gradient_of_toxicity_reaches_misspellings(spark):
+    rows = [(i, prose(30, 1000 + i) + (" stupidest idiotic" if i % 3 == 0 else ""), i % 3 == 0) for i in range(300)]
+    weights, bias = toxicity.train([toxicity.document_ngrams(toxicity.letter_words(t.encode())) for _, t, _ in rows], np.array([int(b) for *_, b in rows]), np.array([2 / 3, 1 / 3]))
+    score = toxicity.word_scorer(weights[:, None], toxicity.SIZES)
+    unseen, plain = score([b"stupiddest", b"idiootic"])[:, 0], score([w.encode() for w in VOCAB[:50]])[:, 0]
+    assert unseen.min() > plain.max()
+
+
 def test_quality(spark, docs, empty):
     rows = [(i, prose(60, 2000 + i)) for i in range(60)] + [(100 + i, " ".join(w.upper() + "!!" for w in prose(60, 3000 + i).split())) for i in range(15)] + [(500, None), (501, "")]
     got = {r.doc_id: r.kept for r in quality_classifier.classify_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

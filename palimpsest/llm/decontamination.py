@@ -18,10 +18,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.textkernel import WordHasher, mix, odd_constants, slices, text_bytes
+from palimpsest.llm.textkernel import Words, mix, odd_constants, slices
 from palimpsest.tables import materialize, table
 
 #: Fixed masks: 1 takes part, 0 is ignored. Together they lose no overlap of LEAST_WORDS and LEAST_PERCENT or more.
@@ -35,21 +36,13 @@ HITS = "doc_id long, text_key long, tokens array<long>, hit_hash array<long>, hi
 OVERLAPS = "text_key long, item_key long, doc_start long, item_start long, n_tokens long, n_equal long"
 
 
-class TokenHasher(WordHasher):
-    """word -> hash of its normal form; 0 for a word of marks only."""
+MARK = np.isin(np.arange(256), list(MARKS))
 
-    def value(self, word: bytes) -> int:
-        token = word.strip(MARKS)
-        token = token.lower() if token.isascii() else token.decode("utf-8", "replace").lower().encode()
-        return xxhash.xxh3_64_intdigest(token) | 1 if token else 0
 
-
-def tokens_of(text: bytes | None, hasher: TokenHasher) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes and the word number of each."""
-    words = (text or b"").split()
-    h = np.fromiter(map(hasher.__getitem__, words), np.uint64, len(words))
-    at = np.flatnonzero(h)
-    return h[at], at
+def tokens_of(column: pa.Array) -> tuple[Words, np.ndarray]:
+    """The tokens of some texts, and their hashes: lower-cased words without marks at their ends."""
+    words = Words.of(pc.utf8_lower(column)).trimmed(MARK)
+    return words, words.hashes()
 
 
 def short_masks(n: int, least_percent: int) -> list[str]:
@@ -93,17 +86,18 @@ def _seeds_of(tokens: np.ndarray, masks) -> tuple[np.ndarray, np.ndarray]:
 
 def _bench_items(least_words: int, least_percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = TokenHasher()
         for batch in batches:
-            keys, out = [], []
-            for key, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                tokens, _ = tokens_of(text, hasher)
-                if len(tokens):
-                    masks = MASKS if len(tokens) >= least_words else short_masks(len(tokens), least_percent)
-                    keys.append(key)
-                    out.append((tokens.view(np.int64), *_seeds_of(tokens, masks)))
-            lists = [_lists([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *lists], names=["item_key", "item_tokens", "seed_hash", "seed_at"])
+            for at, end in slices(batch.column(1), 1 << 20, 512):
+                part = batch.slice(at, end - at)
+                words, h = tokens_of(part.column(1))
+                keys, out = [], []
+                for key, w, n in zip(part.column(0).to_pylist(), words.first.tolist(), words.count.tolist(), strict=True):
+                    if n:
+                        masks = MASKS if n >= least_words else short_masks(n, least_percent)
+                        keys.append(key)
+                        out.append((h[w : w + n].view(np.int64), *_seeds_of(h[w : w + n], masks)))
+                lists = [_lists([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *lists], names=["item_key", "item_tokens", "seed_hash", "seed_at"])
 
     return run
 
@@ -146,18 +140,13 @@ def _find_hits(shared, masks):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint64)
-        hasher = TokenHasher()
         for batch in batches:
             for at, end in slices(batch.column(1), 1 << 20, 512):
                 part = batch.slice(at, end - at)
-                texts = [tokens_of(text, hasher)[0] for text in text_bytes(part.column(1))]
-                size = np.array([len(t) for t in texts], np.int64)
-                first = np.cumsum(size) - size
-                tokens = np.concatenate(texts)
-                left = np.repeat(first + size, size) - np.arange(len(tokens))
-                found = [_maybe_seeds(tokens, left, mask, bits) for mask in masks]
+                words, tokens = tokens_of(part.column(1))
+                found = [_maybe_seeds(tokens, words.left, mask, bits) for mask in masks]
                 spot, h = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(2))
-                text = np.searchsorted(first + size, spot, side="right")  # texts without tokens are skipped
+                text = words.text[spot]
                 order = np.argsort(text, kind="stable")
                 spot, h, text = spot[order], h[order].astype(np.uint64).view(np.int64), text[order]
                 hit, start = np.unique(text, return_index=True)
@@ -165,9 +154,9 @@ def _find_hits(shared, masks):
                 columns = [
                     part.column(0).take(pa.array(hit)),
                     part.column(2).take(pa.array(hit)),
-                    _lists([texts[i].view(np.int64) for i in hit.tolist()], pa.int64()),
+                    _lists([tokens[words.first[i] : words.first[i] + words.count[i]].view(np.int64) for i in hit.tolist()], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(h)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array((spot - first[text]).astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array((spot - words.first[text]).astype(np.int32))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "tokens", "hit_hash", "hit_at"])
 

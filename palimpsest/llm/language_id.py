@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from palimpsest.llm.textkernel import slices, text_bytes
 from palimpsest.llm.toxicity import held_out
-from palimpsest.llm.wordscores import WordScores, letter_words, mean_gram_vector, word_scorer
+from palimpsest.llm.wordscores import letter_words, mean_gram_vector, text_scores
 from palimpsest.tables import table
 
 SIZES = (1, 2, 3, 4)
@@ -106,8 +106,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, end in slices(batch.column(2), most_rows=256):
             part = batch.slice(at, end - at)
             rows = []
-            for doc_id, lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), text_bytes(part.column(2)), strict=True):
-                words = letter_words(text)
+            for doc_id, lang, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), letter_words(part.column(2)), strict=True):
                 if words:
                     rows.append((doc_id, lang, mean_gram_vector(words, SIZES, BUCKETS).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.binary()))], names=["doc_id", "lang", "x"])
@@ -141,14 +140,13 @@ def predict_udf(model: Model):
     """Column function: text -> struct<lang_pred, score>."""
 
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = WordScores(word_scorer(model.weights, SIZES), len(model.biases))
         for texts in batches:
             names, scores = [], []
-            for at, end in slices(texts, most_rows=256):
-                part = list(text_bytes(texts.slice(at, end - at)))
-                for text, s in zip(part, known.of([letter_words(t or b"") for t in part]), strict=True):
-                    known_letters = bool(model.langs) and has_letter(text)
-                    name, score = model.predict((s.mean(axis=0) if len(s) else 0.0) + model.biases) if known_letters else ("und", 0.0)
+            for at, end in slices(texts, 1 << 20):
+                part = texts.slice(at, end - at)
+                means, _ = text_scores(part, model.weights, SIZES)
+                for text, m in zip(text_bytes(part), means, strict=True):
+                    name, score = model.predict(m + model.biases) if model.langs and has_letter(text) else ("und", 0.0)
                     names.append(name)
                     scores.append(score)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])

@@ -11,8 +11,8 @@ only, never with all others. Verified pairs are grouped. Then the buckets that s
 groups are compared in full, in square blocks of classes, but only across groups. Pairs are not listed:
 a block names the pairs of tiles (parts of bounded size of what shares buckets) in which signatures
 leave a link possible; each pair of tiles is then settled at once on the full shingle sets, and gives a
-forest of its links. So no pair that shares a bucket is left undecided, and
-no bucket is capped.
+forest of its links. No bucket is capped; a pair that shares a bucket is left out only if its whole signatures
+agree in fewer slots than six standard deviations below what the least similarity gives.
 
 With 32 bands of 5 slots two sets of similarity 0.8 share no bucket with probability 3e-6 (0.85: 7e-9).
 """
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.textkernel import GOLDEN, WordHasher, in_sorted, mix, odd_constants, text_bytes, window_hashes
+from palimpsest.llm.textkernel import GOLDEN, LOWER, Words, in_sorted, mix, odd_constants, slices, text_bytes, window_hashes, word_hashes
 from palimpsest.tables import materialize, table
 
 BANDS, ROWS = 32, 5
@@ -39,14 +39,14 @@ BLOCK_CLASSES = 256
 SIGN_SCHEMA = "doc_id long, n_shingles long, set_key binary, band_keys array<long>, signature binary"
 
 
-def shingle_set(text: bytes | None, width: int, hasher: WordHasher) -> np.ndarray:
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of the width-word shingles; fewer words make one shingle of all."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hasher.hashes(words)
+    return _shingles(word_hashes(text, table=LOWER), width)
+
+
+def _shingles(h: np.ndarray, width: int) -> np.ndarray:
     if len(h) < width:
-        return window_hashes(h, len(h)) + np.uint64(len(h))
+        return window_hashes(h, len(h)) + np.uint64(len(h)) if len(h) else h
     return np.unique(window_hashes(h, width))
 
 
@@ -93,8 +93,6 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sign(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-
         def flush(ids, sets):
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
@@ -111,14 +109,18 @@ def _sign(width: int, bands: int, rows: int):
 
         for batch in batches:
             ids, sets, weight = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                s = shingle_set(text, width, hasher)
-                ids.append(doc_id)
-                sets.append(s)
-                weight += len(s) + 64
-                if weight > BATCH_SHINGLES:
-                    yield flush(ids, sets)
-                    ids, sets, weight = [], [], 0
+            for at, end in slices(batch.column(1), 1 << 20):
+                part = batch.slice(at, end - at)
+                words = Words.of(part.column(1))
+                h = words.hashes(table=LOWER)
+                for doc_id, w, n in zip(part.column(0).to_pylist(), words.first.tolist(), words.count.tolist(), strict=True):
+                    s = _shingles(h[w : w + n], width)
+                    ids.append(doc_id)
+                    sets.append(s)
+                    weight += len(s) + 64
+                    if weight > BATCH_SHINGLES:
+                        yield flush(ids, sets)
+                        ids, sets, weight = [], [], 0
             if ids:
                 yield flush(ids, sets)
 
@@ -133,11 +135,10 @@ def signatures(docs: DataFrame, width: int = SHINGLE_WORDS, bands: int = BANDS,
 
 def _verify(width: int, percent: int):
     def run(centers: pa.Table, members: pa.Table) -> pa.Table:
-        hasher = WordHasher()
         a, b = [], []
-        sets = [(i, shingle_set(t, width, hasher)) for i, t in zip(centers.column("a").to_pylist(), text_bytes(centers.column("text")), strict=True)]
+        sets = [(i, shingle_set(t, width)) for i, t in zip(centers.column("a").to_pylist(), text_bytes(centers.column("text")), strict=True)]
         for other, text in zip(members.column("b").to_pylist(), text_bytes(members.column("text")), strict=True):
-            mine = shingle_set(text, width, hasher)
+            mine = shingle_set(text, width)
             for center, s in sets:
                 both = int(in_sorted(s, mine).sum())
                 if both and 100 * both >= percent * (len(s) + len(mine) - both):
@@ -256,9 +257,8 @@ def _settle_square(width: int, percent: int):
     """All classes of a tile pair with their texts -> a forest of the exact links across groups."""
 
     def run(t: pa.Table) -> pa.Table:
-        hasher = WordHasher()
         rep, comp = t.column("rep").to_numpy(), t.column("comp").to_numpy()
-        sets = [shingle_set(text, width, hasher) for text in text_bytes(t.column("text"))]
+        sets = [shingle_set(text, width) for text in text_bytes(t.column("text"))]
         size = np.array([len(x) for x in sets], np.int64)
         owner = np.repeat(np.arange(len(sets)), size)
         _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)

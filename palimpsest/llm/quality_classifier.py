@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.textkernel import WordHasher, covered, repeated_windows, slices, text_bytes
+from palimpsest.llm.textkernel import GOLDEN, Words, column_bytes, mix, slices, text_bytes
 from palimpsest.llm.wordscores import WordScores, in_pieces, mean_gram_vector, word_scorer
 from palimpsest.tables import table
 
@@ -32,32 +32,48 @@ SHAPE = bytes(
 LABELLERS = ("symbols", "capitals", "repeats", "bare_marks", "exclamations", "top_word", "phrase_ends", "short_words", "long_repeats")
 
 
-class FlaggedHasher(WordHasher):
-    """word -> 64-bit hash whose low four bits say: capitals, without letter or digit, ends a phrase, short."""
-
-    def value(self, word: bytes) -> int:
-        bare = len(word) < 4 and not any(c >= 128 or chr(c).isalnum() for c in word)
-        flags = (word.isupper() and len(word) > 1) | bare << 1 | (word[-1] in b".,;:?") << 2 | (len(word) <= 3) << 3
-        return super().value(word) & ~15 | flags
-
-
-def measures(text: bytes | None, hasher: FlaggedHasher) -> tuple[np.ndarray, bytes] | None:
-    """The nine measures that the labellers look at, and the text; None without words."""
-    words = (text or b"").split()
-    n = len(words)
-    if not n:
-        return None
-    h = hasher.hashes(words)
-    flags = h & np.uint64(15)
-    capitals, bare, phrase, short = (np.count_nonzero(flags & np.uint64(1 << b)) / n for b in range(4))
-    twice = repeated_windows(h, 5)
-    longer = repeated_windows(h, 10) if len(twice) else twice  # ten repeated words hold five
-    repeats, long_repeats = (covered(at, width, n).sum() / n if len(at) else 0.0 for at, width in ((twice, 5), (longer, 10)))
-    ordered = np.sort(h)
-    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
-    top = np.diff(starts).max() / n if n >= 20 else 0.0
-    symbols = (len(text) - len(text.translate(None, SYMBOLS))) / n
-    return np.array([symbols, capitals, repeats, bare, text.count(b"!") / n, top, phrase, short if n >= 20 else 0.12, long_repeats]), text
+#: What a byte says of its word: lower case 1, upper case 2, letter or digit or beyond ASCII 4.
+TELLS = np.array([(97 <= c <= 122) | (65 <= c <= 90) << 1 | (c >= 128 or chr(c).isalnum()) << 2 for c in range(256)], np.uint8)
+SYMBOL, PHRASE_END, SHOUT = (np.isin(np.arange(256), list(marks)) for marks in (SYMBOLS, b".,;:?", b"!"))
+
+
+def measures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(texts x nine measures that the labellers look at, words of each text); texts without words have zeros."""
+    data, offsets = column_bytes(column)
+    words = Words(data, offsets)
+    n = np.maximum(words.count, 1)
+    h = words.hashes()
+    tells = np.bitwise_or.reduceat(TELLS[data] * words.solid, words.at) if len(words.at) else np.empty(0, np.uint8)
+    short = words.length <= 3
+    capitals = ((tells & 3) == 2) & (words.length > 1)
+    phrase = PHRASE_END[data[words.at + words.length - 1]] if len(words.at) else short
+    long_enough = words.count >= 20
+    of_text = h ^ mix((words.text.astype(np.uint64) + np.uint64(1)) * GOLDEN)
+    order = np.argsort(of_text)
+    ordered = of_text[order]
+    new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.empty(0, np.int64)
+    top = np.zeros(len(n), np.int64)
+    np.maximum.at(top, words.text[order[new]], np.diff(np.append(new, len(ordered))))
+
+    def per_text(flags: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(flags)))
+        return total[offsets[1:]] - total[offsets[:-1]]
+
+    m = np.stack(
+        [
+            per_text(SYMBOL[data]) / n,
+            words.per_text(capitals) / n,
+            words.repeated(h, 5) / n,
+            words.per_text(short & (words.length < 4) & (tells & 4 == 0)) / n,
+            per_text(SHOUT[data]) / n,
+            np.where(long_enough, top / n, 0.0),
+            words.per_text(phrase) / n,
+            np.where(long_enough, words.per_text(short) / n, 0.12),
+            words.repeated(h, 10) / n,
+        ],
+        axis=1,
+    )
+    return m * (words.count > 0)[:, None], words.count
 
 
 #: Per labeller: bad at or above, good at or below; too few short words are bad as well.
@@ -66,12 +82,17 @@ GOOD_TO = np.array([0.04, 0.15, 0.1, 0.04, 0.1, 0.1, 0.4, 0.75, 0.05])
 
 
 def votes(m: np.ndarray) -> np.ndarray:
-    """1 good, 0 bad, 2 abstain, of the nine labellers."""
+    """1 good, 0 bad, 2 abstain, of the nine labellers (columns) on each text."""
     v = np.where(m >= BAD_FROM, 0, np.where(m <= GOOD_TO, 1, 2))
-    v[7] = 0 if m[7] < 0.05 else 2 if m[7] < 0.15 else v[7]
+    v[:, 7] = np.where(m[:, 7] < 0.05, 0, np.where(m[:, 7] < 0.15, 2, v[:, 7]))
     return v
 
 
+def _patterns(m: np.ndarray) -> list[str]:
+    """Votes as text, one digit per labeller."""
+    return (votes(m).astype(np.uint8) + 48).view(f"S{m.shape[1]}").ravel().astype(str).tolist() if len(m) else []
+
+
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
     """Naive-Bayes EM over vote patterns -> (share of good, table P(vote | class) [class, labeller, vote], posterior of good)."""
     post = np.where((patterns == 0).any(axis=1), 0.1, 0.9)  # start: one bad vote makes a document doubtful
@@ -88,17 +109,19 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: in
 
 def _votes_udf():
     def vote(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hasher = FlaggedHasher()
         for texts in batches:
-            found = (measures(t, hasher) for t in text_bytes(texts))
-            yield pa.array([None if f is None else "".join(map(str, votes(f[0]))) for f in found], pa.string())
+            out = []
+            for at, end in slices(texts, 1 << 20):
+                m, n = measures(texts.slice(at, end - at))
+                out += [v if k else None for v, k in zip(_patterns(m), n.tolist(), strict=True)]
+            yield pa.array(out, pa.string())
 
     return F.arrow_udf("string")(vote)
 
 
 def _bins(m: np.ndarray) -> np.ndarray:
     """Which of STAT_BINS bins each measure falls in."""
-    return np.minimum((np.sqrt(np.minimum(m, 1.0)) * STAT_BINS).astype(int), STAT_BINS - 1)
+    return np.minimum((np.sqrt(np.clip(m, 0.0, 1.0)) * STAT_BINS).astype(int), STAT_BINS - 1)
 
 
 #: The bucket of each measure's bins.
@@ -106,7 +129,8 @@ TAIL = np.array([[xxhash.xxh3_64_intdigest(f"{name}:{b}") % TAIL_BUCKETS for b i
 
 
 def _tail(m: np.ndarray) -> np.ndarray:
-    return TAIL[np.arange(len(m)), _bins(m)]
+    """The buckets of each text's measures (texts x measures)."""
+    return TAIL[np.arange(len(LABELLERS)), _bins(m)]
 
 
 def _shapes(text: bytes) -> list[bytes]:
@@ -116,7 +140,7 @@ def _shapes(text: bytes) -> list[bytes]:
 
 def features(m: np.ndarray, text: bytes) -> np.ndarray:
     """A text's hashed feature vector: the mean n-gram vector of its word shapes, then the bins of its measures."""
-    tail = np.bincount(_tail(m), minlength=TAIL_BUCKETS).astype(np.float32)
+    tail = np.bincount(_tail(m[None])[0], minlength=TAIL_BUCKETS).astype(np.float32)
     return np.concatenate((mean_gram_vector(_shapes(text), SIZES, BUCKETS), tail))
 
 
@@ -126,9 +150,12 @@ class Scorer:
     def __init__(self, weights: np.ndarray, tail: np.ndarray, bias: float):
         self.weights, self.tail, self.bias = weights, tail, bias
 
-    def score(self, found: list, known: WordScores) -> list[float]:
-        bags = known.of([[] if f is None else _shapes(f[1]) for f in found])
-        z = [-30.0 if f is None else s[:, 0].mean() + self.tail[_tail(f[0])].sum() + self.bias for f, s in zip(found, bags, strict=True)]
+    def score(self, column: pa.Array, known: WordScores) -> list[float]:
+        """Probability of a good document, per text."""
+        m, n = measures(column)
+        bags = known.of([_shapes(t or b"") for t in text_bytes(column)])
+        shape = np.array([s[:, 0].mean() if len(s) else 0.0 for s in bags])
+        z = np.where(n > 0, shape + self.tail[_tail(m)].sum(axis=1) + self.bias, -30.0)
         return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
 
@@ -150,12 +177,12 @@ def _sample(texts: DataFrame, rate: float, max_train: int) -> tuple[list[str], n
     """Vote patterns and features of the max_train documents with the least hash; rate leaves a few more to choose from."""
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = FlaggedHasher()
         for batch in batches:
-            for at, end in slices(batch.column(1)):
+            for at, end in slices(batch.column(1), 1 << 20):
                 part = batch.slice(at, end - at)
-                found = [(d, measures(t, hasher)) for d, t in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), strict=True)]
-                rows = [(d, "".join(map(str, votes(f[0]))), features(*f).tobytes()) for d, f in found if f is not None]
+                m, n = measures(part.column(1))
+                found = zip(part.column(0).to_pylist(), _patterns(m), m, text_bytes(part.column(1)), n.tolist(), strict=True)
+                rows = [(d, v, features(x, t).tobytes()) for d, v, x, t, k in found if k]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.binary()))], names=["draw", "v", "x"])
 
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
@@ -195,11 +222,11 @@ def score_udf(scorer: Scorer):
     """Column function: text -> probability of a good document; 0 without words."""
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hasher, known = FlaggedHasher(), WordScores(word_scorer(scorer.weights, SIZES), 1)
+        known = WordScores(word_scorer(scorer.weights, SIZES), 1)
         for texts in batches:
             out = []
-            for at, end in slices(texts):
-                out += scorer.score([measures(t, hasher) for t in text_bytes(texts.slice(at, end - at))], known)
+            for at, end in slices(texts, 1 << 20):
+                out += scorer.score(texts.slice(at, end - at), known)
             yield pa.array(out, pa.float64())
 
     return F.arrow_udf("double")(score)

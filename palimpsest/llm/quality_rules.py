@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.textkernel import WordHasher, repeated_words, slices, text_bytes
+from palimpsest.llm.textkernel import Words, slices, text_bytes
 from palimpsest.tables import materialize, table
 
 #: A line is above the limits in more distinct documents of its host than LIMIT_DOCS and LIMIT_PERCENT percent of them,
@@ -45,11 +45,10 @@ def _keys(doc_id, body: bytes, host: bytes | None) -> tuple[int, int, int]:
     return _signed(xxhash.xxh3_64_intdigest(f"{doc_id}/{content}/{host_key}".encode())), content, host_key
 
 
-def _row(doc_id, text: bytes | None, host: bytes | None, hasher: WordHasher) -> tuple:
+def _row(doc_id, text: bytes | None, host: bytes | None, repeats: int) -> tuple:
     body = text or b""
     words = body.split()
     n = len(words)
-    repeats = repeated_words(hasher.hashes(words), 5)
     joined = b"".join(words)
     chars = len(joined) if joined.isascii() else len(joined.decode("utf-8", "replace"))
     seen, dups, lines = set(), 0, {}
@@ -66,12 +65,13 @@ def _row(doc_id, text: bytes | None, host: bytes | None, hasher: WordHasher) ->
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = WordHasher()
     line_type = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32())]))
     for batch in batches:
-        for at, end in slices(batch.column(1)):
+        for at, end in slices(batch.column(1), 1 << 20):
             part = batch.slice(at, end - at)
-            rows = [_row(*x, hasher) for x in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), text_bytes(part.column(2)), strict=True)]
+            words = Words.of(part.column(1))
+            repeats = words.repeated(words.hashes(), 5).tolist()
+            rows = [_row(*x) for x in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), text_bytes(part.column(2)), repeats, strict=True)]
             names = [c.split()[0] for c in FACTS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], line_type if i == 9 else pa.int64()) for i in range(10)], names=names)
 

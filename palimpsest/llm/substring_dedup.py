@@ -22,10 +22,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.textkernel import WordHasher, covered, in_sorted, mix, runs, text_bytes, window_hashes
+from palimpsest.llm.textkernel import Words, covered, in_sorted, mix, runs, text_bytes
 from palimpsest.tables import materialize, table
 
 WINDOW = 13
@@ -66,13 +65,6 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["kind", "bucket", "block", "part", "fps", "checks"])
 
 
-class CheckHasher(WordHasher):
-    """word -> a second hash."""
-
-    def value(self, word: bytes) -> int:
-        return xxhash.xxh3_64_intdigest(word, seed=1)
-
-
 class _Block:
     """The words, window fingerprints and runs of one block's documents, in doc_id order."""
 
@@ -80,11 +72,10 @@ class _Block:
         docs = docs.take(pa.array(np.argsort(docs.column("doc_id").to_numpy(), kind="stable")))
         self.width, self.buckets = width, buckets
         self.doc_id = docs.column("doc_id").to_numpy().astype(np.int64)
-        self.words = [[] if t is None else t.split() for t in text_bytes(docs.column("text"))]
-        hasher = WordHasher()
-        windows = [window_hashes(hasher.hashes(w), width) for w in self.words]
-        self.sizes = np.array([len(w) for w in windows], np.int64)
-        self.windows = (np.concatenate(windows) if windows else np.empty(0, np.uint64)) >> np.uint64(16)
+        self.texts = docs.column("text").combine_chunks()
+        self.words = Words.of(self.texts)
+        self.at, windows = self.words.windows(self.words.hashes(), width)
+        self.windows = windows >> np.uint64(16)
         ordered = np.sort(self.windows)
         new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(ordered) else np.empty(0, bool)
         self.fps = ordered[new]
@@ -111,14 +102,10 @@ class _Block:
 
     def checks(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the windows whose fingerprint is picked, and their second hashes."""
-        at = np.flatnonzero(picked[np.searchsorted(self.fps, self.windows)]) if len(self.fps) else np.empty(0, np.int64)
-        ends = np.cumsum(self.sizes)
-        hasher, out = CheckHasher(), []
-        edge = np.searchsorted(at, np.concatenate(([0], ends)))
-        for i in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
-            hashes = window_hashes(hasher.hashes(self.words[i]), self.width, salt=9)
-            out.append(hashes[at[edge[i] : edge[i + 1]] - (ends[i] - self.sizes[i])])
-        return at, np.concatenate(out) if out else np.empty(0, np.uint64)
+        if not picked.any():
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        at = np.flatnonzero(picked[np.searchsorted(self.fps, self.windows)])
+        return at, self.words.windows(self.words.hashes(salt=1), self.width, salt=9)[1][at]
 
     def check_runs(self, at: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
         """The sorted distinct second hashes, and per bucket the positions of its run among them."""
@@ -250,21 +237,22 @@ def _strip_block(width: int, buckets: int):
                 run = by_bucket[bucket]
                 seen[run] = _flags(data, len(run))
         # np.unique gives the first position; documents stand in doc_id order, so that is the smallest doc_id
-        window_doc = np.repeat(block.doc_id, block.sizes)[at]
+        doc = block.words.text[block.at[at]]
+        window_doc = block.doc_id[doc]
         _, first, inverse = np.unique(checks, return_index=True, return_inverse=True)
         gone = (window_doc[first][inverse] < window_doc) | in_sorted(distinct[seen], checks)
-        repeated = np.zeros(len(block.windows), bool)
-        repeated[at] = gone
-        removed, kept, start = [], [], 0
-        for words, n in zip(block.words, block.sizes.tolist(), strict=True):
-            flags = covered(np.flatnonzero(repeated[start : start + n]), width, len(words))
-            start += n
-            removed.append([{"start": s, "end": e} for s, e in runs(flags)])
-            kept.append(b" ".join([w for w, out in zip(words, flags.tolist(), strict=True) if not out]) if removed[-1] else b" ".join(words))
+        flags = covered(block.at[at[gone]], width, len(block.words.at))
+        n_gone = block.words.per_text(flags)
+        removed, kept = [], []
+        for text, lost, w, n in zip(text_bytes(block.texts), n_gone.tolist(), block.words.first.tolist(), block.words.count.tolist(), strict=True):
+            words = (text or b"").split()
+            own = flags[w : w + n] if lost else flags[:0]
+            removed.append([{"start": s, "end": e} for s, e in runs(own)])
+            kept.append(b" ".join([x for x, out in zip(words, own.tolist(), strict=True) if not out] if lost else words))
         return pa.table(
             {
                 "doc_id": pa.array(block.doc_id, pa.int64()),
-                "n_words": pa.array([len(w) for w in block.words], pa.int64()),
+                "n_words": pa.array(block.words.count, pa.int64()),
                 "removed": pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                 "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
             }

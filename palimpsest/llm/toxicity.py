@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.textkernel import slices, text_bytes
-from palimpsest.llm.wordscores import WordScores, letter_words, ngrams, word_blocks, word_scorer
+from palimpsest.llm.textkernel import slices
+from palimpsest.llm.wordscores import letter_words, ngrams, text_scores, word_blocks
 from palimpsest.tables import table
 
 SIZES = (3, 4, 5, 6)
@@ -95,8 +95,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, end in slices(batch.column(2), most_rows=64):
             part = batch.slice(at, end - at)
             rows = []
-            for doc_id, toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), text_bytes(part.column(2)), strict=True):
-                words = letter_words(text or b"")
+            for doc_id, toxic, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), letter_words(part.column(2)), strict=True):
                 if words:
                     bucket, weight = document_ngrams(words)
                     rows.append((doc_id, toxic, bucket.astype(np.int32).tobytes(), weight.astype(np.float32).tobytes()))
@@ -131,12 +130,9 @@ def score_udf(weights: np.ndarray, bias: float):
     """Column function: text -> probability of label 1."""
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = WordScores(word_scorer(weights[:, None], SIZES), 1)
         for texts in batches:
-            out = []
-            for at, end in slices(texts, most_rows=256):
-                out += [s.mean() if len(s) else 0.0 for s in known.of([letter_words(t or b"") for t in text_bytes(texts.slice(at, end - at))])]
-            yield pa.array(1.0 / (1.0 + np.exp(-np.clip(np.array(out, dtype=float) + bias, -30, 30))))
+            out = [text_scores(texts.slice(at, end - at), weights[:, None], SIZES)[0][:, 0] for at, end in slices(texts, 1 << 20)]
+            yield pa.array(1.0 / (1.0 + np.exp(-np.clip(np.concatenate([*out, np.empty(0)]) + bias, -30, 30))))
 
     return F.arrow_udf("double")(score)
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import decontamination, language_id, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
+from palimpsest.llm import decontamination, language_id, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, textkernel, toxicity, url_filter, wordscores
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block string, bucket int, host string, rep string"
 KEY = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
@@ -439,23 +439,53 @@ def test_measures_against_brute_force():
             seen.setdefault(tuple(w[i : i + n]), []).append(i)
         return len({j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + n)})
 
-    hasher = quality_classifier.FlaggedHasher()
-    for text in (prose(50, 1), prose(20, 2) + " " + prose(20, 2), "a b c d e f a b c d e f x", "Ä!! OK (x) --- 12, " * 3, "x" * 100_000, prose(40_000, 3)):
-        m, _ = quality_classifier.measures(text.encode(), hasher)
-        w = text.split()
-        assert m[2] == pytest.approx(repeated(w, 5) / len(w)) and m[8] == pytest.approx(repeated(w, 10) / len(w))
-        assert m[4] == pytest.approx(text.count("!") / len(w)) and m[0] == pytest.approx(sum(c in "#*$%&|<>" for c in text) / len(w))
-    assert quality_classifier.measures(None, hasher) is None and quality_classifier.measures(b" \n", hasher) is None
+    texts = [prose(50, 1), prose(20, 2) + " " + prose(20, 2), "a b c d e f a b c d e f x", "Ä!! OK (x) --- 12, " * 3, "x" * 100_000, prose(40_000, 3), None, "", " \n", "b a", "a, b: C. D ÉA"]
+    measured, n = quality_classifier.measures(pa.array(texts))
+    for m, k, text in zip(measured, n, texts, strict=True):
+        w = words(text)
+        assert k == len(w)
+        if not w:
+            assert not m.any()
+            continue
+        share = [sum(map(f, w)) / k for f in (lambda x: x.encode().isupper() and len(x.encode()) > 1, lambda x: len(x.encode()) < 4 and not any(c.isalnum() or ord(c) > 127 for c in x), lambda x: x[-1] in ".,;:?", lambda x: len(x.encode()) <= 3)]
+        assert [m[1], m[3], m[6]] == pytest.approx(share[:3]) and m[7] == pytest.approx(share[3] if k >= 20 else 0.12)
+        assert m[2] == pytest.approx(repeated(w, 5) / k) and m[8] == pytest.approx(repeated(w, 10) / k)
+        assert m[4] == pytest.approx(text.count("!") / k) and m[0] == pytest.approx(sum(c in "#*$%&|<>" for c in text) / k)
+        assert m[5] == pytest.approx(max(map(w.count, set(w))) / k if k >= 20 else 0)
+
+
+def test_words_of_a_column():
+    texts = ["a b", "  x\ty ", None, "", "q", "é ß\n\nlong" * 3, "z" * 9000 + " tail", "(a) -- b,c!", "..."]
+    got = textkernel.Words.of(pa.array(texts).slice(1))
+    raw = [bytes(got.data[a : a + n]) for a, n in zip(got.at, got.length, strict=True)]
+    assert raw == [x for t in texts[1:] for x in (t or "").encode().split()]
+    assert got.count.tolist() == [len((t or "").split()) for t in texts[1:]]
+    alone = np.concatenate([textkernel.word_hashes((t or "").encode()) for t in texts[1:]])
+    assert (got.hashes() == alone).all() and len(set(alone.tolist())) == len(set(raw))
+    assert not set(got.hashes(salt=1).tolist()) & set(alone.tolist())
+    bare = textkernel.Words.of(pa.array(texts[-2:])).trimmed(decontamination.MARK)
+    assert [bytes(bare.data[a : a + n]) for a, n in zip(bare.at, bare.length, strict=True)] == [b"a", b"b,c"] and bare.count.tolist() == [2, 0]
 
 
 def test_gradient_of_toxicity_reaches_misspellings(spark):
     rows = [(i, prose(30, 1000 + i) + (" stupidest idiotic" if i % 3 == 0 else ""), i % 3 == 0) for i in range(300)]
-    weights, bias = toxicity.train([toxicity.document_ngrams(toxicity.letter_words(t.encode())) for _, t, _ in rows], np.array([int(b) for *_, b in rows]), np.array([2 / 3, 1 / 3]))
-    score = toxicity.word_scorer(weights[:, None], toxicity.SIZES)
-    unseen, plain = score([b"stupiddest", b"idiootic"])[:, 0], score([w.encode() for w in VOCAB[:50]])[:, 0]
+    weights, bias = toxicity.train([toxicity.document_ngrams(w) for w in toxicity.letter_words(pa.array([t for _, t, _ in rows]))], np.array([int(b) for *_, b in rows]), np.array([2 / 3, 1 / 3]))
+    unseen, plain = (toxicity.text_scores(pa.array(t), weights[:, None], toxicity.SIZES)[0][:, 0] for t in (["stupiddest", "idiootic"], VOCAB[:50]))
     assert unseen.min() > plain.max()
 
 
+def test_text_scores_against_word_by_word():
+    rng = np.random.default_rng(7)
+    weights = rng.standard_normal((1 << 10, 3))
+    texts = ["Ein WORT, ein wort; noch1eins", None, "", "12 34", "É" * 5 + " x", prose(300, 5), "y" * 40_000 + " z"]
+    got, n = wordscores.text_scores(pa.array(texts), weights, (1, 2, 3))
+    scorer = wordscores.word_scorer(weights, (1, 2, 3))
+    for row, k, w in zip(got, n, wordscores.letter_words(pa.array(texts)), strict=True):
+        assert k == len(w) and row == pytest.approx(scorer(w).mean(axis=0) if w else np.zeros(3))
+        if w:
+            assert row == pytest.approx(wordscores.mean_gram_vector(w, (1, 2, 3), 1 << 10) @ weights, abs=1e-5)
+
+
 def test_quality(spark, docs, empty):
     rows = [(i, prose(60, 2000 + i)) for i in range(60)] + [(100 + i, " ".join(w.upper() + "!!" for w in prose(60, 3000 + i).split())) for i in range(15)] + [(500, None), (501, "")]
     got = {r.doc_id: r.kept for r in quality_classifier.classify_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

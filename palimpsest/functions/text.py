@@ -82,6 +82,25 @@ def weighted_distance(a: str, b: str) -> Column:
 
 def format_word(word: Column, noun: Column, sentence_start: Column) -> Column:
     """Casing of an upper-case word: one letter unchanged, nouns capitalised, else lower; sentences start upper."""
-    out = F.when(noun, F.concat(F.substring(word, 1, 1), F.lower(F.substring(word, 2, 1 << 30)))).otherwise(F.lower(word))
+    places = F.create_map(*[F.lit(x) for pair in PLACES.items() for x in pair])
+    capital = F.concat(F.substring(word, 1, 1), F.lower(F.substring(word, 2, 1 << 30)))
+    out = F.when(word.isin(*PLACES), F.try_element_at(places, word)).when(noun, capital).otherwise(F.lower(word))
     started = F.when(sentence_start, F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1 << 30))).otherwise(out)
     return F.when(F.length(word) <= 1, word).otherwise(started)
+
+
+def marked(s: Column, marks: dict[str, str]) -> Column:
+    """Each letter that has a mark replaced by it."""
+    table = F.create_map(*[F.lit(x) for pair in marks.items() for x in pair])
+    return F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+
+
+#: Names of several words that are written as one in capitals.
+PLACES = {
+    "BADENWUERTTEMBERG": "Baden-Wuerttemberg",
+    "MECKLENBURGVORPOMMERN": "Mecklenburg-Vorpommern",
+    "NORDRHEINWESTFALEN": "Nordrhein-Westfalen",
+    "RHEINLANDPFALZ": "Rheinland-Pfalz",
+    "SACHSENANHALT": "Sachsen-Anhalt",
+    "SCHLESWIGHOLSTEIN": "Schleswig-Holstein",
+}

@@ -1,8 +1,16 @@
-"""Evaluation of readings against truth: grouping sets, confusions, top lists, sweeps."""
+"""Evaluation of readings against truth: edit scripts, confusions, error rates, grouped reports, sweeps."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
+from math import isqrt
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+NOTHING = "∅"
+SCRIPT = "key string, no int, op string, want string, got string"
 
 
 def grouped_stats(results: DataFrame, a: str, b: str, value: str = "cer") -> DataFrame:
@@ -16,24 +24,137 @@ def grouped_stats(results: DataFrame, a: str, b: str, value: str = "cer") -> Dat
     )
 
 
-def position_edits(pairs: DataFrame) -> DataFrame:
-    """(key, pos, want, got) per position of two texts; '' where one is shorter."""
-    n = F.greatest(F.length("want_text"), F.length("got_text"))
-    at = pairs.where(n > 0).withColumn("pos", F.explode(F.sequence(F.lit(1), n)))
-    return at.select("key", "pos", F.expr("substr(want_text, pos, 1)").alias("want"), F.expr("substr(got_text, pos, 1)").alias("got"))
+def _next_rows(row: np.ndarray, letters: np.ndarray, want: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of the distance table after row, one per letter of the reading."""
+    steps = np.arange(len(want) + 1)
+    for c in letters:
+        new = np.empty_like(row)
+        new[0] = row[0] + 1
+        np.minimum(row[1:] + 1, row[:-1] + (want != c), out=new[1:])
+        row = np.minimum.accumulate(new - steps) + steps  # a cell's left neighbours, all at once
+        yield row
+
+
+def script(want: str, got: str) -> list[tuple[str, str, str]]:
+    """The edits (op, want, got) that turn want into got, in order; ties go to a pair, then to an insertion.
+
+    Every isqrt-th row of the table is kept and those between are worked out again on the way back, so memory
+    grows with len(want) * sqrt(len(got)).
+    """
+    w, g = (np.array([ord(c) for c in s], np.int64) for s in (want, got))
+    every = isqrt(len(g)) + 1
+    kept, row = {0: np.arange(len(w) + 1)}, np.arange(len(w) + 1)
+    for i, row in enumerate(_next_rows(row, g, w), 1):
+        if i % every == 0:
+            kept[i] = row
+    out, i, j = [], len(g), len(w)
+    low, rows = i + 1, []
+    while i or j:
+        if i < low or not rows:
+            low = (max(i - 1, 0) // every) * every
+            rows = [kept[low], *_next_rows(kept[low], g[low:i], w)]
+        here, above = rows[i - low], rows[i - low - 1] if i > low else None
+        if i and j and here[j] == above[j - 1] + (g[i - 1] != w[j - 1]):
+            out.append(("eq" if g[i - 1] == w[j - 1] else "sub", want[j - 1], got[i - 1]))
+            i, j = i - 1, j - 1
+        elif i and here[j] == above[j] + 1:
+            out.append(("ins", "", got[i - 1]))
+            i -= 1
+        else:
+            out.append(("del", want[j - 1], ""))
+            j -= 1
+        if i == low and i:  # the next step looks at the row before
+            rows = []
+    return out[::-1]
+
+
+def _scripts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 64):
+            rows = [(key, no, *edit) for key, want, got in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True) for no, edit in enumerate(script(want or "", got or ""), 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 1 else pa.string()) for i in range(5)], names=["key", "no", "op", "want", "got"])
+
+
+def edit_scripts(pairs: DataFrame) -> DataFrame:
+    """(key, want_text, got_text) -> one row per edit: key, no (from 1), op (eq, sub, ins, del), want, got."""
+    return pairs.select(F.col("key").cast("string").alias("key"), "want_text", "got_text").mapInArrow(_scripts, SCRIPT)
+
+
+def at_word_start(edits: DataFrame) -> DataFrame:
+    """Add first: whether the letter that an edit expects starts a word. Insertions don't change what comes next."""
+    before = Window.partitionBy("key").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.when(F.col("op") != "ins", (F.col("want") == " ") | (F.col("got") == " "))
+    return edits.withColumn("first", F.coalesce(F.last(opens, ignorenulls=True).over(before), F.lit(True)))
 
 
-def top_confusions(edits: DataFrame, limit: int = 20) -> DataFrame:
-    """The most frequent pairs of different letters."""
-    wrong = edits.where("want <> got and want <> '' and got <> ''").groupBy("want", "got").agg(F.count("*").alias("n"))
-    return wrong.orderBy(F.desc("n"), "want", "got").limit(limit)
+def letters_of(edits: DataFrame) -> DataFrame:
+    """The edits that expect a letter, spaces on either side left out, with err."""
+    return edits.where("op <> 'ins' and want <> ' ' and got <> ' '").withColumn("err", (F.col("op") != "eq").cast("long"))
+
+
+def word_start_rates(edits: DataFrame) -> DataFrame:
+    """(first, n, err) over letters that start a word and the rest."""
+    return letters_of(at_word_start(edits)).groupBy("first").agg(F.count("*").alias("n"), F.sum("err").alias("err"))
+
+
+def confusions(edits: DataFrame, twins: DataFrame) -> DataFrame:
+    """(want, got, n, net, seen): every substitution, loss and insertion of a letter, with its count and first place.
+
+    net leaves out pairs of one group of twins (ch, grp), letters that look the same.
+    """
+    wrong = edits.where("op <> 'eq' and want <> ' ' and got <> ' '")
+    named = wrong.select("key", "no", *[F.when(F.col(c) == "", NOTHING).otherwise(F.col(c)).alias(c) for c in ("want", "got")])
+    counted = named.groupBy("want", "got").agg(F.count("*").alias("n"), F.min(F.struct("key", "no")).alias("seen"))
+    for c in ("want", "got"):
+        counted = counted.join(twins.select(F.col("ch").alias(c), F.col("grp").alias(f"{c}_grp")), c, "left")
+    alike = F.coalesce(F.col("want_grp") == F.col("got_grp"), F.lit(False))
+    return counted.select("want", "got", "n", F.when(alike, 0).otherwise(F.col("n")).alias("net"), "seen")
+
+
+def top_confusions(found: DataFrame, limit: int = 20) -> DataFrame:
+    """The most frequent net confusions, those seen first before others of the same count."""
+    return found.where("net > 0").orderBy(F.desc("net"), "seen").limit(limit).select("want", "got", F.col("net").alias("n"))
 
 
 def letter_error_rates(edits: DataFrame, least: int = 3, limit: int = 25) -> DataFrame:
-    """Worst letters by error rate among those seen at least `least` times; those without errors go after the limit."""
-    rated = edits.where("want <> ''").groupBy("want").agg(F.count("*").alias("n"), F.sum((F.col("want") != F.col("got")).cast("int")).alias("err"))
+    """Worst letters by error rate among those expected at least `least` times; those without errors go after the limit."""
+    rated = letters_of(edits).groupBy("want").agg(F.count("*").alias("n"), F.sum("err").alias("err"), F.min(F.struct("key", "no")).alias("seen"))
     rated = rated.where(F.col("n") >= least).withColumn("rate", F.round(F.col("err") / F.col("n"), 6))
-    return rated.orderBy(F.desc("rate"), "want").limit(limit).where("err > 0")
+    return rated.orderBy(F.desc("rate"), "seen").limit(limit).where("err > 0").select("want", "n", "err", "rate")
+
+
+def context_only_errors(edits: DataFrame, isolated_right: DataFrame, least: int = 3, rate: float = 0.2) -> DataFrame:
+    """Letters often wrong in words (want, n, err) that are read right when they stand alone (want)."""
+    rated = letters_of(edits).groupBy("want").agg(F.count("*").alias("n"), F.sum("err").alias("err"))
+    return rated.where((F.col("n") >= least) & (F.col("err") / F.col("n") >= rate)).join(isolated_right.select("want").distinct(), "want", "left_semi")
+
+
+def isolated_accuracy(readings: DataFrame, twins: DataFrame) -> DataFrame:
+    """Per font of single-letter readings (font, want, got): n, right, and the failures in order; twins count as right."""
+    alike = twins.select("font", F.col("ch").alias("want"), F.col("grp").alias("g"))
+    told = readings.join(alike, ["font", "want"], "left")
+    ok = (F.col("want") == F.col("got")) | F.coalesce((F.length("got") == 1) & F.contains("g", "got"), F.lit(False))
+    failure = F.when(~ok, F.concat("want", F.lit(">"), F.when(F.col("got") == "", NOTHING).otherwise(F.col("got"))))
+    return told.groupBy("font").agg(F.count("*").alias("n"), F.sum(ok.cast("long")).alias("right"), F.array_join(F.array_sort(F.collect_list(failure)), " ").alias("failures"))
+
+
+def means(results: DataFrame, keys: list[str], where: Column | None = None, sums: tuple[str, ...] = (), **of: str) -> DataFrame:
+    """n by keys, and per name the mean of its column, over rows that hold; sums are added up as they are."""
+    held = F.lit(True) if where is None else where
+    count = F.sum(held.cast("long")).alias("n")
+    return results.groupBy(*keys).agg(count, *[F.round(F.avg(F.when(held, F.col(c))), 6).alias(name) for name, c in of.items()], *[F.sum(F.when(held, F.col(c).cast("long")).otherwise(0)).alias(c) for c in sums])
+
+
+def speed_up(results: DataFrame, start: str, end: str) -> DataFrame:
+    """Seconds of all rows, seconds from the first start to the last end, and the quotient."""
+    whole = results.agg(F.sum(F.col(end) - F.col(start)).alias("cpu"), (F.max(end) - F.min(start)).alias("wall"))
+    return whole.withColumn("speed_up", F.col("cpu") / F.col("wall"))
+
+
+def first_best(candidates: DataFrame, keys: list[str], score: str, order: str) -> DataFrame:
+    """Per key the candidate with the highest score; of equals the first in order."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.round(score, 9)), order)
+    return candidates.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
 def best_of_sweep(results: DataFrame, item: str, setting: str, value: str) -> DataFrame:
@@ -41,3 +162,45 @@ def best_of_sweep(results: DataFrame, item: str, setting: str, value: str) -> Da
     w = Window.partitionBy(item)
     ranked = results.withColumn("r", F.row_number().over(w.orderBy(value, setting))).withColumn("base", F.first(value).over(w.orderBy(setting)))
     return ranked.where("r = 1").select(item, setting, value, F.round(F.col(value) - F.col("base"), 6).alias("delta"))
+
+
+def grid(*axes: DataFrame) -> DataFrame:
+    """Every combination of rows of small tables, such as settings and items to try them on.
+
+    Its size is the product of theirs, as is meant.
+    """
+    out = axes[0]
+    for axis in axes[1:]:
+        out = out.crossJoin(axis)
+    return out
+
+
+def examples(rows: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
+    """The first rows of each key."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
+
+
+def first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row per key, the first in order."""
+    return examples(rows, keys, [order], 1)
+
+
+def size_step(candidates: DataFrame, key: str, size: str, share: float = 0.08) -> DataFrame:
+    """Per key the gap between its two least distinct sizes; a share of the size where there is only one."""
+    sizes = candidates.groupBy(key).agg(F.array_sort(F.collect_set(size)).alias("s"))
+    return sizes.select(key, F.when(F.size("s") > 1, F.get("s", F.lit(1)) - F.get("s", F.lit(0))).otherwise(F.get("s", F.lit(0)) * share).alias("step"))
+
+
+def padded(items: DataFrame, width: str, order: str, batch: int, multiple: int = 4) -> DataFrame:
+    """Add batch, padded (the batch's greatest width up to a multiple) and steps (a width in eighths, at least 1)."""
+    numbered = items.withColumn("batch", F.floor((F.col(order)) / batch).cast("long"))
+    most = F.max(width).over(Window.partitionBy("batch"))
+    return numbered.withColumn("padded", (F.ceil(most / multiple) * multiple).cast("long")).withColumn("steps", F.greatest(F.lit(1), F.floor(F.col(width) / 8)).cast("long"))
+
+
+def report(rows: DataFrame, **widths: int) -> DataFrame:
+    """One line of text per row: each column cut or padded to its width, numbers to the right."""
+    kinds = dict(rows.dtypes)
+    cells = [F.lpad(F.col(c).cast("string"), n, " ") if kinds[c] in ("int", "bigint", "double") else F.rpad(F.col(c).cast("string"), n, " ") for c, n in widths.items()]
+    return rows.select(F.concat_ws("  ", *cells).alias("line"))

@@ -1,14 +1,18 @@
-"""Word lexicons: building, exact marking and length-blocked fuzzy correction.
+"""Word lexicons: building, exact marking, fuzzy correction of words and repair of lines.
 
 A lexicon is (word, rnk, len, is_custom, is_noun), rnk counting from 0 in order of frequency. Fuzzy candidates
-are found by exploding the allowed lengths of a token and joining on length, never by a range join.
+are found by an equality join on short pieces of words, which loses none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.tables import materialize
 
 #: Caps and gates of the lexicon and of corrections.
 CAP, RARE_RANK, UNKNOWN_RANK = 12000, 8000, 99999
@@ -58,13 +62,35 @@ def mark_known(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     return tokens.join(lexicon.select(F.col("word").alias("token"), F.lit(True).alias("known")), "token", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
+#: Letters of a piece that are compared; an untouched piece has an untouched beginning.
+PIECE_LETTERS = 4
+
+
+def folded(word: Column) -> Column:
+    """Confusable letters as one, so that only other edits are left between two words."""
+    return F.translate(word, "UQHLVW", "ETBBBB")
+
+
 def candidates(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(token, cand, rnk, is_custom): words of similar length other than the token, joined on length."""
+    """(token, cand, rnk, is_custom): words of similar length other than the token, within its distance limit but for confusions.
+
+    k edits leave one of k + 1 pieces of a token as it is, at most k places away. So each piece is joined with the
+    equal pieces of words at those places; what meets is then checked by the distance of the folded words.
+    """
+    asked = tokens.select("token").distinct().where(F.length("token") >= 2).withColumn("most", T.distance_limit(F.length("token")))
+    asked = asked.withColumn("f", folded(F.col("token")))
+    pieces = F.expr(
+        f"""transform(sequence(0, most), i -> named_struct('at', length(token) * i div (most + 1),
+          'gram', substr(f, int(length(token) * i div (most + 1)) + 1, least({PIECE_LETTERS}, int(length(token) * (i + 1) div (most + 1) - length(token) * i div (most + 1))))))"""
+    )
+    asked = asked.select("token", "f", "most", F.explode(pieces).alias("p"))
+    asked = asked.select("token", "f", "most", "p.gram", F.explode(F.expr("sequence(int(p.at) - most, int(p.at) + most)")).alias("at")).where("at >= 0")
+    words = lexicon.select(F.col("word").alias("cand"), "rnk", "is_custom", folded(F.col("word")).alias("g"))
+    grams = F.expr(f"flatten(transform(sequence(1, {PIECE_LETTERS}), n -> if(length(g) >= n, transform(sequence(0, length(g) - n), a -> named_struct('at', a, 'gram', substr(g, a + 1, n))), array())))")
+    words = words.select("cand", "rnk", "is_custom", "g", F.explode(grams).alias("w")).select("cand", "rnk", "is_custom", "g", F.col("w.at").alias("at"), F.col("w.gram").alias("gram"))
     slack = F.when(F.length("token") >= 6, 2).otherwise(1)
-    spans = tokens.select("token").distinct().where(F.length("token") >= 2)
-    spans = spans.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(2), F.length("token") - slack), F.length("token") + slack)))
-    words = lexicon.select(F.col("word").alias("cand"), "len", "rnk", "is_custom")
-    return spans.join(words, "len").where("cand <> token")
+    met = asked.join(words, ["gram", "at"]).where((F.abs(F.length("cand") - F.length("token")) <= slack) & (F.length("cand") >= 2) & (F.col("cand") != F.col("token")))
+    return met.select("token", "f", "most", "cand", "rnk", "is_custom", "g").distinct().where(F.levenshtein("f", "g") <= F.col("most")).select("token", "cand", "rnk", "is_custom")
 
 
 def close_candidates(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -76,8 +102,8 @@ def close_candidates(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     def forms(word: str):
         less = F.expr(f"transform(sequence(1, length({word})), i -> concat(left({word}, i - 1), substring({word}, i + 1)))")
-        folded = F.concat(F.lit("~"), F.translate(F.col(word), "UQHLVW", "ETBBBB"))
-        return F.explode(F.array_distinct(F.concat(F.array(F.col(word), folded), less)))
+        alike = F.concat(F.lit("~"), folded(F.col(word)))
+        return F.explode(F.array_distinct(F.concat(F.array(F.col(word), alike), less)))
 
     asked = tokens.select("token").distinct().where(F.length("token") >= 2).select("token", forms("token").alias("form"))
     words = lexicon.select(F.col("word").alias("cand"), "rnk", "is_custom", forms("word").alias("form"))
@@ -93,9 +119,14 @@ def best_words(tokens: DataFrame, lexicon: DataFrame, weighted: bool = True, lim
     near = close_candidates(tokens, lexicon) if limit == 1 else candidates(tokens, lexicon)
     far = F.abs(F.length("token") - F.length("cand"))
     near = near.withColumn("most", T.distance_limit(F.length("token")) if limit is None else F.lit(limit)).where(far <= F.col("most"))
-    if weighted:  # no edit is cheaper than a confusion, so the plain distance bounds the weighted one
-        near = near.where(F.levenshtein("token", "cand") * T.CONFUSABLE_COST <= F.col("most"))
-    near = near.withColumn("dist", T.weighted_distance("token", "cand") if weighted else F.levenshtein("token", "cand").cast("double"))
+    near = near.withColumn("plain", F.levenshtein("token", "cand"))
+    if weighted:
+        # the weighted distance is at most the plain one, and at least that of the folded words or the plain one at the cost of
+        # confusions; so a candidate whose bound is above the least plain distance of a token can't be its best
+        bound = F.greatest(F.levenshtein(folded(F.col("token")), folded(F.col("cand"))).cast("double"), F.col("plain") * T.CONFUSABLE_COST)
+        sure = F.when((F.col("rnk") <= RARE_RANK) | F.col("is_custom") | (F.col("plain") < 2), F.col("plain"))
+        near = near.withColumn("up", F.coalesce(F.min(sure).over(Window.partitionBy("token")), F.col("most"))).where(bound <= F.least("up", "most"))
+    near = near.withColumn("dist", T.weighted_distance("token", "cand") if weighted else F.col("plain").cast("double"))
     near = near.where("dist <= most").where(~((F.col("dist") >= 2) & (F.col("rnk") > RARE_RANK) & ~F.col("is_custom")))
     near = near.withColumn("same", F.length("token") == F.length("cand")).withColumn("pos", T.position_matches(F.col("token"), F.col("cand")))
     order = [F.round("dist", 6), F.desc("same"), F.desc("pos"), F.desc("is_custom"), "rnk", "cand"]
@@ -138,3 +169,114 @@ def correct_words(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     ways = best_words(asked, lexicon).withColumn("way", F.lit(0)).unionByName(split_words(asked, lexicon).withColumn("way", F.lit(1)))
     best = ways.groupBy("token").agg(F.min(F.struct(F.round("dist", 6).alias("dist"), "way", "cand")).alias("m"))
     return best.select("token", "m.cand", "m.dist")
+
+
+def recased(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """texts with out: text in capitals with the casing of sentences and nouns, within each row.
+
+    The nouns of a lexicon are at most CAP words; each row keeps those that it has.
+    """
+    nouns = lexicon.where("is_noun").agg(F.collect_list("word").alias("_nouns"))
+    toks = texts.withColumn("_toks", F.regexp_extract_all(F.upper("text"), F.lit("([A-Z]+|[^A-Z]+)"), 1)).crossJoin(F.broadcast(nouns))  # one row of nouns
+    toks = toks.withColumn("_own", F.array_intersect("_toks", "_nouns")).withColumn("_first", F.when(F.get("_toks", F.lit(0)).rlike("^[A-Z]"), 0).otherwise(1))
+
+    def cased(tok: Column, i: Column) -> Column:
+        starts = (i == F.col("_first")) | F.coalesce(F.get("_toks", i - 1), F.lit("")).rlike(r"[.!?\n]")
+        return F.when(tok.rlike("^[A-Z]"), T.format_word(tok, F.array_contains("_own", tok), starts)).otherwise(tok)
+
+    return toks.withColumn("out", F.array_join(F.transform("_toks", cased), "")).drop("_toks", "_nouns", "_own", "_first")
+
+
+#: Fixed values of joining fragments: tokens, lengths, distance, ranks, price of a token that can't be read, gain of a join.
+JOIN_TOKENS, JOIN_PART, FRAGMENT, UNKNOWN_FRAGMENT, JOINED = 5, 8, 2, 4, (5, 14)
+JOIN_DISTANCE, PLAIN_RANK, SHORT_RANK, SHORT_JOIN, RAREST = 1.2, 5000, 3000, 7, 35000
+UNREADABLE, JOIN_GAIN, LEAST_GAIN = 40.0, 0.3, 0.15
+CHANGES = 20
+KNOWN = "struct<known:boolean,custom:boolean,text:string,dist:double,rnk:int>"
+REPAIRED = "key string, line int, words array<string>"
+
+
+def _joinable(parts: Column) -> Column:
+    """Whether tokens may be tried as one word, by their lengths alone."""
+    joined = F.array_join(parts, "")
+    return F.forall(parts, lambda p: F.length(p) <= JOIN_PART) & F.length(joined).between(*JOINED)
+
+
+def _facts(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(token, facts): whether it is a word, and its correction with weighted distance and the rank of its first word."""
+    own = lexicon.select(F.col("word").alias("token"), F.lit(True).alias("known"), "is_custom")
+    fixed = correct_words(tokens.join(own.select("token"), "token", "left_anti"), lexicon).select("token", F.col("cand").alias("text"))
+    fixed = fixed.withColumn("head", F.element_at(F.split("text", " "), 1)).withColumn("tight", F.replace("text", F.lit(" "), F.lit("")))
+    fixed = fixed.withColumn("dist", T.weighted_distance("token", "tight"))
+    rank = lexicon.select(F.col("word").alias("head"), "rnk")
+    fixed = fixed.join(rank, "head", "left").select("token", "text", "dist", F.coalesce("rnk", F.lit(UNKNOWN_RANK)).alias("rnk"))
+    told = tokens.join(own, "token", "left").join(fixed, "token", "left")
+    facts = F.struct(F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("is_custom", F.lit(False)).alias("custom"), "text", "dist", "rnk")
+    return told.where("known or text is not null").select("token", facts.alias("facts"))
+
+
+def repair_words(tokens: list[str], facts: dict[str, dict]) -> list[str]:
+    """One line's tokens, corrected, with fragments joined where that reads better; from left to right."""
+
+    def joined(parts: list[str]) -> tuple[str, float] | None:
+        """The word that parts make, and its distance."""
+        if not any(len(p) <= FRAGMENT or (len(p) <= UNKNOWN_FRAGMENT and not facts.get(p, {}).get("known")) for p in parts):
+            return None
+        if all(len(p) > 1 and (f := facts.get(p)) and (f["known"] or (" " not in f["text"] and f["rnk"] < PLAIN_RANK)) for p in parts):
+            return None
+        word = "".join(parts)
+        f = facts.get(word) if JOINED[0] <= len(word) <= JOINED[1] else None
+        if not f or f["known"]:
+            return f and (word, 0.0)
+        short = any(len(p) == 1 for p in parts) and len(word) < SHORT_JOIN and f["rnk"] > SHORT_RANK
+        return None if f["dist"] > JOIN_DISTANCE or f["rnk"] > RAREST or short else (f["text"], f["dist"])
+
+    out, at = [], 0
+    while at < len(tokens):
+        f = facts.get(tokens[at])
+        text, score, used = (tokens[at], 0.0 if f else UNREADABLE, 1) if not f or f["known"] else (f["text"], f["dist"], 1)
+        for n in range(2, min(JOIN_TOKENS, len(tokens) - at) + 1):
+            parts = tokens[at : at + n]
+            if len(parts[-1]) > JOIN_PART or len(parts[0]) > JOIN_PART:
+                break
+            if (found := joined(parts)) and found[1] - JOIN_GAIN * (n - 1) < score - LEAST_GAIN:
+                text, score, used = found[0], found[1] - JOIN_GAIN * (n - 1), n
+        out += text.split()
+        at += used
+    return out
+
+
+def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(r["key"], r["line"], repair_words(r["tokens"], {f["token"]: f["facts"] for f in r["facts"] or ()})) for r in batch.to_pylist()]
+        kinds = (pa.string(), pa.int32(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["key", "line", "words"])
+
+
+def repair_lines(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Lines (key, line, tokens) -> key, line, words: corrected words, fragments of up to five tokens joined.
+
+    Every token and every joinable run of tokens is corrected once, by joins; a line then needs only what its own
+    runs were found to be. Tokens of one line are one row.
+    """
+    runs = F.expr(f"flatten(transform(sequence(1, {JOIN_TOKENS}), n -> if(size(tokens) >= n, transform(sequence(1, size(tokens) - n + 1), i -> slice(tokens, i, n)), array())))")
+    tried = lines.select("key", "line", F.explode(runs).alias("parts")).where((F.size("parts") == 1) | _joinable(F.col("parts")))
+    tried = materialize(tried.select("key", "line", F.array_join("parts", "").alias("token")).distinct(), "token-runs")
+    found = _facts(tried.select("token").distinct(), lexicon)
+    known = tried.join(found, "token").groupBy("key", "line").agg(F.collect_list(F.struct("token", "facts")).alias("facts"))
+    return lines.select("key", "line", "tokens").join(known, ["key", "line"], "left").select(F.col("key").cast("string").alias("key"), "line", "tokens", "facts").mapInArrow(_repair, REPAIRED)
+
+
+def cased_lines(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Repaired lines (key, line, words) -> key, line, text: nouns and first words with a capital, all else lower."""
+    nouns = lexicon.where("is_noun").select(F.col("word"), F.lit(True).alias("noun"))
+    words = lines.select("key", "line", F.posexplode("words").alias("at", "word")).join(nouns, "word", "left")
+    told = words.withColumn("out", T.format_word(F.col("word"), F.coalesce("noun", F.lit(False)), F.col("at") == 0))
+    return told.groupBy("key", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "out"))), lambda x: x["out"]), " ").alias("text"))
+
+
+def changed_lines(before: DataFrame, after: DataFrame, limit: int = CHANGES) -> DataFrame:
+    """(key, changes): the first lines of each text that changed, as before>after."""
+    both = before.select("key", "line", F.array_join("tokens", " ").alias("a")).join(after.select("key", "line", F.array_join("words", " ").alias("b")), ["key", "line"]).where("a <> b")
+    first = both.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("line"))).where(F.col("_r") <= limit)
+    return first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", F.concat("a", F.lit(">"), "b").alias("c")))), lambda x: x["c"]).alias("changes"))

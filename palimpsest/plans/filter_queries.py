@@ -8,9 +8,9 @@ from palimpsest.functions import text as T
 from palimpsest.operators import filters as N, lexicon as X, profiles as L
 from palimpsest.plans.profile_queries import BANDS, _profile
 from palimpsest.plans.sqltext import TILES
-from palimpsest.plans.text_queries import _tokens
+from palimpsest.plans.text_queries import _lexicon, _tokens
 from palimpsest.plans.tile_queries import INK, _ink, _tiles, query
-from palimpsest.tables import table
+from palimpsest.tables import materialize, table
 
 SIZE = 5
 
@@ -104,10 +104,6 @@ def page_texts(spark, d):
     return told.select("conv_id", F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("page"), F.round("mean_length", 6).alias("mean_length"))
 
 
-def _small_lexicon(spark, d):
-    return X.build_lexicon(X.corpus_words(table(spark, d, "documents")), cap=3000)
-
-
 def _glued(spark, d):
     """Benchmark words and each pair of neighbours without the space between them."""
     words = F.filter(F.split(T.translit_spaced(F.col("text")), " "), lambda x: x != "")
@@ -119,4 +115,37 @@ def _glued(spark, d):
 @query()
 def split_guess(spark, d):
     """Words that are two words without a space, with the best place to cut."""
-    return X.split_words(_glued(spark, d), _small_lexicon(spark, d)).select("token", "cand", F.round("dist", 6).alias("dist"))
+    lex = materialize(_lexicon(spark, d), "lexicon")
+    return X.split_words(_glued(spark, d), lex).select("token", "cand", F.round("dist", 6).alias("dist"))
+
+
+@query()
+def word_corrections(spark, d):
+    """Benchmark words and glued pairs with their correction: one word, or two."""
+    lex = materialize(_lexicon(spark, d), "lexicon")
+    return X.correct_words(_glued(spark, d), lex).select("token", "cand", F.round("dist", 6).alias("dist"))
+
+
+def _torn(spark, d):
+    """Benchmark lines in capitals with some words torn apart, as a bad reading leaves them."""
+    texts = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    words = F.filter(F.split(T.translit_spaced(F.col("text")), " "), lambda x: x != "")
+    torn = F.flatten(F.transform(words, lambda x, i: F.when((i % 3 == 1) & (F.length(x) > 4), F.array(F.substring(x, 1, 2), F.substring(x, 3, 1 << 20))).otherwise(F.array(x))))
+    return texts.select(F.col("item_id").cast("string").alias("key"), "line", torn.alias("tokens"))
+
+
+@query()
+def token_repair(spark, d):
+    """Torn lines put together and corrected, with the casing of sentences."""
+    lex = materialize(_lexicon(spark, d), "lexicon")
+    fixed = materialize(X.repair_lines(_torn(spark, d), lex), "repaired")
+    text = X.cased_lines(fixed, lex)
+    return fixed.join(text, ["key", "line"]).select("key", "line", F.size("words").alias("n_words"), "text")
+
+
+@query()
+def repair_changes(spark, d):
+    """Per text the first lines that repair changed."""
+    lex = materialize(_lexicon(spark, d), "lexicon")
+    lines = _torn(spark, d)
+    return X.changed_lines(lines, X.repair_lines(lines, lex)).select("key", F.array_join("changes", "\n").alias("changes"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.operators import evaluate as V
 from palimpsest.operators import lexicon as X
 from palimpsest.plans.sqltext import fold, translit
 from palimpsest.plans.tile_queries import query
-from palimpsest.tables import table
+from palimpsest.tables import materialize, table
 
 
 @query(f"SELECT doc_id, md5({translit('text')}) AS folded FROM documents")
@@ -56,13 +56,6 @@ def noun_bits_roundtrip(spark, d):
     return X.unpack_noun_bits(lex, X.noun_bits(lex))
 
 
-@query("""WITH o AS (SELECT p_type, list(p_size ORDER BY p_size) AS s, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY p_type)
-SELECT p_type, lo, hi, s[len(s) // 2 + 1] AS upper_median, hi - lo AS spread FROM o""")
-def lexicon_extent(spark, d):
-    g = table(spark, d, "part").groupBy("p_type").agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"), F.array_sort(F.collect_list("p_size")).alias("s"))
-    return g.select("p_type", "lo", "hi", F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int")).alias("upper_median"), (F.col("hi") - F.col("lo")).alias("spread"))
-
-
 TURNS = f"""tu AS (SELECT a.conv_id, a.turn, {translit('a.text')} AS want, {translit('b.text')} AS got FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"""
 
 
@@ -96,54 +89,56 @@ def eval_grouping_sets(spark, d):
     return V.grouped_stats(r, "lang", "source")
 
 
-EDITS = TURNS + """, ed AS (SELECT key, pos, substr(want, pos, 1) AS want, substr(got, pos, 1) AS got FROM (SELECT conv_id || '/' || turn AS key, want, got, unnest(generate_series(1, greatest(length(want), length(got)))) AS pos FROM tu))"""
+def _edits(spark, d):
+    """Edit scripts between neighbouring turns, words parted by spaces."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", T.translit_spaced(F.col("text")).alias("want_text"))
+    t = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("want_text").alias("got_text")), ["conv_id", "turn"])
+    return V.edit_scripts(t.select(F.format_string("%012d/%06d", "conv_id", "turn").alias("key"), "want_text", "got_text"))
 
 
-def _edits(spark, d):
-    t = _turns(spark, d).select(F.concat_ws("/", "conv_id", "turn").alias("key"), F.col("want").alias("want_text"), F.col("got").alias("got_text"))
-    return V.position_edits(t)
+def _twins(spark):
+    return spark.createDataFrame([("L", "LV"), ("V", "LV"), ("Q", "QT"), ("T", "QT")], "ch string, grp string")
 
 
-@query(f"WITH {EDITS} SELECT want, got, count(*) AS n FROM ed WHERE want <> got AND want <> '' AND got <> '' GROUP BY want, got ORDER BY n DESC, want, got LIMIT 20")
+@query()
+def edit_operations(spark, d):
+    """Edits by kind of each pair of turns."""
+    return _edits(spark, d).groupBy("key").agg(*[F.sum((F.col("op") == op).cast("long")).alias(op) for op in ("eq", "sub", "ins", "del")])
+
+
+@query()
 def confusion_topk(spark, d):
-    return V.top_confusions(_edits(spark, d))
+    return V.top_confusions(V.confusions(_edits(spark, d), _twins(spark)))
+
 
+@query()
+def confusion_counts(spark, d):
+    """Raw and net counts of every confusion."""
+    return V.confusions(_edits(spark, d), _twins(spark)).select("want", "got", "n", "net")
 
-@query(f"WITH {EDITS}, r AS (SELECT want, count(*) AS n, CAST(sum(CAST(want <> got AS INT)) AS BIGINT) AS err FROM ed WHERE want <> '' GROUP BY want HAVING count(*) >= 3) SELECT want, n, err, round(err / n, 6) AS rate FROM (SELECT * FROM r ORDER BY round(err / n, 6) DESC, want LIMIT 25) WHERE err > 0")
+
+@query()
 def letter_error_rates(spark, d):
     return V.letter_error_rates(_edits(spark, d))
 
 
-@query(f"WITH {EDITS}, ok AS (SELECT DISTINCT want FROM ed WHERE pos = 1 AND want = got), bad AS (SELECT want, count(*) AS n FROM ed WHERE pos > 1 AND want <> got AND want <> '' GROUP BY want) SELECT bad.want, n FROM bad WHERE want IN (SELECT want FROM ok)")
+@query()
 def context_only_errors(spark, d):
+    """Letters often wrong in words that the first letter of some turn gets right."""
     e = _edits(spark, d)
-    ok = e.where("pos = 1 and want = got").select("want").distinct()
-    return e.where("pos > 1 and want <> got and want <> ''").groupBy("want").agg(F.count("*").alias("n")).join(ok, "want", "left_semi")
-
+    return V.context_only_errors(e, e.where("no = 1 and op = 'eq'"))
 
-WORDS = f"""wt AS (SELECT a.conv_id, a.turn, trim(regexp_replace(regexp_replace({fold('a.text')}, '[^A-Z\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS want, trim(regexp_replace(regexp_replace({fold('b.text')}, '[^A-Z\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS got
-  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"""
 
-
-@query(f"""WITH {WORDS}, e AS (SELECT want, got, unnest(generate_series(1, length(want))) AS p FROM wt),
-c AS (SELECT substr(want, p, 1) AS w, substr(got, p, 1) AS g, p = 1 OR substr(want, p - 1, 1) = ' ' AS first_of_word FROM e)
-SELECT first_of_word, count(*) AS n, CAST(sum(CAST(w <> g AS INT)) AS BIGINT) AS err FROM c WHERE w <> ' ' GROUP BY first_of_word""")
+@query()
 def word_start_errors(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", T.translit_spaced(F.col("text")).alias("want"))
-    t = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("want").alias("got")), ["conv_id", "turn"])
-    e = t.where("length(want) > 0").withColumn("p", F.explode(F.expr("sequence(1, length(want))")))
-    k = e.select(F.expr("substr(want, p, 1)").alias("w"), F.expr("substr(got, p, 1)").alias("g"), F.expr("p = 1 or substr(want, p - 1, 1) = ' '").alias("first_of_word"))
-    return k.where("w <> ' '").groupBy("first_of_word").agg(F.count("*").alias("n"), F.sum((F.col("w") != F.col("g")).cast("int")).alias("err"))
+    return V.word_start_rates(_edits(spark, d))
 
 
 @query(f"""WITH w AS (SELECT doc_id, string_split({translit('text')}, '') AS cs FROM documents)
 SELECT doc_id, md5(coalesce(array_to_string(list_transform(list_filter(cs, lambda c: c <> ''), lambda c: CASE WHEN c IN ('L', 'V') THEN '[L/V]' WHEN c IN ('Q', 'T') THEN '[Q/T]' ELSE c END), ''), '')) AS marked FROM w""")
 def mark_ambiguous(spark, d):
-    groups = spark.createDataFrame([("L", "[L/V]"), ("V", "[L/V]"), ("Q", "[Q/T]"), ("T", "[Q/T]")], "ch string, alt string")
-    docs = table(spark, d, "documents").select("doc_id", T.translit(F.col("text")).alias("s"))
-    chars = docs.select("doc_id", F.posexplode_outer(F.split("s", "")).alias("pos", "ch")).join(F.broadcast(groups), "ch", "left")
-    told = chars.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("alt", "ch").alias("out")))).alias("o"))
-    return told.select("doc_id", F.md5(F.array_join(F.transform("o", lambda x: x["out"]), "").cast("binary")).alias("marked"))
+    marks = {c: f"[{'/'.join(g)}]" for g in ("LV", "QT") for c in g}
+    return table(spark, d, "documents").select("doc_id", F.md5(T.marked(T.translit(F.col("text")), marks).cast("binary")).alias("marked"))
 
 
 @query(f"""WITH {LEX}, tk AS (SELECT doc_id, unnest(regexp_extract_all(upper(replace(text, 'ß', 'SS')), '[A-Z]+|[^A-Z]+')) AS tok, generate_subscripts(regexp_extract_all(upper(replace(text, 'ß', 'SS')), '[A-Z]+|[^A-Z]+'), 1) AS i FROM documents),
@@ -152,15 +147,8 @@ f AS (SELECT doc_id, i, tok, is_word, i = min(CASE WHEN is_word THEN i END) OVER
 o AS (SELECT doc_id, i, CASE WHEN NOT is_word OR length(tok) = 1 THEN tok WHEN noun OR st THEN tok[1] || lower(tok[2:]) ELSE lower(tok) END AS out FROM f)
 SELECT doc_id, md5(string_agg(out, '' ORDER BY i)) AS recased FROM o GROUP BY doc_id""")
 def recase_docs(spark, d):
-    lex = _lexicon(spark, d).where("is_noun").select(F.col("word").alias("tok"), F.lit(True).alias("noun"))
-    toks = table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.upper("text"), F.lit("([A-Z]+|[^A-Z]+)"), 1)).alias("i", "tok"))
-    w = Window.partitionBy("doc_id")
-    s = toks.withColumn("is_word", F.col("tok").rlike("^[A-Z]+$")).withColumn("before", F.coalesce(F.lag("tok").over(w.orderBy("i")), F.lit(".")))
-    s = s.withColumn("st", (F.col("i") == F.min(F.when(F.col("is_word"), F.col("i"))).over(w)) | F.col("before").rlike(r"[.!?\n]"))
-    f = s.join(lex, "tok", "left").withColumn("noun", F.coalesce("noun", F.lit(False)))
-    out = F.when(F.col("is_word"), T.format_word(F.col("tok"), F.col("noun"), F.col("st"))).otherwise(F.col("tok"))
-    told = f.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", out.alias("o")))).alias("os"))
-    return told.select("doc_id", F.md5(F.array_join(F.transform("os", lambda x: x["o"]), "").cast("binary")).alias("recased"))
+    told = X.recased(table(spark, d, "documents").select("doc_id", "text"), _lexicon(spark, d))
+    return told.where("out is not null and out <> ''").select("doc_id", F.md5(F.col("out").cast("binary")).alias("recased"))
 
 
 TOKENS = rf"tok AS (SELECT token, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace({fold('text')}, '[^A-Z\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS token FROM benchmark) GROUP BY token)"
@@ -178,12 +166,15 @@ def exact_lexicon_mark(spark, d):
 
 def _fuzzy_sql(dist: str) -> str:
     swap = "length(token) = length(cand) AND len(df) = 1 AND df[1] IN ('EU', 'UE', 'BH', 'HB', 'TQ', 'QT', 'LV', 'VL', 'WV', 'VW', 'BW', 'WB')"
-    return f"""WITH {LEX}, {TOKENS}, few AS (SELECT word, rnk, len FROM lex WHERE rnk < 3000),
+    return f"""WITH {LEX}, {TOKENS}, few AS (SELECT word, rnk, len FROM lex),
 c AS (SELECT token, word AS cand, rnk FROM tok JOIN few ON len BETWEEN greatest(2, length(token) - CASE WHEN length(token) >= 6 THEN 2 ELSE 1 END) AND length(token) + CASE WHEN length(token) >= 6 THEN 2 ELSE 1 END WHERE length(token) >= 2 AND word <> token),
 m AS (SELECT *, CASE WHEN length(token) <= 4 THEN 1 WHEN length(token) <= 7 THEN 2 WHEN length(token) <= 11 THEN 3 ELSE 4 END AS most FROM c),
-e AS (SELECT *, {dist} AS dist FROM m WHERE abs(length(token) - length(cand)) <= most),
+b AS (SELECT *, levenshtein(token, cand) AS plain, levenshtein(translate(token, 'UQHLVW', 'ETBBBB'), translate(cand, 'UQHLVW', 'ETBBBB')) AS alike FROM m WHERE abs(length(token) - length(cand)) <= most),
+v AS (SELECT *, least(most, coalesce(min(CASE WHEN rnk <= 8000 OR plain < 2 THEN plain END) OVER (PARTITION BY token), most)) AS up FROM b WHERE alike <= most),
+e AS (SELECT *, {dist} AS dist FROM v WHERE greatest(alike, plain * 0.35) <= up),
+r AS (SELECT * FROM e WHERE NOT (dist >= 2 AND rnk > 8000)),
 p AS (SELECT *, length(token) = length(cand) AS same, list_sum([CAST(token[i] = cand[i] AS INT) for i in generate_series(1, least(length(token), length(cand)))]) AS pos,
-  [token[i] || cand[i] for i in generate_series(1, least(length(token), length(cand))) if token[i] <> cand[i]] AS df FROM e WHERE dist <= most),
+  [token[i] || cand[i] for i in generate_series(1, least(length(token), length(cand))) if token[i] <> cand[i]] AS df FROM r WHERE dist <= most),
 w AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY token ORDER BY round(dist, 6), same DESC, pos DESC, rnk, cand) = 1),
 g AS (SELECT w.*, own.rnk AS own_rnk, {swap} AS swap FROM w LEFT JOIN few own ON own.word = w.token)
 SELECT token, cand, round(dist, 6) AS dist FROM g WHERE pos >= ceil(length(token) / 3) AND (length(token) > 2 OR dist < 0.99 OR swap) AND (own_rnk IS NULL OR (same AND dist <= 0.5 AND swap AND rnk <= 100 AND rnk <= own_rnk / 20))"""
@@ -191,8 +182,7 @@ SELECT token, cand, round(dist, 6) AS dist FROM g WHERE pos >= ceil(length(token
 
 @query(_fuzzy_sql("CAST(levenshtein(token, cand) AS DOUBLE)"))
 def fuzzy_unit_best(spark, d):
-    lex = X.build_lexicon(X.corpus_words(table(spark, d, "documents")), cap=3000)
-    return X.best_words(_tokens(spark, d), lex, weighted=False).select("token", "cand", F.round("dist", 6).alias("dist"))
+    return X.best_words(_tokens(spark, d), materialize(_lexicon(spark, d), "lexicon"), weighted=False).select("token", "cand", F.round("dist", 6).alias("dist"))
 
 
 WEIGHTED = """list_reduce(list_prepend(CAST(range(0, length(cand) + 1) AS DOUBLE[]), list_transform(range(1, length(token) + 1), lambda i: [CAST(i AS DOUBLE)])),
@@ -203,8 +193,7 @@ WEIGHTED = """list_reduce(list_prepend(CAST(range(0, length(cand) + 1) AS DOUBLE
 
 @query(_fuzzy_sql(WEIGHTED))
 def fuzzy_weighted_best(spark, d):
-    lex = X.build_lexicon(X.corpus_words(table(spark, d, "documents")), cap=3000)
-    return X.best_words(_tokens(spark, d), lex).select("token", "cand", F.round("dist", 6).alias("dist"))
+    return X.best_words(_tokens(spark, d), materialize(_lexicon(spark, d), "lexicon")).select("token", "cand", F.round("dist", 6).alias("dist"))
 
 
 @query(r"SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)/([a-z]+)/([0-9]+)', 3) AS font, TRY_CAST(regexp_extract(url, '^(https?)://([^/]+)/([a-z]+)/([0-9]+)', 4) AS INT) AS pt, regexp_matches(url, '^(https?)://([^/]+)/([a-z]+)/([0-9]+)') AS fits FROM pages")
@@ -221,17 +210,6 @@ def sweep_argmin_delta(spark, d):
     return V.best_of_sweep(r, "item", "setting", "value").select("item", "setting", F.round("value", 2).alias("value"), F.round("delta", 2).alias("delta"))
 
 
-@query("SELECT o_orderkey % 8 AS chunk, count(*) AS n, min(o_orderkey) AS first_key, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
-def round_robin_chunks(spark, d):
-    return table(spark, d, "orders").groupBy((F.col("o_orderkey") % 8).alias("chunk")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-
-
-@query("SELECT p_type, p_size, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS members, count(*) AS n FROM part GROUP BY p_type, p_size HAVING count(*) > 1")
-def duplicate_glyph_groups(spark, d):
-    g = table(spark, d, "part").groupBy("p_type", "p_size").agg(F.array_sort(F.collect_list("p_partkey")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    return g.select("p_type", "p_size", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("members"), "n")
-
-
 @query(f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 c AS (SELECT doc_id, len(list_filter(ws, lambda x: {translit('x')} <> x)) AS n, list_filter(ws, lambda x: {translit('x')} <> x)[1:20] AS firsts FROM w)
 SELECT doc_id, CAST(n AS INT) AS n, array_to_string(list_transform(firsts, lambda x: x || '>' || {translit('x')}), ' ') AS changes FROM c""")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from palimpsest.tables import materialize
+
 #: Fixed values of line finding; lengths in pixels are for pages of 1100 px.
 BASE_SIDE, LARGER = 1100, 1.02
 LEAST_INK, LEAST_HEIGHT, LARGE_HEIGHT, LEAST_PITCH = 0.02, 8, 10, 7
@@ -73,7 +75,7 @@ def line_bands(profiles: DataFrame, split_connected: bool = True) -> DataFrame:
         "sm": "transform(sequence(0, h - 1), y -> aggregate(slice(p, greatest(0, y - r) + 1, least(h - 1, y + r) - greatest(0, y - r) + 1), 0D, (s, v) -> s + v) / (least(h - 1, y + r) - greatest(0, y - r) + 1))",
         "minima": "if(h > 2 * r, filter(sequence(r, h - r - 1), y -> sm[y] <= sm[y - 1] and sm[y] <= sm[y + 1]), cast(array() as array<int>))",
         "sides": "transform(minima, y -> named_struct('y', y, 's', least(array_max(slice(sm, greatest(0, y - span) + 1, least(span, y))), array_max(slice(sm, y + 2, least(span, h - 1 - y))))))",
-        "splits": f"transform(filter(sides, v -> v.s >= peak * {NEIGHBOUR_PEAK}D and sm[v.y] / v.s <= {VALLEY_RATIO}D and sm[v.y] / peak < {VALLEY_PEAK}D), v -> v.y)",
+        "splits": f"transform(filter(sides, v -> v.s >= peak * {NEIGHBOUR_PEAK}D and try_divide(sm[v.y], v.s) <= {VALLEY_RATIO}D and try_divide(sm[v.y], peak) < {VALLEY_PEAK}D), v -> v.y)",
         "apart": f"aggregate(concat(array(-1), splits, array(h)), cast(array() as array<int>), (acc, s) -> if(size(acc) = 0 or s - acc[size(acc) - 1] > {_px(SPLIT_GAP)}, concat(acc, array(s)), acc))",
         "between": "if(size(apart) > 1, transform(sequence(0, size(apart) - 2), i -> named_struct('y0', apart[i] + 1, 'y1', apart[i + 1])), cast(array() as array<" + BAND + ">))",
         "inked": f"filter(between, b -> b.y1 - b.y0 >= least and aggregate(slice(p, b.y0 + 1, greatest(b.y1 - b.y0, 0)), 0D, (s, v) -> s + v) >= peak * {LEAST_BAND_INK}D)",
@@ -92,7 +94,8 @@ def line_bands(profiles: DataFrame, split_connected: bool = True) -> DataFrame:
     out = profiles
     for name, expr in steps.items():
         out = out.withColumn(name, F.expr(expr))
-    return out.select("key", "w", "h", "p", "scale", "pitch", "way", "found")
+    # written, as a plan with so many steps on one row takes the optimizer too long under joins and filters
+    return materialize(out.select("key", "w", "h", "p", "scale", "pitch", "way", "found"), "line-bands")
 
 
 def bounded_lines(bands: DataFrame, ink: DataFrame) -> DataFrame:

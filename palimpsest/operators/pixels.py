@@ -196,3 +196,52 @@ def otsu(px: DataFrame) -> DataFrame:
     gap = F.col("s0") / F.col("n0") - (F.col("s") - F.col("s0")) / n1
     scored = cum.where("n > n0").withColumn("score", F.col("n0") * n1 * gap * gap)
     return first_best(scored.select("img", "i", "score"), "img").select("img", F.col("i").alias("threshold"))
+
+
+def dilated(ink: DataFrame, radius: int) -> DataFrame:
+    """Ink wherever the square of the radius around a pixel has any."""
+    return box_sum(ink, radius, F.col("ink"), "_b").withColumn("ink", (F.col("_b") > 0).cast("int")).drop("_b")
+
+
+def eroded(ink: DataFrame, radius: int) -> DataFrame:
+    """Ink only where all of the square around a pixel (within the image) has it."""
+    return box_sum(ink, radius, 1 - F.col("ink"), "_b").withColumn("ink", (F.col("_b") == 0).cast("int")).drop("_b")
+
+
+def closed(ink: DataFrame, radius: int) -> DataFrame:
+    """Small holes filled: dilated, then eroded."""
+    return eroded(dilated(ink, radius), radius)
+
+
+def opened(ink: DataFrame, radius: int) -> DataFrame:
+    """Small marks removed: eroded, then dilated."""
+    return dilated(eroded(ink, radius), radius)
+
+
+def area_reduced(px: DataFrame, factor: int) -> DataFrame:
+    """Means of squares of factor pixels; sides that don't fit are cut off by the mean of what is there."""
+    cell = px.groupBy("img", F.expr(f"y div {factor}").cast("int").alias("y"), F.expr(f"x div {factor}").cast("int").alias("x"))
+    return cell.agg(F.max(F.ceil(F.col("w") / factor)).cast("int").alias("w"), F.max(F.ceil(F.col("h") / factor)).cast("int").alias("h"), F.avg("v").alias("v"))
+
+
+def crop_shares(px: DataFrame, top: float, side: float) -> DataFrame:
+    """Images without a share of their height at the top and of their width at each side."""
+    x0, y0 = half_up(F.col("w") * side).cast("int"), half_up(F.col("h") * top).cast("int")
+    inside = px.withColumn("_x", x0).withColumn("_y", y0).where("x >= _x and x < w - _x and y >= _y")
+    rest = [c for c in px.columns if c not in "xywh"]
+    return inside.select(*rest, (F.col("w") - 2 * F.col("_x")).alias("w"), (F.col("h") - F.col("_y")).alias("h"), (F.col("y") - F.col("_y")).alias("y"), (F.col("x") - F.col("_x")).alias("x"))
+
+
+def estimated_skew(ink: DataFrame, most: float = 12.0, coarse: int = 25, fine: int = 17) -> DataFrame:
+    """(img, deg, score): the best angle of a coarse grid, then of a fine one of a coarse step to both sides; the first of equals.
+
+    Images without ink have no row.
+    """
+    step = 2 * most / (coarse - 1)
+    first = first_best(skew_scores(ink, [-most + i * step for i in range(coarse)]), "img").select("img", F.col("deg").alias("base"))
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(-step + 2 * step * i / (fine - 1)).alias("off")) for i in range(fine)])
+    marks = ink.where("ink = 1").select("img", "w", "h", "y", "x").join(first, "img").withColumn("a", F.explode(near)).withColumn("deg", F.round(F.col("base") + F.col("a.off"), 9))
+    yy = F.col("y") + half_up((F.col("x") - F.col("w") / 2) * F.tan(F.col("deg") * F.lit(3.141592653589793) / 180))
+    rows = marks.select("img", "h", F.col("a.i").alias("i"), "deg", yy.alias("yy")).where("yy >= 0 and yy < h").groupBy("img", "h", "i", "deg", "yy").agg(F.count("*").alias("n"))
+    scores = rows.groupBy("img", "h", "i", "deg").agg((F.sum(F.col("n") * F.col("n")) - F.sum("n") * F.sum("n") / F.col("h")).alias("score"))
+    return first_best(scores, "img").select("img", "deg", "score")

@@ -80,14 +80,14 @@ def font_choice(spark, d):
     names = table(spark, d, "part").select(T.translit_spaced(F.col("p_name")).alias("text")).where("text <> ''").groupBy("text").agg(F.count("*").alias("parts"))
     drawn = []
     for n, rows in enumerate(atlas.values()):
-        own = names.where(F.length("text") % 3 == n).select(F.col("text").alias("key"), F.lit(0).alias("line"), "text")
-        drawn.append(D.drawn(own, rows, SIZE))
+        own = names.where(F.length("text") % 3 == n).select(F.col("text").alias("key"), "text")
+        drawn.append(D.drawn(D.wrapped(own, 6), rows, SIZE))  # a page of one line would be taken for a page without gaps
     ink, sizes = (materialize(a.unionByName(b).unionByName(c), "name-pages") for a, b, c in zip(*drawn, strict=True))
     lines = L.bounded_lines(L.line_bands(L.page_profiles(ink, sizes)), ink)
     cropped = L.cropped_lines(lines, ink, sizes)
     tried = materialize(V.grid(cropped, spark.createDataFrame([(f,) for f in atlas], "font string")), "lines-and-fonts")
     best = R.best_font(R.page_readings(R.read_lines(tried, _fonts(spark, atlas), atlas, EM)))
-    return names.join(best, names["text"] == best["key"]).select(names["text"], "parts", F.concat(F.lit("alphabet-"), F.length(names["text"]) % 3 + 1).alias("drawn"), "font", best["text"].alias("got"), F.round("confidence", 6).alias("confidence"))
+    return names.join(best, names["text"] == best["key"]).select(names["text"], "parts", F.concat(F.lit("alphabet-"), F.length(names["text"]) % 3 + 1).alias("drawn"), "font", F.replace(best["text"], F.lit("\n"), F.lit(" ")).alias("got"), F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"""WITH {TILES}, lv AS (SELECT * FROM (VALUES ('even', 1.0::DOUBLE, 1.0::DOUBLE), ('ramp', 0.45::DOUBLE, 1.2::DOUBLE)) t(level, dark, bright)),

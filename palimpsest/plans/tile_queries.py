@@ -181,3 +181,45 @@ def ctc_greedy_tiles(spark, d):
 def ctc_confidence(spark, d):
     logits = _tiles(spark, d).select(F.col("img").alias("key"), F.col("y").alias("t"), F.col("x").alias("c"), (F.col("v") / 32.0).alias("v"))
     return greedy(logits).select(F.col("key").alias("img"), F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {TILES} SELECT img, CAST(sum((v * 77 + (255 - v) * 150 + (v * 7 % 256) * 29) >> 8) AS BIGINT) AS total FROM px GROUP BY img")
+def tile_gray_of_channels(spark, d):
+    """Gray of three channels made of a tile's values."""
+    v = F.col("v")
+    return _tiles(spark, d).select("img", P.gray(v, 255 - v, v * 7 % 256).cast("long").alias("g")).groupBy("img").agg(F.sum("g").alias("total"))
+
+
+def _near(name: str, source: str, value: str) -> str:
+    return f"{boxed(source, name, 1, value)}"
+
+
+@query(f"{INK}, {_near('dl', 'ink', 'ink')} SELECT img, CAST(sum(CASE WHEN b > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM dl GROUP BY img")
+def tile_dilate(spark, d):
+    return P.dilated(_ink(spark, d), 1).groupBy("img").agg(F.sum("ink").alias("n"))
+
+
+@query(f"{INK}, {_near('er', 'ink', '1 - ink')} SELECT img, CAST(sum(CASE WHEN b = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM er GROUP BY img")
+def tile_erode(spark, d):
+    return P.eroded(_ink(spark, d), 1).groupBy("img").agg(F.sum("ink").alias("n"))
+
+
+@query(f"{INK}, {_near('dl', 'ink', 'ink')}, k2 AS (SELECT img, y, x, CASE WHEN b > 0 THEN 1 ELSE 0 END AS ink FROM dl), {_near('er', 'k2', '1 - ink')} SELECT img, CAST(sum(CASE WHEN b = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM er GROUP BY img")
+def tile_close(spark, d):
+    return P.closed(_ink(spark, d), 1).groupBy("img").agg(F.sum("ink").alias("n"))
+
+
+@query(f"WITH {TILES} SELECT img, y // 3 AS y, x // 3 AS x, round(avg(v), 6) AS v FROM px GROUP BY img, y // 3, x // 3")
+def tile_area_mean(spark, d):
+    return P.area_reduced(_tiles(spark, d), 3).select("img", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {TILES} SELECT img, y - 1 AS y, x - 1 AS x, v FROM px WHERE x >= 1 AND x < 7 AND y >= 1")
+def tile_crop_shares(spark, d):
+    return P.crop_shares(_tiles(spark, d), 0.1, 0.1).select("img", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "v")
+
+
+@query()
+def tile_skew(spark, d):
+    """The skew of each tile by the coarse and the fine grid."""
+    return P.estimated_skew(_ink(spark, d)).select("img", F.round("deg", 6).alias("deg"), F.round("score", 6).alias("score"))

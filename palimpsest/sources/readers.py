@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CATALOG = "file string, w int, h int, font string, level string, size int, text string"
 ATLAS = (
@@ -56,3 +56,55 @@ def packed_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """(word, rnk, len) of a text of words parted by spaces, in order of frequency."""
     words = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\s+")).alias("rnk", "word"))
     return words.select("word", "rnk", F.length("word").alias("len"))
+
+
+def frequency_words(spark: SparkSession, path: str) -> DataFrame:
+    """(word, ord) of a JSON list of words, ord counting from 0."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("words"))
+    return whole.select(F.posexplode("words").alias("ord", "word")).select("word", "ord")
+
+
+def truths(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, text) of whole text files, white space collapsed, in capitals; the name is without its ending."""
+    texts = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    return texts.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("name"), F.upper(F.trim(F.regexp_replace("value", r"\s+", " "))).alias("text"))
+
+
+def image_files(spark: SparkSession, folder: str, glob: str = "*") -> tuple[DataFrame, DataFrame]:
+    """(usable, rejected) files by their first bytes (JPEG, PNG, GIF, BMP): path, length, content, orientation (1 to 8).
+
+    Spark doesn't list empty files at all.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "length", "content")
+    image = F.hex(F.substring("content", 1, 4)).rlike("^(FFD8|89504E47|47494638|424D)")
+    return files.where(image).withColumn("orientation", orientation(F.col("content"))), files.where(~image).select("path", "length")
+
+
+def orientation(content: Column) -> Column:
+    """The orientation tag of a photo's bytes; 1 without one.
+
+    The tag is an entry of twelve bytes: number 0x0112, kind 3, count 1, then the value, in either byte order.
+    """
+    digits = F.hex(F.substring(content, 1, 65536))
+    motorola = F.regexp_extract(digits, "^(?:..)*?011200030000000100(0[1-8])", 1)
+    intel = F.regexp_extract(digits, "^(?:..)*?1201030001000000(0[1-8])00", 1)
+    found = F.when(motorola != "", motorola).when(intel != "", intel)
+    return F.coalesce(found.cast("int"), F.lit(1))
+
+
+def font_files(spark: SparkSession, folder: str, prefix: str, glob: str = "*.ttf") -> DataFrame:
+    """(key, path) of font files: their name without prefix and ending."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("file"))
+    return files.select(F.regexp_replace(F.regexp_replace("file", r"\.[^.]*$", ""), f"^{prefix}", "").alias("key"), "path")
+
+
+def unknown_fonts(named: DataFrame, glyphs: DataFrame) -> DataFrame:
+    """Files (file, font) whose font has no glyphs."""
+    return named.join(glyphs.select("font").distinct(), "font", "left_anti")
+
+
+def run_figures(spark: SparkSession, path: str) -> DataFrame:
+    """(name, value) of the figures that a run has printed, as `name: value` or `name = value`."""
+    pattern = r"^\s*([A-Za-z][A-Za-z ]*?)\s*[:=]\s*(-?[0-9]+(?:\.[0-9]+)?)"
+    found = spark.read.text(path).where(F.col("value").rlike(pattern))
+    return found.select(F.regexp_extract("value", pattern, 1).alias("name"), F.regexp_extract("value", pattern, 2).cast("double").alias("value"))

@@ -20,9 +20,11 @@ def silent_gaps(messages: DataFrame, seconds: int) -> DataFrame:
 def calibrate(paces: DataFrame) -> DataFrame:
     """Per device the running factor over (ts, seq): the first clamped pace, then the mean of old and new."""
     factor = F.greatest(F.lit(LEAST_FACTOR), F.least(F.lit(MOST_FACTOR), F.col("pace")))
-    ordered = paces.groupBy("device").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", factor.alias("f")))).alias("fs"))
-    first = F.element_at("fs", 1)["f"]
-    return ordered.select("device", F.aggregate(F.slice("fs", 2, 1 << 30), first, lambda a, x: (a + x["f"]) / 2).alias("factor"))
+    newest = Window.partitionBy("device").orderBy(F.desc("ts"), F.desc("seq"))
+    numbered = paces.select("device", factor.alias("f"), F.row_number().over(newest).alias("back"), F.count("*").over(Window.partitionBy("device")).alias("n"))
+    # halving again and again gives the k-th newest the weight 1/2^k, and the oldest that of the one after it; beyond 64 nothing counts
+    weight = F.pow(F.lit(0.5), F.least(F.col("back"), F.col("n") - 1).cast("double"))
+    return numbered.where("back <= 64").groupBy("device").agg(F.sum(F.col("f") * weight).alias("factor"))
 
 
 def eta(messages: DataFrame, total: int) -> DataFrame:
@@ -50,3 +52,42 @@ def read_arriving(spark, folder: str, glob: str = "*"):
 def for_each_batch(stream: DataFrame, read: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
     """Read every arriving batch with `read` and append the result to Parquet, then stop."""
     return stream.writeStream.foreachBatch(lambda df, _: read(df).write.mode("append").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Seconds of silence after which a job is given up, and for detailed images.
+PATIENCE, PATIENCE_DETAIL = 120, 180
+FIRED = "job string, messages long, fired boolean"
+
+
+def watch(key, batches, state, seconds: int = PATIENCE):
+    """One job of the watchdog: counts its messages, and fires when none comes for so many seconds."""
+    import pandas as pd
+
+    seen = state.get[0] if state.exists else 0
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame({"job": [key[0]], "messages": [seen], "fired": [True]})
+        return
+    seen += sum(len(b) for b in batches)
+    state.update((seen,))
+    state.setTimeoutDuration(seconds * 1000)
+    yield pd.DataFrame({"job": [key[0]], "messages": [seen], "fired": [False]})
+
+
+def watchdog(messages: DataFrame, seconds: int = PATIENCE) -> DataFrame:
+    """Streaming: per job the number of messages so far, and a row with fired when it has been silent too long."""
+
+    def run(key, batches, state):
+        return watch(key, batches, state, seconds)
+
+    return messages.groupBy("job").applyInPandasWithState(run, FIRED, "seen long", "update", "ProcessingTimeTimeout")
+
+
+def phases(lines: DataFrame) -> DataFrame:
+    """Progress rows (job, seq, phase, i, total) of pages with their lines: prepare, lines, then one row a line."""
+    whole = lines.groupBy("job").agg(F.count("*").cast("int").alias("total"))
+    start = whole.select("job", F.lit(0).alias("seq"), F.lit("prepare").alias("phase"), F.lit(0).alias("i"), "total")
+    found = whole.select("job", F.lit(1).alias("seq"), F.lit("lines").alias("phase"), F.lit(0).alias("i"), "total")
+    number = F.row_number().over(Window.partitionBy("job").orderBy("line"))
+    each = lines.select("job", number.alias("i")).join(whole, "job").select("job", (F.col("i") + 1).alias("seq"), F.lit("line").alias("phase"), "i", "total")
+    return start.unionByName(found).unionByName(each)

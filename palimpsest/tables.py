@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,4 +34,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    _WRITTEN.append(path)
+    return out
+
+
+#: Folders of materialised tables that are still there.
+_WRITTEN: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read any more; other DataFrames are left alone."""
+    for df in tables:
+        if (path := getattr(df, "kept_at", None)) in _WRITTEN:
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are materialised within are deleted at the end, but for those handed to the function that is given.
+
+    For work whose result is written before the end; what was only planned within can't be read afterwards.
+    """
+    start, kept = len(_WRITTEN), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.kept_at)
+        return df
+
+    yield keep
+    for path in [p for p in _WRITTEN[start:] if p not in kept]:
+        _delete(spark, path)

@@ -9,8 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from palimpsest.functions import text as T
-from palimpsest.operators import decode, lexicon, profiles
-from palimpsest.operators.alphabet import EM, glyphs
+from palimpsest.operators import lexicon, profiles
 from palimpsest.sources import readers
 from tests.conftest import SF_SMALL
 
@@ -28,7 +27,7 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple(round(v, 5) if isinstance(v, float) else str(v) if v is not None else None for v in r) for r in df.astype(object).itertuples(index=False))
+    return sorted(tuple(f"{round(float(v), 4) + 0:.4f}" if isinstance(v, (float, int)) and not isinstance(v, bool) else str(v) for v in r) for r in df.astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -37,22 +36,13 @@ def test_against_sql(spark, duck, name):
     want = duck.execute(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
-    if not any(str(t).startswith("float") for t in want.dtypes):
-        assert rows(got) == rows(want)
+    assert rows(got) == rows(want)
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_clean_lines_are_read_back():
-    g = glyphs(1, twins=("LV",))
-    for text in ("HELLO WORLD", "QUICK BROWN FOX", "A"):
-        got, score = decode.read_line(decode.render_line(text, g), g, 6 + EM)
-        assert got.replace("V", "L") == text.replace("V", "L") and score > 0.8
-    assert decode.read_line(np.zeros((44, 50), np.uint8), g, 38) == ("", 0.0)
-
-
 def test_folds_on_bands(spark):
     bands = spark.createDataFrame([("a", 0, 10), ("a", 11, 14), ("a", 40, 52)], "key string, y0 int, y1 int")
     assert sorted(map(tuple, profiles.merge_thin(bands).collect())) == [("a", 0, 14), ("a", 40, 52)]

@@ -56,18 +56,22 @@ def resampled(src: np.ndarray, h: int, w: int) -> np.ndarray:
 
 
 class Scaled:
-    """An alphabet at one size: per letter the mask, its place against the pen, and the advance."""
+    """An alphabet at one size: its masks side by side on a common canvas, their places against the pen, the advances."""
 
     def __init__(self, glyphs: tuple, em_px: int, em: float):
-        self.names, self.masks, self.dx, self.dy, self.adv = [], [], [], [], []
-        for ch, adv, x0, y0, w, h, bitmap in glyphs:
-            self.names.append(ch)
-            self.masks.append(resampled(np.frombuffer(bitmap, np.uint8).reshape(h, w).astype(float), max(1, half_up(h * em / em_px)), max(1, half_up(w * em / em_px))))
-            self.dx.append(half_up(x0 * em))
-            self.dy.append(half_up(y0 * em))
-            self.adv.append(adv * em)
-        self.base = np.array([half_up(a) for a in self.adv])
-        self.mean = float(np.mean(self.adv))
+        shapes = [resampled(np.frombuffer(g[6], np.uint8).reshape(g[5], g[4]).astype(float), max(1, half_up(g[5] * em / em_px)), max(1, half_up(g[4] * em / em_px))) for g in glyphs]
+        self.names = [g[0] for g in glyphs]
+        self.dx, self.dy = np.array([half_up(g[2] * em) for g in glyphs]), np.array([half_up(g[3] * em) for g in glyphs])
+        self.h, self.w = np.array([m.shape[0] for m in shapes]), np.array([m.shape[1] for m in shapes])
+        adv = np.array([g[1] * em for g in glyphs])
+        self.base, self.mean = np.array([half_up(a) for a in adv]), float(adv.mean())
+        self.mass = np.array([m.sum() for m in shapes])
+        self.top, self.left = int(self.dy.min()), int(min(0, self.dx.min()))
+        self.height, self.width = int((self.dy + self.h).max()) - self.top, int((self.dx + self.w).max()) - self.left
+        self.canvas = np.zeros((len(shapes), self.height, self.width))
+        for c, m, x, y in zip(self.canvas, shapes, self.dx - self.left, self.dy - self.top, strict=True):
+            c[y : y + m.shape[0], x : x + m.shape[1]] = m
+        self.kernel = self.canvas.reshape(len(shapes), -1).T
 
 
 @lru_cache(maxsize=64)
@@ -76,20 +80,31 @@ def scaled(glyphs: tuple, em_px: int, em: float) -> Scaled:
     return Scaled(glyphs, em_px, em)
 
 
-def overlaps(ink: np.ndarray, mask: np.ndarray, top: int, dx: int, adv: int) -> np.ndarray:
-    """Dice overlap of a mask with the ink, for every pen position; ink counts over the mask's and the advance's width."""
+def overlaps(ink: np.ndarray, shapes: Scaled, baseline: int, vertical: int) -> np.ndarray:
+    """Best Dice overlap of every letter with the ink at every pen position, over some vertical play.
+
+    A matrix product of all windows of the ink with all masks; ink counts over a mask's rows, and the columns of
+    mask and advance.
+    """
     h, width = ink.shape
-    gh, gw = mask.shape
-    lead, trail = max(0, -dx), max(dx + gw, adv)
-    strip = np.zeros((gh, lead + width + trail + 1))
-    y0, y1 = max(top, 0), min(top + gh, h)
-    if y1 > y0:
-        strip[y0 - top : y1 - top, lead : lead + width] = ink[y0:y1]
-    total = np.concatenate(([0.0], np.cumsum(strip.sum(axis=0))))
+    lead, trail = -shapes.left, int(max((shapes.dx + shapes.w).max(), shapes.base.max()))
+    above = shapes.height + vertical + abs(baseline + shapes.top) + 1
+    tall = np.zeros((above + h + above, lead + width + trail + 1))
+    tall[above : above + h, lead : lead + width] = ink
+    total = np.zeros((tall.shape[0] + 1, tall.shape[1] + 1))
+    np.cumsum(np.cumsum(tall, axis=0), axis=1, out=total[1:, 1:])
     pen = np.arange(width + 1) + lead
-    marks = total[pen + trail] - total[pen + min(dx, 0)]
-    both = np.tensordot(np.lib.stride_tricks.sliding_window_view(strip, gw, axis=1), mask, ((0, 2), (0, 1)))[np.minimum(pen + dx, strip.shape[1] - gw)]
-    return np.where(marks > 0, 2 * both / (mask.sum() + np.maximum(marks, 1)), 0.0)
+    left, right = pen[None] + np.minimum(shapes.dx, 0)[:, None], pen[None] + np.maximum(shapes.dx + shapes.w, shapes.base)[:, None]
+    best = np.zeros((len(shapes.names), width + 1))
+    for play in range(-vertical, vertical + 1):
+        first = min(max(above + baseline + shapes.top + play, 0), tall.shape[0] - shapes.height)
+        windows = np.lib.stride_tricks.sliding_window_view(tall[first : first + shapes.height], shapes.width, axis=1)[:, : width + 1]
+        both = (windows.transpose(1, 0, 2).reshape(width + 1, -1) @ shapes.kernel).T
+        up = (first - shapes.top + shapes.dy)[:, None]
+        down = up + shapes.h[:, None]
+        marks = total[down, right] - total[up, right] - total[down, left] + total[up, left]
+        best = np.maximum(best, np.where(marks > 0, 2 * both / (shapes.mass[:, None] + marks), 0.0))
+    return best
 
 
 def gap_targets(columns: np.ndarray, gap: int) -> dict[int, list[int]]:
@@ -114,11 +129,8 @@ def read_line(ink: np.ndarray, shapes: Scaled, baseline: float, em: float, optio
     if not columns.any():
         return "", 0.0, 0
     use = np.flatnonzero(shapes.base >= 1)
-    gain = np.zeros((len(use), width + 1))
-    for row, k in enumerate(use):
-        top = half_up(baseline) + shapes.dy[k]
-        fit = np.max([overlaps(ink, shapes.masks[k], top + dy, shapes.dx[k], int(shapes.base[k])) for dy in range(-options.vertical, options.vertical + 1)], axis=0)
-        gain[row] = (fit - options.insertion) * (shapes.base[k] / shapes.mean)
+    fit = overlaps(ink.astype(float), shapes, half_up(baseline), options.vertical)[use]
+    gain = (fit - options.insertion) * (shapes.base[use] / shapes.mean)[:, None]
     # every way to reach a pen position, the one from furthest left first, then by letter, then by play
     ways = sorted((-(int(shapes.base[k]) + d), row, d) for row, k in enumerate(use) for d in range(-options.jitter, options.jitter + 1) if shapes.base[k] + d > 0)
     back, letter, play = (np.array(c) for c in zip(*ways, strict=True))

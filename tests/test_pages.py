@@ -156,6 +156,23 @@ def test_a_page_is_read_back(spark):
     assert reading.read_line(np.zeros((30, 40), np.uint8), reading.scaled(tuple(tuple(g.values())[1:] for g in atlas["one"]), EM, 20.0), 20.0, 20.0) == ("", 0.0, 0)
 
 
+def test_overlaps_against_pixel_loops():
+    shapes = reading.scaled(tuple(tuple(g.values())[1:] for g in glyphs(2)), EM, 17.0)
+    ink = (np.random.default_rng(5).random((25, 40)) < 0.3).astype(float)
+    for baseline in (20, 4, -3):
+        got = reading.overlaps(ink, shapes, baseline, 1)
+        for k in (0, 9, 25):
+            x, y, w, h = (int(v[k]) for v in (shapes.dx, shapes.dy, shapes.w, shapes.h))
+            mask = shapes.canvas[k][y - shapes.top :, x - shapes.left :][:h, :w]
+            for p in range(0, 41, 3):
+                best = 0.0
+                for top in (baseline + y - 1, baseline + y, baseline + y + 1):
+                    seen = [(r, c) for r in range(max(0, top), min(25, top + h)) for c in range(max(0, min(p, p + x)), min(40, max(p + x + w, p + int(shapes.base[k])))) if ink[r, c]]
+                    both = sum(mask[r - top, c - p - x] for r, c in seen if 0 <= c - p - x < w)
+                    best = max(best, 2 * both / (mask.sum() + len(seen)) if seen else 0.0)
+                assert got[k, p] == pytest.approx(best)
+
+
 LEXICON = [("HAUS", 0, False), ("BAUM", 1, False), ("GARTEN", 2, False), ("DER", 3, False), ("EXEMPLAR", 4000, False), ("LESEN", 5000, False), ("RUNE", 99999, True), ("BAT", 6000, False), ("HAT", 20, False)]
 
 

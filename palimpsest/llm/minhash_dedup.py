@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.llm.textkernel import GOLDEN, LOWER, Words, in_sorted, mix, odd_constants, slices, text_bytes, window_hashes, word_hashes
-from palimpsest.tables import materialize, table
+from palimpsest.tables import discard, materialize, table
 
 BANDS, ROWS = 32, 5
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -203,13 +203,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     labels, left = None, edges.select("a", "b")
     while True:
-        hooks = materialize(left.mapInArrow(_forest, "node long, root long").groupBy("node").agg(F.min("root").alias("root")), "hooks")
+        kept = hooks = materialize(left.mapInArrow(_forest, "node long, root long").groupBy("node").agg(F.min("root").alias("root")), "hooks")
         if hooks.isEmpty():
             break
         while True:
             up = hooks.select(F.col("node").alias("root"), F.col("root").alias("higher"))
             jumped = materialize(hooks.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "hooks")
-            hooks = jumped.select("node", "root")
+            discard(kept)  # nothing else reads the chains before the jump
+            kept, hooks = jumped, jumped.select("node", "root")
             if jumped.where("moved").isEmpty():
                 break
         up = hooks.select(F.col("node").alias("component"), F.col("root").alias("higher"))

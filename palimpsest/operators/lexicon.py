@@ -178,13 +178,18 @@ def recased(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     nouns = lexicon.where("is_noun").agg(F.collect_list("word").alias("_nouns"))
     toks = texts.withColumn("_toks", F.regexp_extract_all(F.upper("text"), F.lit("([A-Z]+|[^A-Z]+)"), 1)).crossJoin(F.broadcast(nouns))  # one row of nouns
-    toks = toks.withColumn("_own", F.array_intersect("_toks", "_nouns")).withColumn("_first", F.when(F.get("_toks", F.lit(0)).rlike("^[A-Z]"), 0).otherwise(1))
+    first = F.when(F.get("_toks", F.lit(0)).rlike("^[A-Z]"), 0).otherwise(1)
 
-    def cased(tok: Column, i: Column) -> Column:
-        starts = (i == F.col("_first")) | F.coalesce(F.get("_toks", i - 1), F.lit("")).rlike(r"[.!?\n]")
-        return F.when(tok.rlike("^[A-Z]"), T.format_word(tok, F.array_contains("_own", tok), starts)).otherwise(tok)
+    def cased(row: Column) -> Column:
+        def one(tok: Column, i: Column) -> Column:
+            starts = (i == row["first"]) | F.coalesce(F.get(row["toks"], i - 1), F.lit("")).rlike(r"[.!?\n]")
+            return F.when(tok.rlike("^[A-Z]"), T.format_word(tok, F.array_contains(row["own"], tok), starts)).otherwise(tok)
 
-    return toks.withColumn("out", F.array_join(F.transform("_toks", cased), "")).drop("_toks", "_nouns", "_own", "_first")
+        return F.array_join(F.transform(row["toks"], one), "")
+
+    # bound as one value, as a column used within a lambda may be worked out anew for every token
+    row = F.array(F.struct(F.col("_toks").alias("toks"), F.array_intersect("_toks", "_nouns").alias("own"), first.alias("first")))
+    return toks.withColumn("out", F.get(F.transform(row, cased), F.lit(0))).drop("_toks", "_nouns")
 
 
 #: Fixed values of joining fragments: tokens, lengths, distance, ranks, price of a token that can't be read, gain of a join.

@@ -57,7 +57,7 @@ def usable_glyphs(spark, d):
     return G.usable(g, spaces).groupBy("font").agg(F.count("*").alias("n"), F.round(F.sum("space_adv"), 6).alias("spaces"))
 
 
-REQUESTS = """rq AS (SELECT p_partkey, CAST(p_size * 61 + 200 AS INT) AS w, CAST(p_partkey % 1700 + 150 AS INT) AS h, CASE WHEN p_partkey % 5 = 0 THEN '__auto__' ELSE 'Phoenix-' || replace(p_type, ' ', '-') END AS font,
+REQUESTS = """rq AS (SELECT p_partkey, CAST(p_size * 61 + 200 AS INT) AS w, CAST(p_partkey % 1700 + 150 AS INT) AS h, CASE WHEN p_partkey % 5 = 0 THEN '__auto__' ELSE 'Family-' || replace(p_type, ' ', '-') END AS font,
   p_partkey % 3 = 0 AS legacy, p_partkey % 2 = 0 AS detail, p_partkey % 7 < 3 AS warm, 0.3 + (p_partkey % 11) / 10.0::DOUBLE AS factor FROM part),
 en AS (SELECT *, font <> '__auto__' AND NOT legacy AS neural FROM rq), sd AS (SELECT *, CASE WHEN neural AND detail THEN 2200 ELSE 1100 END AS side FROM en),
 ft AS (SELECT *, CAST(greatest(1, floor(w * least(1.0::DOUBLE, side / greatest(w, h)::DOUBLE) + 0.5)) AS INT) AS dw, CAST(greatest(1, floor(h * least(1.0::DOUBLE, side / greatest(w, h)::DOUBLE) + 0.5)) AS INT) AS dh FROM sd),
@@ -68,7 +68,7 @@ sc AS (SELECT *, CAST(greatest(1, floor(round(CASE WHEN neural THEN factor * (0.
 def _requests(spark, d):
     """Requests with sizes, font and reader, as parts have them."""
     n = F.col("p_partkey")
-    r = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 61 + 200).cast("int").alias("w"), (n % 1700 + 150).cast("int").alias("h"), F.when(n % 5 == 0, "__auto__").otherwise(F.concat(F.lit("Phoenix-"), F.replace("p_type", F.lit(" "), F.lit("-")))).alias("font"), (n % 3 == 0).alias("legacy"), (n % 2 == 0).alias("detail"), (n % 7 < 3).alias("warm"), (0.3 + (n % 11) / 10).alias("factor"))
+    r = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 61 + 200).cast("int").alias("w"), (n % 1700 + 150).cast("int").alias("h"), F.when(n % 5 == 0, "__auto__").otherwise(F.concat(F.lit("Family-"), F.replace("p_type", F.lit(" "), F.lit("-")))).alias("font"), (n % 3 == 0).alias("legacy"), (n % 2 == 0).alias("detail"), (n % 7 < 3).alias("warm"), (0.3 + (n % 11) / 10).alias("factor"))
     r = r.withColumn("neural", Q.uses_neural(F.col("font"), F.col("legacy"))).withColumn("side", Q.longest_side(F.col("neural"), F.col("detail")))
     dw, dh = Q.fitted(F.col("w"), F.col("h"), F.col("side"))
     r = r.withColumn("dw", dw).withColumn("dh", dh).withColumn("n_lines", Q.estimated_lines(F.col("h") / 1850.0))
@@ -80,11 +80,11 @@ def request_estimates(spark, d):
     return _requests(spark, d).select("p_partkey", "neural", "side", "dw", "dh", "n_lines", "seconds")
 
 
-@query(f"""WITH {REQUESTS} SELECT p_partkey, replace(regexp_replace(font, '^Phoenix-', ''), '-', ' ') AS label, CASE WHEN seconds < 60 THEN 'ca. ' || seconds || ' s' WHEN seconds % 60 = 0 THEN 'ca. ' || seconds // 60 || ' min' ELSE 'ca. ' || seconds // 60 || ' min ' || seconds % 60 || ' s' END AS told,
+@query(f"""WITH {REQUESTS} SELECT p_partkey, replace(regexp_replace(font, '^Family-', ''), '-', ' ') AS label, CASE WHEN seconds < 60 THEN 'ca. ' || seconds || ' s' WHEN seconds % 60 = 0 THEN 'ca. ' || seconds // 60 || ' min' ELSE 'ca. ' || seconds // 60 || ' min ' || seconds % 60 || ' s' END AS told,
   NOT neural AND (dw * dh > 700000 OR greatest(dw, dh) >= side) AS large FROM sc""")
 def request_texts(spark, d):
     r = _requests(spark, d)
-    return r.select("p_partkey", Q.font_label(F.col("font"), "Phoenix-").alias("label"), Q.time_text(F.col("seconds")).alias("told"), Q.is_large(F.col("dw"), F.col("dh"), F.col("side"), F.col("neural")).alias("large"))
+    return r.select("p_partkey", Q.font_label(F.col("font"), "Family-").alias("label"), Q.time_text(F.col("seconds")).alias("told"), Q.is_large(F.col("dw"), F.col("dh"), F.col("side"), F.col("neural")).alias("large"))
 
 
 @query(f"WITH {REQUESTS} SELECT p_partkey, round(greatest(1.0::DOUBLE, greatest(w, h) / 1100.0::DOUBLE), 6) AS scale, CAST(greatest(1, floor(7 * greatest(1.0::DOUBLE, greatest(w, h) / 1100.0::DOUBLE) + 0.5)) AS INT) AS px, round(h / 0.75, 6) AS em FROM rq")

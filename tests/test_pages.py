@@ -277,7 +277,7 @@ def test_everything_else_works_without_the_llm_folders(tmp_path):
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))
     code = "import __spark_entry__ as e; assert len(e.queries()) > 80 and not [n for n in e.queries() if n.startswith('op') or n == 'pipeline']; assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True)
-    (copy / "corpus_pipeline.py").unlink()
+    (copy / "corpus_pipeline.py").unlink(missing_ok=True)
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True)
     told = subprocess.run([sys.executable, "-m", "pytest", "-q", "--collect-only", "tests"], cwd=copy, capture_output=True, text=True)
     assert told.returncode == 0, told.stdout[-2000:]

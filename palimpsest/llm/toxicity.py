@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.llm.textkernel import slices
 from palimpsest.llm.wordscores import letter_words, ngrams, text_scores, word_blocks
-from palimpsest.tables import table
+from palimpsest.tables import materialize, table
 
 SIZES = (3, 4, 5, 6)
 BUCKETS, DIM = 1 << 18, 8
@@ -46,24 +46,33 @@ def document_ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return found, total[found]
 
 
-def train(grams: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shares: np.ndarray, steps: int = 120, rate: float = 0.02, decay: float = 1e-2, seed: int = 0) -> tuple[np.ndarray, float]:
+def informative(has: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Buckets whose share of documents differs between the classes beyond chance; has: documents by class and bucket, n: by class."""
+    pooled = has.sum(axis=0) / n.sum()
+    z = (has[1] / n[1] - has[0] / n[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n).sum() + 1e-9)
+    return np.flatnonzero(np.abs(z) > LEAST_Z)
+
+
+def train(grams: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, float]:
+    """Prune the vocabulary and learn from (bucket, weight) of each document -> (score of each bucket, bias)."""
+    has = np.stack([np.bincount(np.concatenate([b for (b, _), y in zip(grams, labels, strict=True) if y == c]), minlength=BUCKETS) for c in (0, 1)])
+    keep = informative(has, np.array([(labels == 0).sum(), (labels == 1).sum()], float))
+    x = np.zeros((len(grams), len(keep)), np.float32)
+    for row, (bucket, weight) in zip(x, grams, strict=True):
+        place = np.searchsorted(bucket, keep)
+        there = np.flatnonzero(bucket[np.minimum(place, len(bucket) - 1)] == keep)
+        row[there] = weight[place[there]]
+    return learn(x, keep, labels, shares)
+
+
+def learn(x: np.ndarray, keep: np.ndarray, labels: np.ndarray, shares: np.ndarray, steps: int = 120, rate: float = 0.02, decay: float = 1e-2, seed: int = 0) -> tuple[np.ndarray, float]:
     """Train embeddings and softmax together with Adam on full batches -> (score of each bucket, bias).
 
-    grams: (bucket, weight) of each document. shares: the classes' shares in the whole labelled table, to which the sample is weighted. The softmax
-    of two classes needs the difference of its logits only, so the model folds into one weight per bucket.
+    x: documents by kept buckets. shares: the classes' shares in the whole labelled table, to which the sample
+    is weighted. The softmax of two classes needs the difference of its logits only, so the model folds into one
+    weight per bucket.
     """
-    doc = np.repeat(np.arange(len(grams)), [len(b) for b, _ in grams])
-    bucket, weight = np.concatenate([b for b, _ in grams]), np.concatenate([w for _, w in grams])
     n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
-    has = np.stack([np.bincount(bucket, labels[doc] == c, BUCKETS) for c in (0, 1)])
-    pooled = has.sum(axis=0) / n.sum()
-    z = (has[1] / n[1] - has[0] / n[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n).sum() + 1e-9)
-    keep = np.flatnonzero(np.abs(z) > LEAST_Z)
-    place = np.full(BUCKETS, -1)
-    place[keep] = np.arange(len(keep))
-    used = place[bucket] >= 0
-    x = np.zeros((len(grams), len(keep)), np.float32)
-    x[doc[used], place[bucket[used]]] = weight[used]
     scale = 0.1 / (x.std(axis=0) + 1e-5)
     x *= scale
     rng = np.random.default_rng(seed)
@@ -103,12 +112,38 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "toxic", "bucket", "weight"])
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by class and bucket, as one row."""
+    has = np.zeros((2, BUCKETS), np.int32)
+    for batch in batches:
+        for toxic, bucket in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            has[toxic, np.frombuffer(bucket.as_py(), np.int32)] += 1
+    yield pa.RecordBatch.from_arrays([pa.array([has.tobytes()], pa.binary())], names=["has"])
+
+
+def _kept(keep: np.ndarray):
+    """Of each document the weights of the kept buckets, as a dense row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for bucket, weight in zip(batch.column(2), batch.column(3), strict=True):
+                own, value, row = np.frombuffer(bucket.as_py(), np.int32), np.frombuffer(weight.as_py(), np.float32), np.zeros(len(keep), np.float32)
+                _, a, b = np.intersect1d(own, keep, assume_unique=True, return_indices=True)
+                row[b] = value[a]
+                rows.append(row.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "x"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, float]:
     """Fit on a bounded sample of labelled documents outside the held-out fold, each read whole.
 
-    The sample is the first max_labelled documents of each class in the order of a hash of doc_id. Class
-    shares are counted over all labels. Without both classes every text scores near the label there is, or
-    near 0.
+    The sample is the first max_labelled documents of each class in the order of a hash of doc_id; of rows that
+    repeat a doc_id the text with the least hash. Their n-grams stay in the shared folder: the driver gets the
+    counts of documents by bucket (at most eight rows of 2 MB), then the kept buckets' weights. Class shares are
+    counted over all labels. Without both classes every text scores near the label there is, or near 0.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     shares = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -116,14 +151,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         return np.zeros(BUCKETS), 10.0 if 1 in shares else -10.0
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled) for y in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * max_labelled rows
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sampled = slim.join(ids, "doc_id").select("doc_id", "toxic", "text").mapInArrow(_grams, "doc_id long, toxic int, bucket binary, weight binary")
-    rows = sampled.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "bucket", "weight").limit(4 * max_labelled).collect()
-    y = np.array([r.toxic for r in rows])
-    if not 0 < y.sum() < len(y):
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    texts = slim.join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = materialize(texts.mapInArrow(_grams, "doc_id long, toxic int, bucket binary, weight binary"), "toxicity-sample")
+    n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(n) < 2:
         return np.zeros(BUCKETS), -10.0
+    has = sum(np.frombuffer(r.has, np.int32).reshape(2, BUCKETS) for r in sample.coalesce(8).mapInArrow(_counts, "has binary").collect())
+    keep = informative(has, np.array([n[0], n[1]], float))
+    rows = sorted(sample.mapInArrow(_kept(keep), "doc_id long, toxic int, x binary").collect(), key=lambda r: (r.doc_id, r.toxic))
+    x = np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(len(rows), len(keep))
     total = shares[0] + shares[1]
-    return train([(np.frombuffer(r.bucket, np.int32), np.frombuffer(r.weight, np.float32)) for r in rows], y, np.array([shares[0] / total, shares[1] / total]))
+    return learn(x, keep, np.array([r.toxic for r in rows]), np.array([shares[0] / total, shares[1] / total]))
 
 
 def score_udf(weights: np.ndarray, bias: float):

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm import (
     decontamination,
     language_id,
+    merkle,
     minhash_dedup,
     mixing,
     quality_classifier,
     quality_rules,
     secret_scan,
+    simhash_dedup,
     substring_dedup,
     toxicity,
     url_filter,
@@ -33,6 +35,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language_id.op8_language_id,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_decontamination": decontamination.op10_decontamination,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op13_simhash_dedup": simhash_dedup.op13_simhash_dedup,
     }
 
 
@@ -44,4 +48,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_minhash_dedup": minhash_dedup.OP6_SQL,
         "op7_source_mixing": mixing.OP7_SQL,
         "op9_url_filter": url_filter.OP9_SQL,
+        "op11_merkle_manifest": merkle.OP11_SQL,
     }

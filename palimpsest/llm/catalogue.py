@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm import (
     decontamination,
     language_id,
+    lexical_search,
     merkle,
     minhash_dedup,
     mixing,
@@ -36,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_decontamination": decontamination.op10_decontamination,
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_lexical_search": lexical_search.op12_lexical_search,
         "op13_simhash_dedup": simhash_dedup.op13_simhash_dedup,
     }
 
@@ -49,4 +51,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_source_mixing": mixing.OP7_SQL,
         "op9_url_filter": url_filter.OP9_SQL,
         "op11_merkle_manifest": merkle.OP11_SQL,
+        "op12_lexical_search": lexical_search.OP12_SQL,
     }

@@ -6,9 +6,6 @@ are found by an equality join on short pieces of words, which loses none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.functions import text as T
@@ -197,79 +194,73 @@ JOIN_TOKENS, JOIN_PART, FRAGMENT, UNKNOWN_FRAGMENT, JOINED = 5, 8, 2, 4, (5, 14)
 JOIN_DISTANCE, PLAIN_RANK, SHORT_RANK, SHORT_JOIN, RAREST = 1.2, 5000, 3000, 7, 35000
 UNREADABLE, JOIN_GAIN, LEAST_GAIN = 40.0, 0.3, 0.15
 CHANGES = 20
-KNOWN = "struct<known:boolean,custom:boolean,text:string,dist:double,rnk:int>"
-REPAIRED = "key string, line int, words array<string>"
 
 
 def _joinable(parts: Column) -> Column:
-    """Whether tokens may be tried as one word, by their lengths alone."""
-    joined = F.array_join(parts, "")
-    return F.forall(parts, lambda p: F.length(p) <= JOIN_PART) & F.length(joined).between(*JOINED)
+    """Whether tokens may be tried as one word: by their lengths, one that looks torn, and not all of them words by themselves."""
+    joined = F.array_join(F.transform(parts, lambda p: p["token"]), "")
+    short = F.forall(parts, lambda p: F.length(p["token"]) <= JOIN_PART)
+    return short & F.length(joined).between(*JOINED) & F.exists(parts, lambda p: p["torn"]) & ~F.forall(parts, lambda p: p["whole"])
 
 
 def _facts(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(token, facts): whether it is a word, and its correction with weighted distance and the rank of its first word."""
-    own = lexicon.select(F.col("word").alias("token"), F.lit(True).alias("known"), "is_custom")
-    fixed = correct_words(tokens.join(own.select("token"), "token", "left_anti"), lexicon).select("token", F.col("cand").alias("text"))
+    """(token, known, text, dist, rnk, own): of tokens that are words or can be corrected the text to read, its weighted
+    distance, and rank and custom flag of its first word."""
+    words = lexicon.select(F.col("word").alias("token"))
+    fixed = correct_words(tokens.join(words, "token", "left_anti"), lexicon).select("token", F.col("cand").alias("text"))
     fixed = fixed.withColumn("head", F.element_at(F.split("text", " "), 1)).withColumn("tight", F.replace("text", F.lit(" "), F.lit("")))
     fixed = fixed.withColumn("dist", T.weighted_distance("token", "tight"))
-    rank = lexicon.select(F.col("word").alias("head"), "rnk")
-    fixed = fixed.join(rank, "head", "left").select("token", "text", "dist", F.coalesce("rnk", F.lit(UNKNOWN_RANK)).alias("rnk"))
-    told = tokens.join(own, "token", "left").join(fixed, "token", "left")
-    facts = F.struct(F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("is_custom", F.lit(False)).alias("custom"), "text", "dist", "rnk")
-    return told.where("known or text is not null").select("token", facts.alias("facts"))
-
-
-def repair_words(tokens: list[str], facts: dict[str, dict]) -> list[str]:
-    """One line's tokens, corrected, with fragments joined where that reads better; from left to right."""
-
-    def joined(parts: list[str]) -> tuple[str, float] | None:
-        """The word that parts make, and its distance."""
-        if not any(len(p) <= FRAGMENT or (len(p) <= UNKNOWN_FRAGMENT and not facts.get(p, {}).get("known")) for p in parts):
-            return None
-        if all(len(p) > 1 and (f := facts.get(p)) and (f["known"] or (" " not in f["text"] and f["rnk"] < PLAIN_RANK)) for p in parts):
-            return None
-        word = "".join(parts)
-        f = facts.get(word) if JOINED[0] <= len(word) <= JOINED[1] else None
-        if not f or f["known"]:
-            return f and (word, 0.0)
-        short = any(len(p) == 1 for p in parts) and len(word) < SHORT_JOIN and f["rnk"] > SHORT_RANK
-        return None if f["dist"] > JOIN_DISTANCE or f["rnk"] > RAREST or short else (f["text"], f["dist"])
-
-    out, at = [], 0
-    while at < len(tokens):
-        f = facts.get(tokens[at])
-        text, score, used = (tokens[at], 0.0 if f else UNREADABLE, 1) if not f or f["known"] else (f["text"], f["dist"], 1)
-        for n in range(2, min(JOIN_TOKENS, len(tokens) - at) + 1):
-            parts = tokens[at : at + n]
-            if len(parts[-1]) > JOIN_PART or len(parts[0]) > JOIN_PART:
-                break
-            if (found := joined(parts)) and found[1] - JOIN_GAIN * (n - 1) < score - LEAST_GAIN:
-                text, score, used = found[0], found[1] - JOIN_GAIN * (n - 1), n
-        out += text.split()
-        at += used
-    return out
-
-
-def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(r["key"], r["line"], repair_words(r["tokens"], {f["token"]: f["facts"] for f in r["facts"] or ()})) for r in batch.to_pylist()]
-        kinds = (pa.string(), pa.int32(), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["key", "line", "words"])
+    told = fixed.unionByName(tokens.join(words, "token", "left_semi").select("token", F.col("token").alias("text"), F.col("token").alias("head"), F.col("token").alias("tight"), F.lit(0.0).alias("dist")))
+    heads = lexicon.select(F.col("word").alias("head"), "rnk", F.col("is_custom").alias("own"))
+    return told.join(heads, "head", "left").select("token", (F.col("token") == F.col("text")).alias("known"), "text", "dist", F.coalesce("rnk", F.lit(UNKNOWN_RANK)).alias("rnk"), F.coalesce("own", F.lit(False)).alias("own"))
+
+
+def _joins(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Runs of tokens of a line that make one word: (key, line, at, joins), joins sorted by their number n of tokens."""
+    line = words.groupBy("key", "line").agg(F.array_sort(F.collect_list(F.struct("at", "token", "torn", "whole"))).alias("toks"))
+    runs = F.expr(f"flatten(transform(sequence(2, {JOIN_TOKENS}), n -> if(size(toks) >= n, transform(sequence(1, size(toks) - n + 1), i -> slice(toks, i, n)), array())))")
+    runs = line.select("key", "line", F.explode(runs).alias("parts")).where(_joinable(F.col("parts")))
+    tried = runs.select("key", "line", F.col("parts")[0]["at"].alias("at"), F.size("parts").alias("n"), F.array_join(F.transform("parts", lambda p: p["token"]), "").alias("token"), F.exists("parts", lambda p: F.length(p["token"]) == 1).alias("letter"))
+    tried = materialize(tried, "token-runs")
+    found = tried.join(_facts(tried.select("token").distinct(), lexicon), "token")
+    common = (F.col("rnk") <= RAREST) | F.col("own")
+    tiny = F.col("letter") & (F.length("token") < SHORT_JOIN) & (F.col("rnk") > SHORT_RANK)
+    fit = found.where(F.col("known") | ((F.col("dist") <= JOIN_DISTANCE) & common & ~tiny))
+    option = F.struct("n", "text", (F.col("dist") - JOIN_GAIN * (F.col("n") - 1)).alias("score"))
+    return fit.groupBy("key", "line", "at").agg(F.array_sort(F.collect_list(option)).alias("joins"))
 
 
 def repair_lines(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Lines (key, line, tokens) -> key, line, words: corrected words, fragments of up to five tokens joined.
 
-    Every token and every joinable run of tokens is corrected once, by joins; a line then needs only what its own
-    runs were found to be. Tokens of one line are one row.
+    Every token and every run of tokens that may be one word is corrected once, by joins; a fold over a line's tokens
+    then takes, from left to right, the reading that is best at each place. key and line tell lines apart; a line
+    without tokens has no words, one whose key or line is null keeps its tokens. A custom word may be rare.
     """
-    runs = F.expr(f"flatten(transform(sequence(1, {JOIN_TOKENS}), n -> if(size(tokens) >= n, transform(sequence(1, size(tokens) - n + 1), i -> slice(tokens, i, n)), array())))")
-    tried = lines.select("key", "line", F.explode(runs).alias("parts")).where((F.size("parts") == 1) | _joinable(F.col("parts")))
-    tried = materialize(tried.select("key", "line", F.array_join("parts", "").alias("token")).distinct(), "token-runs")
-    found = _facts(tried.select("token").distinct(), lexicon)
-    known = tried.join(found, "token").groupBy("key", "line").agg(F.collect_list(F.struct("token", "facts")).alias("facts"))
-    return lines.select("key", "line", "tokens").join(known, ["key", "line"], "left").select(F.col("key").cast("string").alias("key"), "line", "tokens", "facts").mapInArrow(_repair, REPAIRED)
+    words = materialize(lines.select("key", "line", F.posexplode("tokens").alias("at", "token")), "line-tokens")
+    facts = _facts(words.select("token").distinct(), lexicon)
+    size, known = F.length("token"), F.coalesce("known", F.lit(False))
+    plain = F.coalesce(~F.col("text").contains(" ") & (F.col("rnk") < PLAIN_RANK), F.lit(False))
+    words = words.join(facts, "token", "left").select(
+        "key",
+        "line",
+        "at",
+        "token",
+        F.coalesce("text", "token").alias("text"),
+        F.coalesce("dist", F.lit(UNREADABLE)).alias("score"),
+        ((size <= FRAGMENT) | ((size <= UNKNOWN_FRAGMENT) & ~known)).alias("torn"),
+        ((size > 1) & (known | plain)).alias("whole"),
+    )
+    words = materialize(words, "told-tokens")
+    joins = _joins(words, lexicon)
+    none = F.array().cast("array<struct<n: int, text: string, score: double>>")
+    words = words.join(joins, ["key", "line", "at"], "left").withColumn("joins", F.coalesce("joins", none))
+    toks = words.groupBy("key", "line").agg(F.array_sort(F.collect_list(F.struct("at", "text", "score", "joins"))).alias("toks"))
+    best = f"aggregate(t.joins, named_struct('n', 1, 'text', t.text, 'score', t.score), (b, o) -> if(o.score < b.score - {LEAST_GAIN}D, o, b))"
+    read = f"""aggregate(toks, named_struct('next', 0, 'words', cast(array() as array<string>)),
+      (s, t) -> if(t.at < s.next, s, aggregate(array({best}), s, (_, b) -> named_struct('next', t.at + b.n, 'words', concat(s.words, split(b.text, ' '))))), s -> s.words)"""
+    read = toks.select("key", "line", F.expr(read).alias("words"))
+    return lines.select("key", "line", "tokens").join(read, ["key", "line"], "left").select(F.col("key").cast("string").alias("key"), "line", F.coalesce("words", "tokens").alias("words"))
 
 
 def cased_lines(lines: DataFrame, lexicon: DataFrame) -> DataFrame:

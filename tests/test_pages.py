@@ -192,6 +192,16 @@ def test_lines_are_repaired(spark):
     assert changes == ["DER E XEMPLA R>DER EXEMPLAR", "HAUSBAVM GARTEM>HAUS BAUM GARTEN", "GAR TEN HAUS>GARTEN HAUS", "L E S EN>LESEN"]
 
 
+def test_runs_mend_into_custom_words(spark):
+    """Words of a user's own list have no rank; a join may still read as one, or begin with one."""
+    words = [("HAUS", 0, False), ("BAUM", 1, False), ("GARTENHAUS", 99999, True), ("RUNEN", 99999, True), ("SELTENHEIT", 40000, False)]
+    lex = spark.createDataFrame([(w, r, len(w), c, False) for w, r, c in words], "word string, rnk int, len int, is_custom boolean, is_noun boolean")
+    texts = ["GA RTENHAVS", "GA RTENHAUS BAUM", "RVNE N", "SEL TENHEIB", "R UNEN", ""]
+    before = spark.createDataFrame([("t", i, t.split()) for i, t in enumerate(texts)] + [(None, 9, ["GA", "RTENHAVS"])], "key string, line int, tokens array<string>")
+    got = {(r.key, r.line): " ".join(r.words) for r in lexicon.repair_lines(before, lex).collect()}
+    assert got == {("t", 0): "GARTENHAUS", ("t", 1): "GARTENHAUS BAUM", ("t", 2): "RVNE N", ("t", 3): "SEL TENHEIB", ("t", 4): "RUNEN", ("t", 5): "", (None, 9): "GA RTENHAVS"}
+
+
 def test_candidates_lose_none(spark):
     r = random.Random(3)
     words = sorted({"".join(r.choice("EUBHTQLVWA") for _ in range(r.randint(2, 14))) for _ in range(250)})

@@ -42,6 +42,102 @@ def build_lexicon(words: DataFrame, custom: DataFrame | None = None, cap: int =
     return out.join(own, "word", "full").select("word", F.coalesce("rnk", F.lit(UNKNOWN_RANK)).alias("rnk"), F.length("word").alias("len"), F.coalesce("own", F.lit(False)).alias("is_custom"), F.coalesce("is_noun", F.lit(False)).alias("is_noun"))
 
 
+def affix_rules(lines: DataFrame) -> DataFrame:
+    """Rules (kind, flag, crossed, strip, add, cond) of an affix file's lines (value).
+
+    A head `SFX A Y 4` tells whether the flag's rules combine with those of the other kind, a rule `SFX A e en [^n]e` what is taken off, put on, and how
+    a stem has to end (PFX: begin). Flags are single letters; flags that a rule itself hands on are left out.
+    """
+    f = lines.select(F.split(F.trim("value"), r"\s+").alias("f")).where(F.get("f", F.lit(0)).isin("PFX", "SFX"))
+    kind, flag = F.col("f")[0].alias("kind"), F.col("f")[1].alias("flag")
+    heads = f.where("size(f) = 4").select(kind, flag, (F.col("f")[2] == "Y").alias("crossed"))
+    bare = lambda c: F.when(c == "0", F.lit("")).otherwise(c)
+    rules = f.where("size(f) >= 5").select(kind, flag, bare(F.col("f")[2]).alias("strip"), bare(F.split(F.col("f")[3], "/")[0]).alias("add"), F.col("f")[4].alias("cond"))
+    return rules.join(heads.distinct(), ["kind", "flag"], "left").select("kind", "flag", F.coalesce("crossed", F.lit(False)).alias("crossed"), "strip", "add", "cond")
+
+
+def _affixed(words: DataFrame, rules: DataFrame, kind: str) -> DataFrame:
+    """Words (word, flags) -> (word, flags, crossed) with each fitting rule of their flags applied."""
+    own = rules.where(F.col("kind") == kind)
+    met = words.withColumn("flag", F.explode(F.split("flags", ""))).join(own, "flag")
+    end = kind == "SFX"
+    fits = F.rlike("word", F.concat(F.lit("(?:"), "cond", F.lit(")$")) if end else F.concat(F.lit("^(?:"), "cond", F.lit(")")))
+    rest = F.expr("left(word, length(word) - length(strip))" if end else "substring(word, length(strip) + 1)")
+    there = F.endswith("word", "strip") if end else F.startswith("word", "strip")
+    return met.where(fits & there).select((F.concat(rest, "add") if end else F.concat("add", rest)).alias("word"), "flags", "crossed")
+
+
+def affixed_forms(stems: DataFrame, rules: DataFrame) -> DataFrame:
+    """(form): stems (stem, flags) and all words that one suffix, one prefix, or one of each where both allow it, make of them."""
+    plain = stems.select(F.col("stem").alias("word"), F.coalesce("flags", F.lit("")).alias("flags"))
+    ended = _affixed(plain, rules, "SFX")
+    begun = _affixed(plain, rules, "PFX")
+    both = _affixed(ended.where("crossed").select("word", "flags"), rules, "PFX").where("crossed")
+    return plain.select("word").unionByName(ended.select("word")).unionByName(begun.select("word")).unionByName(both.select("word")).select(F.col("word").alias("form")).distinct()
+
+
+def _first_capital(word: Column) -> Column:
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(F.lower(word), 2, 1 << 30))
+
+
+def accepted(words: DataFrame, forms: DataFrame) -> DataFrame:
+    """Words (raw, ..) that are a form as they are, in small letters, or with a capital first."""
+    ways = F.array_distinct(F.array("raw", F.lower("raw"), _first_capital(F.col("raw"))))
+    known = words.select("raw").distinct().withColumn("form", F.explode(ways)).join(forms, "form", "left_semi").select("raw").distinct()
+    return words.join(known, "raw", "left_semi")
+
+
+def accepted_lexicon(words: DataFrame, stems: DataFrame, rules: DataFrame, custom: DataFrame, cap: int = CAP) -> DataFrame:
+    """A lexicon of the words (raw, n) that a dictionary's stems and affix rules accept, of place names and of custom words (word).
+
+    Folded words by falling count of their first spelling, the first `cap` (ties by word); then places, then custom words by name, each once. A word
+    is a noun when its stem is written with a capital only, a place always, a custom word also when it begins with a capital.
+    """
+    folded_stems = stems.select(F.col("stem"), T.translit(F.col("stem")).alias("word")).where(F.length("word") >= 2)
+    begins = F.substring("stem", 1, 1)
+    nouns = folded_stems.groupBy("word").agg((F.max((begins == F.upper(begins)).cast("int")) > F.max((begins == F.lower(begins)).cast("int"))).alias("noun")).where("noun")
+    good = accepted(words, affixed_forms(stems, rules)).withColumn("word", T.translit(F.col("raw"))).where(F.length("word") >= 2)
+    common = good.groupBy("word").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "word").limit(cap).withColumn("part", F.lit(0))
+    places = words.sparkSession.createDataFrame([(p,) for p in T.PLACES], "word string").select("word", F.lit(0).cast("long").alias("n"), F.lit(1).alias("part"))
+    own = custom.select(T.translit(F.col("word")).alias("word"), F.substring("word", 1, 1).alias("first")).where(F.length("word") >= 2)
+    own = own.groupBy("word").agg(F.max(((F.col("first") == F.upper("first")) & (F.col("first") != F.lower("first"))).cast("int")).alias("capital"))
+    listed = common.unionByName(places).unionByName(own.select("word", F.lit(0).cast("long").alias("n"), F.lit(2).alias("part")))
+    once = listed.groupBy("word").agg(F.min(F.struct("part", (-F.col("n")).alias("n"))).alias("at"), F.max((F.col("part") == 1).cast("int")).alias("place"))
+    told = once.join(nouns, "word", "left").join(own, "word", "left")
+    # a lexicon has at most `cap` words besides places and a user's own
+    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("at.part", "at.n", "word")) - 1
+    noun = F.coalesce("noun", F.lit(False)) | (F.col("place") == 1) | (F.coalesce("capital", F.lit(0)) == 1)
+    return told.select("word", rank.cast("int").alias("rnk"), F.length("word").alias("len"), F.col("capital").isNotNull().alias("is_custom"), noun.alias("is_noun"))
+
+
+#: Fixed values of filled lines: least and most letters.
+FILL_FROM, FILL_TO = 18, 42
+
+
+def _drawn(seed: str) -> Column:
+    """A number from 0 to 2^32 - 1 that follows from a text."""
+    return F.conv(F.substring(F.md5(F.expr(seed).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def filled_lines(keys: DataFrame, words: DataFrame, seed: str) -> DataFrame:
+    """Lines of words drawn at random, one per key (key, text): each is filled to a length of its own, FILL_FROM to FILL_TO letters.
+
+    words: (word, at), at counting from 0. Which length and which words follow from hashes of seed, key and the word's number in the line, so the lines are the
+    same however the keys are spread. A word that would make its line too long ends it; a first word that is too long is cut. Without words there are no lines.
+    """
+    size = words.agg(F.count("*").alias("size"))
+    line = keys.select("key").crossJoin(size).where("size > 0").withColumn("most", (FILL_FROM + _drawn(f"concat('{seed}', '/', key, '/length')") % (FILL_TO - FILL_FROM + 1)).cast("int"))  # one row of a count
+    # words have a letter at least, so a line takes no more than half as many as it may have letters
+    slots = line.withColumn("slot", F.explode(F.expr(f"sequence(0, {FILL_TO} div 2)"))).withColumn("at", _drawn(f"concat('{seed}', '/', key, '/', slot)") % F.col("size"))
+    drawn = slots.join(words, "at").groupBy("key", "most").agg(F.array_sort(F.collect_list(F.struct("slot", "word"))).alias("ws"))
+    text = """aggregate(ws, named_struct('text', '', 'full', false), (s, w) -> case
+      when s.full or length(s.text) >= most then s
+      when s.text = '' then named_struct('text', left(w.word, most), 'full', false)
+      when length(s.text) + 1 + length(w.word) > most then named_struct('text', s.text, 'full', true)
+      else named_struct('text', concat(s.text, ' ', w.word), 'full', false) end, s -> s.text)"""
+    return drawn.select("key", F.expr(text).alias("text"))
+
+
 def noun_bits(lexicon: DataFrame) -> DataFrame:
     """Noun flags as bytes (byte_no, bits), bit rnk & 7 of byte rnk >> 3."""
     bit = F.when(F.col("is_noun"), F.expr("shiftleft(1, rnk % 8)")).otherwise(0)

@@ -150,6 +150,16 @@ def orient(px: DataFrame, orientation: int) -> DataFrame:
     return px.select(*rest, (h if swap else w).alias("w"), (w if swap else h).alias("h"), to[1].alias("y"), to[0].alias("x"))
 
 
+def oriented(px: DataFrame) -> DataFrame:
+    """Images with their own orientation each (img, w, h, y, x, v, orientation), upright; the column goes."""
+    x, y, right, down, o = F.col("x"), F.col("y"), F.col("w") - 1 - F.col("x"), F.col("h") - 1 - F.col("y"), F.col("orientation")
+    across = F.when(o.isin(2, 3), right).when(o.isin(5, 8), y).when(o.isin(6, 7), down).otherwise(x)
+    along = F.when(o.isin(3, 4), down).when(o.isin(5, 6), x).when(o.isin(7, 8), right).otherwise(y)
+    swap = o >= 5
+    rest = [c for c in px.columns if c not in ("w", "h", "y", "x", "orientation")]
+    return px.select(*[c for c in rest if c == "img"], F.when(swap, F.col("h")).otherwise(F.col("w")).alias("w"), F.when(swap, F.col("w")).otherwise(F.col("h")).alias("h"), along.alias("y"), across.alias("x"), *[c for c in rest if c != "img"])
+
+
 def downscale(px: DataFrame, scale: float) -> DataFrame:
     """Nearest-neighbour reduction by scale <= 1."""
     size = px.select("img", "w", "h").distinct()

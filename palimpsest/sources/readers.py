@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from palimpsest.operators import pixels
+
 CATALOG = "file string, w int, h int, font string, level string, size int, text string"
 ATLAS = (
     "emPx int, alphabet string, fonts map<string, struct<letters: map<string, "
@@ -26,11 +32,55 @@ def raw_pages(spark: SparkSession, folder: str, pages: DataFrame) -> DataFrame:
     return pages.join(named, "file").where(F.octet_length("gray") == F.col("w") * F.col("h"))
 
 
-def photos(spark: SparkSession, folder: str) -> DataFrame:
-    """Decoded photos (Spark's image source) with font, pt and letter from the file name; others have nulls."""
-    img = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
-    name, rule = F.element_at(F.split("origin", "/"), -1), r"^(.+)-(\d+)pt-(A1|B2)\.jpg$"
-    return img.withColumn("file", name).withColumn("font", F.nullif(F.regexp_extract("file", rule, 1), F.lit(""))).withColumn("pt", F.expr("try_cast(regexp_extract(file, r'^(.+)-(\\d+)pt-(A1|B2)\\.jpg$', 2) as int)")).withColumn("letter", F.nullif(F.regexp_extract("file", rule, 3), F.lit("")))
+def photos(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(decoded, rejected) files of a folder by Spark's image source.
+
+    decoded: path, file, orientation (1 to 8), width, height, nChannels, data, and font, pt and letter from the file name, null where it
+    doesn't say; rejected: path and length of files that can't be decoded.
+    """
+    img = spark.read.format("image").option("dropInvalid", False).load(folder).select("image.*")
+    files = spark.read.format("binaryFile").load(folder).select("path", "length", orientation(F.col("content")).alias("orientation"))
+    # the two sources write a local path with one and with three strokes, and one of them encodes it
+    plain = lambda c: F.coalesce(F.try_url_decode(F.replace(F.col(c), F.lit("+"), F.lit("%2B"))), F.col(c))
+    place = lambda c: F.regexp_replace(plain(c), "^file:/+", "file:/")
+    rule = r"^(.+)-(\d+)pt-(A1|B2)\.jpg$"
+    part = lambda n: F.nullif(F.regexp_extract("file", rule, n), F.lit(""))
+    named = files.withColumn("file", F.element_at(F.split(plain("path"), "/"), -1)).withColumn("font", part(1)).withColumn("pt", part(2).try_cast("int")).withColumn("letter", part(3))
+    usable = img.where("height > 0 and width > 0").select(place("origin").alias("_place"), "width", "height", "nChannels", "data")
+    named = named.withColumn("_place", place("path"))
+    return named.join(usable, "_place").drop("_place", "length"), named.join(usable, "_place", "left_anti").select("path", "length")
+
+
+PIXELS = "img string, w int, h int, y int, x int, v int"
+#: Rows of pixels that are handed on at once.
+PIXEL_ROWS = 1 << 16
+
+
+def _pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of images -> their gray pixels, some rows of an image at a time."""
+    for batch in batches:
+        for img, w, h, channels, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            flat = np.frombuffer(data, np.uint8).reshape(h, w, channels).astype(np.int32)
+            step = max(1, PIXEL_ROWS // w)
+            for top in range(0, h, step):
+                part = flat[top : top + step]
+                gray = part[:, :, 0] if channels < 3 else (part[:, :, 2] * 77 + part[:, :, 1] * 150 + part[:, :, 0] * 29) >> 8
+                y, x = np.indices(gray.shape, np.int32)
+                same = lambda v, t, n=gray.size: pa.array([v] * n, t)
+                columns = [same(img, pa.string()), same(w, pa.int32()), same(h, pa.int32()), pa.array((y + top).ravel()), pa.array(x.ravel()), pa.array(gray.ravel().astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["img", "w", "h", "y", "x", "v"])
+
+
+def photo_pixels(decoded: DataFrame) -> DataFrame:
+    """Decoded photos, upright: a pixel table (img, w, h, y, x, v), img being the path. Channels come as blue, green, red; a fourth is not read."""
+    px = decoded.select("path", "width", "height", "nChannels", "data").mapInArrow(_pixels, PIXELS)
+    turns = decoded.where("orientation > 1").select(F.col("path").alias("img"), "orientation")
+    return pixels.oriented(px.join(turns, "img", "left").withColumn("orientation", F.coalesce("orientation", F.lit(1))))
+
+
+def page_pixels(raw: DataFrame) -> DataFrame:
+    """Raw pages (file, w, h, gray) as a pixel table (img, w, h, y, x, v), img being the file."""
+    return raw.select("file", "w", "h", F.lit(1), "gray").mapInArrow(_pixels, PIXELS)
 
 
 def atlas(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -80,16 +130,79 @@ def image_files(spark: SparkSession, folder: str, glob: str = "*") -> tuple[Data
     return files.where(image).withColumn("orientation", orientation(F.col("content"))), files.where(~image).select("path", "length")
 
 
+#: Fixed values of photo files: segments without a length, tag number and kind of the orientation; segments that are looked through.
+BARE_SEGMENTS, TAG, SHORT, MOST_SEGMENTS = ("01", "D0", "D1", "D2", "D3", "D4", "D5", "D6", "D7"), 0x0112, 3, 1000
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value being worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _digits(content: Column, at: Column, n: int) -> Column:
+    """Hexadecimal digits of n bytes from a place on, counted from 0."""
+    return F.hex(F.substring(content, (at + 1).cast("int"), F.lit(n)))
+
+
+def _number(content: Column, at: Column, n: int, big: Column) -> Column:
+    """The unsigned number in n bytes, the highest first if big; null beyond the end."""
+    digits = _digits(content, at, n)
+    turned = F.concat(*[F.substring(digits, 2 * i - 1, 2) for i in range(n, 0, -1)])
+    return F.when(F.length(digits) == 2 * n, F.conv(F.when(big, digits).otherwise(turned), 16, 10).cast("long"))
+
+
+def _tag_directory(content: Column) -> Column:
+    """Where the tag directory of a JPEG begins; -1 without one.
+
+    Segment by segment: each tells its length; the pixels end the search.
+    """
+    state = lambda at, found: F.struct(at.cast("long").alias("at"), found.cast("long").alias("found"))
+    nothing = F.lit(-1)
+
+    def step(s: Column, _: Column) -> Column:
+        mark = _digits(content, s["at"], 2)
+        kind = F.substring(mark, 3, 2)
+        length = _number(content, s["at"] + 2, 2, F.lit(True))
+        return (
+            F.when((s["found"] >= 0) | (s["at"] < 0), s)
+            .when((F.length(mark) < 4) | ~F.startswith(mark, F.lit("FF")) | kind.isin("DA", "D9"), state(nothing, nothing))
+            .when(kind == "FF", state(s["at"] + 1, nothing))
+            .when(kind.isin(*BARE_SEGMENTS), state(s["at"] + 2, nothing))
+            .when((kind == "E1") & (_digits(content, s["at"] + 4, 6) == "457869660000"), state(s["at"], s["at"] + 10))
+            .otherwise(state(F.coalesce(s["at"] + 2 + length, nothing), nothing))
+        )
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_SEGMENTS)), state(F.lit(2), nothing), step, lambda s: s["found"])
+    return F.when(_digits(content, F.lit(0), 2) == "FFD8", walked).when(_digits(content, F.lit(0), 2).isin("4D4D", "4949"), F.lit(0).cast("long")).otherwise(nothing.cast("long"))
+
+
 def orientation(content: Column) -> Column:
-    """The orientation tag of a photo's bytes; 1 without one.
+    """The orientation tag of a photo's bytes (JPEG, or a bare tag directory), 1 to 8; 1 without a valid one.
 
-    The tag is an entry of twelve bytes: number 0x0112, kind 3, count 1, then the value, in either byte order.
+    The tag directory says in which order its bytes stand and where its first list is; there the tag is looked for among the entries of twelve
+    bytes. The same bytes elsewhere, in a thumbnail's list or a maker's note, don't count.
     """
-    digits = F.hex(F.substring(content, 1, 65536))
-    motorola = F.regexp_extract(digits, "^(?:..)*?011200030000000100(0[1-8])", 1)
-    intel = F.regexp_extract(digits, "^(?:..)*?1201030001000000(0[1-8])00", 1)
-    found = F.when(motorola != "", motorola).when(intel != "", intel)
-    return F.coalesce(found.cast("int"), F.lit(1))
+
+    def entry(b: Column) -> Column:
+        kind, value = _number(b["c"], b["e"] + 2, 2, b["big"]), _number(b["c"], b["e"] + 8, 2, b["big"])
+        return F.when((kind == SHORT) & value.between(1, 8), value.cast("int"))
+
+    def entries(b: Column) -> Column:
+        first = lambda i: b["list"] + 2 + 12 * i
+        there = F.least(b["n"], F.floor((F.octet_length(b["c"]) - b["list"] - 2) / 12))
+        found = F.filter(F.sequence(F.lit(0).cast("long"), there - 1), lambda i: _number(b["c"], first(i), 2, b["big"]) == TAG)
+        return F.when(there > 0, _once(F.struct(b["c"].alias("c"), b["big"].alias("big"), first(F.get(found, F.lit(0))).alias("e")), entry))
+
+    def directory(b: Column) -> Column:
+        order = _digits(b["c"], b["at"], 2)
+        big = order == "4D4D"
+        start = b["at"] + _number(b["c"], b["at"] + 4, 4, big)
+        known = (b["at"] >= 0) & order.isin("4D4D", "4949") & (_number(b["c"], b["at"] + 2, 2, big) == 42)
+        told = F.struct(b["c"].alias("c"), big.alias("big"), start.alias("list"), _number(b["c"], start, 2, big).alias("n"))
+        return F.when(known, _once(told, entries))
+
+    whole = lambda c: _once(F.struct(c.alias("c"), _tag_directory(c).alias("at")), directory)
+    return F.coalesce(_once(content, whole), F.lit(1))
 
 
 def font_files(spark: SparkSession, folder: str, prefix: str, glob: str = "*.ttf") -> DataFrame:

@@ -44,9 +44,10 @@ def stream_counts(messages: DataFrame, delay: str = "10 minutes", every: str = "
     return messages.withWatermark("ts", delay).groupBy(F.window("ts", every), "job").agg(F.count("*").alias("n"))
 
 
-def read_arriving(spark, folder: str, glob: str = "*"):
-    """Streaming source of image files as they arrive."""
-    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).load(folder)
+def read_arriving(spark, folder: str, glob: str = "*", most: int = 1000):
+    """Streaming source of image files as they arrive, so many a batch at most."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return files.option("pathGlobFilter", glob).option("maxFilesPerTrigger", most).load(folder)
 
 
 def for_each_batch(stream: DataFrame, read: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
@@ -83,6 +84,17 @@ def watchdog(messages: DataFrame, seconds: int = PATIENCE) -> DataFrame:
     return messages.groupBy("job").applyInPandasWithState(run, FIRED, "seen long", "update", "ProcessingTimeTimeout")
 
 
+def run_watchdog(messages: DataFrame, out: str, checkpoint: str, seconds: int = PATIENCE, every: str = "1 second"):
+    """Start the watchdog on a stream of messages (job): what it tells is kept in out, one folder a batch; returns the running query.
+
+    Counts and timers live in the checkpoint, so a query that is stopped, or whose executors are lost, goes on where it was: a job that fell
+    silent meanwhile fires once, and a batch that is done again overwrites its own folder.
+    """
+    told = watchdog(messages, seconds)
+    keep = lambda df, number: df.write.mode("overwrite").json(f"{out}/batch={number}")
+    return told.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def phases(lines: DataFrame) -> DataFrame:
     """Progress rows (job, seq, phase, i, total) of pages with their lines: prepare, lines, then one row a line."""
     whole = lines.groupBy("job").agg(F.count("*").cast("int").alias("total"))

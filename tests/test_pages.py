@@ -235,7 +235,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "img").mkdir()
     tag = b"\xff\xd8\xff\xe1xxExif\0\0MM\0*\0\0\0\x08\0\x01\x01\x12\0\x03\0\0\0\x01\0\x06\0\0"
     (tmp_path / "img" / "a.jpg").write_bytes(tag)
-    (tmp_path / "img" / "b.jpg").write_bytes(b"\xff\xd8II*\0\x12\x01\x03\0\x01\0\0\0\x08\0\0\0")
+    (tmp_path / "img" / "b.jpg").write_bytes(b"\xff\xd8\xff\xe1\0\x22Exif\0\0II*\0\x08\0\0\0\x01\0\x12\x01\x03\0\x01\0\0\0\x08\0\0\0")
     (tmp_path / "img" / "c.jpg").write_bytes(b"abc")
     (tmp_path / "img" / "d.jpg").write_bytes(b"\xff\xd8 no tag")
     usable, rejected = readers.image_files(spark, str(tmp_path / "img"))

@@ -3,8 +3,8 @@
 A word is the mean of the embeddings of its hashed byte n-grams (with its borders) and of itself, a
 text the mean of its words; a two-class softmax sits on top, and embeddings and softmax are trained
 together. Misspellings share most n-grams, and so most of the vector, of the word they are made from.
-Before training, the n-gram vocabulary is pruned to those whose share of documents differs between the
-classes beyond chance, so that a few thousand labelled texts can't be learned by heart.
+Before training, the n-gram vocabulary is pruned to those whose share of documents differs most between the
+classes, so that a few thousand labelled texts can't be learned by heart.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ SIZES = (3, 4, 5, 6)
 BUCKETS, DIM = 1 << 18, 8
 #: The bounded training sample: at most so many labelled documents of each class, read whole.
 MAX_LABELLED = 2000
-#: Standard errors by which an n-gram's document shares must differ between the classes.
-LEAST_Z = 5.0
+#: Standard errors by which an n-gram's document shares must differ between the classes; n-grams that are kept whatever these are, and at most.
+LEAST_Z, LEAST_KEPT, MOST_KEPT = 5.0, 256, 1 << 13
 FOLDS = 5
 
 
@@ -47,10 +47,16 @@ def document_ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def informative(has: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Buckets whose share of documents differs between the classes beyond chance; has: documents by class and bucket, n: by class."""
+    """Buckets whose share of documents differs most between the classes; has: documents by class and bucket, n: by class.
+
+    All that differ beyond chance, but the LEAST_KEPT best in any case, as few labels can't tell chance, and no more than the
+    MOST_KEPT best; of equals the lower bucket. Buckets that no document has, or all have, are never kept.
+    """
     pooled = has.sum(axis=0) / n.sum()
-    z = (has[1] / n[1] - has[0] / n[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n).sum() + 1e-9)
-    return np.flatnonzero(np.abs(z) > LEAST_Z)
+    z = np.abs((has[1] / n[1] - has[0] / n[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n).sum() + 1e-9))
+    best = np.argsort(-z, kind="stable")[:MOST_KEPT]
+    best = best[z[best] > 0]
+    return np.sort(best[: max(LEAST_KEPT, int((z[best] > LEAST_Z).sum()))])
 
 
 def train(grams: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, float]:
@@ -142,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
     The sample is the first max_labelled documents of each class in the order of a hash of doc_id; of rows that
     repeat a doc_id the text with the least hash. Their n-grams stay in the shared folder: the driver gets the
-    counts of documents by bucket (at most eight rows of 2 MB), then the kept buckets' weights. Class shares are
+    counts of documents by bucket (at most eight rows of 2 MB), then the kept buckets' weights (MOST_KEPT of each document at most). Class shares are
     counted over all labels. Without both classes every text scores near the label there is, or near 0.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())

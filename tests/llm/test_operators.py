@@ -394,10 +394,37 @@ def test_letters(spark):
     assert pred[1] == ("und", 0.0)
 
 
-def test_many_dirty_languages(spark):
-    docs = spark.createDataFrame([(i, prose(30, i), f"x{i}" if i < 300 else "en") for i in range(600)], "doc_id long, text string, lang string")
-    model = language_id.fit(docs, max_langs=5, max_docs=50)
-    assert len(model.langs) <= 5 and "en" in model.langs
+def test_every_language_is_learned(spark):
+    """A hundred and fifty languages of a few texts each, a repeated row, and one in so many rows that it can't be drawn by chance."""
+    letters = [f"{chr(0x3B1 + i % 24)}{chr(0x430 + i // 24)}" for i in range(150)]
+    said = lambda i, seed: " ".join(random.Random(seed).choice((letters[i], letters[i] * 2, letters[i] * 3)) for _ in range(40))
+    rows = [(150 * k + i, said(i, 150 * k + i), f"l{i:03d}") for k in range(4) for i in range(150)] + [(5000, VOCAB[0] + " " + VOCAB[7], "copied")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.fit(docs)
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
+    assert set(model.langs) == learned and len(learned) > 145
+    got, _ = model.predict(pa.array([said(i, 10_000 + i) for i in range(150)]))
+    assert np.mean([g == f"l{i:03d}" for i, g in enumerate(got) if f"l{i:03d}" in learned]) > 0.9
+
+
+def test_ties_of_votes():
+    model = language_id.Model(["de", "en", "fr", "nl"], np.eye(4, language_id.BUCKETS, dtype=np.float32), np.arange(4))
+    family = model.families.index("germanic")
+    assert model.members[family] == [0, 1, 3] and model.between[family] == [(0, 1), (0, 3), (1, 3)]
+    assert model.vote(family, np.array([1.0, -1.0, 1.0])) == (0, -1.0)  # each wins once: all worst duels are alike, the first counts
+    assert model.vote(family, np.array([1.0, -2.0, 1.0])) == (1, -1.0) and model.vote(family, np.array([1.0, 1.0, -1.0]))[0] == 0
+
+
+def test_toxicity_of_few_labels_and_ties(spark):
+    rows = [(i, prose(30, 500 + i) + (" stupid idiot moron" if i % 2 else " calm gentle kind")) for i in range(24)] + [(99, prose(30, 7))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, labels).collect()}
+    assert all(got[i].predicted == i % 2 for i in range(24))
+    kept = toxicity.informative(np.array([[0, 3, 0, 10, 5], [0, 0, 3, 10, 5]]), np.array([10.0, 10.0]))
+    assert kept.tolist() == [1, 2]  # what none has, all have, or both classes have alike tells nothing
+    even = docs.select("doc_id", toxicity.score_udf(np.zeros(toxicity.BUCKETS), 0.0)("text").alias("s"))
+    assert {r.s for r in even.collect()} == {0.5}
 
 
 def test_svm_against_plain_descent():

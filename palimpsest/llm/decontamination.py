@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest.llm.textkernel import Words, mix, odd_constants, slices
 from palimpsest.tables import materialize, table
@@ -31,9 +31,9 @@ LEAST_WORDS, LEAST_PERCENT = 13, 80
 #: Bits of the Bloom filter as powers of two, and bits for each seed between them; a full filter only joins more.
 LEAST_BLOOM_BITS, MOST_BLOOM_BITS, BITS_PER_SEED, BLOOM_HASHES = 20, 28, 16, 3
 MARKS = b" !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-ITEMS = "item_key long, item_tokens array<long>, seed_hash array<long>, seed_at array<int>"
-HITS = "doc_id long, text_key long, tokens array<long>, hit_hash array<long>, hit_at array<int>"
-OVERLAPS = "text_key long, item_key long, doc_start long, item_start long, n_tokens long, n_equal long"
+ITEMS = "item_key binary, item_tokens array<long>, seed_hash array<long>, seed_at array<int>"
+HITS = "doc_id long, text_key binary, tokens array<long>, hit_hash array<long>, hit_at array<int>"
+OVERLAPS = "text_key binary, item_key binary, doc_start long, item_start long, n_tokens long, n_equal long"
 
 
 MARK = np.isin(np.arange(256), list(MARKS))
@@ -97,7 +97,7 @@ def _bench_items(least_words: int, least_percent: int):
                         keys.append(key)
                         out.append((h[w : w + n].view(np.int64), *_seeds_of(h[w : w + n], masks)))
                 lists = [_lists([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *lists], names=["item_key", "item_tokens", "seed_hash", "seed_at"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *lists], names=["item_key", "item_tokens", "seed_hash", "seed_at"])
 
     return run
 
@@ -200,16 +200,22 @@ def _verify(least_words: int, least_percent: int):
                     found = overlaps_on(same, least_words, least_percent)
                 out += [(text_key, item_key, lo + start, lo + start - shift, length, equal) for start, length, equal in found]
             names = ["text_key", "item_key", "doc_start", "item_start", "n_tokens", "n_equal"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(6)], names=names)
+            kinds = (pa.binary(), pa.binary(), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
     return run
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, least_percent: int = LEAST_PERCENT) -> DataFrame:
     """Overlaps of documents with benchmark items: at least least_words tokens (or a whole shorter item), of
     which least_percent percent are equal in place.
 
-    Returns doc_id, text_key (a hash of the text), item_id, doc_start, item_start, n_tokens, n_equal; one row
+    Returns doc_id, text_key (128 bits of a hash of the text), item_id, doc_start, item_start, n_tokens, n_equal; one row
     per document row, item and place, and only for overlaps. A place is an overlap that begins and ends with an
     equal token and is part of no other on its diagonal; places may share tokens. The seeds lose nothing for
     least_words and least_percent of the default values or above.
@@ -219,14 +225,14 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAS
     are read.
     """
     spark = docs.sparkSession
-    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("item_key", F.xxhash64("text"))
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("item_key", text_key(F.col("text")))
     items = materialize(named.select("item_key", "text").dropDuplicates(["item_key"]).mapInArrow(_bench_items(least_words, least_percent), ITEMS), "benchmark-items")
     seeds = items.select("item_key", F.explode(F.arrays_zip("seed_hash", "seed_at")).alias("s")).select("item_key", F.col("s.seed_hash").alias("hash"), F.col("s.seed_at").alias("item_at"))
     shared = spark.sparkContext.broadcast(bloom_filter(seeds).tobytes())
     lengths = [r.n for r in items.select(F.least(F.size("item_tokens"), F.lit(least_words)).alias("n")).distinct().collect()]
     masks = [m for n in sorted(lengths) for m in (MASKS if n >= least_words else short_masks(n, least_percent))]
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    hits = materialize(slim.withColumn("text_key", F.xxhash64("text")).mapInArrow(_find_hits(shared, masks), HITS), "seed-hits")
+    hits = materialize(slim.withColumn("text_key", text_key(F.col("text"))).mapInArrow(_find_hits(shared, masks), HITS), "seed-hits")
     spots = hits.select("text_key", "hit_hash", "hit_at").dropDuplicates(["text_key"]).select("text_key", F.explode(F.arrays_zip("hit_hash", "hit_at")).alias("h"))
     spots = spots.select("text_key", F.col("h.hit_hash").alias("hash"), F.col("h.hit_at").alias("at"))
     met = spots.join(seeds, "hash").select("text_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
@@ -243,7 +249,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without any overlap; rows are matched by doc_id and text, nulls included."""
     found = materialize(find_overlaps(docs, benchmark).select("doc_id", "text_key").distinct(), "contaminated")
     bad = found.select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key"))
-    same = docs["doc_id"].cast("long").eqNullSafe(bad["__bad_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["__bad_key"])
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["__bad_id"]) & (text_key(docs["text"].cast("string")) == bad["__bad_key"])
     return docs.join(bad, same, "left_anti")
 
 

@@ -161,6 +161,7 @@ class Scorer:
 
 def train(x: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft labels y, both classes weighted alike, by Adam."""
+    x = x.astype(np.float64)  # once, not at every step
     weight = np.where(y > 0.5, 0.5 / max((y > 0.5).mean(), 0.02), 0.5 / max((y <= 0.5).mean(), 0.02))
     w, b, mw, mb, v = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1] + 1)
     for t in range(1, steps + 1):

@@ -25,7 +25,7 @@ LEAST_WORDS, LEAST_PERCENT = 10, 30
 SYMBOLS = b"#*$%&|<>"
 NORMAL = bytes(ord("0") if 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 FACTS = (
-    "doc_id long, row_key long, content long, host long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "doc_id long, row_key binary, content binary, host long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, lines array<struct<line:long,words:int>>"
 )
 
@@ -38,11 +38,11 @@ def _line_key(words: list[bytes]) -> int:
     return _signed(xxhash.xxh3_64_intdigest(b" ".join(words)))
 
 
-def _keys(doc_id, body: bytes, host: bytes | None) -> tuple[int, int, int]:
-    """Hashes of the row, of its text and of its host."""
-    content = _signed(xxhash.xxh3_64_intdigest(body))
+def _keys(doc_id, body: bytes, host: bytes | None) -> tuple[bytes, bytes, int]:
+    """128 bits that stand for the row and for its text, and a hash of its host."""
+    content = xxhash.xxh3_128_digest(body)
     host_key = _signed(xxhash.xxh3_64_intdigest(b"-" if host is None else b"+" + host))
-    return _signed(xxhash.xxh3_64_intdigest(f"{doc_id}/{content}/{host_key}".encode())), content, host_key
+    return xxhash.xxh3_128_digest(f"{doc_id}/{host_key}/".encode() + content), content, host_key
 
 
 def _row(doc_id, text: bytes | None, host: bytes | None, repeats: int) -> tuple:
@@ -73,7 +73,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             repeats = words.repeated(words.hashes(), 5).tolist()
             rows = [_row(*x) for x in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), text_bytes(part.column(2)), repeats, strict=True)]
             names = [c.split()[0] for c in FACTS.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], line_type if i == 9 else pa.int64()) for i in range(10)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], line_type if i == 9 else pa.binary() if i in (1, 2) else pa.int64()) for i in range(10)], names=names)
 
 
 def _slim(docs: DataFrame, host: str) -> DataFrame:
@@ -119,7 +119,7 @@ def line_frequency(docs: DataFrame, host: str = "source", limit_docs: int = LIMI
 def _row_keys(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     for ids, texts, hosts in batches:
         rows = zip(ids.to_pylist(), text_bytes(texts), text_bytes(hosts), strict=True)
-        yield pa.array([_keys(doc_id, text or b"", host)[0] for doc_id, text, host in rows], pa.int64())
+        yield pa.array([_keys(doc_id, text or b"", host)[0] for doc_id, text, host in rows], pa.binary())
 
 
 def _without_lines(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -143,7 +143,7 @@ def clean_lines(docs: DataFrame, host: str = "source", limit_docs: int = LIMIT_D
     hit = materialize(_lost_lines(facts, limit_docs, limit_percent, most_docs), "lost-lines")
     kept = _judged(facts, hit).where("kept").select(F.col("row_key").alias("__line_row")).distinct()
     gone = hit.groupBy(F.col("row_key").alias("__line_row")).agg(F.collect_set("line").alias("__line_gone"))
-    keys = F.arrow_udf("long")(_row_keys)(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(host).cast("string"))
+    keys = F.arrow_udf("binary")(_row_keys)(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(host).cast("string"))
     told = docs.withColumn("__line_row", keys).join(kept, "__line_row", "left_semi").join(gone, "__line_row", "left")
     told = told.withColumn("text", F.arrow_udf("string")(_without_lines)(F.col("text").cast("string"), F.col("__line_gone")))
     if "n_chars" in docs.columns:

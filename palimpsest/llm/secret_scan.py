@@ -34,6 +34,8 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 LEAST_LENGTH, PIECES = 16, (re.compile(r"[^.=]+"), re.compile(r"[^/.=_+-]+"))
 #: The bounded training sample: distinct strings of each automaton. Longer strings are no examples.
 MAX_STRINGS, MAX_LENGTH = 600, 512
+#: Parts in which the strings of a kind are thinned out first.
+SALTS = 64
 #: Log likelihood by which a string must be likelier as a credential than as an ordinary token. Unlabelled credentials
 #: are among the ordinary tokens too, so it is that of the whole string: how much more usual the format is with labels.
 LEAST_MARGIN = 1.0
@@ -231,8 +233,12 @@ def fit(docs: DataFrame, max_strings: int = MAX_STRINGS) -> Scanner:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["kind", "hash", "string"])
 
     found = texts.mapInArrow(gather, "kind string, hash long, string string").distinct()
-    place = F.row_number().over(Window.partitionBy("kind").orderBy("hash", "string"))
-    picked = sorted(found.withColumn("place", place).where(F.col("place") <= max_strings).collect(), key=lambda r: r.place)
+    # in two rounds, as every task hands on max_strings of a kind
+    order = ["hash", "string"]
+    salted = Window.partitionBy("kind", F.pmod("hash", F.lit(SALTS))).orderBy(*order)
+    some = found.withColumn("place", F.row_number().over(salted)).where(F.col("place") <= max_strings).drop("place")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(*order))
+    picked = sorted(some.withColumn("place", place).where(F.col("place") <= max_strings).collect(), key=lambda r: r.place)
     strings = {kind: [r.string for r in picked if r.kind == kind] for kind in kinds}
     return Scanner({kind: strings[kind] for kind in KINDS[:3]}, strings["plain"])
 

@@ -32,11 +32,11 @@ WINDOW = 13
 BLOCK_BYTES, MOST_BLOCK_BYTES = 2 << 20, 8 << 20
 BUCKET_BYTES, MOST_BUCKET_BYTES = 32 << 20, 256 << 20
 LEAST_BUCKETS = 128
-#: Pieces of the id range and repeated ids that are planned for on the driver.
-MOST_PIECES, MOST_HEAVY = 4096, 4096
+#: Pieces of the id range that are planned for on the driver, besides ids whose repeated rows need blocks of their own.
+MOST_PIECES = 4096
 SHARED, SEEN, INDEX = 0, 1, 2
 RUN_SCHEMA = "kind int, bucket int, block long, part int, fps binary, checks binary"
-RESULT_SCHEMA = "doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept_text string"
+RESULT_SCHEMA = "doc_id long, copies long, n_words long, removed array<struct<start:int,end:int>>, kept_text string"
 HISTORY = -(1 << 63)
 FP_BYTES = 6
 
@@ -72,6 +72,7 @@ class _Block:
         docs = docs.take(pa.array(np.argsort(docs.column("doc_id").to_numpy(), kind="stable")))
         self.width, self.buckets = width, buckets
         self.doc_id = docs.column("doc_id").to_numpy().astype(np.int64)
+        self.copies = docs.column("copies").combine_chunks()
         self.texts = docs.column("text").combine_chunks()
         self.words = Words.of(self.texts)
         self.at, windows = self.words.windows(self.words.hashes(), width)
@@ -252,6 +253,7 @@ def _strip_block(width: int, buckets: int):
         return pa.table(
             {
                 "doc_id": pa.array(block.doc_id, pa.int64()),
+                "copies": block.copies,
                 "n_words": pa.array(block.words.count, pa.int64()),
                 "removed": pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                 "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
@@ -303,7 +305,8 @@ def plan_blocks(docs: DataFrame, block_bytes: int | None = None, buckets: int |
 
     Pieces of the id range hold about equal numbers of documents (quantiles), their bytes are counted, and a piece
     is cut into as many equal id ranges as its bytes need. An id whose repeated rows have more than two
-    blocks' bytes is a piece of its own, in parts; of such ids the MOST_HEAVY largest are treated so.
+    blocks' bytes is a piece of its own, in parts. There are no more of these ids than half as many as
+    block_bytes go into all texts, and the driver holds some 60 bytes for each.
     """
     sized = _sizes(docs)
     whole = sized.agg(F.sum("bytes").alias("bytes"), F.min("doc_id").alias("lo")).first()
@@ -319,8 +322,8 @@ def plan_blocks(docs: DataFrame, block_bytes: int | None = None, buckets: int |
     pieces = int(min(MOST_PIECES, max(1, total // block_bytes)))
     quantiles = sized.agg(F.percentile_approx("doc_id", [i / pieces for i in range(1, pieces)], 20 * pieces).alias("q")).first().q if pieces > 1 else []
     repeated = sized.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where((F.col("n") > 1) & (F.col("bytes") > 2 * block_bytes))
-    heavy = [r.doc_id for r in repeated.orderBy(F.desc("bytes"), "doc_id").limit(MOST_HEAVY).collect()]
-    edges = np.unique(np.array([whole.lo, *quantiles, *heavy, *(h + 1 for h in heavy)], np.int64))
+    heavy = repeated.select("doc_id").toPandas()["doc_id"].to_numpy(np.int64)
+    edges = np.unique(np.concatenate((np.array([whole.lo, *quantiles], np.int64), heavy, heavy + 1)))
 
     def piece(ids: pa.Array) -> pa.Array:
         return pa.array(np.searchsorted(edges, ids.to_numpy(zero_copy_only=False).astype(np.int64), side="right") - 1, pa.int64())
@@ -330,15 +333,21 @@ def plan_blocks(docs: DataFrame, block_bytes: int | None = None, buckets: int |
     for r in found:
         size[r.piece], high[r.piece] = r["bytes"], r.hi
     wanted = np.maximum(1, -(-size // block_bytes))
-    alone = np.isin(edges, np.array(heavy, np.int64))
+    alone = np.isin(edges, heavy)
     n_blocks = np.where(alone, 1, np.minimum(wanted, high - edges + 1))
     return Plan(edges, np.maximum(1, -(-(high - edges + 1) // n_blocks)), n_blocks, np.where(alone, wanted, 1).astype(np.int32), buckets)
 
 
 def _blocks(docs: DataFrame, plan: Plan) -> DataFrame:
+    """Rows (block, part, doc_id, text, copies). Equal rows of an id in parts are one row, as many as they are: they would all be dealt to one part."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    placed = ids.withColumn("at", plan.block_of()("doc_id"))
-    return placed.select(F.col("at.block").alias("block"), F.pmod(F.xxhash64("text"), F.col("at.parts")).cast("int").alias("part"), "doc_id", "text")
+    placed = ids.withColumn("at", plan.block_of()("doc_id")).select(F.col("at.block").alias("block"), F.col("at.parts").alias("parts"), "doc_id", "text")
+    part = F.pmod(F.xxhash64("text"), F.col("parts")).cast("int").alias("part")
+    one = placed.where("parts = 1").select("block", F.lit(0).alias("part"), "doc_id", "text", F.lit(1).cast("long").alias("copies"))
+    if (plan.parts == 1).all():
+        return one
+    several = placed.where("parts > 1").groupBy("block", "parts", "doc_id", "text").agg(F.count("*").alias("copies"))
+    return one.unionByName(several.select("block", part, "doc_id", "text", "copies"))
 
 
 def index_runs(docs: DataFrame, plan: Plan, width: int = WINDOW) -> DataFrame:
@@ -379,6 +388,9 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW, history: DataFrame |
     seen = _by_bucket(second, buckets).mapInArrow(_probe, RUN_SCHEMA)
     hits = shared.unionByName(seen)
     stripped = hits.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInArrow(_strip_block(width, buckets), RESULT_SCHEMA)
+    if not (plan.parts == 1).all():
+        stripped = stripped.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy")
+    stripped = stripped.drop("copies")
     words = F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
     orphans = docs.where("doc_id is null").select(
         F.lit(None).cast("long").alias("doc_id"),

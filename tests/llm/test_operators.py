@@ -86,6 +86,21 @@ def test_blocks_of_sparse_and_repeated_ids(spark):
     assert (10**15, "") in got and {t for d, t in got if d == 500} == {t for d, t in rows if d == 500} and {t for d, t in got if d == 501} == {""}
 
 
+def test_five_thousand_repeated_ids_and_equal_rows(spark):
+    """Every id that repeats much is split, however many there are; equal rows of one id don't meet in one task."""
+    rows = [(i, prose(14, 9000 + i % 50) + f" end {i} {k}") for i in range(5000) for k in range(3)] + [(7777, prose(20, 1))] * 2000 + [(7778, prose(20, 1) + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plan = substring_dedup.plan_blocks(docs, block_bytes=60, buckets=4)
+    assert (plan.parts > 1).sum() == 5001
+    sizes = substring_dedup._blocks(docs, plan).groupBy("block", "part").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).collect()
+    assert max(r.n for r in sizes) <= 3 and sum(r.copies for r in sizes) == len(rows)
+    few = docs.where("doc_id < 60 or doc_id > 7000")
+    got = substring_dedup.dedup_substrings(few, plan=substring_dedup.plan_blocks(few, block_bytes=60, buckets=4)).collect()
+    assert sum(r.doc_id == 7777 and r.kept_text == prose(20, 1) for r in got) == 2000
+    assert [r.kept_text for r in got if r.doc_id == 7778] == ["more"]
+    assert all(r.kept_text == f"{r.doc_id} {r.kept_text[-1]}" for r in got if 50 <= r.doc_id < 60) and all(r.n_words == len(r.kept_text.split()) for r in got if r.doc_id < 50)
+
+
 def test_second_hashes_settle_equal_fingerprints(spark, docs, monkeypatch):
     want = sorted((r.doc_id or -1, r.kept_text) for r in substring_dedup.dedup_substrings(docs).collect())
     full = substring_dedup._Block.__init__
@@ -99,7 +114,7 @@ def test_second_hashes_settle_equal_fingerprints(spark, docs, monkeypatch):
         self.runs = self._by_bucket(self.bucket(self.fps))
 
     rows = [r for r in table_rows() if r[0] is not None]
-    told = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    told = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "copies": [1] * len(rows)})
     monkeypatch.setattr(substring_dedup._Block, "__init__", coarse)
     parts = [told.filter(pa.compute.equal(pa.compute.bit_wise_and(told["doc_id"], 1), i)) for i in (0, 1)]
     key = [(pa.scalar(i), pa.scalar(0)) for i in (0, 1)]

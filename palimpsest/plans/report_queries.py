@@ -1,11 +1,12 @@
 """Glyph tables, requests, grouped reports, grids and samples over the driver tables.
 
-Tiles stand for glyphs, orders for timed readings, parts for requests.
+Tiles stand for glyphs and parts for requests. A turn of a conversation read as the next one is a reading, with its error rate; the
+user's event of the same number tells its kind, its seconds and when it began.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from palimpsest.functions import requests as Q, text as T
 from palimpsest.operators import evaluate as V, glyphs as G, reading as R
@@ -14,14 +15,15 @@ from palimpsest.plans.tile_queries import query
 from palimpsest.tables import table
 
 GLYPHS = """gl AS (SELECT 'font ' || label AS font, chr(CAST(65 + vec_id % 26 AS INT)) || CAST(vec_id // 26 AS VARCHAR) AS ch, CAST(vec_id % 4 AS DOUBLE) / 4 AS adv, CAST(0 AS DOUBLE) AS x0, -CAST(vec_id % 7 AS DOUBLE) / 8 AS y0,
-  CAST(8 AS INT) AS w, CAST(4 + vec_id % 5 AS INT) AS h, array_to_string([CASE WHEN embedding[i] > 0 THEN '#' ELSE '.' END for i in range(1, 7)], '') AS bitmap FROM embeddings)"""
+  CAST(8 AS INT) AS w, CAST(4 + vec_id % 5 AS INT) AS h, array_to_string([CASE WHEN list_sum([embedding[i] for i in range(1, 65) if ((i - 1) // 32) * 3 + least(2, (i - 1) % 8 // 3) = r]) > 0 THEN '#' ELSE '.' END for r in range(0, 6)], '') AS bitmap FROM embeddings)"""
 
 
 def _glyphs(spark, d):
-    """Tiles as glyphs: the label is the font, the bitmap the signs of the first six values."""
+    """Tiles as glyphs: the label is the font, the bitmap the tile in three by two cells, dark where its values there add up to more than nothing."""
     e = table(spark, d, "embeddings")
     n = F.col("vec_id")
-    marks = F.array_join(F.transform(F.slice("embedding", 1, 6), lambda v: F.when(v > 0, "#").otherwise(".")), "")
+    sums = F.expr("transform(sequence(0, 5), r -> aggregate(filter(embedding, (v, i) -> i div 32 * 3 + least(2, i % 8 div 3) = r), 0D, (s, v) -> s + v))")
+    marks = F.array_join(F.transform(sums, lambda v: F.when(v > 0, "#").otherwise(".")), "")
     return e.select(F.concat(F.lit("font "), "label").alias("font"), F.concat(F.char(65 + n % 26), F.expr("vec_id div 26").cast("string")).alias("ch"), ((n % 4) / 4).alias("adv"), F.lit(0.0).alias("x0"), (-(n % 7) / 8).alias("y0"), F.lit(8).alias("w"), (4 + n % 5).cast("int").alias("h"), marks.alias("bitmap"))
 
 
@@ -112,14 +114,30 @@ def marked_casing(spark, d):
     return table(spark, d, "part").select("p_partkey", Q.marked_case(cells, F.col("p_size") % 2 == 0).alias("cased"))
 
 
-TIMED = """tm AS (SELECT o_orderkey, o_orderpriority AS font, o_orderstatus AS brief, round((o_orderkey * 7919 % 1000) / 1000.0::DOUBLE, 3) AS cer, CAST(o_orderkey % 97 AS DOUBLE) / 10 AS sec, o_orderkey % 4 = 0 AS inverted, o_orderkey % 9 <> 0 AS ok,
-  CAST(700 + 200 * (o_orderkey % 5) AS INT) AS dim, CAST(epoch(o_orderdate) AS BIGINT) AS began FROM orders)"""
+TIMED = f"""ev AS (SELECT user_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
+tu AS (SELECT a.conv_id, a.turn, a.role AS font, {translit('a.text')} AS want, {translit('b.text')} AS got FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+tm AS (SELECT conv_id * 1000 + turn AS reading, font, event_type AS brief, round(CASE WHEN length(want) = 0 THEN 1.0::DOUBLE ELSE levenshtein(want, got) / length(want) END, 6) AS cer, value / 10 AS sec, length(got) > length(want) AS inverted, length(want) > 0 AS ok,
+  CAST(700 + 200 * least(4, length(want) // 100) AS INT) AS dim, CAST(floor(epoch(ts)) AS BIGINT) AS began FROM tu JOIN ev ON ev.user_id = tu.conv_id AND ev.k = tu.turn)"""
 
 
 def _timed(spark, d):
-    """Orders as readings: font, brief, error rate, seconds, whether inverted and done, size, start."""
-    n = F.col("o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("font"), F.col("o_orderstatus").alias("brief"), F.round((n * 7919 % 1000) / 1000, 3).alias("cer"), ((n % 97) / 10).alias("sec"), (n % 4 == 0).alias("inverted"), (n % 9 != 0).alias("ok"), (700 + 200 * (n % 5)).cast("int").alias("dim"), F.unix_timestamp("o_orderdate").alias("began"))
+    """Readings: font (role), brief (kind of event), error rate, seconds, whether longer than the truth, whether there is a truth, size by the truth's length, start."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", T.translit(F.col("text")).alias("want"))
+    pairs = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("want").alias("got")), ["conv_id", "turn"])
+    number = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long")
+    events = table(spark, d, "events").select(F.col("user_id").alias("conv_id"), number.alias("turn"), "ts", "event_type", "value")
+    size = F.length("want")
+    return pairs.join(events, ["conv_id", "turn"]).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("reading"),
+        F.col("role").alias("font"),
+        F.col("event_type").alias("brief"),
+        F.round(T.cer(F.col("want"), F.col("got")), 6).alias("cer"),
+        (F.col("value") / 10).alias("sec"),
+        (F.length("got") > size).alias("inverted"),
+        (size > 0).alias("ok"),
+        (700 + 200 * F.least(F.lit(4), F.floor(size / 100))).cast("int").alias("dim"),
+        F.unix_timestamp("ts").alias("began"),
+    )
 
 
 @query(f"WITH {TIMED} SELECT font, brief, count(*) AS n, round(avg(cer), 6) AS mean_cer, round(avg(sec), 6) AS mean_sec FROM tm GROUP BY font, brief")
@@ -127,9 +145,9 @@ def report_by_font_and_brief(spark, d):
     return V.means(_timed(spark, d), ["font", "brief"], mean_cer="cer", mean_sec="sec")
 
 
-@query(f"WITH {TIMED} SELECT font, count(*) FILTER (WHERE brief = 'O') AS n, round(avg(cer) FILTER (WHERE brief = 'O'), 6) AS mean_cer FROM tm GROUP BY font")
+@query(f"WITH {TIMED} SELECT font, count(*) FILTER (WHERE brief = 'view') AS n, round(avg(cer) FILTER (WHERE brief = 'view'), 6) AS mean_cer FROM tm GROUP BY font")
 def report_clean_by_font(spark, d):
-    return V.means(_timed(spark, d), ["font"], F.col("brief") == "O", mean_cer="cer")
+    return V.means(_timed(spark, d), ["font"], F.col("brief") == "view", mean_cer="cer")
 
 
 @query(f"WITH {TIMED} SELECT brief, count(*) AS n, round(avg(cer), 6) AS mean_cer, CAST(sum(CAST(inverted AS INT)) AS BIGINT) AS inverted FROM tm GROUP BY brief")
@@ -159,15 +177,15 @@ def report_shares(spark, d):
     return s.select("font", Q.share_text(F.col("inverted"), F.col("n")).alias("told"))
 
 
-@query(f"WITH {TIMED} SELECT font, brief, dim, o_orderkey, cer FROM tm QUALIFY row_number() OVER (PARTITION BY font, brief ORDER BY round(cer, 9) DESC, o_orderkey) = 1")
+@query(f"WITH {TIMED} SELECT font, brief, dim, reading, cer FROM tm QUALIFY row_number() OVER (PARTITION BY font, brief ORDER BY round(cer, 9) DESC, reading) = 1")
 def best_candidates(spark, d):
-    return V.first_best(_timed(spark, d), ["font", "brief"], "cer", "o_orderkey").select("font", "brief", "dim", "o_orderkey", "cer")
+    return V.first_best(_timed(spark, d), ["font", "brief"], "cer", "reading").select("font", "brief", "dim", "reading", "cer")
 
 
-@query(f"WITH {TIMED} SELECT font, o_orderkey, cer FROM tm WHERE cer > 0 QUALIFY row_number() OVER (PARTITION BY font ORDER BY cer DESC, o_orderkey) <= 25")
+@query(f"WITH {TIMED} SELECT font, reading, cer FROM tm WHERE cer > 0 QUALIFY row_number() OVER (PARTITION BY font ORDER BY cer DESC, reading) <= 25")
 def worst_examples(spark, d):
     """The 25 worst readings of each font, as a report shows them."""
-    return V.examples(_timed(spark, d).where("cer > 0"), ["font"], [F.desc("cer"), "o_orderkey"], 25).select("font", "o_orderkey", "cer")
+    return V.examples(_timed(spark, d).where("cer > 0"), ["font"], [F.desc("cer"), "reading"], 25).select("font", "reading", "cer")
 
 
 @query(f"WITH {TIMED}, s AS (SELECT font, list_sort(list(DISTINCT dim)) AS ds FROM tm GROUP BY font) SELECT font, CAST(CASE WHEN len(ds) > 1 THEN ds[2] - ds[1] ELSE ds[1] * 0.08 END AS DOUBLE) AS step FROM s")
@@ -175,9 +193,9 @@ def size_steps(spark, d):
     return V.size_step(_timed(spark, d), "font", "dim").select("font", F.col("step").cast("double").alias("step"))
 
 
-@query(f"""WITH {TIMED}, m AS (SELECT o_orderkey, o_orderkey // 64 AS batch, dim FROM tm) SELECT o_orderkey, batch, CAST(ceil(max(dim) OVER (PARTITION BY batch) / 4.0) * 4 AS BIGINT) AS padded, CAST(greatest(1, dim // 8) AS BIGINT) AS steps FROM m""")
+@query(f"""WITH {TIMED}, m AS (SELECT reading, reading // 64 AS batch, dim FROM tm) SELECT reading, batch, CAST(ceil(max(dim) OVER (PARTITION BY batch) / 4.0) * 4 AS BIGINT) AS padded, CAST(greatest(1, dim // 8) AS BIGINT) AS steps FROM m""")
 def padded_batches(spark, d):
-    return V.padded(_timed(spark, d), "dim", "o_orderkey", 64).select("o_orderkey", "batch", "padded", "steps")
+    return V.padded(_timed(spark, d), "dim", "reading", 64).select("reading", "batch", "padded", "steps")
 
 
 @query(f"WITH {TIMED} SELECT DISTINCT font, brief FROM tm")
@@ -207,9 +225,9 @@ def first_seen_words(spark, d):
     return V.first_seen(w.select((F.col("item_id") * 1000000 + F.col("i") + 1).alias("ord"), "word", T.translit(F.col("word")).alias("u")), ["u"], "ord").select("u", "word", "ord")
 
 
-@query(f"WITH {GLYPHS}, gg AS (SELECT font, string_agg(ch[1], '' ORDER BY ch) AS grp FROM gl GROUP BY font, bitmap HAVING count(*) BETWEEN 2 AND 4) SELECT font, c AS ch, array_to_string(string_split(grp, ''), '/') AS alternatives, count(*) AS n FROM (SELECT font, grp, unnest(string_split(grp, '')) AS c FROM gg) GROUP BY font, c, grp")
+@query(f"WITH {GLYPHS}, gg AS (SELECT font, string_agg(ch[1], '' ORDER BY ch) AS grp FROM gl GROUP BY font, bitmap HAVING count(*) > 1) SELECT font, c AS ch, array_to_string(string_split(grp, ''), '/') AS alternatives, count(*) AS n FROM (SELECT font, grp, unnest(string_split(grp, '')) AS c FROM gg) GROUP BY font, c, grp")
 def glyph_alternatives(spark, d):
-    g = _glyphs(spark, d).groupBy("font", "bitmap").agg(F.array_sort(F.collect_list("ch")).alias("chs")).where(F.size("chs").between(2, 4))
+    g = _glyphs(spark, d).groupBy("font", "bitmap").agg(F.array_sort(F.collect_list("ch")).alias("chs")).where(F.size("chs") > 1)
     groups = g.select("font", F.array_join(F.transform("chs", lambda c: F.substring(c, 1, 1)), "").alias("grp"))
     return G.ambiguity(groups).groupBy("font", "ch", "alternatives").agg(F.count("*").alias("n"))
 

@@ -267,10 +267,13 @@ def correct_words(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 def recased(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """texts with out: text in capitals with the casing of sentences and nouns, within each row.
 
-    The nouns of a lexicon are at most CAP words; each row keeps those that it has.
+    The words of a text meet the nouns by a join, and those found come back to the text by 128 bits of it, so equal texts ask once. Helper
+    columns are named _toks, _of and _own; an empty text stays empty, a null one null.
     """
-    nouns = lexicon.where("is_noun").agg(F.collect_list("word").alias("_nouns"))
-    toks = texts.withColumn("_toks", F.regexp_extract_all(F.upper("text"), F.lit("([A-Z]+|[^A-Z]+)"), 1)).crossJoin(F.broadcast(nouns))  # one row of nouns
+    toks = texts.withColumn("_toks", F.regexp_extract_all(F.upper("text"), F.lit("([A-Z]+|[^A-Z]+)"), 1)).withColumn("_of", F.unhex(F.md5("text")))
+    words = toks.select("_of", F.explode(F.array_distinct(F.filter("_toks", lambda t: (F.length(t) > 1) & F.substring(t, 1, 1).between("A", "Z")))).alias("word"))
+    nouns = lexicon.where("is_noun").select("word")
+    own = words.join(nouns, "word").groupBy("_of").agg(F.collect_set("word").alias("_own"))
     first = F.when(F.get("_toks", F.lit(0)).rlike("^[A-Z]"), 0).otherwise(1)
 
     def cased(row: Column) -> Column:
@@ -281,8 +284,9 @@ def recased(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
         return F.array_join(F.transform(row["toks"], one), "")
 
     # bound as one value, as a column used within a lambda may be worked out anew for every token
-    row = F.array(F.struct(F.col("_toks").alias("toks"), F.array_intersect("_toks", "_nouns").alias("own"), first.alias("first")))
-    return toks.withColumn("out", F.get(F.transform(row, cased), F.lit(0))).drop("_toks", "_nouns")
+    told = toks.join(own, "_of", "left").withColumn("_own", F.coalesce("_own", F.array().cast("array<string>")))
+    row = F.array(F.struct(F.col("_toks").alias("toks"), F.col("_own").alias("own"), first.alias("first")))
+    return told.withColumn("out", F.get(F.transform(row, cased), F.lit(0))).drop("_toks", "_of", "_own")
 
 
 #: Fixed values of joining fragments: tokens, lengths, distance, ranks, price of a token that can't be read, gain of a join.

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,54 +23,90 @@ def grouped_stats(results: DataFrame, a: str, b: str, value: str = "cer") -> Dat
     )
 
 
-def _next_rows(row: np.ndarray, letters: np.ndarray, want: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows of the distance table after row, one per letter of the reading."""
-    steps = np.arange(len(want) + 1)
-    for c in letters:
-        new = np.empty_like(row)
-        new[0] = row[0] + 1
-        np.minimum(row[1:] + 1, row[:-1] + (want != c), out=new[1:])
-        row = np.minimum.accumulate(new - steps) + steps  # a cell's left neighbours, all at once
-        yield row
+#: Cells of distance tables that are kept at once, a byte each, and pairs of texts that are worked on together.
+TABLE_CELLS, TOGETHER = 1 << 26, 64
+PAIR, INSERTION, LOSS = 0, 1, 2
 
 
-def script(want: str, got: str) -> list[tuple[str, str, str]]:
-    """The edits (op, want, got) that turn want into got, in order; ties go to a pair, then to an insertion.
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of some texts as numbers in one array, filled up with -1, and the texts' lengths."""
+    size = np.array([len(t) for t in texts], np.int64)
+    out = np.full((len(texts), max(int(size.max(initial=0)), 1)), -1, np.int32)
+    for row, t in zip(out, texts, strict=True):
+        row[: len(t)] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    return out, size
+
 
-    Every isqrt-th row of the table is kept and those between are worked out again on the way back, so memory
-    grows with len(want) * sqrt(len(got)).
+def _next_row(row: np.ndarray, letter: np.ndarray, want: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distance tables' next rows of many pairs, one letter further in each reading, and from where each cell comes.
+
+    Ties go to a pair, then to an insertion.
+    """
+    pair = row[:, :-1] + (want != letter[:, None])
+    down = row + 1
+    new = down.copy()
+    np.minimum(new[:, 1:], pair, out=new[:, 1:])
+    new -= steps
+    np.minimum.accumulate(new, axis=1, out=new)  # a cell's left neighbours, all at once
+    new += steps
+    came = (new != down).view(np.uint8) + np.uint8(INSERTION)  # one more is a loss
+    came[:, 1:] *= new[:, 1:] != pair
+    return new, came
+
+
+def scripts(wants: list[str], gots: list[str]) -> list[list[tuple[str, str, str]]]:
+    """Per pair the edits (op, want, got) that turn want into got, in order; ties go to a pair, then to an insertion.
+
+    All pairs go through their tables together, a row of each at a time. Where each cell comes from is kept for so many rows as fit
+    TABLE_CELLS; the rows before are worked out again from rows kept between, so long texts need no whole table.
     """
-    w, g = (np.array([ord(c) for c in s], np.int64) for s in (want, got))
-    every = isqrt(len(g)) + 1
-    kept, row = {0: np.arange(len(w) + 1)}, np.arange(len(w) + 1)
-    for i, row in enumerate(_next_rows(row, g, w), 1):
-        if i % every == 0:
-            kept[i] = row
-    out, i, j = [], len(g), len(w)
-    low, rows = i + 1, []
-    while i or j:
-        if i < low or not rows:
-            low = (max(i - 1, 0) // every) * every
-            rows = [kept[low], *_next_rows(kept[low], g[low:i], w)]
-        here, above = rows[i - low], rows[i - low - 1] if i > low else None
-        if i and j and here[j] == above[j - 1] + (g[i - 1] != w[j - 1]):
-            out.append(("eq" if g[i - 1] == w[j - 1] else "sub", want[j - 1], got[i - 1]))
-            i, j = i - 1, j - 1
-        elif i and here[j] == above[j] + 1:
-            out.append(("ins", "", got[i - 1]))
-            i -= 1
-        else:
-            out.append(("del", want[j - 1], ""))
-            j -= 1
-        if i == low and i:  # the next step looks at the row before
-            rows = []
-    return out[::-1]
+    want, n_want = _letters(wants)
+    got, n_got = _letters(gots)
+    height, width = int(n_got.max(initial=0)), want.shape[1] + 1
+    every = max(1, min(height, TABLE_CELLS // (len(wants) * width))) if height else 1
+    steps = np.arange(width, dtype=np.int32)
+    row = np.tile(steps, (len(wants), 1))
+    starts = {0: row}
+    for i in range(height if height > every else 0):
+        row = _next_row(row, got[:, i], want, steps)[0]
+        if (i + 1) % every == 0:
+            starts[i + 1] = row
+    edits: list[list[tuple[str, str, str]]] = [[] for _ in wants]
+    at = [(int(i), int(j)) for i, j in zip(n_got, n_want, strict=True)]
+    for low in range((max(height - 1, 0) // every) * every, -1, -every):
+        row, came = starts.pop(low), []
+        for i in range(low, min(low + every, height)):
+            row, where = _next_row(row, got[:, i], want, steps)
+            came.append(where)
+        for p, (w, g, out) in enumerate(zip(wants, gots, edits, strict=True)):
+            i, j = at[p]
+            while i > low or (low == 0 and j):
+                step = LOSS if i == 0 else came[i - 1 - low][p, j]
+                if step == PAIR:
+                    out.append(("eq" if g[i - 1] == w[j - 1] else "sub", w[j - 1], g[i - 1]))
+                    i, j = i - 1, j - 1
+                elif step == INSERTION:
+                    out.append(("ins", "", g[i - 1]))
+                    i -= 1
+                else:
+                    out.append(("del", w[j - 1], ""))
+                    j -= 1
+            at[p] = i, j
+    return [out[::-1] for out in edits]
+
+
+def script(want: str, got: str) -> list[tuple[str, str, str]]:
+    """The edits of one pair."""
+    return scripts([want], [got])[0]
 
 
 def _scripts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, len(batch), 64):
-            rows = [(key, no, *edit) for key, want, got in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True) for no, edit in enumerate(script(want or "", got or ""), 1)]
+        pairs = [(key, want or "", got or "") for key, want, got in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        pairs.sort(key=lambda p: (len(p[1]), len(p[2])))  # so that tables of much the same size go together
+        for at in range(0, len(pairs), TOGETHER):
+            some = pairs[at : at + TOGETHER]
+            rows = [(key, no, *edit) for (key, *_), edits in zip(some, scripts([p[1] for p in some], [p[2] for p in some]), strict=True) for no, edit in enumerate(edits, 1)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 1 else pa.string()) for i in range(5)], names=["key", "no", "op", "want", "got"])
 
 

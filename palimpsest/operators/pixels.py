@@ -53,8 +53,11 @@ def box_sum(px: DataFrame, radius: int, value: Column, out: str) -> DataFrame:
 
 
 def sauvola(px: DataFrame, radius: int, k: float = SAUVOLA_K, r: float = SAUVOLA_R) -> DataFrame:
-    """Add ink: 1 where v is below mean * (1 + k * (deviation / r - 1)) of its clipped box."""
-    v = F.col("v").cast("long")
+    """Add ink: 1 where v is below mean * (1 + k * (deviation / r - 1)) of its clipped box.
+
+    Images are dealt out once, whole; all windows along rows and down columns then need no further exchange.
+    """
+    px, v = px.repartition("img"), F.col("v").cast("long")
     for name, value in (("_n", F.lit(1).cast("long")), ("_s", v), ("_q", v * v)):
         px = box_sum(px, radius, value, name)
     mean = F.col("_s") / F.col("_n")

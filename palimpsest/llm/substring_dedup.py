@@ -72,7 +72,7 @@ class _Block:
         docs = docs.take(pa.array(np.argsort(docs.column("doc_id").to_numpy(), kind="stable")))
         self.width, self.buckets = width, buckets
         self.doc_id = docs.column("doc_id").to_numpy().astype(np.int64)
-        self.copies = docs.column("copies").combine_chunks()
+        self.copies = docs.column("copies").combine_chunks() if "copies" in docs.column_names else pa.array(np.ones(len(docs), np.int64))
         self.texts = docs.column("text").combine_chunks()
         self.words = Words.of(self.texts)
         self.at, windows = self.words.windows(self.words.hashes(), width)
@@ -339,15 +339,18 @@ def plan_blocks(docs: DataFrame, block_bytes: int | None = None, buckets: int |
 
 
 def _blocks(docs: DataFrame, plan: Plan) -> DataFrame:
-    """Rows (block, part, doc_id, text, copies). Equal rows of an id in parts are one row, as many as they are: they would all be dealt to one part."""
+    """Rows (block, part, doc_id, text, copies). Equal rows of an id in parts are one row, as many as they are: they would all be dealt to one part.
+
+    Without such an id there is no column copies, and every use of the rows has the same exchange.
+    """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    placed = ids.withColumn("at", plan.block_of()("doc_id")).select(F.col("at.block").alias("block"), F.col("at.parts").alias("parts"), "doc_id", "text")
-    part = F.pmod(F.xxhash64("text"), F.col("parts")).cast("int").alias("part")
-    one = placed.where("parts = 1").select("block", F.lit(0).alias("part"), "doc_id", "text", F.lit(1).cast("long").alias("copies"))
+    placed = ids.withColumn("at", plan.block_of()("doc_id"))
+    part = F.pmod(F.xxhash64("text"), F.col("at.parts")).cast("int").alias("part")
     if (plan.parts == 1).all():
-        return one
-    several = placed.where("parts > 1").groupBy("block", "parts", "doc_id", "text").agg(F.count("*").alias("copies"))
-    return one.unionByName(several.select("block", part, "doc_id", "text", "copies"))
+        return placed.select(F.col("at.block").alias("block"), part, "doc_id", "text")
+    one = placed.where("at.parts = 1").select(F.col("at.block").alias("block"), part, "doc_id", "text", F.lit(1).cast("long").alias("copies"))
+    several = placed.where("at.parts > 1").groupBy("at", "doc_id", "text").agg(F.count("*").alias("copies"))
+    return one.unionByName(several.select(F.col("at.block").alias("block"), part, "doc_id", "text", "copies"))
 
 
 def index_runs(docs: DataFrame, plan: Plan, width: int = WINDOW) -> DataFrame:

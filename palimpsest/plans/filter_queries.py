@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.operators import filters as N, lexicon as X, profiles as L
 from palimpsest.plans.profile_queries import BANDS, _profile
-from palimpsest.plans.sqltext import TILES
-from palimpsest.plans.text_queries import _lexicon, _tokens
+from palimpsest.plans.sqltext import TILES, fold
+from palimpsest.plans.text_queries import LEX, WEIGHTED, _lexicon, _tokens
 from palimpsest.plans.tile_queries import INK, _ink, _tiles, query
 from palimpsest.tables import materialize, table
 
@@ -112,14 +112,55 @@ def _glued(spark, d):
     return told.select(F.explode(pairs).alias("token")).where("token is not null").unionByName(_tokens(spark, d).select("token")).distinct()
 
 
-@query()
+def _best_sql(name: str, tokens: str, limit: int | None = None) -> str:
+    """CTE of the best correction of each token of a CTE: (token, cand, dist). Every word of fitting length is scored whose folded form is near enough."""
+    most = "CASE WHEN length(token) <= 4 THEN 1 WHEN length(token) <= 7 THEN 2 WHEN length(token) <= 11 THEN 3 ELSE 4 END" if limit is None else str(limit)
+    slack = "CASE WHEN length(token) >= 6 THEN 2 ELSE 1 END" if limit is None else str(limit)
+    pairs = "('EU', 'UE', 'BH', 'HB', 'TQ', 'QT', 'LV', 'VL', 'WV', 'VW', 'BW', 'WB')"
+    dist, near = WEIGHTED, "levenshtein(translate(token, 'UQHLVW', 'ETBBBB'), translate(cand, 'UQHLVW', 'ETBBBB')) <= most"
+    if limit == 1:  # up to 1 there are one plain edit, or confusions alone
+        unlike = "[token[i] || cand[i] for i in generate_series(1, length(token)) if token[i] <> cand[i]]"
+        dist = f"CASE WHEN length(token) = length(cand) AND len({unlike}) <= 2 AND len(list_filter({unlike}, lambda x: x NOT IN {pairs})) = 0 THEN 0.35::DOUBLE * len({unlike}) WHEN levenshtein(token, cand) <= 1 THEN 1.0::DOUBLE ELSE 9.0::DOUBLE END"
+        near = "levenshtein(token, cand) <= 2"
+    swap = "length(token) = length(cand) AND len(df) = 1 AND df[1] IN ('EU', 'UE', 'BH', 'HB', 'TQ', 'QT', 'LV', 'VL', 'WV', 'VW', 'BW', 'WB')"
+    return f"""{name}_c AS (SELECT token, word AS cand, rnk, {most} AS most FROM {tokens} JOIN lex ON abs(len - length(token)) <= least({most}, {slack}) WHERE length(token) >= 2 AND word <> token),
+{name}_e AS MATERIALIZED (SELECT *, {dist} AS dist FROM {name}_c WHERE {near}),
+{name}_p AS (SELECT *, length(token) = length(cand) AS same, list_sum([CAST(token[i] = cand[i] AS INT) for i in generate_series(1, least(length(token), length(cand)))]) AS pos,
+  [token[i] || cand[i] for i in generate_series(1, least(length(token), length(cand))) if token[i] <> cand[i]] AS df FROM {name}_e WHERE dist <= most AND NOT (dist >= 2 AND rnk > 8000)),
+{name}_w AS (SELECT * FROM {name}_p QUALIFY row_number() OVER (PARTITION BY token ORDER BY round(dist, 6), same DESC, pos DESC, rnk, cand) = 1),
+{name}_g AS (SELECT w.*, own.rnk AS own_rnk, {swap} AS swap FROM {name}_w w LEFT JOIN lex own ON own.word = w.token),
+{name} AS (SELECT token, cand, dist FROM {name}_g WHERE pos >= ceil(length(token) / 3) AND (length(token) > 2 OR dist < 0.99 OR swap) AND (own_rnk IS NULL OR (same AND dist <= 0.5 AND swap AND rnk <= 100 AND rnk <= own_rnk / 20)))"""
+
+
+def _split_sql(name: str, tokens: str) -> str:
+    """CTE of the best cut of each unknown token of a CTE into two words."""
+    return f"""{name}_k AS (SELECT token, unnest(range(3, length(token) - 2)) AS cut FROM {tokens} WHERE length(token) BETWEEN 6 AND 14 AND token NOT IN (SELECT word FROM lex)),
+{name}_a AS (SELECT token, cut, token[:cut] AS a, token[cut + 1:] AS b FROM {name}_k), {name}_h AS (SELECT a AS token FROM {name}_a UNION SELECT b FROM {name}_a),
+{name}_u AS (SELECT token FROM {name}_h WHERE token NOT IN (SELECT word FROM lex)), {_best_sql(f"{name}_m", f"{name}_u", 1)},
+{name}_t AS (SELECT token, token AS cand, 0.0::DOUBLE AS dist FROM {name}_h WHERE token IN (SELECT word FROM lex) UNION ALL SELECT * FROM {name}_m),
+{name}_f AS (SELECT t.* FROM {name}_t t JOIN lex ON lex.word = t.cand WHERE rnk <= 8000),
+{name} AS (SELECT c.token, x.cand || ' ' || y.cand AS cand, x.dist + y.dist AS dist FROM {name}_a c JOIN {name}_f x ON x.token = c.a JOIN {name}_f y ON y.token = c.b WHERE x.dist + y.dist <= 1
+  QUALIFY row_number() OVER (PARTITION BY c.token ORDER BY round(x.dist + y.dist, 6), cut, x.cand || ' ' || y.cand) = 1)"""
+
+
+def _correct_sql(name: str, tokens: str) -> str:
+    """CTE of each token's correction: one word, or two where those are strictly closer."""
+    return f"""{name}_q AS MATERIALIZED (SELECT DISTINCT token FROM {tokens} WHERE length(token) >= 2), {_best_sql(f"{name}_1", f"{name}_q")}, {_split_sql(f"{name}_2", f"{name}_q")},
+{name} AS (SELECT token, cand, dist FROM (SELECT *, 0 AS way FROM {name}_1 UNION ALL SELECT *, 1 FROM {name}_2) QUALIFY row_number() OVER (PARTITION BY token ORDER BY round(dist, 6), way, cand) = 1)"""
+
+
+_WORDS_SQL = rf"list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace({fold('text')}, '[^A-Z\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '')"
+_GLUED_SQL = f"bw AS (SELECT {_WORDS_SQL} AS ws FROM benchmark), tk AS (SELECT unnest(ws) AS token FROM bw UNION SELECT unnest([ws[i] || ws[i + 1] for i in range(1, len(ws))]) FROM bw)"
+
+
+@query(f"WITH {LEX}, {_GLUED_SQL}, {_split_sql('sp', 'tk')} SELECT token, cand, round(dist, 6) AS dist FROM sp")
 def split_guess(spark, d):
     """Words that are two words without a space, with the best place to cut."""
     lex = materialize(_lexicon(spark, d), "lexicon")
     return X.split_words(_glued(spark, d), lex).select("token", "cand", F.round("dist", 6).alias("dist"))
 
 
-@query()
+@query(f"WITH {LEX}, {_GLUED_SQL}, {_correct_sql('cr', 'tk')} SELECT token, cand, round(dist, 6) AS dist FROM cr")
 def word_corrections(spark, d):
     """Benchmark words and glued pairs with their correction: one word, or two."""
     lex = materialize(_lexicon(spark, d), "lexicon")

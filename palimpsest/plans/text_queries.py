@@ -170,8 +170,7 @@ def _fuzzy_sql(dist: str) -> str:
 c AS (SELECT token, word AS cand, rnk FROM tok JOIN few ON len BETWEEN greatest(2, length(token) - CASE WHEN length(token) >= 6 THEN 2 ELSE 1 END) AND length(token) + CASE WHEN length(token) >= 6 THEN 2 ELSE 1 END WHERE length(token) >= 2 AND word <> token),
 m AS (SELECT *, CASE WHEN length(token) <= 4 THEN 1 WHEN length(token) <= 7 THEN 2 WHEN length(token) <= 11 THEN 3 ELSE 4 END AS most FROM c),
 b AS (SELECT *, levenshtein(token, cand) AS plain, levenshtein(translate(token, 'UQHLVW', 'ETBBBB'), translate(cand, 'UQHLVW', 'ETBBBB')) AS alike FROM m WHERE abs(length(token) - length(cand)) <= most),
-v AS (SELECT *, least(most, coalesce(min(CASE WHEN rnk <= 8000 OR plain < 2 THEN plain END) OVER (PARTITION BY token), most)) AS up FROM b WHERE alike <= most),
-e AS (SELECT *, {dist} AS dist FROM v WHERE greatest(alike, plain * 0.35) <= up),
+e AS (SELECT *, {dist} AS dist FROM b WHERE alike <= most),
 r AS (SELECT * FROM e WHERE NOT (dist >= 2 AND rnk > 8000)),
 p AS (SELECT *, length(token) = length(cand) AS same, list_sum([CAST(token[i] = cand[i] AS INT) for i in generate_series(1, least(length(token), length(cand)))]) AS pos,
   [token[i] || cand[i] for i in generate_series(1, least(length(token), length(cand))) if token[i] <> cand[i]] AS df FROM r WHERE dist <= most),

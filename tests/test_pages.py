@@ -202,6 +202,58 @@ def test_runs_mend_into_custom_words(spark):
     assert got == {("t", 0): "GARTENHAUS", ("t", 1): "GARTENHAUS BAUM", ("t", 2): "RVNE N", ("t", 3): "SEL TENHEIB", ("t", 4): "RUNEN", ("t", 5): "", (None, 9): "GA RTENHAVS"}
 
 
+def test_repair_against_every_reading(spark):
+    """Random torn lines: at each place, of all readings from there, the one that the rules prefer, worked out token by token."""
+    r = random.Random(9)
+    words = ["HAUS", "BAUM", "GARTEN", "DER", "EXEMPLAR", "LESEN", "BAT", "HAT", "RUNE", "NACHT", "WALD", "ES", "IN"]
+    lex = spark.createDataFrame([(w, 99999 if w in ("RUNE", "WALD") else 700 * i, len(w), w in ("RUNE", "WALD"), False) for i, w in enumerate(words)], "word string, rnk int, len int, is_custom boolean, is_noun boolean")
+
+    def torn(word):
+        cut = r.randint(1, max(1, len(word) - 1))
+        word = word if r.random() < 0.6 else word[:2] + r.choice("EVTXB") + word[3:]
+        return [word[:cut], word[cut:]] if r.random() < 0.6 and word[cut:] else [word]
+
+    lines = [[t for _ in range(r.randint(1, 5)) for t in torn(r.choice(words))] for _ in range(60)]
+    before = spark.createDataFrame([("t", i, t) for i, t in enumerate(lines)], "key string, line int, tokens array<string>")
+    runs = {"".join(t[i : i + n]) for t in lines for n in range(1, 6) for i in range(len(t) - n + 1)}
+    fixed = lexicon.correct_words(spark.createDataFrame([(x,) for x in runs if x not in words], "token string"), lex)
+    fixed = fixed.withColumn("tight", F.replace("cand", F.lit(" "), F.lit(""))).withColumn("d", T.weighted_distance("token", "tight"))
+    mended = {x.token: (x.cand, x.d) for x in fixed.collect()}
+    rank = {x.word: (x.rnk, x.is_custom) for x in lex.collect()}
+
+    def reading(parts):
+        """(text, distance) of tokens as one word, or None."""
+        whole = "".join(parts)
+        if len(parts) == 1:
+            return (whole, 0.0) if whole in rank else mended.get(whole, (whole, 40.0))
+        sound = [len(p) > 1 and (p in rank or (p in mended and " " not in mended[p][0] and rank[mended[p][0]][0] < 5000)) for p in parts]
+        looks_torn = [len(p) <= 2 or (len(p) <= 4 and p not in rank) for p in parts]
+        if max(map(len, parts)) > 8 or all(sound) or not any(looks_torn) or not 5 <= len(whole) <= 14:
+            return None
+        if whole in rank:
+            return whole, 0.0
+        text, far = mended.get(whole, ("", 99.0))
+        if far > 1.2:
+            return None
+        place, own = rank[text.split()[0]]
+        return None if (place > 35000 and not own) or (min(map(len, parts)) == 1 and len(whole) < 7 and place > 3000) else (text, far)
+
+    want = []
+    for t in lines:
+        at, out = 0, []
+        while at < len(t):
+            ways = [(n, *w) for n in range(1, 6) if at + n <= len(t) and (w := reading(t[at : at + n]))]
+            best = ways[0]
+            for n, text, far in ways[1:]:  # a longer run must be better than what is held by more than a bit
+                if far - 0.3 * (n - 1) < best[2] - 0.3 * (best[0] - 1) - 0.15:
+                    best = (n, text, far)
+            out += best[1].split()
+            at += best[0]
+        want.append(out)
+    got = {x.line: x.words for x in lexicon.repair_lines(before, lex).collect()}
+    assert [got[i] for i in range(len(lines))] == want and sum(len(w) < len(t) for w, t in zip(want, lines, strict=True)) > 20
+
+
 def test_candidates_lose_none(spark):
     r = random.Random(3)
     words = sorted({"".join(r.choice("EUBHTQLVWA") for _ in range(r.randint(2, 14))) for _ in range(250)})

@@ -109,3 +109,28 @@ def status(error: Column, text: Column) -> Column:
 def em_of_height(height: Column) -> Column:
     """Font size of a line by its height alone."""
     return height / 0.75
+
+
+def chosen_part(x: Column, y: Column, w: Column, h: Column, shown: Column, image_height: Column, side: Column) -> dict[str, Column]:
+    """A rectangle drawn on an image that is shown at 1 / shown of its size: its box in the image, its size at most `side` long, its share of the height."""
+    box = {"x0": x * shown, "y0": y * shown, "x1": (x + w) * shown, "y1": (y + h) * shown}
+    dw, dh = fitted(w * shown, h * shown, side)
+    return box | {"dw": dw, "dh": dh, "height_share": F.least(F.lit(1.0), h * shown / image_height)}
+
+
+def answer(error: Column, cells: Column, label: Column, neural: Column, confidence: Column, lines: Column, ms: Column) -> dict[str, Column]:
+    """An answer as it is shown: status, heading, text, legend and whether words are to be corrected.
+
+    cells: the letters read, or alternatives like L/V. Only an answer with text has a heading, a legend (alternatives in order of appearance, none without) and
+    corrections; these are left out for the neural reader, as is its confidence.
+    """
+    shown = F.array_join(F.transform(cells, lambda c: F.when(F.contains(c, F.lit("/")), F.concat(F.lit("["), c, F.lit("]"))).otherwise(c)), "")
+    state = status(error, shown)
+    tenths = half_up(ms / 100)
+    seconds = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" s"))
+    sure = F.when(neural, "fast reader").otherwise(F.concat(F.lit("confidence "), half_up(F.round(confidence * 100, 9)).cast("string"), F.lit(" %")))
+    heading = F.concat_ws(", ", label, sure, F.when(lines > 0, F.concat(lines.cast("string"), F.lit(" lines"))), seconds)
+    others = F.array_distinct(F.filter(cells, lambda c: F.contains(c, F.lit("/"))))
+    legend = F.when(F.size(others) > 0, F.array_join(others, ", "))
+    ok = state == "ok"
+    return {"status": state, "heading": F.when(ok, heading), "text": F.when(state == "error", error).otherwise(shown), "legend": F.when(ok, legend), "corrected": ok & ~neural}

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palimpsest.functions import text
+
 NOTHING = "∅"
 SCRIPT = "key string, no int, op string, want string, got string"
 
@@ -165,12 +167,30 @@ def context_only_errors(edits: DataFrame, isolated_right: DataFrame, least: int
 
 
 def isolated_accuracy(readings: DataFrame, twins: DataFrame) -> DataFrame:
-    """Per font of single-letter readings (font, want, got): n, right, and the failures in order; twins count as right."""
+    """Per font of single-letter readings (font, want, got): n, right, and the failures in order with their counts; twins count as right.
+
+    Equal readings are counted first, so a font's failures are at most as many as pairs of letters.
+    """
     alike = twins.select("font", F.col("ch").alias("want"), F.col("grp").alias("g"))
-    told = readings.join(alike, ["font", "want"], "left")
+    told = readings.groupBy("font", "want", "got").agg(F.count("*").alias("k")).join(alike, ["font", "want"], "left")
     ok = (F.col("want") == F.col("got")) | F.coalesce((F.length("got") == 1) & F.contains("g", "got"), F.lit(False))
-    failure = F.when(~ok, F.concat("want", F.lit(">"), F.when(F.col("got") == "", NOTHING).otherwise(F.col("got"))))
-    return told.groupBy("font").agg(F.count("*").alias("n"), F.sum(ok.cast("long")).alias("right"), F.array_join(F.array_sort(F.collect_list(failure)), " ").alias("failures"))
+    failure = F.when(~ok, F.concat("want", F.lit(">"), F.when(F.col("got") == "", NOTHING).otherwise(F.col("got")), F.lit(" x"), F.col("k").cast("string")))
+    right = F.sum(F.when(ok, F.col("k")).otherwise(0)).alias("right")
+    return told.groupBy("font").agg(F.sum("k").alias("n"), right, F.array_join(F.array_sort(F.collect_list(failure)), ", ").alias("failures"))
+
+
+def line_similarity(pairs: DataFrame) -> DataFrame:
+    """(key, want_text, got_text) -> (key, lines, similarity): the mean over the reading's lines of each one's likeness to the truth's line of that number.
+
+    A line beyond the truth's last is compared with nothing; a reading without lines has similarity 0. Spaces around lines don't count.
+    """
+    lines = F.split(F.coalesce("got_text", F.lit("")), "\n")
+    truth = F.split(F.coalesce("want_text", F.lit("")), "\n")
+    each = pairs.select("key", truth.alias("truth"), F.posexplode(lines).alias("i", "got"))
+    each = each.select("key", F.trim("got").alias("got"), F.trim(F.coalesce(F.get("truth", F.col("i")), F.lit(""))).alias("want"))
+    held = F.col("got") != ""
+    means = each.groupBy("key").agg(F.sum(held.cast("long")).alias("lines"), F.avg(F.when(held, text.similarity(F.col("want"), F.col("got")))).alias("similarity"))
+    return means.withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
 def means(results: DataFrame, keys: list[str], where: Column | None = None, sums: tuple[str, ...] = (), **of: str) -> DataFrame:

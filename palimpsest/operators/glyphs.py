@@ -45,3 +45,21 @@ def ambiguity(groups: DataFrame) -> DataFrame:
     """(font, ch, alternatives) of groups (font, grp): LV gives L and V the alternatives L/V."""
     cells = F.filter(F.split("grp", ""), lambda c: c != "")
     return groups.select("font", F.explode(cells).alias("ch"), F.array_join(cells, "/").alias("alternatives"))
+
+
+def shape_sums(glyphs: DataFrame) -> DataFrame:
+    """Templates of letters by many drawn glyphs (letter, y, x, v): (letter, y, x, dark, n), the darkness of all in sum and how many they are."""
+    return glyphs.groupBy("letter", "y", "x").agg(F.sum(255 - F.col("v")).alias("dark"), F.count("*").alias("n"))
+
+
+def read_alone(ink: DataFrame, templates: DataFrame) -> DataFrame:
+    """Single glyphs of ink (img, y, x, ink) read by their best template (letter, y, x, dark, n): (img, got, dice).
+
+    The likeness is twice the shared ink over the template's and the glyph's; sums are whole numbers, so equals are equal, and the first letter
+    of them is read. A glyph without ink reads as nothing. An alphabet's templates are few and go to every pixel.
+    """
+    met = ink.join(templates, ["y", "x"])
+    sums = met.groupBy("img", "letter").agg(F.sum(F.col("ink") * F.col("dark")).alias("both"), F.sum("dark").alias("mass"), F.sum(F.col("ink") * F.col("n") * 255).alias("marks"))
+    scored = sums.withColumn("dice", F.when(F.col("marks") == 0, F.lit(0.0)).otherwise(2 * F.col("both") / (F.col("mass") + F.col("marks"))))
+    best = scored.groupBy("img").agg(F.min(F.struct((-F.col("dice")).alias("d"), "letter")).alias("b"))
+    return best.select("img", F.when(F.col("b.d") == 0, "").otherwise(F.col("b.letter")).alias("got"), (-F.col("b.d")).alias("dice"))

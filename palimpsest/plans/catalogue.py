@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.plans import filter_queries, geometry_queries, page_queries, profile_queries, report_queries, sample_queries, strip_queries, text_queries, tile_queries  # noqa: F401  they register themselves
+from palimpsest.plans import filter_queries, geometry_queries, page_queries, profile_queries, report_queries, sample_queries, sheet_queries, strip_queries, text_queries, tile_queries  # noqa: F401  they register themselves
 
 FLAGSHIP = "eval_grouping_sets"
 

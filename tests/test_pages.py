@@ -58,7 +58,7 @@ def test_rates_and_confusions(spark):
     assert {(r.want, r.err) for r in evaluate.context_only_errors(edits, right, least=1).collect()} == {("A", 1), ("H", 1)}
     alone = spark.createDataFrame([("f", "L", "V"), ("f", "A", "A"), ("f", "B", ""), ("g", "L", "V")], "font string, want string, got string")
     own = spark.createDataFrame([("f", "L", "LV")], "font string, ch string, grp string")
-    assert {tuple(r) for r in evaluate.isolated_accuracy(alone, own).collect()} == {("f", 3, 2, "B>∅"), ("g", 1, 0, "L>V")}
+    assert {tuple(r) for r in evaluate.isolated_accuracy(alone, own).collect()} == {("f", 3, 2, "B>∅ x1"), ("g", 1, 0, "L>V x1")}
 
 
 def slow_lines(p, w):

@@ -219,7 +219,18 @@ def tile_crop_shares(spark, d):
     return P.crop_shares(_tiles(spark, d), 0.1, 0.1).select("img", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "v")
 
 
-@query()
+def _skew_step(name: str, source: str, i: str, deg: str) -> str:
+    """CTEs of the best angle per image among the numbered ones of a source with ink, the first of equals."""
+    return f"""{name}_a AS (SELECT ink.img, y, x, {i} AS i, {deg} AS deg FROM {source} WHERE ink = 1),
+{name}_m AS (SELECT img, i, deg, y + floor((x - 4.0) * tan(deg * 3.141592653589793 / 180) + 0.5) AS yy FROM {name}_a),
+{name}_r AS (SELECT img, i, deg, yy, count(*) AS n FROM {name}_m WHERE yy >= 0 AND yy < 8 GROUP BY img, i, deg, yy),
+{name}_s AS (SELECT img, i, deg, sum(n * n) - sum(n) * sum(n) / 8 AS score FROM {name}_r GROUP BY img, i, deg),
+{name} AS (SELECT * FROM {name}_s QUALIFY row_number() OVER (PARTITION BY img ORDER BY round(score, 9) DESC, i) = 1)"""
+
+
+@query(f"""{INK}, {_skew_step("co", "ink, range(0, 25) g(k)", "k", "(k - 12)::DOUBLE")},
+{_skew_step("fi", "ink JOIN co ON co.img = ink.img, range(0, 17) g(k)", "k", "round(co.deg + k / 8 - 1, 9)")}
+SELECT img, round(deg, 6) AS deg, round(score, 6) AS score FROM fi""")
 def tile_skew(spark, d):
     """The skew of each tile by the coarse and the fine grid."""
     return P.estimated_skew(_ink(spark, d)).select("img", F.round("deg", 6).alias("deg"), F.round("score", 6).alias("score"))

@@ -195,6 +195,27 @@ def fuzzy_weighted_best(spark, d):
     return X.best_words(_tokens(spark, d), materialize(_lexicon(spark, d), "lexicon")).select("token", "cand", F.round("dist", 6).alias("dist"))
 
 
+@query(f"""WITH {LEX}, {TOKENS}, own AS (SELECT DISTINCT {translit('w')} AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE {translit('w')} <> ''),
+both_ AS (SELECT coalesce(lex.word, own.word) AS word, coalesce(rnk, 99999) AS rnk, own.word IS NOT NULL AS cu FROM lex FULL JOIN own ON own.word = lex.word),
+c AS (SELECT token, word AS cand, rnk, cu, CASE WHEN length(token) <= 4 THEN 1 WHEN length(token) <= 7 THEN 2 WHEN length(token) <= 11 THEN 3 ELSE 4 END AS most, length(token) = length(word) AS same, levenshtein(token, word) AS dist
+  FROM tok JOIN both_ ON abs(length(word) - length(token)) <= CASE WHEN length(token) >= 6 THEN 2 ELSE 1 END WHERE length(token) >= 2 AND length(word) >= 2 AND word <> token),
+p AS (SELECT *, list_sum([CAST(token[i] = cand[i] AS INT) for i in generate_series(1, least(length(token), length(cand)))]) AS pos,
+  [token[i] || cand[i] for i in generate_series(1, least(length(token), length(cand))) if token[i] <> cand[i]] AS df FROM c WHERE dist <= most AND NOT (dist >= 2 AND rnk > 8000 AND NOT cu)),
+w AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY token ORDER BY dist, same DESC, pos DESC, cu DESC, rnk, cand) = 1),
+g AS (SELECT w.*, b.rnk AS own_rnk, same AND len(df) = 1 AND df[1] IN ('EU', 'UE', 'BH', 'HB', 'TQ', 'QT', 'LV', 'VL', 'WV', 'VW', 'BW', 'WB') AS swap FROM w LEFT JOIN both_ b ON b.word = w.token)
+SELECT token, cand, CAST(dist AS DOUBLE) AS dist, cu AS is_custom FROM g WHERE pos >= ceil(length(token) / 3) AND (length(token) > 2 OR dist < 0.99 OR swap OR cu) AND (own_rnk IS NULL OR cu OR (same AND dist <= 0.5 AND swap AND rnk <= 100 AND rnk <= own_rnk / 20))""")
+def custom_word_best(spark, d):
+    """Corrections where the words of part names are a user's own: rare as they are, they pass the gates and come first among equals.
+
+    The SQL measures every pair of fitting length.
+    """
+    own = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    lexicon = materialize(X.build_lexicon(X.corpus_words(table(spark, d, "documents")), own), "lexicon")
+    best = X.best_words(_tokens(spark, d), lexicon, weighted=False)
+    told = best.join(lexicon.select(F.col("word").alias("cand"), "is_custom"), "cand")
+    return told.select("token", "cand", F.round("dist", 6).alias("dist"), "is_custom")
+
+
 @query(r"SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)/([a-z]+)/([0-9]+)', 3) AS font, TRY_CAST(regexp_extract(url, '^(https?)://([^/]+)/([a-z]+)/([0-9]+)', 4) AS INT) AS pt, regexp_matches(url, '^(https?)://([^/]+)/([a-z]+)/([0-9]+)') AS fits FROM pages")
 def catalog_regex(spark, d):
     p = r"^(https?)://([^/]+)/([a-z]+)/([0-9]+)"

@@ -164,13 +164,14 @@ def exact_lexicon_mark(spark, d):
     return X.mark_known(_tokens(spark, d), _lexicon(spark, d)).select("token", "n", "known")
 
 
-def _fuzzy_sql(dist: str) -> str:
+def _fuzzy_sql(dist: str, among: str = "true") -> str:
+    """The best correction of each token by a distance, among the candidates of fitting length for which a condition holds."""
     swap = "length(token) = length(cand) AND len(df) = 1 AND df[1] IN ('EU', 'UE', 'BH', 'HB', 'TQ', 'QT', 'LV', 'VL', 'WV', 'VW', 'BW', 'WB')"
     return f"""WITH {LEX}, {TOKENS}, few AS (SELECT word, rnk, len FROM lex),
 c AS (SELECT token, word AS cand, rnk FROM tok JOIN few ON len BETWEEN greatest(2, length(token) - CASE WHEN length(token) >= 6 THEN 2 ELSE 1 END) AND length(token) + CASE WHEN length(token) >= 6 THEN 2 ELSE 1 END WHERE length(token) >= 2 AND word <> token),
 m AS (SELECT *, CASE WHEN length(token) <= 4 THEN 1 WHEN length(token) <= 7 THEN 2 WHEN length(token) <= 11 THEN 3 ELSE 4 END AS most FROM c),
 b AS (SELECT *, levenshtein(token, cand) AS plain, levenshtein(translate(token, 'UQHLVW', 'ETBBBB'), translate(cand, 'UQHLVW', 'ETBBBB')) AS alike FROM m WHERE abs(length(token) - length(cand)) <= most),
-e AS (SELECT *, {dist} AS dist FROM b WHERE alike <= most),
+e AS (SELECT *, {dist} AS dist FROM b WHERE {among}),
 r AS (SELECT * FROM e WHERE NOT (dist >= 2 AND rnk > 8000)),
 p AS (SELECT *, length(token) = length(cand) AS same, list_sum([CAST(token[i] = cand[i] AS INT) for i in generate_series(1, least(length(token), length(cand)))]) AS pos,
   [token[i] || cand[i] for i in generate_series(1, least(length(token), length(cand))) if token[i] <> cand[i]] AS df FROM r WHERE dist <= most),
@@ -190,7 +191,7 @@ WEIGHTED = """list_reduce(list_prepend(CAST(range(0, length(cand) + 1) AS DOUBLE
       WHEN token[CAST(row[1] AS INT)] || cand[CAST(j[1] AS INT)] IN ('EU', 'UE', 'BH', 'HB', 'TQ', 'QT', 'LV', 'VL', 'WV', 'VW', 'BW', 'WB') THEN 0.35 ELSE 1.0 END)]))[-1]"""
 
 
-@query(_fuzzy_sql(WEIGHTED))
+@query(_fuzzy_sql(WEIGHTED, "alike <= most"))
 def fuzzy_weighted_best(spark, d):
     return X.best_words(_tokens(spark, d), materialize(_lexicon(spark, d), "lexicon")).select("token", "cand", F.round("dist", 6).alias("dist"))
 

@@ -117,7 +117,7 @@ def quad_perspective(spark, d):
     maps = G.perspective(corners.join(after, "img")).where("m_a is not null")
     along = F.expr("((y1 - y0) * (x1 - x3) - (x1 - x0) * (y1 - y3)) / ((y2 - y0) * (x1 - x3) - (x2 - x0) * (y1 - y3))")
     at = maps.withColumn("s", along).withColumn("px", F.expr("x0 + s * (x2 - x0)")).withColumn("py", F.expr("y0 + s * (y2 - y0)"))
-    under = F.expr("m_g * px + m_h * py + 1")
+    under = F.expr("m_g * px + m_h * py + m_i")
     return at.select("img", F.round(F.expr("m_a * px + m_b * py + m_c") / under + 1e-9, 5).alias("x"), F.round(F.expr("m_d * px + m_e * py + m_f") / under + 1e-9, 5).alias("y"))
 
 

@@ -77,7 +77,10 @@ def affixed_forms(stems: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def _first_capital(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(F.lower(word), 2, 1 << 30))
+    """A capital first, as one letter: an initial sharp s has one of its own, other letters whose capital is several stay."""
+    first = F.substring(word, 1, 1)
+    capital = F.when(first == "ß", F.lit("ẞ")).when(F.length(F.upper(first)) > 1, first).otherwise(F.upper(first))
+    return F.concat(capital, F.substring(F.lower(word), 2, 1 << 30))
 
 
 def accepted(words: DataFrame, forms: DataFrame) -> DataFrame:

@@ -135,3 +135,9 @@ def test_watchdog_survives_a_restart(spark, tmp_path):
     rows = told()
     assert rows.count(("quiet", 2, True)) == 1 and ("busy", 1, True) not in rows
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_a_sharp_s_is_no_two_letters_when_its_word_begins_with_a_capital(spark):
+    words = spark.createDataFrame([("ßö", 9), ("ßa", 4), ("haus", 2), ("öl", 1)], "raw string, n long")
+    forms = spark.createDataFrame([("SSö",), ("ẞa",), ("Haus",), ("Öl",)], "form string")
+    assert sorted(r.raw for r in X.accepted(words, forms).collect()) == ["haus", "ßa", "öl"]

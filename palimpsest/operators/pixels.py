@@ -14,6 +14,24 @@ FLIP_ABOVE, ACCEPT_FROM, ACCEPT_TO = 0.35, 0.03, 0.30
 SCORE_FROM, SCORE_TO, TYPICAL, WORST, USABLE = 0.008, 0.42, 0.10, -100.0, -50.0
 
 
+#: Tasks that images are dealt out to at least: with rows of pixels a task's share stays small beside its memory.
+LEAST_TASKS = 96
+
+
+def dealt(df: DataFrame, key: str = "img") -> DataFrame:
+    """Images dealt out once, whole: windows and groups within an image then need no further exchange.
+
+    The number of tasks is told, as pixels are packed so well when they move that adaptive execution would put far too many into one task.
+    """
+    return df.repartition(max(LEAST_TASKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
+def image_rows(px: DataFrame, *values: str) -> DataFrame:
+    """One row per row of pixels, dealt out by image: (img, w, h, y, o), o an array of (x, values) from left to right."""
+    o = F.array_sort(F.collect_list(F.struct("x", *values)))
+    return dealt(px.select("img", "w", "h", "y", "x", *values)).groupBy("img", "w", "h", "y").agg(o.alias("o"))
+
+
 def half_up(x: Column) -> Column:
     """Round to the nearest integer, halves up, also below zero."""
     return F.floor(x + 0.5)
@@ -55,11 +73,13 @@ def box_sum(px: DataFrame, radius: int, value: Column, out: str) -> DataFrame:
 def sauvola(px: DataFrame, radius: int, k: float = SAUVOLA_K, r: float = SAUVOLA_R) -> DataFrame:
     """Add ink: 1 where v is below mean * (1 + k * (deviation / r - 1)) of its clipped box.
 
-    Images are dealt out once, whole; all windows along rows and down columns then need no further exchange.
+    The three sums of a box go along rows together and then down columns together, over images dealt out once.
     """
-    px, v = px.repartition("img"), F.col("v").cast("long")
-    for name, value in (("_n", F.lit(1).cast("long")), ("_s", v), ("_q", v * v)):
-        px = box_sum(px, radius, value, name)
+    along = Window.partitionBy("img", "y").orderBy("x").rowsBetween(-radius, radius)
+    down = Window.partitionBy("img", "x").orderBy("y").rowsBetween(-radius, radius)
+    v = F.col("v").cast("long")
+    px = dealt(px).withColumns({"_n": F.count(F.lit(1)).over(along), "_s": F.sum(v).over(along), "_q": F.sum(v * v).over(along)})
+    px = px.withColumns({c: F.sum(c).over(down) for c in ("_n", "_s", "_q")})
     mean = F.col("_s") / F.col("_n")
     var = F.greatest(F.lit(0.0), F.col("_q") / F.col("_n") - mean * mean)
     return px.withColumn("ink", (F.col("v") < mean * (1 + k * (F.sqrt(var) / r - 1))).cast("int")).drop("_n", "_s", "_q")
@@ -164,14 +184,18 @@ def oriented(px: DataFrame) -> DataFrame:
 
 
 def downscale(px: DataFrame, scale: float) -> DataFrame:
-    """Nearest-neighbour reduction by scale <= 1."""
-    size = px.select("img", "w", "h").distinct()
+    """Nearest-neighbour reduction by scale <= 1: each pixel goes to the places that take it, without a join."""
     nw, nh = (F.greatest(F.lit(1), half_up(F.col(c) * scale)).cast("int") for c in "wh")
-    grid = size.select("img", "w", "h", nw.alias("nw"), nh.alias("nh")).withColumn("ny", F.explode(F.expr("sequence(0, nh - 1)"))).withColumn("nx", F.explode(F.expr("sequence(0, nw - 1)")))
-    sx = F.least(F.col("w") - 1, F.floor((F.col("nx") + 0.5) / scale).cast("int"))
-    sy = F.least(F.col("h") - 1, F.floor((F.col("ny") + 0.5) / scale).cast("int"))
-    want = grid.select("img", F.col("nw").alias("w"), F.col("nh").alias("h"), F.col("ny"), F.col("nx"), sx.alias("x"), sy.alias("y"))
-    return want.join(px.select("img", "x", "y", "v"), ["img", "x", "y"]).select("img", "w", "h", F.col("ny").alias("y"), F.col("nx").alias("x"), "v")
+    sized = px.select("img", "w", "h", "y", "x", "v", nw.alias("nw"), nh.alias("nh"))
+
+    def takers(at: str, n: str, m: str) -> Column:
+        # those at (t + 0.5) / scale, the last pixel also of what lies beyond
+        first, last = F.greatest(F.lit(0), F.floor(F.col(at) * scale) - 1), F.when(F.col(at) < F.col(n) - 1, F.ceil((F.col(at) + 1) * scale)).otherwise(F.col(m) - 1)
+        near = F.sequence(first.cast("int"), F.greatest(first, F.least(F.col(m) - 1, last)).cast("int"))
+        return F.explode(F.filter(near, lambda t: (t < F.col(m)) & (F.least(F.col(n) - 1, F.floor((t + 0.5) / scale).cast("int")) == F.col(at))))
+
+    rows = sized.withColumn("ny", takers("y", "h", "nh"))
+    return rows.withColumn("nx", takers("x", "w", "nw")).select("img", F.col("nw").alias("w"), F.col("nh").alias("h"), F.col("ny").alias("y"), F.col("nx").alias("x"), "v")
 
 
 def crop(px: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Images for looking at: crops, sheets of many images, lines below each other, boxes drawn in, images packed to bytes.
 
 All are pixel tables (img, w, h, y, x, v), dense grids of gray values, as everywhere; layers are laid over each other by one
-aggregation whose pixels are combined before they move. Only `packed` makes one row of an image, as a file needs it.
+aggregation over images that are dealt out to tasks. Only `packed` makes one row of an image, as a file needs it.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.operators import geometry
-from palimpsest.operators.pixels import half_up
+from palimpsest.operators.pixels import dealt, half_up
 
 #: Paper, background between lines, frames and boxes; room between lines of a montage and between two strips.
 PAPER, BETWEEN, FRAME, BOX = 255, 205, 180, 128
@@ -44,7 +44,7 @@ def painted(ground: DataFrame, *layers: DataFrame) -> DataFrame:
     every = named(ground, 0, F.col("w"), F.col("h"))
     for no, layer in enumerate(layers, 1):
         every = every.unionByName(named(layer, no, F.lit(None), F.lit(None)))
-    seen = every.groupBy("img", "y", "x").agg(F.max("w").alias("w"), F.max("h").alias("h"), F.max("top").alias("top"))
+    seen = dealt(every).groupBy("img", "y", "x").agg(F.max("w").alias("w"), F.max("h").alias("h"), F.max("top").alias("top"))
     return seen.where("w is not null").select("img", "w", "h", "y", "x", F.col("top.v").alias("v"))
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.functions import text
+from palimpsest.operators.pixels import dealt
 
 NOTHING = "∅"
 SCRIPT = "key string, no int, op string, want string, got string"
@@ -25,96 +26,175 @@ def grouped_stats(results: DataFrame, a: str, b: str, value: str = "cer") -> Dat
     )
 
 
-#: Cells of distance tables that are kept at once, a byte each, and pairs of texts that are worked on together.
-TABLE_CELLS, TOGETHER = 1 << 26, 64
+#: Bits of distance tables that are kept at once, and pairs of texts that are worked on together.
+TABLE_BITS, TOGETHER = 1 << 28, 512
 PAIR, INSERTION, LOSS = 0, 1, 2
 
 
-def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of some texts as numbers in one array, filled up with -1, and the texts' lengths."""
+def _letters(texts: list[str]) -> np.ndarray:
+    """Letters of some texts as numbers, in order."""
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+
+
+def _padded(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of some texts as one row each, filled up with -1, and the texts' lengths."""
     size = np.array([len(t) for t in texts], np.int64)
-    out = np.full((len(texts), max(int(size.max(initial=0)), 1)), -1, np.int32)
-    for row, t in zip(out, texts, strict=True):
-        row[: len(t)] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    out = np.full((len(texts), width), -1, np.int32)
+    out[np.arange(width) < size[:, None]] = _letters(texts)
     return out, size
 
 
-def _next_row(row: np.ndarray, letter: np.ndarray, want: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distance tables' next rows of many pairs, one letter further in each reading, and from where each cell comes.
+def _shifted(bits: np.ndarray, first: int) -> np.ndarray:
+    """Rows of 64-bit words moved on by one bit."""
+    out = bits << 1
+    out[:, 1:] |= bits[:, :-1] >> 63
+    out[:, 0] |= first
+    return out
+
 
-    Ties go to a pair, then to an insertion.
+def _next_rows(more: np.ndarray, less: np.ndarray, equal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distance tables' next rows of many pairs, one letter further in each reading.
+
+    A row is bits for each letter of the truth: where a cell is one more, or one less, than its left neighbour. Two more results tell where a cell
+    comes from: not from a pair, and one more than the cell above.
     """
-    pair = row[:, :-1] + (want != letter[:, None])
-    down = row + 1
-    new = down.copy()
-    np.minimum(new[:, 1:], pair, out=new[:, 1:])
-    new -= steps
-    np.minimum.accumulate(new, axis=1, out=new)  # a cell's left neighbours, all at once
-    new += steps
-    came = (new != down).view(np.uint8) + np.uint8(INSERTION)  # one more is a loss
-    came[:, 1:] *= new[:, 1:] != pair
-    return new, came
-
-
-def scripts(wants: list[str], gots: list[str]) -> list[list[tuple[str, str, str]]]:
-    """Per pair the edits (op, want, got) that turn want into got, in order; ties go to a pair, then to an insertion.
-
-    All pairs go through their tables together, a row of each at a time. Where each cell comes from is kept for so many rows as fit
-    TABLE_CELLS; the rows before are worked out again from rows kept between, so long texts need no whole table.
+    both = equal & more
+    total = both + more
+    carry = total < both
+    while carry[:, :-1].any():
+        on = np.zeros_like(total)
+        on[:, 1:] = carry[:, :-1]
+        total += on
+        carry = total < on
+    level = (total ^ more) | equal | less  # as far as the cell before both letters
+    down, up = less | ~(level | more), more & level
+    below, above = _shifted(down, 1), _shifted(up, 0)
+    return above | ~(level | below), below & level, level & ~equal, down
+
+
+def _steps_together(wants: list[str], gots: list[str]) -> list[np.ndarray]:
+    """How each truth turns into its reading, a PAIR, INSERTION or LOSS each, in order; ties go to a pair, then to an insertion.
+
+    Readings come by falling length. All pairs go through their tables together, a row of each at a time. Where each cell comes from is kept for so
+    many rows as fit TABLE_BITS; the rows before are worked out again from rows kept between, so long texts need no whole table.
     """
-    want, n_want = _letters(wants)
-    got, n_got = _letters(gots)
-    height, width = int(n_got.max(initial=0)), want.shape[1] + 1
-    every = max(1, min(height, TABLE_CELLS // (len(wants) * width))) if height else 1
-    steps = np.arange(width, dtype=np.int32)
-    row = np.tile(steps, (len(wants), 1))
-    starts = {0: row}
-    for i in range(height if height > every else 0):
-        row = _next_row(row, got[:, i], want, steps)[0]
-        if (i + 1) % every == 0:
-            starts[i + 1] = row
-    edits: list[list[tuple[str, str, str]]] = [[] for _ in wants]
-    at = [(int(i), int(j)) for i, j in zip(n_got, n_want, strict=True)]
-    for low in range((max(height - 1, 0) // every) * every, -1, -every):
-        row, came = starts.pop(low), []
-        for i in range(low, min(low + every, height)):
-            row, where = _next_row(row, got[:, i], want, steps)
-            came.append(where)
-        for p, (w, g, out) in enumerate(zip(wants, gots, edits, strict=True)):
-            i, j = at[p]
-            while i > low or (low == 0 and j):
-                step = LOSS if i == 0 else came[i - 1 - low][p, j]
-                if step == PAIR:
-                    out.append(("eq" if g[i - 1] == w[j - 1] else "sub", w[j - 1], g[i - 1]))
-                    i, j = i - 1, j - 1
-                elif step == INSERTION:
-                    out.append(("ins", "", g[i - 1]))
-                    i -= 1
-                else:
-                    out.append(("del", w[j - 1], ""))
-                    j -= 1
-            at[p] = i, j
-    return [out[::-1] for out in edits]
+    words = max(len(w) for w in wants) // 64 + 1
+    want, n_want = _padded(wants, words * 64)
+    got, n_got = _padded(gots, height := len(gots[0]))
+    going = np.searchsorted(-n_got, -np.arange(height), side="left")  # pairs whose reading is longer
+    every = max(1, TABLE_BITS // (len(wants) * words * 64))
+    starts = [(np.full((len(wants), words), ~np.uint64(0)), np.zeros((len(wants), words), np.uint64))]
+
+    def rows(low: int, high: int, keep: bool) -> np.ndarray | None:
+        more, less = (x.copy() for x in starts[-1])
+        came = np.empty((2, high - low, len(wants), words), np.uint64) if keep else None
+        for i in range(low, high):
+            n = going[i]
+            equal = np.packbits(want[:n] == got[:n, i, None], axis=1, bitorder="little").view(np.uint64)
+            more[:n], less[:n], unpaired, down = _next_rows(more[:n], less[:n], equal)
+            if keep:
+                came[0, i - low, :n], came[1, i - low, :n] = unpaired, down
+        if not keep:
+            starts.append((more, less))
+        return came
+
+    for low in range(0, height - every, every):
+        rows(low, low + every, False)
+    i, j, size = n_got.copy(), n_want.copy(), np.zeros(len(wants), np.int64)
+    out = np.empty((len(wants), int((n_got + n_want).max(initial=0))), np.uint8)
+    for low in range((len(starts) - 1) * every, -1, -every):
+        came = rows(low, min(low + every, height), True)
+        starts.pop()
+        while len(at := np.flatnonzero((i > low) & (j > 0))):
+            row, place = i[at] - 1 - low, j[at] - 1
+            word, bit = place >> 6, (place & 63).astype(np.uint64)
+            unpaired, down = ((came[x, row, at, word] >> bit & 1).astype(np.int64) for x in (0, 1))
+            step = unpaired * (LOSS - down)
+            out[at, size[at]] = step
+            size[at] += 1
+            i[at] -= step != LOSS
+            j[at] -= step != INSERTION
+    rest = np.arange(out.shape[1]) - size[:, None]  # before the first letters of one there is only the other
+    out[(rest >= 0) & (rest < i[:, None])] = INSERTION
+    out[(rest >= 0) & (rest < j[:, None])] = LOSS
+    size += i + j
+    return [o[:n][::-1] for o, n in zip(out, size, strict=True)]
+
+
+class _Edits:
+    """Edits of pairs (key, want, got), pair by pair: the steps, each one's letters (0 is none) and number."""
+
+    def __init__(self, pairs: list[tuple[str, str, str]]) -> None:
+        self.pairs = sorted(pairs, key=lambda p: -len(p[2]))
+        found = _steps_together([p[1] for p in self.pairs], [p[2] for p in self.pairs])
+        self.steps = np.concatenate(found)
+        self.size = np.array([len(f) for f in found], np.int64)
+        # in order the letters of all texts are those of the steps that use one
+        self.want, self.got = (np.zeros(len(self.steps), np.uint32) for _ in range(2))
+        self.want[self.steps != INSERTION] = _letters([p[1] for p in self.pairs])
+        self.got[self.steps != LOSS] = _letters([p[2] for p in self.pairs])
+        self.no = np.arange(1, len(self.steps) + 1) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+
+    def named(self, at: np.ndarray | slice = slice(None)) -> list[pa.Array]:
+        """op, want and got of the edits at some places."""
+        steps, want, got = self.steps[at], self.want[at], self.got[at]
+        op = np.where(steps == PAIR, (want != got).astype(np.uint8), steps + 1)
+
+        def letters(codes: np.ndarray, none: np.ndarray) -> pa.Array:
+            known, number = np.unique(codes, return_inverse=True)
+            return pa.DictionaryArray.from_arrays(np.where(none, len(known), number), pa.array([*map(chr, known.tolist()), ""], pa.string())).dictionary_decode()
+
+        return [pa.DictionaryArray.from_arrays(op, ["eq", "sub", "ins", "del"]).dictionary_decode(), letters(want, steps == INSERTION), letters(got, steps == LOSS)]
+
+    def rows(self) -> pa.RecordBatch:
+        key = pa.array([p[0] for p in self.pairs], pa.string()).take(pa.array(np.repeat(np.arange(len(self.pairs)), self.size)))
+        return pa.RecordBatch.from_arrays([key, pa.array(self.no, pa.int32()), *self.named()], names=["key", "no", "op", "want", "got"])
+
+    def tally(self) -> pa.RecordBatch:
+        lead = self.no == 1
+        code = (self.want.astype(np.uint64) << np.uint64(24) | self.got) << np.uint64(3) | self.steps.astype(np.uint64) << np.uint64(1) | lead
+        _, first, k = np.unique(code, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([*self.named(first), pa.array(lead[first]), pa.array(k, pa.int64())], names=["op", "want", "got", "lead", "k"])
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[_Edits]:
+    """Pairs with truths of much the same length together, as many as are worked on at once."""
+    for batch in batches:
+        pairs = [(key, want or "", got or "") for key, want, got in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        pairs.sort(key=lambda p: (len(p[1]), len(p[2])))
+        some, height = [], 0
+        for pair in pairs:
+            height = max(height, len(pair[2]))
+            if some and (len(some) == TOGETHER or (len(some) + 1) * height * (len(pair[1]) + 64) > TABLE_BITS):
+                yield _Edits(some)
+                some, height = [], len(pair[2])
+            some.append(pair)
+        if some:
+            yield _Edits(some)
 
 
 def script(want: str, got: str) -> list[tuple[str, str, str]]:
-    """The edits of one pair."""
-    return scripts([want], [got])[0]
+    """The edits (op, want, got) that turn want into got, in order; ties go to a pair, then to an insertion."""
+    return [(r["op"], r["want"], r["got"]) for r in _Edits([("", want, got)]).rows().to_pylist()]
 
 
-def _scripts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pairs = [(key, want or "", got or "") for key, want, got in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        pairs.sort(key=lambda p: (len(p[1]), len(p[2])))  # so that tables of much the same size go together
-        for at in range(0, len(pairs), TOGETHER):
-            some = pairs[at : at + TOGETHER]
-            rows = [(key, no, *edit) for (key, *_), edits in zip(some, scripts([p[1] for p in some], [p[2] for p in some]), strict=True) for no, edit in enumerate(edits, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 1 else pa.string()) for i in range(5)], names=["key", "no", "op", "want", "got"])
+def _dealt_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs dealt out to a told number of tasks: their work is in their letters' product, by their bytes adaptive execution would put all into a few."""
+    return dealt(pairs.select(F.col("key").cast("string").alias("key"), "want_text", "got_text"), "key")
 
 
 def edit_scripts(pairs: DataFrame) -> DataFrame:
     """(key, want_text, got_text) -> one row per edit: key, no (from 1), op (eq, sub, ins, del), want, got."""
-    return pairs.select(F.col("key").cast("string").alias("key"), "want_text", "got_text").mapInArrow(_scripts, SCRIPT)
+    return _dealt_pairs(pairs).mapInArrow(lambda batches: (e.rows() for e in _together(batches)), SCRIPT)
+
+
+def tallied_edits(pairs: DataFrame) -> DataFrame:
+    """(key, want_text, got_text) -> op, want, got, lead, k: equal edits of all pairs counted, those that begin a script (lead) apart.
+
+    Edits are counted where they are made, so few of them move, and no more come out than there are pairs of letters, a few times over.
+    """
+    told = _dealt_pairs(pairs).mapInArrow(lambda batches: (e.tally() for e in _together(batches)), "op string, want string, got string, lead boolean, k long")
+    return told.groupBy("op", "want", "got", "lead").agg(F.sum("k").alias("k"))
 
 
 def at_word_start(edits: DataFrame) -> DataFrame:
@@ -161,8 +241,9 @@ def letter_error_rates(edits: DataFrame, least: int = 3, limit: int = 25) -> Dat
 
 
 def context_only_errors(edits: DataFrame, isolated_right: DataFrame, least: int = 3, rate: float = 0.2) -> DataFrame:
-    """Letters often wrong in words (want, n, err) that are read right when they stand alone (want)."""
-    rated = letters_of(edits).groupBy("want").agg(F.count("*").alias("n"), F.sum("err").alias("err"))
+    """Letters often wrong in words (want, n, err) that are read right when they stand alone (want). Edits may be tallied ones."""
+    k = F.col("k") if "k" in edits.columns else F.lit(1).cast("long")
+    rated = letters_of(edits).groupBy("want").agg(F.sum(k).alias("n"), F.sum(F.col("err") * k).alias("err"))
     return rated.where((F.col("n") >= least) & (F.col("err") / F.col("n") >= rate)).join(isolated_right.select("want").distinct(), "want", "left_semi")
 
 

@@ -89,11 +89,15 @@ def eval_grouping_sets(spark, d):
     return V.grouped_stats(r, "lang", "source")
 
 
-def _edits(spark, d):
-    """Edit scripts between neighbouring turns, words parted by spaces."""
+def _spaced_turns(spark, d):
+    """Neighbouring turns, words parted by spaces."""
     c = table(spark, d, "conversations").select("conv_id", "turn", T.translit_spaced(F.col("text")).alias("want_text"))
     t = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("want_text").alias("got_text")), ["conv_id", "turn"])
-    return V.edit_scripts(t.select(F.format_string("%012d/%06d", "conv_id", "turn").alias("key"), "want_text", "got_text"))
+    return t.select(F.format_string("%012d/%06d", "conv_id", "turn").alias("key"), "want_text", "got_text")
+
+
+def _edits(spark, d):
+    return V.edit_scripts(_spaced_turns(spark, d))
 
 
 def _twins(spark):
@@ -125,8 +129,8 @@ def letter_error_rates(spark, d):
 @query()
 def context_only_errors(spark, d):
     """Letters often wrong in words that the first letter of some turn gets right."""
-    e = _edits(spark, d)
-    return V.context_only_errors(e, e.where("no = 1 and op = 'eq'"))
+    e = materialize(V.tallied_edits(_spaced_turns(spark, d)), "tallied-edits")
+    return V.context_only_errors(e, e.where("lead and op = 'eq'"))
 
 
 @query()

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.operators import evaluate, glyphs as G, lexicon, lines, pages, pixels, reading
 from palimpsest.operators.alphabet import EM, GLYPH_SCHEMA, glyphs
+from palimpsest.plans import catalogue
 from palimpsest.sources import readers, sinks
 from palimpsest.streaming import progress
+from tests.conftest import SF_SMALL
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -45,6 +47,31 @@ def test_edit_scripts_against_the_whole_table():
         assert evaluate.script(want, got) == slow_script(want, got)
 
 
+def test_edit_scripts_are_dealt_out_and_need_no_whole_table(spark, monkeypatch):
+    from palimpsest.operators.pixels import LEAST_TASKS
+
+    r = random.Random(2)
+    made = [("".join(r.choice("ABÄ 𝔸") for _ in range(r.randint(0, 70))), "".join(r.choice("ABÄ 𝔸") for _ in range(r.randint(0, 70)))) for _ in range(60)]
+    for bits in (1, 300, 1 << 28):  # rows of tables are kept one at a time, a few, all
+        monkeypatch.setattr(evaluate, "TABLE_BITS", bits)
+        assert [evaluate.script(want, got) for want, got in made] == [slow_script(want, got) for want, got in made]
+    pairs = spark.createDataFrame([(f"{i}", want, got) for i, (want, got) in enumerate(made)], "key string, want_text string, got_text string").coalesce(1)
+    edits = evaluate.edit_scripts(pairs)
+    assert edits.rdd.getNumPartitions() >= LEAST_TASKS
+    found = {(x.key, x.no): (x.op, x.want, x.got) for x in edits.collect()}
+    assert found == {(f"{i}", no): edit for i, (want, got) in enumerate(made) for no, edit in enumerate(slow_script(want, got), 1)}
+
+
+def test_context_only_errors_work_the_scripts_out_once(spark):
+    pairs = spark.createDataFrame([("a", "THE CAT SAT", "TIE CAT SXT"), ("b", "HA", "HX"), ("c", "HA", "HX"), ("d", "AT", "AT")], "key string, want_text string, got_text string")
+    edits = evaluate.edit_scripts(pairs).cache()
+    tallied = evaluate.tallied_edits(pairs)
+    told = [{tuple(x) for x in evaluate.context_only_errors(e, e.where(right), least=2).collect()} for e, right in ((edits, "no = 1 and op = 'eq'"), (tallied, "lead and op = 'eq'"))]
+    assert told[0] == told[1] == {("A", 5, 3), ("H", 3, 1)}
+    plan = catalogue.queries()["context_only_errors"](spark, SF_SMALL)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan
+
+
 def test_rates_and_confusions(spark):
     pairs = spark.createDataFrame([("a", "THE CAT SAT", "TIE CAT SXT"), ("b", "LOVE", "LOLE"), ("c", "QUIT IT", "TUIT T"), ("d", None, "X")], "key string, want_text string, got_text string")
     edits = evaluate.edit_scripts(pairs).cache()

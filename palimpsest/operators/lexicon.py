@@ -6,6 +6,8 @@ are found by an equality join on short pieces of words, which loses none.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.functions import text as T
@@ -267,29 +269,34 @@ def correct_words(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     return best.select("token", "m.cand", "m.dist")
 
 
+def _cased(text: str, nouns: frozenset[str]) -> str:
+    """A text in capitals with the casing of sentences and nouns; only A-Z are letters."""
+    parts = _WORD.split(text)  # words at odd places
+    for i in range(1, len(parts), 2):
+        word = parts[i]
+        if len(word) > 1:
+            starts = i == 1 or (parts[i - 1] != " " and _STOP.search(parts[i - 1]))
+            parts[i] = T.PLACES.get(word) or (word[0] + word[1:].lower() if starts or word in nouns else word.lower())
+    return "".join(parts)
+
+
+_WORD, _STOP = re.compile("([A-Z]+)"), re.compile(r"[.!?\n]")
+
+
 def recased(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """texts with out: text in capitals with the casing of sentences and nouns, within each row.
 
-    The words of a text meet the nouns by a join, and those found come back to the text by 128 bits of it, so equal texts ask once. Helper
-    columns are named _toks, _of and _own; an empty text stays empty, a null one null.
+    Each text is read once where it lies, beside the lexicon's nouns, which every task gets; a lexicon's common words are CAP at most. The helper column
+    is named _capitals; an empty text stays empty, a null one null.
     """
-    toks = texts.withColumn("_toks", F.regexp_extract_all(F.upper("text"), F.lit("([A-Z]+|[^A-Z]+)"), 1)).withColumn("_of", F.unhex(F.md5("text")))
-    words = toks.select("_of", F.explode(F.array_distinct(F.filter("_toks", lambda t: (F.length(t) > 1) & F.substring(t, 1, 1).between("A", "Z")))).alias("word"))
-    nouns = lexicon.where("is_noun").select("word")
-    own = words.join(nouns, "word").groupBy("_of").agg(F.collect_set("word").alias("_own"))
-    first = F.when(F.get("_toks", F.lit(0)).rlike("^[A-Z]"), 0).otherwise(1)
-
-    def cased(row: Column) -> Column:
-        def one(tok: Column, i: Column) -> Column:
-            starts = (i == row["first"]) | F.coalesce(F.get(row["toks"], i - 1), F.lit("")).rlike(r"[.!?\n]")
-            return F.when(tok.rlike("^[A-Z]"), T.format_word(tok, F.array_contains(row["own"], tok), starts)).otherwise(tok)
-
-        return F.array_join(F.transform(row["toks"], one), "")
-
-    # bound as one value, as a column used within a lambda may be worked out anew for every token
-    told = toks.join(own, "_of", "left").withColumn("_own", F.coalesce("_own", F.array().cast("array<string>")))
-    row = F.array(F.struct(F.col("_toks").alias("toks"), F.col("_own").alias("own"), first.alias("first")))
-    return told.withColumn("out", F.get(F.transform(row, cased), F.lit(0))).drop("_toks", "_of", "_own")
+    spark = texts.sparkSession
+    nouns = spark.sparkContext.broadcast(frozenset(r["word"] for r in lexicon.where("is_noun").select("word").toLocalIterator()))
+
+    @F.udf("string", useArrow=True)
+    def cased(text: str | None) -> str | None:
+        return None if text is None else _cased(text, nouns.value)
+
+    return texts.withColumn("_capitals", F.upper("text")).withColumn("out", cased("_capitals")).drop("_capitals")
 
 
 #: Fixed values of joining fragments: tokens, lengths, distance, ranks, price of a token that can't be read, gain of a join.

@@ -72,6 +72,19 @@ def test_context_only_errors_work_the_scripts_out_once(spark):
     assert "MapInArrow" not in plan
 
 
+def test_recasing_moves_no_text(spark):
+    lex = spark.createDataFrame([("HAUS", True), ("GEHT", False), ("UND", False)], "word string, is_noun boolean")
+    texts = ["das HAUS geht. und geht!\nein haus, und x y", "1. haus ÜBER straße", "SACHSENANHALT und sachsenanhalt", "", None, "...", "a und 7und"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    told = lexicon.recased(docs, lex)
+    assert told.columns == ["doc_id", "text", "out"]
+    found = {r.doc_id: r.out for r in told.collect()}
+    first = "Das Haus geht. Und geht!\nEin Haus, und X Y"
+    assert found == {0: first, 1: "1. Haus Über strasse", 2: "Sachsen-Anhalt und Sachsen-Anhalt", 3: "", 4: None, 5: "...", 6: "A und 7und"}
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_rates_and_confusions(spark):
     pairs = spark.createDataFrame([("a", "THE CAT SAT", "TIE CAT SXT"), ("b", "LOVE", "LOLE"), ("c", "QUIT IT", "TUIT T"), ("d", None, "X")], "key string, want_text string, got_text string")
     edits = evaluate.edit_scripts(pairs).cache()

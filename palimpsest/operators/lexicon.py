@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.operators.pixels import dealt
 from palimpsest.tables import materialize
 
 #: Caps and gates of the lexicon and of corrections.
@@ -183,6 +184,7 @@ def candidates(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     )
     asked = asked.select("token", "f", "most", F.explode(pieces).alias("p"))
     asked = asked.select("token", "f", "most", "p.gram", F.explode(F.expr("sequence(int(p.at) - most, int(p.at) + most)")).alias("at")).where("at >= 0")
+    asked = dealt(asked, "token")  # few bytes make many candidates: by their bytes all would meet in one task
     words = lexicon.select(F.col("word").alias("cand"), "rnk", "is_custom", folded(F.col("word")).alias("g"))
     grams = F.expr(f"flatten(transform(sequence(1, {PIECE_LETTERS}), n -> if(length(g) >= n, transform(sequence(0, length(g) - n), a -> named_struct('at', a, 'gram', substr(g, a + 1, n))), array())))")
     words = words.select("cand", "rnk", "is_custom", "g", F.explode(grams).alias("w")).select("cand", "rnk", "is_custom", "g", F.col("w.at").alias("at"), F.col("w.gram").alias("gram"))
@@ -204,6 +206,7 @@ def close_candidates(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
         return F.explode(F.array_distinct(F.concat(F.array(F.col(word), alike), less)))
 
     asked = tokens.select("token").distinct().where(F.length("token") >= 2).select("token", forms("token").alias("form"))
+    asked = dealt(asked, "token")
     words = lexicon.select(F.col("word").alias("cand"), "rnk", "is_custom", forms("word").alias("form"))
     return asked.join(words, "form").where("cand <> token").select("token", "cand", "rnk", "is_custom").distinct()
 

@@ -85,6 +85,16 @@ def test_recasing_moves_no_text(spark):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+def test_candidates_meet_in_many_tasks(spark):
+    tokens = spark.createDataFrame([("HAUZ",), ("MAUSS",), ("GEHT",)], "token string").coalesce(1)
+    words = ["HAUS", "MAUS", "GEHT", "GEHE", "LAUS"]
+    lex = spark.createDataFrame([(w, i, len(w), False, False) for i, w in enumerate(words)], "word string, rnk int, len int, is_custom boolean, is_noun boolean").coalesce(1)
+    for near in (lexicon.candidates, lexicon.close_candidates):
+        told = near(tokens, lex)
+        assert f", {pixels.LEAST_TASKS}" in told._jdf.queryExecution().executedPlan().toString()
+        assert {("HAUZ", "HAUS"), ("MAUSS", "MAUS"), ("GEHT", "GEHE")} <= {(r.token, r.cand) for r in told.collect()}
+
+
 def test_rates_and_confusions(spark):
     pairs = spark.createDataFrame([("a", "THE CAT SAT", "TIE CAT SXT"), ("b", "LOVE", "LOLE"), ("c", "QUIT IT", "TUIT T"), ("d", None, "X")], "key string, want_text string, got_text string")
     edits = evaluate.edit_scripts(pairs).cache()
